@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
+from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -71,3 +74,44 @@ def ranked(rows: DataFrame, part: str, bucket: str, order: list[Column], out: st
 def words(text) -> list[bytes]:
     """Words of a text with A-Z in lower case; bytes.lower and bytes.split know ASCII only."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+class Vocabulary:
+    """Numbers distinct words in the order they come, within one task.
+
+    number() returns the words' numbers and the words not met before; past limit words
+    it starts anew (fresh is then True and all words count as new), so memory is bounded.
+    """
+
+    def __init__(self, limit: int = 300_000):
+        self.limit, self.seen = limit, defaultdict(itertools.count().__next__)
+
+    def number(self, tokens: list) -> tuple[np.ndarray, list, bool]:
+        fresh = len(self.seen) > self.limit
+        if fresh:
+            self.seen = defaultdict(itertools.count().__next__)
+        before = len(self.seen)
+        ids = np.fromiter(map(self.seen.__getitem__, tokens), np.int64, len(tokens))
+        return ids, list(itertools.islice(self.seen, before, None)), fresh
+
+
+def chunks(pdf, column: str = "text", size: int = 4 << 20):
+    """Cut a batch into row ranges of about size characters each."""
+    lengths = np.array([len(t) if t else 0 for t in pdf[column]], np.int64)
+    at, start = 0, 0
+    for i, n in enumerate(lengths):
+        at += n
+        if at >= size:
+            yield start, i + 1
+            at, start = 0, i + 1
+    if start < len(lengths):
+        yield start, len(lengths)
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Indices start, start+1, .. of every run, one run after another."""
+    total = int(lengths.sum())
+    if not total:
+        return np.zeros(0, np.int64)
+    ends = np.cumsum(lengths)
+    return np.arange(total) + np.repeat(starts - ends + lengths, lengths)
