@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 
@@ -14,7 +15,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from vantage.llm.common import Vocabulary, chunks, ragged, small_batches
 
 #: Labelled documents that training takes at most, of either label, by hash of the id.
-MAX_POSITIVE, MAX_NEGATIVE = 1500, 4500
+MAX_POSITIVE, MAX_NEGATIVE = 1000, 3000
 #: Words in a window, and from one window to the next.
 WINDOW, STRIDE = 24, 12
 HIDDEN, EMBED, BUCKETS = 8, 5, 2048
@@ -176,7 +177,7 @@ def gradients(net, x, buckets, mask, y, weight):
     return grad, logit
 
 
-def train(texts: list[str | None], labels: np.ndarray, rounds: int = 3, epochs: int = 4) -> Model:
+def train(texts: list[str | None], labels: np.ndarray, rounds: int = 2, epochs: int = 4) -> Model:
     """Learn from labelled texts.  A text is toxic if one of its windows is: each round
     takes the highest window of every text, and random ones of texts that are not."""
     rng = np.random.default_rng(SEED)
@@ -196,9 +197,9 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 3, epochs:
     c0 = np.bincount(form, 1 - labels[doc], max(1, len(distinct)))
     g, count = grams(distinct) if distinct else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     start = np.cumsum(count) - count
-    pair = np.unique(np.repeat(doc, count[form]) * GRAMS + g[ragged(start[form], count[form])]) if len(form) else np.zeros(0, np.int64)
-    g1 = np.bincount(pair % GRAMS, labels[pair // GRAMS], GRAMS)
-    g0 = np.bincount(pair % GRAMS, 1 - labels[pair // GRAMS], GRAMS)
+    g1, g0 = np.zeros(GRAMS, np.int64), np.zeros(GRAMS, np.int64)
+    for own_forms, y in zip(np.split(form, np.flatnonzero(np.diff(doc)) + 1), labels[np.unique(doc)], strict=True) if len(form) else ():
+        (g1 if y else g0)[np.unique(g[ragged(start[own_forms], count[own_forms])])] += 1
     odds = dict(zip(distinct, log_odds(c1[: len(distinct)], c0[: len(distinct)], n1, n0), strict=True))
     odds.pop(b"", None)
     gram_odds = log_odds(g1, g0, n1, n0)
@@ -219,7 +220,8 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 3, epochs:
     wmask = (offsets < wlen[:, None]).astype(np.float32)
     wy = labels[wdoc]
     x_of = lambda w: np.where(wy[w][:, None, None] == 1, own[1][0][wids[w]], own[0][0][wids[w]])
-    hot = (x_of(np.arange(len(wdoc)))[:, :, :2].max(2) * wmask).max(1)  # first guess of a text's highest window
+    parts = [np.arange(s, min(s + 4096, len(wdoc))) for s in range(0, len(wdoc), 4096)]
+    hot = np.concatenate([(x_of(w)[:, :, :2].max(2) * wmask[w]).max(1) for w in parts])  # first guess of a text's highest window
     adam = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.items()}
     step = 0
     score = hot
@@ -239,7 +241,7 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 3, epochs:
                     m += 0.1 * (gk - m)
                     v += 0.01 * (gk * gk - v)
                     net[k] -= (0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-        score = np.concatenate([score_windows(net, [tables(net, *own[k]) for k in (0, 1)], wids[s : s + 4096], wmask[s : s + 4096], wy[s : s + 4096]) for s in range(0, len(wdoc), 4096)])
+        score = np.concatenate([score_windows(net, [tables(net, *own[k]) for k in (0, 1)], wids[w], wmask[w], wy[w]) for w in parts])
     best = np.full(len(texts), -np.inf)
     np.maximum.at(best, wdoc, score)
     # a, b of sigmoid(a * highest logit + b): Newton steps of a slightly damped logistic fit
@@ -295,13 +297,20 @@ def fold(column, n: int):
     return F.pmod(F.crc32(F.encode(F.col(column).cast("string"), "UTF-8")), F.lit(n))
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
-    """At most MAX_POSITIVE + MAX_NEGATIVE labelled texts outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame) -> bytes:
+    """A model trained, in one task, on at most MAX_POSITIVE + MAX_NEGATIVE labelled texts
+    outside the held-out fold."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter(fold("doc_id", 5) != 0).withColumn("h", F.xxhash64(F.lit(SEED), "doc_id"))
     ids = known.filter("toxic = 1").orderBy("h", "doc_id").limit(MAX_POSITIVE).unionAll(known.filter("toxic = 0").orderBy("h", "doc_id").limit(MAX_NEGATIVE))
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("h", "doc_id", "toxic", "text")
-    return texts.toPandas().sort_values(["h", "doc_id", "text"], na_position="first").drop_duplicates("doc_id")
+
+    def run(batches):
+        pdf = pd.concat([pd.DataFrame({"h": [], "doc_id": [], "toxic": [], "text": []}), *batches])
+        pdf = pdf.sort_values(["h", "doc_id", "text"], na_position="first").drop_duplicates("doc_id")
+        yield pd.DataFrame({"model": [pickle.dumps(train(pdf["text"].tolist(), pdf["toxic"].to_numpy(np.int64)))]})
+
+    return bytes(texts.repartition(1).mapInPandas(run, "model binary").first()["model"])
 
 
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -318,11 +327,10 @@ def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.drop("tox_score", "tox_held_out", "tox_predicted")
-    pdf = sample(docs, labels)
-    model = spark.sparkContext.broadcast(train(pdf.text.tolist(), pdf.toxic.to_numpy(np.int64)))
+    model = spark.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches):
-        score = scorer(model.value)
+        score = scorer(pickle.loads(model.value))
         for pdf in batches:
             out = np.zeros(len(pdf))
             for a, b in chunks(pdf):
