@@ -11,7 +11,7 @@ from vantage.llm.common import WORD, stage
 SEED = 77
 ROUNDS = 30
 #: Each marginal's default target: its share of tokens to this power, normalised.
-TEMPER = 0.7
+TEMPER = 0.8
 #: Cells (source x language x topic) up to which the fit runs in numpy on the driver;
 #: a larger table is raked with DataFrame joins.
 DRIVER_CELLS = 200_000
