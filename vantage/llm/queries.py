@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantage.llm import chat, jaccard, mixing, pieces, secret_scan, sharding, toxicity
+from vantage.llm import chat, jaccard, lm, mixing, pieces, secret_scan, sharding, toxicity
 from vantage.llm.common import read
 
 #: The conversation added to the given ones: texts that hold the template's marks.
@@ -17,6 +17,10 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("sec_findings").alias("findings"), F.col("sec_secrets").alias("n_secrets"), F.sha2("sec_text", 256).alias("masked_sha256"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.rate(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(read(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_secret_scans": op1_secret_scans, "op3_sentencepiece": op3_sentencepiece, "op5_toxicity": op5_toxicity, "op8_ngram_jaccard": op8_ngram_jaccard, "op6_sharding": op6_sharding, "op9_chat_formatting": op9_chat_formatting, "op10_mixing": op10_mixing}
+QUERIES = {"op1_secret_scans": op1_secret_scans, "op2_lm_scoring": op2_lm_scoring, "op3_sentencepiece": op3_sentencepiece, "op5_toxicity": op5_toxicity, "op8_ngram_jaccard": op8_ngram_jaccard, "op6_sharding": op6_sharding, "op9_chat_formatting": op9_chat_formatting, "op10_mixing": op10_mixing}
 
 ORACLE = {
     "op8_ngram_jaccard": r"""
