@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantage.llm import chat, jaccard, lm, mixing, pieces, secret_scan, sharding, toxicity
+from vantage.llm import chat, jaccard, lm, media, mixing, pieces, secret_scan, sharding, toxicity
 from vantage.llm.common import read
 
 #: The conversation added to the given ones: texts that hold the template's marks.
@@ -30,6 +30,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", F.col("tox_held_out").alias("held_out"), F.col("tox_score").alias("score"), F.col("tox_predicted").alias("predicted"))
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media(read(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents"))[0].select("doc_id", "n_shingles", "component_id")
 
@@ -61,7 +65,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_secret_scans": op1_secret_scans, "op2_lm_scoring": op2_lm_scoring, "op3_sentencepiece": op3_sentencepiece, "op5_toxicity": op5_toxicity, "op8_ngram_jaccard": op8_ngram_jaccard, "op6_sharding": op6_sharding, "op9_chat_formatting": op9_chat_formatting, "op10_mixing": op10_mixing}
+QUERIES = {"op1_secret_scans": op1_secret_scans, "op2_lm_scoring": op2_lm_scoring, "op3_sentencepiece": op3_sentencepiece, "op5_toxicity": op5_toxicity, "op7_media_columns": op7_media_columns, "op8_ngram_jaccard": op8_ngram_jaccard, "op6_sharding": op6_sharding, "op9_chat_formatting": op9_chat_formatting, "op10_mixing": op10_mixing}
 
 ORACLE = {
     "op8_ngram_jaccard": r"""
