@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantage.llm import chat, jaccard, lm, media, mixing, pieces, secret_scan, sharding, toxicity
+from vantage.llm import chat, embeddings, jaccard, lm, media, mixing, pieces, secret_scan, sharding, toxicity
 from vantage.llm.common import read
 
 #: The conversation added to the given ones: texts that hold the template's marks.
@@ -25,6 +25,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(read(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_dedup(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = toxicity.rate(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
     return rated.select("doc_id", F.col("tox_held_out").alias("held_out"), F.col("tox_score").alias("score"), F.col("tox_predicted").alias("predicted"))
@@ -65,9 +69,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_secret_scans": op1_secret_scans, "op2_lm_scoring": op2_lm_scoring, "op3_sentencepiece": op3_sentencepiece, "op5_toxicity": op5_toxicity, "op7_media_columns": op7_media_columns, "op8_ngram_jaccard": op8_ngram_jaccard, "op6_sharding": op6_sharding, "op9_chat_formatting": op9_chat_formatting, "op10_mixing": op10_mixing}
+QUERIES = {"op1_secret_scans": op1_secret_scans, "op2_lm_scoring": op2_lm_scoring, "op3_sentencepiece": op3_sentencepiece, "op4_embedding_dedup": op4_embedding_dedup, "op5_toxicity": op5_toxicity, "op7_media_columns": op7_media_columns, "op8_ngram_jaccard": op8_ngram_jaccard, "op6_sharding": op6_sharding, "op9_chat_formatting": op9_chat_formatting, "op10_mixing": op10_mixing}
 
 ORACLE = {
+    "op4_embedding_dedup": r"""
+        WITH RECURSIVE v AS (
+          SELECT vec_id, list_transform(embedding, lambda e: e::DOUBLE) AS e FROM embeddings),
+        l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+        r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+        c AS (SELECT x, least(x, min(y)) AS c FROM r GROUP BY x),
+        n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+        SELECT v.vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.c, v.vec_id) AS component_id, coalesce(c.c, v.vec_id) = v.vec_id AS kept
+        FROM v LEFT JOIN n ON n.x = v.vec_id LEFT JOIN c ON c.x = v.vec_id""",
     "op8_ngram_jaccard": r"""
         WITH RECURSIVE w AS (
           SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
