@@ -152,7 +152,7 @@ class Tables:
         data = self.chars[np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)]
         first = np.cumsum(lengths) - lengths
         keys = np.fromiter((xxhash.xxh64_intdigest(u, seed) for u in units), np.uint64, len(units))
-        parts: list = [None] * len(units)
+        done, single, size = [], {}, np.zeros(len(units), np.int64)
         for low, high in ((0, 2), (2, 4), (4, 6), (6, 8), (8, 11), (11, 16), (16, SIDE_BY_SIDE)):
             which = np.flatnonzero((lengths > low) & (lengths <= high))
             for some in np.array_split(which, max(1, len(which) // 20_000)):
@@ -160,15 +160,24 @@ class Tables:
                     continue
                 at = np.minimum(first[some][:, None] + np.arange(high), len(data) - 1)
                 sym = np.where(np.arange(high) < lengths[some][:, None], data[at], -1).astype(np.int32)
-                got, size = self.merge_many(sym, lengths[some].copy(), keys[some], dropout)
-                odd = (got < 0) & (np.arange(high) < size[:, None])
-                odd = odd.any(1)
-                for i, u in enumerate(some.tolist()):
-                    parts[u] = self.bytes_of(got[i, : size[i]]) if odd[i] else got[i, : size[i]]
+                got, n = self.merge_many(sym, lengths[some].copy(), keys[some], dropout)
+                used = np.arange(high) < n[:, None]
+                odd = ((got < 0) & used).any(1)
+                for i in np.flatnonzero(odd).tolist():
+                    single[int(some[i])] = self.bytes_of(got[i, : n[i]])
+                done.append((some[~odd], got[~odd][used[~odd]]))
+                size[some] = n
         for u in np.flatnonzero(lengths > SIDE_BY_SIDE).tolist():
-            parts[u] = self.bytes_of(self.merge_long(data[first[u] : first[u] + lengths[u]], keys[u], dropout))
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
-        return (np.concatenate([np.asarray(p, np.int32) for p in parts]) if parts else np.zeros(0, np.int32)), size
+            single[u] = self.bytes_of(self.merge_long(data[first[u] : first[u] + lengths[u]], keys[u], dropout))
+        for u, ids in single.items():
+            size[u] = len(ids)
+        start = np.cumsum(size) - size
+        out = np.zeros(int(size.sum()), np.int32)
+        for some, flat in done:
+            out[ragged(start[some], size[some])] = flat
+        for u, ids in single.items():
+            out[start[u] : start[u] + len(ids)] = ids
+        return out, size
 
     def decode(self, ids) -> str:
         """The text of ids: pieces and bytes joined, without the blank put before the text."""
