@@ -15,11 +15,11 @@ from vantage.functions.parse import blank_to_null, guess, letter, strip, tag_val
 NOT_PREDICTIONS = re.compile(r"(?i)manifest|summary|details|teacher_cache|metrics")
 
 PREDICTION_SCHEMA = """source_queryset string, video_uid string, model_name string, params string, video_metadata struct<queryset_path:string>,
-samples array<struct<idx:string, t_eval:double, prompt:string, response_text:string, clean_response:string, parsed:map<string,string>, gen_tokens:array<string>, gen_token_probs:array<double>,
+samples array<struct<idx:variant, t_eval:double, prompt:string, response_text:string, clean_response:string, parsed:map<string,string>, gen_tokens:array<string>, gen_token_probs:array<double>,
 sent_logp:double, mean_logp:double, latency_sec:double, diagnostics:struct<prompt_and_encoding_debug:struct<cand_conf_final_letter:string, chosen_by_p_cond:string,
 cand_conf_probe:struct<ok:boolean, p_raw:map<string,double>, p_cond:map<string,double>, chosen_by_p_cond:string>>>>>"""
 
-SAMPLE_SCHEMA = """idx string, t_eval double, region string, state string, step_idx int, lead_sec double, lag_sec double, is_rejected boolean, reject_reason string, is_invalid_annotation boolean,
+SAMPLE_SCHEMA = """idx variant, t_eval double, region string, state string, step_idx int, lead_sec double, lag_sec double, is_rejected boolean, reject_reason string, is_invalid_annotation boolean,
 gt_segment_start double, gt_segment_end double, anchor_idx string, state_switch_pair_type string, state_switch_role string, state_switch_pair_id string,
 mcq struct<answer:string, answer_idx:int, options:array<string>, option_sources:array<string>>"""
 
@@ -30,7 +30,7 @@ def read_predictions(spark: SparkSession, root: str) -> DataFrame:
     df = df.withColumn("pred_file", F.col("_metadata.file_path"))
     name = F.lower(F.element_at(F.split("pred_file", "/"), -1))
     df = df.filter(name.rlike(r"\.jsonl?$") & ~name.rlike(NOT_PREDICTIONS.pattern))
-    return df.select("pred_file", "source_queryset", "video_uid", "video_metadata", F.posexplode_outer("samples").alias("pos", "s")).select("pred_file", "source_queryset", "video_uid", "video_metadata", F.col("pos").cast("long").alias("pos"), "s.*")
+    return df.select("pred_file", "source_queryset", "video_uid", "video_metadata", F.posexplode_outer("samples").alias("pos", "s")).select("pred_file", "source_queryset", "video_uid", "video_metadata", F.col("pos").cast("long").alias("pos"), "s.*").withColumn("key", sample_key(F.col("idx"), F.col("pos")))
 
 
 def read_interval_json(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -38,9 +38,11 @@ def read_interval_json(spark: SparkSession, root: str) -> tuple[DataFrame, DataF
     byte order mark.  A file with several records, or none, is bad."""
     raw = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
     body = strip(F.regexp_replace("value", "^﻿", ""))
-    v = F.try_parse_json(body)
+    # within brackets several records that follow one another are no JSON
+    v = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
+    there = lambda path: F.try_variant_get(v, path, "variant").isNotNull()
     shape = F.schema_of_variant(v)
-    one = F.when(shape.startswith("OBJECT"), body).when(shape.startswith("ARRAY") & F.is_variant_null(F.try_variant_get(v, "$[1]", "variant")).isNull() & F.try_variant_get(v, "$[0]", "string").isNotNull(), F.try_variant_get(v, "$[0]", "string"))
+    one = F.when(shape.startswith("ARRAY<OBJECT") & ~there("$[1]"), body).when(shape.startswith("ARRAY<ARRAY<OBJECT") & ~there("$[1]") & ~there("$[0][1]"), F.try_variant_get(v, "$[0][0]", "string"))
     got = raw.select("file", one.alias("one"))
     parsed = F.from_json("one", f"task string, video_uid string, samples array<struct<{', '.join(x.strip().replace(' ', ':', 1) for x in SAMPLE_SCHEMA.replace(chr(10), ' ').split(', ') if x)}>>")
     fine = got.filter("one is not null").withColumn("o", parsed)
@@ -56,9 +58,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True)
 
 
 def sample_key(idx: Column, pos: Column) -> Column:
-    """Key of a sample: whole numbers as i:n, other text as s:text, else the position."""
-    number = F.regexp_extract(idx, r"^(-?\d+)(?:\.0+)?$", 1)
-    return F.when(idx.isNull(), F.concat(F.lit("i:"), pos.cast("string"))).when(number != "", F.concat(F.lit("i:"), number)).otherwise(F.concat(F.lit("s:"), idx))
+    """Key of a sample from its idx, a variant: i:n for whole numbers, s:text for text, so
+    that 0 and "0" differ; without an idx the position."""
+    kind = F.schema_of_variant(idx)
+    text = F.try_variant_get(idx, "$", "string")
+    number = F.regexp_replace(text, r"\.0+$", "")
+    by_pos = F.concat(F.lit("i:"), pos.cast("string"))
+    return F.when(idx.isNull() | F.is_variant_null(idx), by_pos).when(kind == "STRING", F.concat(F.lit("s:"), text)).otherwise(F.concat(F.lit("i:"), number))
 
 
 def run_log_summary(log: DataFrame) -> DataFrame:
