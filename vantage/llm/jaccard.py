@@ -65,6 +65,14 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
+def folded(bits: bytes) -> np.ndarray:
+    """A bitmap brought to 256 bits, as four longs; it bounds differences as well."""
+    x = np.frombuffer(bits, np.uint8)
+    while len(x) > 32:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.view(np.int64)
+
+
 def bits_apart(a: bytes, b: bytes) -> int:
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
     while len(x) > len(y):
@@ -107,10 +115,11 @@ def signatures(docs: DataFrame, size: int, percent: int, count: np.ndarray) -> D
                     length = n - needed(n, percent) + 1 if n else 0
                     order = np.lexsort((s, count[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]))[:length]
                     k1, k2 = mix(s).sum(dtype=np.uint64), mix(s ^ _M1).sum(dtype=np.uint64)
-                    rows.append((i, n, k1.astype(np.int64), k2.astype(np.int64), s[order].view(np.int64), bitmap(s) if n else b""))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "k1", "k2", "prefix", "bits"])
+                    bits = bitmap(s) if n else b""
+                    rows.append((i, n, k1.astype(np.int64), k2.astype(np.int64), s[order].view(np.int64), bits, folded(bits)))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "k1", "k2", "prefix", "bits", "short"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, k1 long, k2 long, prefix array<long>, bits binary")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, k1 long, k2 long, prefix array<long>, bits binary, short array<long>")
 
 
 def may_link(nx, ny, i, j, percent: int):
@@ -175,8 +184,10 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[DataFrame,
     filtered by size and position, expanded to members, filtered by bitmaps and verified
     with exact sets.  First every member is compared with its group's leader and every
     leader with two pivots of each shingle and size range, which takes linearly many
-    pairs; then, exhaustively, with all others that are not in its component yet.  So
-    no link that decides a component is lost, and large groups don't emit all pairs.
+    pairs; then, exhaustively, with all others that are not in its component yet: of the
+    members that meet at a shingle those outside its main component are joined with one
+    another and with that component.  So no link that decides a component is lost, and
+    large groups don't emit all pairs.
 
     Null and empty texts have no shingles and are components of their own.  Rows
     that repeat a doc_id with one text give repeated rows; with differing texts the
@@ -186,10 +197,10 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[DataFrame,
     small_batches(docs.sparkSession)
     sign = stage(signatures(docs, size, percent, counts(docs, size)), "jac-sign")
     classes = sign.filter("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(
-        F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+        F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.first("short").alias("short"))
     classes = stage(classes.withColumn("g", F.xxhash64("prefix")), "jac-classes")
     groups = classes.groupBy("g", "n").agg(F.min("rep").alias("gid"), F.first("prefix").alias("prefix"))
-    reps = stage(classes.join(groups.select("g", "n", "gid"), ["g", "n"]).select("rep", "n", "bits", "gid"), "jac-reps")
+    reps = stage(classes.join(groups.select("g", "n", "gid"), ["g", "n"]).select("rep", "n", "bits", "short", "gid"), "jac-reps")
     met = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = met.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
     met = stage(met.join(shared, "token"), "jac-met")
@@ -207,17 +218,23 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[DataFrame,
     at = components(links)
 
     # what is left: pairs of groups in different components that meet
-    here = stage(reps.join(at, reps["rep"] == at["node"], "left").select("rep", "n", "gid", F.coalesce("component", "rep").alias("comp")), "jac-here")
-    part = here.select("gid", "comp").distinct()
+    here = stage(reps.join(at, reps["rep"] == at["node"], "left").select("rep", "n", "gid", "short", F.coalesce("component", "rep").alias("comp")), "jac-here")
+    part = here.groupBy("gid", "comp").agg(F.count(F.lit(1)).alias("members"), F.first("short").alias("short"))
+    part = part.select("gid", "comp", *[F.when(F.col("members") == 1, F.col("short")[i]).alias(f"w{i}") for i in range(4)])
     spread = met.join(part, "gid")
-    mixed = spread.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-    spread = stage(spread.join(mixed, "token"), "jac-spread")
-    sides = spread.select("token", "comp").distinct()
-    meet = sides.alias("x").join(sides.alias("y"), "token").filter("x.comp < y.comp").select("token", F.col("x.comp").alias("cx"), F.col("y.comp").alias("cy"))
-    left = spread.select("token", F.col("comp").alias("cx"), F.col("gid").alias("gx"), F.col("n").alias("nx"), F.col("pos").alias("px"))
-    right = spread.select("token", F.col("comp").alias("cy"), F.col("gid").alias("gy"), F.col("n").alias("ny"), F.col("pos").alias("py"))
-    groups2 = meet.join(left, ["token", "cx"]).join(right, ["token", "cy"]).filter(may_link(F.col("nx"), F.col("ny"), F.col("px"), F.col("py"), percent))
-    groups2 = stage(groups2.select("gx", "cx", "gy", "cy").distinct(), "jac-groups")
+    by = spread.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
+    by = by.groupBy("token").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    spread = stage(spread.join(by.select("token", "main"), "token"), "jac-spread")
+    side = lambda x: [F.col("token"), *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "gid", "n", "pos", "w0", "w1", "w2", "w3")]]
+    rest = spread.filter("comp <> main")
+    x, y, z = rest.select(*side("x")), rest.select(*side("y")), spread.filter("comp = main").select(*side("y"))
+    apart = sum((F.bit_count(F.col(f"w{i}_x").bitwiseXOR(F.col(f"w{i}_y"))) for i in range(1, 4)), F.bit_count(F.col("w0_x").bitwiseXOR(F.col("w0_y"))))
+    both = F.col("n_x") + F.col("n_y")
+    near = may_link(F.col("n_x"), F.col("n_y"), F.col("pos_x"), F.col("pos_y"), percent) & (F.coalesce(apart, F.lit(0)) * (100 + percent) <= both * (100 - percent))
+    groups2 = x.join(y, (x["token"] == y["token"]) & (F.col("comp_x") < F.col("comp_y")) & near).drop("token")
+    groups2 = groups2.unionByName(x.join(z, (x["token"] == z["token"]) & near).drop("token"))
+    groups2 = groups2.select(F.col("gid_x").alias("gx"), F.col("comp_x").alias("cx"), F.col("gid_y").alias("gy"), F.col("comp_y").alias("cy"))
+    groups2 = stage(groups2.distinct(), "jac-groups")
     pairs = groups2.join(here.select(F.col("gid").alias("gx"), F.col("comp").alias("cx"), F.col("rep").alias("x")), ["gx", "cx"])
     pairs = pairs.join(here.select(F.col("gid").alias("gy"), F.col("comp").alias("cy"), F.col("rep").alias("y")), ["gy", "cy"])
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(links, ["a", "b"], "left_anti")
