@@ -62,7 +62,7 @@ def rake_driver(cells: DataFrame, goal: dict[str, DataFrame], rounds: int) -> Da
         codes[d], want[d] = pdf[d].map(place).to_numpy(int), t.target.to_numpy(float)
     for _ in range(rounds):
         for d in DIMS:
-            have = np.bincount(codes[d], w, len(want[d]))
+            have = np.bincount(codes[d], w, len(want[d])).astype(float)
             w = w * np.divide(want[d], have, out=np.zeros_like(have), where=have > 0)[codes[d]]
     pdf["weight"] = w
     return cells.sparkSession.createDataFrame(pdf[[*DIMS, "tokens", "weight"]], cells.select(*DIMS, "tokens").schema.add("weight", "double"))

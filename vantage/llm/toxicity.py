@@ -310,7 +310,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> bytes:
         pdf = pdf.sort_values(["h", "doc_id", "text"], na_position="first").drop_duplicates("doc_id")
         yield pd.DataFrame({"model": [pickle.dumps(train(pdf["text"].tolist(), pdf["toxic"].to_numpy(np.int64)))]})
 
-    return bytes(texts.repartition(1).mapInPandas(run, "model binary").first()["model"])
+    row = texts.repartition(1).mapInPandas(run, "model binary").first()  # none for an empty table
+    return bytes(row["model"]) if row else pickle.dumps(train([], np.zeros(0, np.int64)))
 
 
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
