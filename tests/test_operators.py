@@ -144,6 +144,11 @@ def test_files(spark, tmp_path):
     assert [(r.key, r.region) for r in good.collect()] == [("i:3", "gap")] and bad.count() == 1
 
 
+def test_splits(spark):
+    df = spark.createDataFrame([("a/train/x.json", 0), ("a/val/y.json", 0), ("a/val/z.json", None)], "file string, pos long")
+    assert files.of_split(df, "val").count() == 1 and files.of_split(df, "all").count() == 2
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a|b", (1.5, [1, 2]), None)], "name string, m struct<x:double,y:array<int>>, z double")
     flat = sinks.flatten(df)

@@ -50,6 +50,13 @@ def read_interval_json(spark: SparkSession, root: str) -> tuple[DataFrame, DataF
     return rows.withColumn("key", sample_key(F.col("idx"), F.col("pos"))), got.filter("one is null").select("file")
 
 
+def of_split(rows: DataFrame, split: str, column: str = "file") -> DataFrame:
+    """Rows of files below a folder named after the split (train, val or all), without
+    intervals that hold no sample."""
+    rows = rows.filter(F.col("pos").isNotNull()) if "pos" in rows.columns else rows
+    return rows if split == "all" else rows.filter(F.array_contains(F.split(column, "/"), split))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
     """Lines of JSON; a bad line fails the read, or is kept in _corrupt_record."""
     if strict:
