@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantage.llm import jaccard, mixing, pieces, secret_scan, toxicity
-from vantage.llm.common import read, stage
+from vantage.llm.common import aside, read, stage
 
 #: Ids that documents are filtered by in a broadcast; more go through a join.
 BROADCAST_IDS = 2_000_000
@@ -16,8 +16,9 @@ SHINGLE, PERCENT = 5, 80
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network doesn't call toxic."""
-    rated = toxicity.rate(docs, read(spark, sf_dir, "labels"))
-    return rated.filter("tox_predicted = 0").select(docs.columns)
+    own, back = aside(docs, "tox_score", "tox_held_out", "tox_predicted")
+    rated = toxicity.rate(own, read(spark, sf_dir, "labels"))
+    return rated.filter("tox_predicted = 0").select(own.columns).withColumnsRenamed(back)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,16 +40,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; secrets in their texts are masked and n_chars follows."""
-    done = secret_scan.scan(docs)
+    own, back = aside(docs, "sec_findings", "sec_secrets", "sec_text")
+    done = secret_scan.scan(own)
     new = {"text": F.col("sec_text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("sec_secrets") > 0, F.length("sec_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return done.withColumns(new).select(docs.columns)
+    return done.withColumns(new).select(own.columns).withColumnsRenamed(back)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled so that token shares meet the target weights."""
-    return mixing.mix(docs).filter("m_kept").select(docs.columns)
+    own, back = aside(docs, *mixing.DIMS, "m_tokens", "m_weight", "m_prob", "m_kept")
+    return mixing.mix(own).filter("m_kept").select(own.columns).withColumnsRenamed(back)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
