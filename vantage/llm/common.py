@@ -76,6 +76,24 @@ def words(text) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def whole_ids(df: DataFrame, column: str = "doc_id") -> DataFrame:
+    """df with a null id as 0 and marked in no_id: pandas would turn a column of whole
+    numbers with nulls into floats, which hold no large ids."""
+    return df.withColumn("no_id", F.col(column).isNull()).withColumn(column, F.coalesce(F.col(column), F.lit(0)))
+
+
+def null_ids(df: DataFrame, column: str = "doc_id") -> DataFrame:
+    """The reverse of whole_ids."""
+    return df.withColumn(column, F.when(~F.col("no_id"), F.col(column))).drop("no_id")
+
+
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns of the given names (in any case) renamed, and the names to give back."""
+    taken = {n.lower() for n in names}
+    moved = {c: f"__own{i}__{c}" for i, c in enumerate(df.columns) if c.lower() in taken}
+    return df.withColumnsRenamed(moved), {v: k for k, v in moved.items()}
+
+
 class Vocabulary:
     """Numbers distinct words in the order they come, within one task.
 

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantage.llm.common import Vocabulary, chunks, ragged, small_batches, stage, words
+from vantage.llm.common import Vocabulary, chunks, null_ids, ragged, small_batches, stage, whole_ids, words
 from vantage.llm.components import components
 
 #: Buckets of the shingle counts that put frequent shingles last; a fixed size, broadcast.
@@ -110,16 +110,17 @@ def signatures(docs: DataFrame, size: int, percent: int, count: np.ndarray) -> D
         for pdf in batches:
             rows = []
             for a, b in chunks(pdf):
-                for i, s in zip(pdf["doc_id"].iloc[a:b], shingler.sets(pdf["text"].iloc[a:b].tolist()), strict=True):
+                for i, none, s in zip(pdf["doc_id"].iloc[a:b], pdf["no_id"].iloc[a:b], shingler.sets(pdf["text"].iloc[a:b].tolist()), strict=True):
                     n = len(s)
                     length = n - needed(n, percent) + 1 if n else 0
                     order = np.lexsort((s, count[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]))[:length]
                     k1, k2 = mix(s).sum(dtype=np.uint64), mix(s ^ _M1).sum(dtype=np.uint64)
                     bits = bitmap(s) if n else b""
-                    rows.append((i, n, k1.astype(np.int64), k2.astype(np.int64), s[order].view(np.int64), bits, folded(bits)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "k1", "k2", "prefix", "bits", "short"])
+                    rows.append((i, none, n, k1.astype(np.int64), k2.astype(np.int64), s[order].view(np.int64), bits, folded(bits)))
+            yield pd.DataFrame(rows, columns=["doc_id", "no_id", "n", "k1", "k2", "prefix", "bits", "short"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, k1 long, k2 long, prefix array<long>, bits binary, short array<long>")
+    out = whole_ids(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, no_id boolean, n long, k1 long, k2 long, prefix array<long>, bits binary, short array<long>")
+    return null_ids(out)
 
 
 def may_link(nx, ny, i, j, percent: int):

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from vantage.llm.common import chunks, ragged, small_batches
+from vantage.llm.common import chunks, null_ids, ragged, small_batches, whole_ids
 
 #: Fixed values of the format: the zigzag order of an 8 x 8 block.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))))
@@ -479,7 +479,7 @@ def media(docs: DataFrame, tensors: bool = False) -> DataFrame:
     table gives no rows.  A text over PART bytes is a row of images.
     """
     small_batches(docs.sparkSession, 500)
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "doc_id long, no_id boolean, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     if tensors:
         schema += ", stored binary, tensors array<struct<height:int,width:int,rgb:binary>>"
 
@@ -495,7 +495,7 @@ def media(docs: DataFrame, tensors: bool = False) -> DataFrame:
                     rows.append(row + ((stored, tensor) if tensors else ()))
                 names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "stored", "tensors"]
                 out = pd.DataFrame(rows, columns=names[: 10 if tensors else 8])
-                out["doc_id"] = part["doc_id"].array
+                out.insert(1, "no_id", part["no_id"].to_numpy())
                 yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return null_ids(whole_ids(docs.select("doc_id", "text")).mapInPandas(run, schema))

@@ -103,7 +103,7 @@ def mix(docs: DataFrame, goal: dict[str, DataFrame] | None = None, rounds: int =
     tokens: they have weight 0, probability 0 and are not kept.  An empty table gives an
     empty result.
     """
-    rows = keyed(docs)
+    rows = keyed(docs.drop(*DIMS, "m_tokens", "m_weight", "m_prob", "m_kept"))
     cells = stage(rows.groupBy(*DIMS).agg(F.sum("m_tokens").alias("tokens")), "mix-cells")
     weights = stage(rake(cells, goal, rounds, driver_cells).withColumn("rate", F.col("weight") / F.col("tokens")), "mix-weights")
     top = weights.agg(F.max("rate").alias("top_rate"))

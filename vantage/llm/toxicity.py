@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -332,14 +333,13 @@ def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches):
         score = scorer(pickle.loads(model.value))
-        for pdf in batches:
-            out = np.zeros(len(pdf))
-            for a, b in chunks(pdf):
-                out[a:b] = score(pdf["text"].iloc[a:b].tolist())
-            pdf["tox_score"] = out
-            yield pdf
-
-    schema = StructType([*docs.schema.fields, StructField("tox_score", DoubleType())])
-    out = docs.mapInPandas(run, schema)
+        for batch in batches:
+            texts = pd.DataFrame({"text": batch.column("text").to_pylist()})
+            out = np.zeros(len(texts))
+            for a, b in chunks(texts):
+                out[a:b] = score(texts["text"].iloc[a:b].tolist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "tox_score"])
+
+    out = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("tox_score", DoubleType())]))
     held = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
     return out.withColumn("tox_held_out", held).withColumn("tox_predicted", F.when(F.col("tox_score") >= 0.5, 1).otherwise(0))
