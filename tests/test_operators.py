@@ -125,7 +125,7 @@ def test_frames(spark):
 def test_manifest_scrub(spark):
     payload = {"assets": {"interval_clip_path": "/home/x", "a": ["/data/y", "z"]}, "keep": 1}
     row = manifest.sanitize(spark.createDataFrame([("t", json.dumps(payload))], "task string, payload string")).first()
-    assert json.loads(row.clean) == {"assets": {"a": ["z"]}, "keep": 1} and (row.removed_keys, row.removed_strings, row.left) == (1, 1, [])
+    assert json.loads(row.clean) == {"assets": {"a": ["z"]}, "keep": 1} and (row.removed, row.left) == (2, [])
     assert manifest.private_paths(payload) == ["$.assets.interval_clip_path", "$.assets.a[0]"]
 
 

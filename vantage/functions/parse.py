@@ -231,27 +231,60 @@ def options_of_prompt(prompt) -> Column:
     return F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["k"].alias("k"), F.struct(p["v"].alias("raw"), option_words(p["v"])["verb"].alias("verb"), F.array_join(option_words(p["v"])["noun"], " ").alias("noun")).alias("v"))))
 
 
-def response_fault(task, flavor, text, options=None) -> Column:
-    """First reason why a response is not well formed, null if it is: root open, tags
-    missing, state not a state, placeholders left, answer not an option letter, verb or
-    noun not those of the answered option."""
-    t = F.coalesce(lit_or_col(text), F.lit(""))
-    root = F.when(lit_or_col(task).startswith("now"), "NOW").when(lit_or_col(task).endswith("pred"), "FUTURE").otherwise("PAST")
-    opened, closed = F.contains(F.upper(t), F.concat(F.lit("<"), root, F.lit(">"))), F.contains(F.upper(t), F.concat(F.lit("</"), root, F.lit(">")))
-    needs_state = lit_or_col(flavor).isin("cand_state", "cand_full") & lit_or_col(task).startswith("now")
-    needs_ans = lit_or_col(flavor).isin("cand", "cand_mcq", "cand_full")
-    ans, state = tag_value(t, "ANS"), tag_value(t, "STATE")
-    out = (
-        F.when(strip(t) == "", "empty").when(~opened, "root_missing").when(~closed, "root_open")
-        .when(needs_state & state.isNull(), "state_missing").when(needs_state & ~state_of(state).isin(*STATES), "state_value")
-        .when(t.rlike(r"\.\.\.|\{[^}]*\}|(?i)\bplaceholder\b"), "placeholder").when(needs_ans & ans.isNull(), "ans_missing")
-        .when(needs_ans & ~F.coalesce(F.upper(ans), F.lit("")).rlike("^[A-D]$"), "ans_value")
-    )
-    if options is not None:
-        own = F.try_element_at(lit_or_col(options), F.upper(ans))
-        verb, noun = tag_value(t, "VERB"), tag_value(t, "NOUN")
-        out = out.when(needs_ans & verb.isNotNull() & (F.lower(verb) != own["verb"]), "verb_not_copied").when(needs_ans & noun.isNotNull() & (F.lower(noun) != own["noun"]), "noun_not_copied")
-    return out
+#: Fixed values of the audit: tags by kind of answer, placeholders that prompts hold.
+AUDIT_TAGS = {
+    "pred": ("VERB", "NOUN", "DESC", "CONF"), "past": ("VERB", "NOUN", "DESC", "CONF"), "now_full": ("STATE", "VERB", "NOUN", "DESC", "CONF"),
+    "now_state_only": ("STATE", "CONF"), "now_action_mcq": ("ANS", "VERB", "NOUN", "CONF"),
+}
+AUDIT_ROOTS = {"pred": "future", "past": "past", "now_full": "now", "now_state_only": "now", "now_action_mcq": "now"}
+PLACEHOLDERS = ("verb_here", "noun_here_or_none", "short_concise_sentence", "state_here", "desc_here", "conf_here", "ans_here", "choice_here")
+
+
+def now_schema(prompt) -> Column:
+    """Which tags a prompt about the present asks for."""
+    p = F.upper(F.coalesce(lit_or_col(prompt), F.lit("")))
+    has = lambda t: p.rlike(rf"<\s*{t}\s*>")
+    root = F.contains(p, F.lit("<NOW>")) | F.contains(p, F.lit("</NOW>"))
+    mcq = has("ANS") & (has("VERB") | has("NOUN")) & has("CONF") & ~has("STATE")
+    state = has("STATE") & has("CONF") & ~has("VERB") & ~has("NOUN") & ~has("DESC")
+    return F.when(~root, "now_full").when(mcq, "now_action_mcq").when(state, "now_state_only").otherwise("now_full")
+
+
+def response_fault(schema, candidates, text, options, subkind=None) -> Column:
+    """First reason why a response is not well formed, null if it is.
+
+    schema: pred, past, now_full, now_state_only or now_action_mcq; candidates: whether the
+    answer is one of options (map of letter -> struct with verb, noun); subkind: names such
+    as ms_pred_cand with rules of their own."""
+    kind, cand, o = lit_or_col(schema), lit_or_col(candidates), lit_or_col(options)
+    sub = lit_or_col(subkind) if subkind is not None else F.lit("")
+    t = strip(F.coalesce(lit_or_col(text), F.lit("")))
+    up = F.upper(t)
+    held = lambda tag: F.coalesce(tag_value(t, tag), F.lit(""))
+    both = lambda tag: F.contains(up, F.lit(f"<{tag}>")) & F.contains(up, F.lit(f"</{tag}>"))
+    out = F.when(t == "", "empty").when(t.rlike(r"(?i)<(NOW|PAST|FUTURE)>\s*\[[^\]]+\]\s*</\1>"), "bracket_numbers_inside_root")
+    for name, tags in AUDIT_TAGS.items():
+        root, mine = AUDIT_ROOTS[name], kind == name
+        lacking = ~both(tags[0])
+        for tag in tags[1:]:
+            lacking = lacking | ~both(tag)
+        if not name.startswith("now"):
+            lacking = lacking | (cand & ~both("ANS"))
+        out = out.when(mine & ~F.contains(up, F.lit(f"</{root.upper()}>")), f"missing_close_{root}").when(mine & lacking, f"missing_subtags_{root}")
+    state = kind.isin("now_full", "now_state_only")
+    ans = F.upper(held("ANS"))
+    own = F.try_element_at(o, F.substr(ans, F.lit(1), F.lit(1)))
+    calm = lambda c: F.lower(F.regexp_replace(F.regexp_replace(strip(c), r"(?U)\s+", " "), r"\.+$", ""))
+    nothing = (F.lower(own["verb"]) == "none") | (F.lower(own["noun"]) == "none")
+    wanted = F.when(nothing, "YOU do nothing").otherwise(F.concat(F.lit("YOU "), own["verb"], F.lit(" "), own["noun"]))
+    described = cand & (kind != "now_action_mcq")
+    out = out.when(state & (held("STATE") == ""), "missing_state_value").when(state & ~F.upper(held("STATE")).isin(*STATES), "state_not_in_enum")
+    out = out.when((sub == "ms_rtrv_open") & t.rlike(r"[\[\]]"), "ms_rtrv_open_contains_brackets")
+    out = out.when(cand & F.lower(t).rlike("|".join(PLACEHOLDERS)), "contains_placeholders").when(cand & (ans == ""), "missing_ans")
+    out = out.when(cand & ~ans.rlike("^[A-D]"), "bad_ans_letter").when(cand & own.isNull(), "ans_not_in_options")
+    out = out.when(cand & ((held("VERB") != strip(own["verb"])) | (held("NOUN") != strip(own["noun"]))), "verb_noun_not_copied_from_parsed_options")
+    out = out.when(described & (held("DESC") == ""), "missing_desc").when(described & (calm(held("DESC")) != calm(wanted)), "desc_not_matching_option")
+    return out.when((sub == "ms_pred_cand") & held("DESC").rlike("[<>]"), "desc_contains_tags")
 
 
 def coerce_tags(text, options, fault) -> Column:

@@ -15,28 +15,40 @@ PRIVATE = ("/home/", "/data/")
 DROPPED_KEYS = (
     "interval_clip_path", "roi_cache_path", "full_interval_file", "mcp_path", "mcp_file", "source_gt", "source_gt_path", "source_effective_queryset", "matched_full_interval",
 )
-METADATA_KEYS = ("clip_uid", "clip_id", "interval_start_sec", "interval_end_sec", "interval_len_sec", "duration_sec", "split", "fps", "width", "height")
+METADATA_KEYS = ("interval_start_sec", "interval_end_sec", "duration_sec", "split", "clip_uid", "clip_id", "interval_len_sec", "fps", "width", "height")
+TOP_KEYS = ("dataset", "video_uid", "task", "target_text")
+ROI_HINT = "{roi_cache_root}/{video_uid}__{clip_id}__{clip_uid}.roi_cache_merged_fps1.jsonl"
 
 
-def scrub(value, stats: dict):
-    """The value without dropped keys and strings that hold private paths."""
+def private(value) -> bool:
+    return isinstance(value, str) and any(p in value for p in PRIVATE)
+
+
+def scrub(value):
+    """(value without dropped keys and private strings, how many were removed)."""
     if isinstance(value, dict):
-        out = {}
-        for k, v in value.items():
-            if k in DROPPED_KEYS:
-                stats["keys"] += 1
-                continue
-            v, gone = scrub(v, stats)
-            if not gone:
-                out[k] = v
-        return out, False
+        got = {k: (None, 1) if k.lower() in DROPPED_KEYS or private(v) else scrub(v) for k, v in value.items()}
+        return {k: v for k, (v, _) in got.items() if k.lower() not in DROPPED_KEYS and not private(value[k])}, sum(n for _, n in got.values())
     if isinstance(value, list):
-        kept = [scrub(v, stats) for v in value]
-        return [v for v, gone in kept if not gone], False
-    if isinstance(value, str) and any(p in value for p in PRIVATE):
-        stats["strings"] += 1
-        return None, True
-    return value, False
+        got = [(None, 1) if private(v) else scrub(v) for v in value]
+        return [v for (v, _), old in zip(got, value, strict=True) if not private(old)], sum(n for _, n in got)
+    return value, 0
+
+
+def record(rec: dict, task: str, requires_roi: bool) -> tuple[dict, int]:
+    """The published form of one manifest row, and how many private fields it lost."""
+    meta = rec.get("video_metadata")
+    part = {k: rec[k] for k in TOP_KEYS if k in rec}
+    part["video_metadata"] = {k: meta[k] for k in METADATA_KEYS if k in meta} if isinstance(meta, dict) else {}
+    part |= {k: rec.get(k, {}) for k in ("params", "sample")}
+    out, removed = scrub(part)
+    for k in ("params", "sample"):
+        if not isinstance(out.get(k), dict):
+            out[k] = {}
+    assets = {"video_source": "ego4d", "requires_ego4d_video": True, "requires_roi_cache": requires_roi}
+    if requires_roi:
+        assets["roi_cache_layout_hint"] = ROI_HINT
+    return out | {"sft_task": task, "assets": assets}, removed
 
 
 def private_paths(value, path: str = "$") -> list[str]:
@@ -45,24 +57,26 @@ def private_paths(value, path: str = "$") -> list[str]:
         return [p for k, v in value.items() for p in private_paths(v, f"{path}.{k}")]
     if isinstance(value, list):
         return [p for i, v in enumerate(value) for p in private_paths(v, f"{path}[{i}]")]
-    return [path] if isinstance(value, str) and any(p in value for p in PRIVATE) else []
+    return [path] if private(value) else []
 
 
-def sanitize(rows: DataFrame, payload: str = "payload") -> DataFrame:
-    """Add clean (JSON), removed_keys, removed_strings, and left (JSON paths that are still
-    private; empty unless a key's own name is one).  Row by row, in Arrow batches."""
+def sanitize(rows: DataFrame, payload: str = "payload", task: str | None = None, requires_roi: bool = False) -> DataFrame:
+    """Add clean (JSON), removed (private fields gone) and left (JSON paths that are still
+    private; empty unless scrubbing missed some).  With a task column the payload is a
+    manifest row and becomes its published form; else any JSON is scrubbed.  Row by row, in
+    Arrow batches."""
 
     def run(batches):
         for pdf in batches:
             out = []
-            for text in pdf[payload]:
-                stats = {"keys": 0, "strings": 0}
-                value, gone = scrub(json.loads(text), stats) if text else (None, True)
-                out.append((None if gone else json.dumps(value, sort_keys=True, ensure_ascii=False), stats["keys"], stats["strings"], [] if gone else private_paths(value)))
-            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(out, columns=["clean", "removed_keys", "removed_strings", "left"])], axis=1)
+            for i, text in enumerate(pdf[payload]):
+                value = json.loads(text) if text else {}
+                value, n = record(value, pdf[task].iloc[i], requires_roi) if task else scrub(value)
+                out.append((json.dumps(value, sort_keys=True, ensure_ascii=False), n, private_paths(value)))
+            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(out, columns=["clean", "removed", "left"])], axis=1)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInPandas(run, f"{fields}, clean string, removed_keys long, removed_strings long, left array<string>")
+    return rows.mapInPandas(run, f"{fields}, clean string, removed long, left array<string>")
 
 
 def suspicious(sanitized: DataFrame, task: str, rows: int = 10, paths: int = 10) -> tuple[DataFrame, DataFrame]:

@@ -264,10 +264,17 @@ def tags(spark, sf_dir):
 
 
 def response_audit(spark, sf_dir):
-    p = derived.predictions(spark, sf_dir)
+    """Answers written out with all tags, some of them with one thing wrong."""
+    p = derived.predictions(spark, sf_dir).withColumn("ans", parse.answer()).filter("ans <> ''")
     prompt = F.lit("A. YOU take ring\nB. YOU hold bolt\nC. YOU put cup\nD. YOU none none")
-    p = p.withColumn("o", parse.options_of_prompt(prompt)).withColumn("fault", parse.response_fault(F.lit("now_narration"), F.lit("cand_full"), "response_text", "o"))
-    p = p.withColumn("fix", parse.coerce_tags("response_text", "o", "fault"))
+    p = p.withColumn("o", parse.options_of_prompt(prompt)).withColumn("own", F.element_at("o", F.col("ans")))
+    c = F.col("event_id") % 6
+    desc = F.when(F.col("ans") == "D", "YOU do nothing").otherwise(F.concat(F.lit("you "), F.col("own.verb"), F.lit("  "), F.col("own.noun"), F.lit(".")))
+    full = F.concat(
+        F.lit("<NOW><STATE>"), F.when(c == 3, "maybe").otherwise("Interaction"), F.lit("</STATE><ANS>"), F.col("ans"), F.lit("</ANS><VERB>"), F.when(c == 1, "eat").otherwise(F.col("own.verb")), F.lit("</VERB><NOUN>"),
+        F.col("own.noun"), F.lit("</NOUN><DESC>"), F.when(c == 2, "YOU sleep").otherwise(desc), F.lit("</DESC>"), F.when(c == 4, "").otherwise("<CONF>0.5</CONF>"), F.lit("</NOW>"))
+    p = p.withColumn("body", F.when(c == 5, F.col("response_text")).otherwise(full))
+    p = p.withColumn("fault", parse.response_fault(F.lit("now_full"), F.lit(True), "body", "o")).withColumn("fix", parse.coerce_tags("body", "o", "fault"))
     return p.groupBy("model", F.coalesce("fault", F.lit("none")).alias("fault"), F.col("fix.changed").alias("changed"), F.coalesce("fix.why", F.lit("-")).alias("why")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -286,15 +293,20 @@ def stated_confidence_by_source(spark, sf_dir):
 
 def manifest_rows(spark, sf_dir) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    path = F.concat(F.lit("/home/u/"), F.col("page_id"))
     payload = F.to_json(F.struct(
-        F.struct(F.concat(F.lit("/home/u/"), F.col("page_id")).alias("interval_clip_path"), F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/data/x/"), F.col("page_id"))).otherwise(F.col("url")).alias("note")).alias("assets"),
-        F.array(F.col("url"), F.when(F.col("page_id") % 4 == 0, "see /home/me").otherwise("fine")).alias("links")))
+        F.lit("d").alias("dataset"), path.alias("secret_top"), F.struct(F.lit("c").alias("clip_id"), path.alias("owner"), F.when(F.col("page_id") % 2 == 0, path).otherwise("val").alias("split")).alias("video_metadata"),
+        F.struct(path.alias("mcp_path"), F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/data/x/"), F.col("page_id"))).otherwise(F.col("url")).alias("note")).alias("params"),
+        F.struct(F.array(F.col("url"), F.when(F.col("page_id") % 4 == 0, "see /home/me").otherwise("fine")).alias("links")).alias("sample")))
     return p.select("page_id", F.concat(F.lit("t"), F.col("page_id") % 3).alias("task"), payload.alias("payload"), F.when(F.col("page_id") % 5 > 0, "target").alias("target_text"), F.when(F.col("page_id") % 7 > 0, "ask").otherwise(" \t").alias("prompt"))
 
 
 def sanitize_manifest(spark, sf_dir):
-    s = manifest.sanitize(manifest_rows(spark, sf_dir))
-    return s.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.sum("removed_keys").alias("keys"), F.sum("removed_strings").alias("strings"), F.count_if(F.size("left") > 0).alias("suspicious"))
+    s = manifest.sanitize(manifest_rows(spark, sf_dir), "payload", "task", requires_roi=True)
+    field = lambda p: F.get_json_object("clean", p)
+    return s.groupBy("task").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("removed").alias("removed"), F.count_if(F.size("left") > 0).alias("suspicious"), F.count_if(field("$.sft_task") == F.col("task")).alias("named"),
+        F.count(field("$.video_metadata.split")).alias("splits"), F.count(field("$.params.note")).alias("notes"), F.count(field("$.secret_top")).alias("secrets"), F.count(field("$.assets.roi_cache_layout_hint")).alias("hints"))
 
 
 def usable_manifest(spark, sf_dir):
@@ -406,12 +418,14 @@ ORACLE = {
         SELECT event_id, mass, substr('ABCD', list_position(m, list_max(m))::INT, 1) AS best, round(list_sum(list_transform(m, lambda v: -(v / mass) * ln(v / mass + 1e-12))), 6) AS entropy, -mass AS logp, -mass / 4 AS mean_logp FROM p""",
     "tags": B + """ SELECT CASE WHEN form = 0 AND kk <> 8 THEN CASE state WHEN 'INTERACTION' THEN 'interaction' ELSE 'no interaction' END END AS state, least(event_id % 2 + 0.5, 1.0)::DOUBLE AS conf,
         CASE WHEN form = 0 AND kk <> 8 THEN ans END AS ans, form = 0 AND kk <> 8 AS block, count(*) AS n FROM x WHERE answered GROUP BY 1, 2, 3, 4""",
-    "response_audit": B + """, z AS (SELECT model, CASE WHEN kk <> 8 AND form = 0 THEN 'none' ELSE 'root_missing' END AS fault, kk FROM x WHERE answered)
-        SELECT model, fault, fault <> 'none' AS changed, CASE WHEN fault = 'none' THEN '-' WHEN kk = 8 THEN 'none_option' ELSE 'letter' END AS why, count(*) AS n FROM z GROUP BY 1, 2, 3, 4""",
+    "response_audit": B + """, z AS (SELECT model, CASE event_id % 6 WHEN 0 THEN 'none' WHEN 1 THEN 'verb_noun_not_copied_from_parsed_options' WHEN 2 THEN 'desc_not_matching_option' WHEN 3 THEN 'state_not_in_enum'
+        WHEN 4 THEN 'missing_subtags_now' ELSE CASE WHEN form = 0 THEN 'missing_subtags_now' ELSE 'missing_close_now' END END AS fault FROM x WHERE ans <> '')
+        SELECT model, fault, fault <> 'none' AS changed, CASE WHEN fault = 'none' THEN '-' ELSE 'letter' END AS why, count(*) AS n FROM z GROUP BY 1, 2, 3, 4""",
     "option_words": f"SELECT id AS term_id, 'take' AS verb, replace(base, '_', ' ') AS noun FROM ({_NAMES})",
     "stated_confidence_by_source": B + """, z AS (SELECT model, event_id % 3 / 2 AS c, ((ascii(ans) - 65 - event_id) % 4 + 4) % 4 IN (1, 2) AS strong FROM x WHERE ans <> ''),
         y2 AS (SELECT model, least(c, 1.0) AS c, strong FROM z) SELECT model, round(avg(c), 6) AS mapped, round(avg(c) FILTER (strong), 6) AS strong, round(avg(c) FILTER (NOT strong), 6) AS not_strong FROM y2 GROUP BY 1""",
-    "sanitize_manifest": """SELECT 't' || page_id % 3 AS task, count(*) AS n, count(*) AS keys, sum((page_id % 3 = 0)::INT + (page_id % 4 = 0)::INT)::BIGINT AS strings, 0 AS suspicious FROM pages GROUP BY 1""",
+    "sanitize_manifest": """SELECT 't' || page_id % 3 AS task, count(*) AS n, sum(1 + (page_id % 2 = 0)::INT + (page_id % 3 = 0)::INT + (page_id % 4 = 0)::INT)::BIGINT AS removed, 0 AS suspicious, count(*) AS named,
+        count(*) FILTER (page_id % 2 = 1) AS splits, count(*) FILTER (page_id % 3 > 0) AS notes, 0 AS secrets, count(*) AS hints FROM pages GROUP BY 1""",
     "usable_manifest": "SELECT page_id, 'clips/v_' || page_id || '__' || printf('%.3f', page_id / 8) || '_' || printf('%.3f', page_id / 8 + 1) || '.mp4' AS clip FROM pages WHERE page_id % 5 > 0 AND page_id % 7 > 0",
     "run_log": B + """ SELECT region AS task, 'cand' AS flavor, 'm' || event_id % 3 AS model, CASE WHEN k < 80 THEN 'processed' WHEN k < 95 THEN 'skipped' ELSE 'failed' END AS status, count(*) AS n, sum(k)::DOUBLE AS seconds, sum(k) / count(*) AS mean_seconds FROM s GROUP BY 1, 2, 3, 4""",
     "pending_work": B + " SELECT file, count(*) AS pending FROM s WHERE k % 10 = 9 GROUP BY 1",
