@@ -144,6 +144,20 @@ def test_files(spark, tmp_path):
     assert [(r.key, r.region) for r in good.collect()] == [("i:3", "gap")] and bad.count() == 1
 
 
+def test_roi_files(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"frame_idx": 4, "coord": "norm", "left_box": [0, 0, 1, 1]}\n\n{"frame_idx": 5}\n')
+    (tmp_path / "b.json").write_text('{"frames": [{"frame_idx": 7, "hand_boxes": [[0, 0, 0.5, 0.5]]}]}')
+    (tmp_path / "c.json").write_text('{"3": {"coord": "norm", "gaze": {"x": 0.5, "y": 0.5}}}')
+    got = {r.frame_idx: (len(r.boxes), r.gaze and r.gaze.x) for r in files.read_roi(spark, str(tmp_path)).collect()}
+    assert got == {4: (1, None), 5: (0, None), 7: (1, None), 3: (0, 0.5)}
+
+
+def test_reference_candidates(spark):
+    text = json.dumps({"params": {"x": ["a/derived_1.json"], "my_queryset": "q.json"}, "video_metadata": {"queryset_path": "v.json"}, "source_queryset": "s.json", "other": "no"})
+    df = spark.createDataFrame([(text,), ("bad",), (None,)], "t string")
+    assert [r.c for r in df.select(files.reference_candidates(F.col("t")).alias("c")).collect()] == [["s.json", "v.json", "a/derived_1.json", "q.json"], [], []]
+
+
 def test_splits(spark):
     df = spark.createDataFrame([("a/train/x.json", 0), ("a/val/y.json", 0), ("a/val/z.json", None)], "file string, pos long")
     assert files.of_split(df, "val").count() == 1 and files.of_split(df, "all").count() == 2

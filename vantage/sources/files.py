@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -64,6 +66,57 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True)
     return spark.read.schema(schema + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path)
 
 
+ROI_SCHEMA = "frame_idx int, coord string, hand_boxes array<array<double>>, left_box array<double>, right_box array<double>, gaze struct<x:double,y:double,r:double,conf:double>"
+
+
+def read_roi(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, frame columns, boxes) of region files: JSON lines, or one JSON object
+    that is {"frames": [...]} or maps frame numbers to rows."""
+    raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), strip("value").alias("body"))
+    struct = f"struct<{', '.join(x.strip().replace(' ', ':', 1) for x in re.split(r', (?=[a-z_]+ )', ROI_SCHEMA))}>"
+    v = F.try_parse_json("body")
+    lined = raw.filter(F.contains("file", F.lit(".jsonl")))
+    a = lined.select("file", F.posexplode(F.split("body", r"\r?\n")).alias("line_no", "line")).filter(strip("line") != "").select("file", "line_no", F.from_json("line", struct).alias("r"))
+    whole = raw.filter(~F.contains("file", F.lit(".jsonl"))).withColumn("listed", F.try_variant_get(v, "$.frames", f"array<{struct}>"))
+    b = whole.filter("listed is not null").select("file", F.posexplode("listed").alias("line_no", "r"))
+    mapped = whole.filter("listed is null").select("file", F.explode(F.from_json("body", f"map<string,{struct}>")).alias("k", "r"))
+    c = mapped.select("file", F.col("k").try_cast("int").alias("line_no"), F.struct(F.coalesce("r.frame_idx", F.col("k").try_cast("int")).alias("frame_idx"), *[f"r.{n}" for n in ("coord", "hand_boxes", "left_box", "right_box", "gaze")]).alias("r"))
+    rows = a.unionByName(b).unionByName(c).select("file", "line_no", "r.*")
+    sides = F.array_compact(F.array("left_box", "right_box"))
+    return rows.withColumn("boxes", F.concat(F.coalesce("hand_boxes", F.array().cast("array<array<double>>")), sides))
+
+
+def reference_candidates(text: Column) -> Column:
+    """Strings by which a prediction file (JSON text) may name its question set, in order:
+    source_queryset, video_metadata.queryset_path, then any nested string whose key or
+    value holds ``queryset`` or whose value holds ``derived_``."""
+
+    def walk(value, key: str = ""):
+        if isinstance(value, dict):
+            for k, v in value.items():
+                yield from walk(v, str(k))
+        elif isinstance(value, list):
+            for v in value:
+                yield from walk(v, key)
+        elif isinstance(value, str) and ("queryset" in key.lower() or "queryset" in value.lower() or "derived_" in value):
+            yield value
+
+    def find(one) -> list[str]:
+        try:
+            obj = json.loads(one)
+        except (TypeError, ValueError):
+            return []
+        meta = obj.get("video_metadata") if isinstance(obj, dict) else None
+        first = [obj.get("source_queryset"), meta.get("queryset_path") if isinstance(meta, dict) else None] if isinstance(obj, dict) else []
+        return list(dict.fromkeys([x for x in first if isinstance(x, str) and x] + list(walk(obj))))
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(find)
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "array<string>")(text)
+
+
 def sample_key(idx: Column, pos: Column) -> Column:
     """Key of a sample from its idx, a variant: i:n for whole numbers, s:text for text, so
     that 0 and "0" differ; without an idx the position."""
