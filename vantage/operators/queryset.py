@@ -34,7 +34,7 @@ def usable_other(samples: DataFrame) -> DataFrame:
 def canonical_order(samples: DataFrame) -> DataFrame:
     """Add rank within the file by idx (missing last), time and position."""
     order = Window.partitionBy("file").orderBy(F.coalesce(F.col("idx").cast("double"), F.lit(1e9)), "t_eval", "pos")
-    return samples.withColumn("rank", F.row_number().over(order) - 1)
+    return samples.withColumn("rank", (F.row_number().over(order) - 1).cast("long"))
 
 
 def dedupe_by_time(samples: DataFrame, time: str = "t_eval") -> DataFrame:

@@ -64,4 +64,4 @@ def probes(pairs: DataFrame, mode: str, value: float, length: Column) -> DataFra
     after = F.struct(F.lit(1).alias("side"), F.when(gap_first, "scan_segment").otherwise("scan_gap").alias("role"), F.col("b.region").alias("region"), place(F.col("b.span"), mode, value, length).alias("t_probe"))
     out = pairs.select("file", "bucket", kind.alias("pair_type"), pair_id.alias("pair_id"), F.col("a.pos").alias("pos_a"), F.col("b.pos").alias("pos_b"), F.explode(F.array(before, after)).alias("p")).select("*", "p.*").drop("p")
     order = Window.partitionBy("file").orderBy("bucket", "pair_type", "pos_a", "pos_b", "side")
-    return out.withColumn("idx", F.row_number().over(order) - 1)
+    return out.withColumn("idx", (F.row_number().over(order) - 1).cast("long"))

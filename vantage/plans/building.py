@@ -117,7 +117,7 @@ def memory_windows(spark, sf_dir):
     s = derived.samples(spark, sf_dir).withColumn("te", F.col("t") % 120)
     s = s.withColumn("m", queryset.memory_windows(F.col("te"), lag=F.col("k")))
     s = s.withColumn("frames", queryset.keyframes(F.col("m.sparse_start"), F.col("m.sparse_end")))
-    return s.select("event_id", F.col("m.dense_start").alias("dense_start"), F.col("m.sparse_start").alias("sparse_start"), F.col("m.note").alias("note"), F.size("frames").alias("n_frames"), F.element_at("frames", -1).alias("last_frame"))
+    return s.select("event_id", F.col("m.dense_start").alias("dense_start"), F.col("m.sparse_start").alias("sparse_start"), F.col("m.note").alias("note"), F.size("frames").cast("long").alias("n_frames"), F.element_at("frames", -1).alias("last_frame"))
 
 
 def caption_reuse(spark, sf_dir):
@@ -221,7 +221,7 @@ def roi_frames(spark, sf_dir):
     rows = derived.samples(spark, sf_dir).filter("pos < 90").select(F.col("file").alias("video"), F.col("pos").alias("frame_idx"), F.lit("norm").alias("coord"), F.col("event_id").alias("line_no"),
         F.array(F.array(*[F.lit(x) for x in (0.1, 0.1, 0.2, 0.2)])).alias("boxes"), F.struct(F.lit(0.5).alias("x"), F.lit(0.5).alias("y"), F.lit(None).cast("double").alias("r")).alias("gaze"))
     got = roi.roi_join(s, rows, ["video"])
-    return got.select(F.col("sample_id").alias("event_id"), F.size("frames").alias("n_frames"), F.element_at("frames", -1).alias("last_frame"), F.size(F.filter("rois", lambda r: F.size(r["boxes"]) > 0)).alias("with_boxes"))
+    return got.select(F.col("sample_id").alias("event_id"), F.size("frames").cast("long").alias("n_frames"), F.element_at("frames", -1).cast("long").alias("last_frame"), F.size(F.filter("rois", lambda r: F.size(r["boxes"]) > 0)).cast("long").alias("with_boxes"))
 
 
 def roi_violations(spark, sf_dir):
@@ -413,7 +413,7 @@ ORACLE = {
         SELECT event_id, len(fr) AS n_frames, fr[-1] AS last_frame, len(list_filter(fr, lambda i: i < c.m)) AS with_boxes FROM h JOIN c USING (file)""",
     "roi_violations": B + """, z AS (SELECT CASE k % 10 WHEN 0 THEN 'coord' WHEN 1 THEN 'box_size' WHEN 2 THEN 'box_range' WHEN 3 THEN 'gaze_range' END AS fault FROM s) SELECT fault, count(*) AS n FROM z WHERE fault IS NOT NULL GROUP BY 1""",
     "roi_paths": "SELECT page_id, CASE WHEN page_id % 3 = 1 THEN 'b/' WHEN page_id % 2 = 1 THEN 'c/' ELSE 'a/' END || page_id || '.jsonl' AS resolved FROM pages",
-    "token_evidence": B + """ SELECT model, ans, 'token_ans_span' AS method, count(*) AS n, 0.5 AS state_prob, 0.9 AS conf FROM x WHERE answered AND kk <> 8 AND form = 0 GROUP BY 1, 2""",
+    "token_evidence": B + """ SELECT model, ans, 'token_ans_span' AS method, count(*) AS n, 0.5::DOUBLE AS state_prob, 0.9::DOUBLE AS conf FROM x WHERE answered AND kk <> 8 AND form = 0 GROUP BY 1, 2""",
     "choice_distribution": B + """, m AS (SELECT event_id, [event_id % 7 + 1, event_id % 5 + 1, event_id % 3 + 1, k % 11 + 1]::DOUBLE[] AS m FROM s), p AS (SELECT *, list_sum(m) AS mass FROM m)
         SELECT event_id, mass, substr('ABCD', list_position(m, list_max(m))::INT, 1) AS best, round(list_sum(list_transform(m, lambda v: -(v / mass) * ln(v / mass + 1e-12))), 6) AS entropy, -mass AS logp, -mass / 4 AS mean_logp FROM p""",
     "tags": B + """ SELECT CASE WHEN form = 0 AND kk <> 8 THEN CASE state WHEN 'INTERACTION' THEN 'interaction' ELSE 'no interaction' END END AS state, least(event_id % 2 + 0.5, 1.0)::DOUBLE AS conf,
@@ -424,8 +424,8 @@ ORACLE = {
     "option_words": f"SELECT id AS term_id, 'take' AS verb, replace(base, '_', ' ') AS noun FROM ({_NAMES})",
     "stated_confidence_by_source": B + """, z AS (SELECT model, event_id % 3 / 2 AS c, ((ascii(ans) - 65 - event_id) % 4 + 4) % 4 IN (1, 2) AS strong FROM x WHERE ans <> ''),
         y2 AS (SELECT model, least(c, 1.0) AS c, strong FROM z) SELECT model, round(avg(c), 6) AS mapped, round(avg(c) FILTER (strong), 6) AS strong, round(avg(c) FILTER (NOT strong), 6) AS not_strong FROM y2 GROUP BY 1""",
-    "sanitize_manifest": """SELECT 't' || page_id % 3 AS task, count(*) AS n, sum(1 + (page_id % 2 = 0)::INT + (page_id % 3 = 0)::INT + (page_id % 4 = 0)::INT)::BIGINT AS removed, 0 AS suspicious, count(*) AS named,
-        count(*) FILTER (page_id % 2 = 1) AS splits, count(*) FILTER (page_id % 3 > 0) AS notes, 0 AS secrets, count(*) AS hints FROM pages GROUP BY 1""",
+    "sanitize_manifest": """SELECT 't' || page_id % 3 AS task, count(*) AS n, sum(1 + (page_id % 2 = 0)::INT + (page_id % 3 = 0)::INT + (page_id % 4 = 0)::INT)::BIGINT AS removed, 0::BIGINT AS suspicious, count(*) AS named,
+        count(*) FILTER (page_id % 2 = 1) AS splits, count(*) FILTER (page_id % 3 > 0) AS notes, 0::BIGINT AS secrets, count(*) AS hints FROM pages GROUP BY 1""",
     "usable_manifest": "SELECT page_id, 'clips/v_' || page_id || '__' || printf('%.3f', page_id / 8) || '_' || printf('%.3f', page_id / 8 + 1) || '.mp4' AS clip FROM pages WHERE page_id % 5 > 0 AND page_id % 7 > 0",
     "run_log": B + """ SELECT region AS task, 'cand' AS flavor, 'm' || event_id % 3 AS model, CASE WHEN k < 80 THEN 'processed' WHEN k < 95 THEN 'skipped' ELSE 'failed' END AS status, count(*) AS n, sum(k)::DOUBLE AS seconds, sum(k) / count(*) AS mean_seconds FROM s GROUP BY 1, 2, 3, 4""",
     "pending_work": B + " SELECT file, count(*) AS pending FROM s WHERE k % 10 = 9 GROUP BY 1",

@@ -124,7 +124,7 @@ def main_table(spark, sf_dir):
 
 J = "WITH " + derived.SQL
 BUCKET = """SELECT model, {bucket} AS {name}, count(*) AS total, count(*) FILTER (ans <> '') AS valid, count(*) FILTER (ans = '') AS invalid, count(*) FILTER (ans = truth) AS correct,
-  count(*) FILTER (ans = truth) / count(*) AS accuracy, count(*) FILTER (ans = truth) / nullif(count(*) FILTER (ans <> ''), 0) AS accuracy_valid, 0 AS no_truth FROM {source} GROUP BY model{extra}"""
+  count(*) FILTER (ans = truth) / count(*) AS accuracy, count(*) FILTER (ans = truth) / nullif(count(*) FILTER (ans <> ''), 0) AS accuracy_valid, 0::BIGINT AS no_truth FROM {source} GROUP BY model{extra}"""
 GRP = "CASE group_state WHEN 'NN' THEN 'predictable' WHEN 'PN' THEN 'branch_only' WHEN 'NP' THEN 'surprise_only' WHEN 'PP' THEN 'branch_and_surprise' ELSE 'unknown' END"
 P = """, b AS (SELECT model, file, pos // 2 AS p, state, true_state, conf, answered, region, pos % 2 AS side FROM x WHERE region <> 'other'),
 q AS (SELECT model, file, p, max(CASE WHEN side = 0 THEN state END) AS s0, max(CASE WHEN side = 1 THEN state END) AS s1, max(CASE WHEN side = 0 THEN true_state END) AS t0, max(CASE WHEN side = 1 THEN true_state END) AS t1,
