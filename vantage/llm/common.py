@@ -113,7 +113,7 @@ class Vocabulary:
         return ids, list(itertools.islice(self.seen, before, None)), fresh
 
 
-def chunks(pdf, column: str = "text", size: int = 4 << 20):
+def chunks(pdf, column: str = "text", size: int = 1 << 20):
     """Cut a batch into row ranges of about size characters each."""
     lengths = np.array([len(t) if t else 0 for t in pdf[column]], np.int64)
     at, start = 0, 0

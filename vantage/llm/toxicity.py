@@ -31,8 +31,12 @@ def clean(word: bytes) -> bytes:
     return _STRIP.sub("", word.decode("utf-8", "surrogatepass").lower()).encode("utf-8", "surrogatepass")
 
 
-def grams(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed character n-grams (bytes, with a mark before and after) of all forms, and how many each has."""
+def grams(forms: list[bytes], part: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed character n-grams (bytes, with a mark before and after) of all forms, and how
+    many each has; some forms at a time, to bound memory."""
+    if len(forms) > part:
+        parts = [grams(forms[s : s + part], part) for s in range(0, len(forms), part)]
+        return np.concatenate([g for g, _ in parts]), np.concatenate([n for _, n in parts])
     raw = [b"^" + f + b"$" for f in forms]
     size = np.fromiter(map(len, raw), np.int64, len(raw))
     data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
@@ -47,7 +51,7 @@ def grams(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         h ^= h >> np.uint64(29)
         got.append((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 18))
         owner.append(np.repeat(np.arange(len(raw)), count))
-    owner, got = np.concatenate(owner), np.concatenate(got).astype(np.int64)
+    owner, got = np.concatenate(owner), np.concatenate(got).astype(np.int32)
     order = np.argsort(owner, kind="stable")
     return got[order], np.bincount(owner, minlength=len(raw))
 
@@ -73,6 +77,9 @@ class Model:
 def features(forms: list[bytes], odds: np.ndarray, gram_odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not forms:
         return np.zeros((0, 3), np.float32), np.zeros(0, np.int64)
+    if len(forms) > 20_000:
+        parts = [features(forms[s : s + 20_000], odds[s : s + 20_000], gram_odds) for s in range(0, len(forms), 20_000)]
+        return np.concatenate([x for x, _ in parts]), np.concatenate([b for _, b in parts])
     g, count = grams(forms)
     value = gram_odds[g]
     start = np.cumsum(count) - count
@@ -189,11 +196,13 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 2, epochs:
     ids, found, _ = vocabulary.number([w for t in tokens for w in t])
     forms = [clean(w) for w in found]
     form_ids, distinct, _ = Vocabulary(1 << 60).number(forms)
-    ids = form_ids[ids] if len(ids) else ids
+    ids = (form_ids[ids] if len(ids) else ids).astype(np.int32)
+    del tokens, found, forms, form_ids, vocabulary
     n1, n0 = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-    owner = np.repeat(np.arange(len(tokens)), lengths)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
     pair = np.unique(owner * max(1, len(distinct)) + ids)
-    doc, form = pair // max(1, len(distinct)), pair % max(1, len(distinct))
+    doc, form = pair // max(1, len(distinct)), (pair % max(1, len(distinct))).astype(np.int32)
+    del owner, pair
     c1 = np.bincount(form, labels[doc], max(1, len(distinct)))
     c0 = np.bincount(form, 1 - labels[doc], max(1, len(distinct)))
     g, count = grams(distinct) if distinct else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -219,6 +228,7 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 2, epochs:
     offsets = np.arange(WINDOW)
     wids = ids[np.minimum(wstart[:, None] + offsets, max(0, len(ids) - 1))]
     wmask = (offsets < wlen[:, None]).astype(np.float32)
+    del g, start, count, doc, form
     wy = labels[wdoc]
     x_of = lambda w: np.where(wy[w][:, None, None] == 1, own[1][0][wids[w]], own[0][0][wids[w]])
     parts = [np.arange(s, min(s + 4096, len(wdoc))) for s in range(0, len(wdoc), 4096)]
