@@ -60,6 +60,23 @@ def test_jaccard_equals_brute_force(spark, size, percent):
     assert got == {i: (len(s), want[i]) for i, s in enumerate(sets)}
 
 
+def test_jaccard_links_members_of_one_group_that_miss_its_leader(spark):
+    run = lambda name, n: [f"{name}{i}" for i in range(n)]
+    head, middle = run("p", 8), run("c", 20)
+    far, near, nearer = run("l", 9), run("x", 8) + ["y0"], run("x", 8) + ["y1"]
+    texts = [" ".join(head + middle + tail) for tail in (far, near, nearer)]
+    for i in range(6):  # make all but the head's shingles frequent: the three have one prefix, which no others have
+        texts.append(" ".join(w for j, tail in enumerate((far, near, nearer)) for w in run(f"u{i}_{j}_", 80) + head[-2:] + middle + tail))
+    sets = [shingles(t, 3) for t in texts]
+    alike = lambda i, j: 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])
+    assert alike(1, 2) and not alike(0, 1) and not alike(0, 2) and not any(alike(i, j) for i in range(3, 9) for j in range(i))
+    table = docs(spark, texts)
+    prefixes = {r.doc_id: (r.n, tuple(r.prefix)) for r in jaccard.signatures(table, 3, 90, jaccard.counts(table, 3)).collect()}
+    assert prefixes[0] == prefixes[1] == prefixes[2]
+    got = {r.doc_id: r.component_id for r in jaccard.join(table)[0].collect()}
+    assert got == {i: 1 if i == 2 else i for i in range(9)}
+
+
 def test_jaccard_of_no_rows_and_null_ids(spark):
     assert jaccard.join(docs(spark, []))[0].count() == 0
     got = jaccard.join(docs(spark, ["a b c d"] * 3, [None, 5, 5]))[0].collect()

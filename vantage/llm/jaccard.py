@@ -129,6 +129,11 @@ def may_link(nx, ny, i, j, percent: int):
     return best * (100 + percent) >= (nx + ny) * percent
 
 
+def may_link_within(n, percent: int):
+    """Whether two different sets of one size n can link: at best they differ in one member."""
+    return (n - 1) * 100 >= (n + 1) * percent
+
+
 def prune(pairs: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose bitmaps don't rule out a link."""
     left = meta.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
@@ -187,8 +192,8 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[DataFrame,
     leader with two pivots of each shingle and size range, which takes linearly many
     pairs; then, exhaustively, with all others that are not in its component yet: of the
     members that meet at a shingle those outside its main component are joined with one
-    another and with that component.  So no link that decides a component is lost, and
-    large groups don't emit all pairs.
+    another and with that component; members of one group meet at its first shingle.  So
+    no link that decides a component is lost, and large groups don't emit all pairs.
 
     Null and empty texts have no shingles and are components of their own.  Rows
     that repeat a doc_id with one text give repeated rows; with differing texts the
@@ -200,11 +205,13 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[DataFrame,
     classes = sign.filter("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(
         F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.first("short").alias("short"))
     classes = stage(classes.withColumn("g", F.xxhash64("prefix")), "jac-classes")
-    groups = classes.groupBy("g", "n").agg(F.min("rep").alias("gid"), F.first("prefix").alias("prefix"))
+    groups = classes.groupBy("g", "n").agg(F.min("rep").alias("gid"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("classes"))
     reps = stage(classes.join(groups.select("g", "n", "gid"), ["g", "n"]).select("rep", "n", "bits", "short", "gid"), "jac-reps")
-    met = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = met.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
-    met = stage(met.join(shared, "token"), "jac-met")
+    met = groups.select("gid", "n", "classes", F.posexplode("prefix").alias("pos", "token"))
+    # members of one group meet at its first shingle, also if no other group has it
+    within = (F.col("pos") == 0) & (F.col("classes") > 2) & may_link_within(F.col("n"), percent)
+    shared = met.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.max(within).alias("within")).filter("c > 1 or within").select("token")
+    met = stage(met.join(shared, "token").drop("classes"), "jac-met")
 
     # linear rounds: leaders of groups, and two pivots for each shingle and size range
     run = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)) / 2)).cast("int")
