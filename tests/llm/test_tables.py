@@ -89,6 +89,19 @@ def test_chat_is_reversible_and_masks_assistants(spark):
     assert turns(spark, []).count() == 0
 
 
+def test_long_conversations_keep_their_turns(spark):
+    n = 21_000_000
+    rows = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "odd", "b")], "conv_id long, turn int, role string, text string")
+    long = rows.withColumn("text", F.when(F.col("text") == "q", F.col("text")).otherwise(F.expr(f"repeat(text, {n})")))
+    done = chat.format_conversations(long).select("conv_id", "layout", F.size("turns").alias("k"), F.length("formatted").alias("n"), F.size("loss_spans").alias("spans"))
+    got = {r.conv_id: r for r in done.collect()}
+    assert (got[1].k, got[1].spans, got[2].k, got[2].spans) == (2, 1, 1, 0)
+    assert got[1].layout == "prompt" and got[1].n > n and got[2].n > n and got[2].layout != "unknown"
+    big = spark.range(1).select(F.concat(F.lit('{"prompt": "q", "response": "'), F.expr(f"repeat(cast(id as string), {n})"), F.lit('"}')).alias("record"))
+    with pytest.raises(Exception, match="does not parse"):
+        chat.canonical(big).collect()
+
+
 def test_fingerprints_select_layouts(spark):
     records = [
         {"messages": [{"role": "user", "content": "q"}]}, {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}, {"prompt": "q", "response": "a"},

@@ -3,6 +3,8 @@ paths, become canonical turns, which a template writes out reversibly."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,10 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 _TURN = "array<struct<role string, text string>>"
 
+#: JSON of up to so many characters parses if it is JSON; longer may exceed the parser's
+#: limits for a string or a variant.
+PARSES = 16_000_000
+
 #: Layout name -> (shape of a record, as schema_of_variant prints it; mapping to turns).
 #: A mapping is either ("list", path, role field, text field, {role names}) or
 #: ("fields", [(role, path), ...]); empty optional fields give no turn.
@@ -28,15 +34,19 @@ def fingerprint(shape: Column) -> Column:
     return F.sha1(shape)
 
 
-def turns_of(record: Column, mapping: tuple) -> Column:
-    """Canonical turns of a parsed record by a declarative mapping."""
+def turns_of(record: Column, mapping: tuple, typed: bool = False) -> Column:
+    """Canonical turns of a parsed record, a variant or a typed struct, by a declarative mapping."""
+
+    def get(path: str, kind: str) -> Column:
+        return reduce(lambda c, name: c[name], path.split(".")[1:], record) if typed else F.variant_get(record, path, kind)
+
     if mapping[0] == "fields":
-        return F.array(*[F.struct(F.lit(role).alias("role"), F.variant_get(record, path, "string").alias("text")) for role, path in mapping[1]])
+        return F.array(*[F.struct(F.lit(role).alias("role"), get(path, "string").alias("text")) for role, path in mapping[1]])
     if mapping[0] == "nested":
-        got = F.variant_get(record, mapping[1], "array<struct<speaker struct<name string>, utterance string>>")
+        got = get(mapping[1], "array<struct<speaker struct<name string>, utterance string>>")
         return F.transform(got, lambda t: F.struct(t["speaker"]["name"].alias("role"), t["utterance"].alias("text")))
     _, path, role, text, names = mapping
-    got = F.variant_get(record, path, f"array<struct<`{role}` string, `{text}` string>>")
+    got = get(path, f"array<struct<`{role}` string, `{text}` string>>")
 
     def named(r: Column) -> Column:
         out = r
@@ -47,20 +57,25 @@ def turns_of(record: Column, mapping: tuple) -> Column:
     return F.transform(got, lambda t: F.struct(named(t[role]).alias("role"), t[text].alias("text")))
 
 
-def canonical(records: DataFrame, json: str = "record", layouts: dict = LAYOUTS) -> DataFrame:
+def canonical(records: DataFrame, json: str = "record", layouts: dict = LAYOUTS, typed: str | None = None) -> DataFrame:
     """Add layout and turns (array of role, text) to records holding JSON text.
 
     A record whose fingerprint no layout has, or that is not JSON, gets layout
     ``unknown`` and no turns; an empty message list has no field paths below it and is
-    ``unknown`` too.
+    ``unknown`` too.  A text of over PARSES characters that does not parse is an error.
+    With typed, a column of structs, the turns come from it and the JSON text is a
+    skeleton for the fingerprint alone, so records may be of any length.
     """
-    record = F.try_parse_json(F.col(json))
-    out = records.withColumn("__v", record).withColumn("__fp", fingerprint(F.schema_of_variant(F.col("__v"))))
+    parsed = F.try_parse_json(F.col(json))
+    out = records.withColumn("__v", parsed)
+    lost = F.col("__v").isNull() & (F.length(json) > PARSES)
+    error = F.raise_error(F.concat(F.lit("a record does not parse; its characters: "), F.length(json).cast("string"))).cast("string")
+    out = out.withColumn("__fp", F.when(lost, error).otherwise(fingerprint(F.schema_of_variant(F.col("__v")))))
     layout, turns = F.lit("unknown"), F.array().cast(_TURN)
     for name, (shape, mapping) in layouts.items():
         hit = F.col("__fp") == fingerprint(F.lit(shape))
         layout = F.when(hit, F.lit(name)).otherwise(layout)
-        turns = F.when(hit, turns_of(F.col("__v"), mapping)).otherwise(turns)
+        turns = F.when(hit, turns_of(F.col(typed or "__v"), mapping, typed is not None)).otherwise(turns)
     return out.withColumn("layout", layout).withColumn("turns", turns).drop("__v", "__fp")
 
 
@@ -119,27 +134,35 @@ def loss_text(formatted: Column, spans: Column) -> Column:
 
 
 def records_of_rows(rows: DataFrame) -> DataFrame:
-    """Conversations stored as rows by turn -> one JSON record each, in the layout that
-    its roles allow: two turns user, assistant as a prompt with its response; with a
-    system turn before them as an instruction; otherwise a list of messages, a list of
-    from/value pairs or nested turns, by a hash of the id."""
+    """Conversations stored as rows by turn -> one record each (a struct with the fields
+    of all layouts, those of the others null) and skeleton, JSON of the record with at
+    most three turns and empty texts.  The layout is one that its roles allow: two turns
+    user, assistant as a prompt with its response; with a system turn before them as an
+    instruction; otherwise a list of messages, a list of from/value pairs or nested
+    turns, by a hash of the id."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     got = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
     roles = F.concat_ws(",", F.transform("t", lambda t: t["role"]))
-    text = lambda i: F.element_at(F.col("t"), i)["text"]
-    keep = {"ignoreNullFields": "false"}
     plain = F.forall("t", lambda t: t["role"].isin("system", "user", "assistant"))
     said = {"user": "human", "assistant": "gpt"}
     other = lambda r: F.coalesce(*[F.when(r == k, v) for k, v in said.items()], r)
     pick = F.pmod(F.xxhash64("conv_id"), F.lit(3))
-    record = (
-        F.when(roles == "user,assistant", F.to_json(F.struct(text(1).alias("prompt"), text(2).alias("response")), keep))
-        .when(roles == "system,user,assistant", F.to_json(F.struct(text(1).alias("system"), text(2).alias("instruction"), text(3).alias("output")), keep))
-        .when(plain & (pick == 0), F.to_json(F.struct(F.transform("t", lambda t: F.struct(other(t["role"]).alias("from"), t["text"].alias("value"))).alias("conversations")), keep))
-        .when(pick == 1, F.to_json(F.struct(F.struct(F.transform("t", lambda t: F.struct(F.struct(t["role"].alias("name")).alias("speaker"), t["text"].alias("utterance"))).alias("turns")).alias("data")), keep))
-        .otherwise(F.to_json(F.struct(F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages")), keep))
-    )
-    return got.select("conv_id", record.alias("record"))
+    kind = F.when(roles == "user,assistant", "prompt").when(roles == "system,user,assistant", "instruction").when(plain & (pick == 0), "dialogue").when(pick == 1, "nested").otherwise("messages")
+    got = got.withColumn("kind", kind)
+
+    def record(t: Column) -> Column:
+        text = lambda i: F.try_element_at(t, F.lit(i))["text"]
+        fields = {
+            "prompt": {"prompt": text(1), "response": text(2)},
+            "instruction": {"system": text(1), "instruction": text(2), "output": text(3)},
+            "dialogue": {"conversations": F.transform(t, lambda x: F.struct(other(x["role"]).alias("from"), x["text"].alias("value")))},
+            "nested": {"data": F.struct(F.transform(t, lambda x: F.struct(F.struct(x["role"].alias("name")).alias("speaker"), x["text"].alias("utterance"))).alias("turns"))},
+            "messages": {"messages": F.transform(t, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))},
+        }
+        return F.struct(*[F.when(F.col("kind") == k, v).alias(name) for k, of in fields.items() for name, v in of.items()])
+
+    short = F.transform(F.slice("t", 1, 3), lambda t: F.struct(F.lit("").alias("role"), F.lit("").alias("text")))
+    return got.select("conv_id", record(F.col("t")).alias("record"), F.to_json(record(short), {"ignoreNullFields": "true"}).alias("skeleton"))
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
@@ -149,4 +172,4 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     null roles and texts are empty; repeated rows are repeated turns; an empty table
     gives no conversation.  All of it is built-in functions.
     """
-    return render(canonical(records_of_rows(rows)).drop("record"))
+    return render(canonical(records_of_rows(rows), "skeleton", typed="record").drop("record", "skeleton"))
