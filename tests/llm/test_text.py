@@ -247,6 +247,14 @@ def test_lm_scores_each_token_once_and_sums_to_one():
     assert np.allclose(whole, [lm.score(m, ids[:3], per_doc[:1])[0], lm.score(m, ids[3:], per_doc[1:])[0]], atol=1e-5)
 
 
+def test_lm_scores_with_at_least_nine_inputs():
+    m = lm.Model(np.ones(400, np.int64))
+    x, before, lengths = lm.stream(np.arange(3, 103), np.array([100]))
+    _, valid, _, scored = lm.cut(m, x, before, *lm.windows_of(lengths)[1:])
+    seen = (valid[:, None, :] & m.past).sum(2)[scored.astype(bool)]
+    assert len(seen) == len(x) and (np.sort(seen)[:8] >= 1).all() and (np.sort(seen)[8:] >= 9).all()
+
+
 def test_lm_gradients():
     t = 400
     rng = np.random.default_rng(1)
