@@ -103,6 +103,23 @@ def test_narration_nouns_equal_a_plain_reading(spark):
     assert got == {i: narration(t, v, groups, nouns, verbs) for i, t, v in rows}
 
 
+def test_narrations_are_read_whole(spark):
+    text = "c c " + "thing " * 10_500 + "ring"
+    table = spark.createDataFrame([("ring", 7)], "variant string, term_id long")
+    rows = [(1, text, "put"), (2, "take " + "the " * 10_500 + "lid", "take")]
+    got = taxonomy.narration_nouns(spark.createDataFrame(rows, "narr_id long, text string, verb string"), table, ["ring"], ["take", "put"]).collect()
+    assert {r.narr_id: (r.how, r.term_id, r.phrase) for r in got} == {1: ("taxonomy_match", 7, None), 2: ("heuristic_after_verb", None, "lid")}
+
+
+def test_narrations_meet_all_terms(spark, tmp_path):
+    from vantage.plans import building
+
+    parts = [(i, f"name{i} thing{i}", 4, "X") for i in (1, 39, 40, 41, 90)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_size int, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.narr_id: r.noun for r in building.narration_nouns(spark, str(tmp_path)).collect()}
+    assert got[40] == "40" and got[90] == "90"
+
+
 def test_taxonomy_variants(spark):
     df = spark.createDataFrame([("pepper_(vegetable)_(capsicum,_pepper)",), ("pen_(marker,_pen)",), ("",)], "t string")
     assert [r[0] for r in df.select(taxonomy.variants_of("t")).collect()] == [["pepper", "capsicum"], ["pen", "marker"], []]

@@ -70,7 +70,7 @@ def narration_nouns(narrations: DataFrame, nouns: DataFrame, noun_vocab: list[st
     determiners skipped; else ``none``.  Vocabularies are taxonomy words: small literals."""
     vv, nv = F.array(*[F.lit(w) for w in verb_vocab]), F.array(*[F.lit(w) for w in noun_vocab])
     w = words("text")
-    w = F.when((F.try_element_at(w, F.lit(1)) == "c") & (F.try_element_at(w, F.lit(2)) == "c"), F.slice(w, 3, 10_000)).otherwise(w)
+    w = F.when((F.try_element_at(w, F.lit(1)) == "c") & (F.try_element_at(w, F.lit(2)) == "c"), F.slice(w, F.lit(3), F.size(w))).otherwise(w)
     n = narrations.withColumn("w", w).withColumn("vseq", F.filter(F.split(base_of("verb"), "_"), lambda x: x != ""))
     n = n.withColumn("stems", F.transform("w", lambda x: stem_verb(x, vv))).withColumn("sing", F.transform("w", lambda x: singular(x, nv)))
     places = F.filter(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda i: (F.size("vseq") > 0) & (F.slice("stems", i, F.size("vseq")) == F.col("vseq")))
@@ -78,13 +78,13 @@ def narration_nouns(narrations: DataFrame, nouns: DataFrame, noun_vocab: list[st
     spans = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.struct((i - 1).alias("s"), k.alias("len"), F.array_join(F.slice("sing", i, k), "_").alias("variant")))))
     spans = F.filter(spans, lambda x: x["s"] + x["len"] <= F.size("w"))
     grams = n.select("narr_id", "vpos", "vlen", F.explode(spans).alias("x")).select("narr_id", "vpos", "vlen", "x.*")
-    occ = grams.join(F.broadcast(nouns.select("variant", "term_id")), "variant")
+    occ = grams.join(nouns.select("variant", "term_id"), "variant")
     occ = occ.filter(F.col("vpos").isNull() | (F.col("s") >= F.col("vpos") + F.col("vlen")) | (F.col("s") + F.col("len") <= F.col("vpos")))
     end = F.col("vpos") + F.col("vlen")
     after = F.when(F.col("vpos").isNull(), 0).when(F.col("s") >= end, 0).otherwise(1)
     far = F.when(F.col("vpos").isNull(), 0).when(F.col("s") >= end, F.col("s") - end).otherwise(F.abs(F.col("s") - F.col("vpos")))
     best = occ.groupBy("narr_id").agg(F.min_by("term_id", F.struct(after.alias("a"), far.alias("d"), (-F.col("len")).alias("l"), F.col("s").alias("s"))).alias("term_id"))
-    rest = F.slice("w", F.col("vpos") + F.col("vlen") + 1, 10_000)
+    rest = F.slice("w", F.col("vpos") + F.col("vlen") + 1, F.size("w"))
     isin = lambda x, words_: x.isin(*words_)
     skip = F.aggregate(rest, F.struct(F.lit(True).alias("lead"), F.lit(False).alias("stop"), F.array().cast("array<string>").alias("got")), lambda a, x: F.struct(
         (a["lead"] & isin(x, DETERMINERS)).alias("lead"), (a["stop"] | (~(a["lead"] & isin(x, DETERMINERS)) & isin(x, PREPOSITIONS))).alias("stop"),

@@ -195,7 +195,7 @@ def narrations(spark, sf_dir) -> DataFrame:
 
 
 def narration_nouns(spark, sf_dir):
-    nouns = taxonomy.variants(terms(spark, sf_dir).filter("term_id < 40"))
+    nouns = taxonomy.variants(terms(spark, sf_dir))
     vocab = ["ring", "widget", "bolt", "gear", "small", "red", "blue", "green", "large", "plate", "valve", "box", "cup"]
     got = taxonomy.narration_nouns(narrations(spark, sf_dir), nouns, vocab, list(VERBS))
     return got.select("narr_id", "how", F.coalesce(F.col("term_id").cast("string"), "phrase").alias("noun"))
