@@ -24,8 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the smallest id.
 
-    Rows that repeat an id count as one document; of them one row stays.  Rows with a
-    null id stay.
+    Rows that repeat an id count as one document; of them the row of the longest text
+    stays, of equal lengths the greatest text.  Rows with a null id stay.
     """
     member, _ = jaccard.join(docs, SHINGLE, PERCENT)
     away = stage(member.filter("doc_id <> component_id").select("doc_id").distinct(), "near-away")
@@ -33,7 +33,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     left = docs.join(F.broadcast(away) if few else away, "doc_id", "left_anti")
     repeated = stage(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "near-repeated")
     if repeated.limit(1).count():
-        again = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        order = F.struct(F.length("text"), *[F.col(c) for c in ("text", "lang", "source", "n_chars") if c in docs.columns])
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        again = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by(whole, order).alias("row")).select("row.*")
         left = left.join(repeated, "doc_id", "left_anti").unionByName(again)
     return left.select(docs.columns)
 

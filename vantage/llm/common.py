@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import itertools
 import tempfile
 import uuid
@@ -19,10 +22,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor can read, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) is one made up.
+    Only where the session names none and runs on one machine (tests) is one made up: on
+    a cluster each executor would write to its own disk.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -42,11 +48,43 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch holds, as texts may be very long."""
+    """Bound what one Arrow batch holds, as texts may be very long.  These two settings of
+    the session stay set, as plans that were returned read them when they run."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more."""
+    jvm = df.sparkSession._jvm
+    for file in df.inputFiles()[:1]:
+        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def tidy(run):
+    """A function over batches that gives memory back when its task ends: Python workers
+    are used again, and what they keep counts against their executor."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        yield from run(batches)
+        release()
+
+    return tidied
+
+
+def release() -> None:
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it has no such call
+        pass
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantage.llm.common import Vocabulary, chunks, null_ids, ragged, small_batches, stage, whole_ids, words
+from vantage.llm.common import Vocabulary, chunks, null_ids, ragged, small_batches, stage, tidy, whole_ids, words
 from vantage.llm.components import components
 
 #: Buckets of the shingle counts that put frequent shingles last; a fixed size, broadcast.
@@ -94,7 +94,7 @@ def counts(docs: DataFrame, size: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": at.astype(np.int32), "n": total[at]})
 
-    got = docs.select("text").mapInPandas(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    got = docs.select("text").mapInPandas(tidy(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     got = got.toPandas()  # at most 2 ** COUNT_BITS rows
     out = np.zeros(1 << COUNT_BITS, np.int64)
     out[got["bucket"]] = got["n"]
@@ -119,7 +119,7 @@ def signatures(docs: DataFrame, size: int, percent: int, count: np.ndarray) -> D
                     rows.append((i, none, n, k1.astype(np.int64), k2.astype(np.int64), s[order].view(np.int64), bits, folded(bits)))
             yield pd.DataFrame(rows, columns=["doc_id", "no_id", "n", "k1", "k2", "prefix", "bits", "short"])
 
-    out = whole_ids(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, no_id boolean, n long, k1 long, k2 long, prefix array<long>, bits binary, short array<long>")
+    out = whole_ids(docs.select("doc_id", "text")).mapInPandas(tidy(run), "doc_id long, no_id boolean, n long, k1 long, k2 long, prefix array<long>, bits binary, short array<long>")
     return null_ids(out)
 
 
@@ -146,7 +146,7 @@ def prune(pairs: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
             both = (pdf["na"] + pdf["nb"]).to_numpy()
             yield pdf[["a", "b"]][apart * (100 + percent) <= both * (100 - percent)]
 
-    return stage(wide.mapInPandas(run, "a long, b long"), "jac-pruned")
+    return stage(wide.mapInPandas(tidy(run), "a long, b long"), "jac-pruned")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -162,7 +162,7 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
                 part = pdf.iloc[a:b]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "members": [s.tobytes() for s in shingler.sets(part["text"].tolist())]})
 
-    sets = stage(texts.mapInPandas(make, "doc_id long, members binary"), "jac-sets")
+    sets = stage(texts.mapInPandas(tidy(make), "doc_id long, members binary"), "jac-sets")
     sets = sets.groupBy("doc_id").agg(F.min("members").alias("members"))
     wide = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("sa")), "a")
     wide = wide.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("sb")), "b")
@@ -176,7 +176,7 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
                 keep.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
             yield pdf[["a", "b"]][np.array(keep, bool)]
 
-    return stage(wide.mapInPandas(run, "a long, b long"), "jac-links")
+    return stage(wide.mapInPandas(tidy(run), "a long, b long"), "jac-links")
 
 
 def join(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:

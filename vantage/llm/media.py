@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from vantage.llm.common import chunks, null_ids, ragged, small_batches, whole_ids
+from vantage.llm.common import chunks, null_ids, ragged, small_batches, tidy, whole_ids
 
 #: Fixed values of the format: the zigzag order of an 8 x 8 block.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))))
@@ -498,4 +498,4 @@ def media(docs: DataFrame, tensors: bool = False) -> DataFrame:
                 out.insert(1, "no_id", part["no_id"].to_numpy())
                 yield out
 
-    return null_ids(whole_ids(docs.select("doc_id", "text")).mapInPandas(run, schema))
+    return null_ids(whole_ids(docs.select("doc_id", "text")).mapInPandas(tidy(run), schema))

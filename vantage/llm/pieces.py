@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantage.llm.common import Vocabulary, chunks, ragged, small_batches
+from vantage.llm.common import Vocabulary, chunks, ragged, small_batches, tidy
 from vantage.llm.jaccard import mix
 
 #: Share of candidate merges that are skipped, seed, and how many segmentations of a
@@ -258,4 +258,4 @@ def encode(docs: DataFrame, model_file: str | None = None, dropout: float = DROP
 
     variant = F.coalesce(F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(variants)), F.lit(0)).cast("int")
     variant = F.when(F.col("doc_id").isNull(), 0).otherwise(variant)
-    return docs.select("doc_id", "text", variant.alias("variant")).mapInArrow(run, schema)
+    return docs.select("doc_id", "text", variant.alias("variant")).mapInArrow(tidy(run), schema)

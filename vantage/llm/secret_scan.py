@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from vantage.llm.common import small_batches
+from vantage.llm.common import small_batches, tidy
 
 #: Documents that labelled findings and the dictionary are taken from, at most, by hash.
 MAX_DOCS, MAX_FINDINGS, DICTIONARY = 3000, 4000, 4000
@@ -218,7 +218,7 @@ def fit(docs: DataFrame, path: str) -> bytes:
         pdf = pdf.sort_values(["doc_id", "text", "path"]).drop_duplicates()
         yield pd.DataFrame({"model": [pickle.dumps(train(pdf["text"].tolist(), pdf["path"].tolist()))]})
 
-    row = texts.repartition(1).mapInPandas(run, "model binary").first()  # none for an empty table
+    row = texts.repartition(1).mapInPandas(tidy(run), "model binary").first()  # none for an empty table
     return bytes(row["model"]) if row else pickle.dumps(train([], []))
 
 
@@ -261,4 +261,4 @@ def scan(docs: DataFrame, path: str = "source", threshold: float = 0.5) -> DataF
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "sec_findings", "sec_secrets", "sec_text"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

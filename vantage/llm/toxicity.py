@@ -12,11 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.window import Window
 
-from vantage.llm.common import Vocabulary, chunks, ragged, small_batches
+from vantage.llm.common import Vocabulary, chunks, ragged, small_batches, tidy
 
 #: Labelled documents that training takes at most, of either label, by hash of the id.
 MAX_POSITIVE, MAX_NEGATIVE = 1000, 3000
+#: Bytes of texts of either label that training takes at most, and of one text.
+MAX_BYTES, MAX_TEXT = 12 << 20, 2 << 20
 #: Words in a window, and from one window to the next.
 WINDOW, STRIDE = 24, 12
 HIDDEN, EMBED, BUCKETS = 8, 5, 2048
@@ -191,13 +194,18 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 2, epochs:
     rng = np.random.default_rng(SEED)
     labels = np.asarray(labels, np.int64)
     vocabulary = Vocabulary(1 << 60)
-    tokens = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    ids, found, _ = vocabulary.number([w for t in tokens for w in t])
+    lengths, ids, found = np.zeros(len(texts), np.int64), [], []
+    for i, t in enumerate(texts):
+        tokens = (t or "").encode("utf-8", "surrogatepass").split()
+        lengths[i] = len(tokens)
+        at, new, _ = vocabulary.number(tokens)
+        ids.append(at.astype(np.int32))
+        found += new
+    ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
     forms = [clean(w) for w in found]
     form_ids, distinct, _ = Vocabulary(1 << 60).number(forms)
     ids = (form_ids[ids] if len(ids) else ids).astype(np.int32)
-    del tokens, found, forms, form_ids, vocabulary
+    del found, forms, form_ids, vocabulary
     n1, n0 = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
     owner = np.repeat(np.arange(len(lengths)), lengths)
     pair = np.unique(owner * max(1, len(distinct)) + ids)
@@ -310,18 +318,24 @@ def fold(column, n: int):
 
 def fit(docs: DataFrame, labels: DataFrame) -> bytes:
     """A model trained, in one task, on at most MAX_POSITIVE + MAX_NEGATIVE labelled texts
-    outside the held-out fold."""
+    of at most MAX_BYTES for either label, outside the held-out fold."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter(fold("doc_id", 5) != 0).withColumn("h", F.xxhash64(F.lit(SEED), "doc_id"))
     ids = known.filter("toxic = 1").orderBy("h", "doc_id").limit(MAX_POSITIVE).unionAll(known.filter("toxic = 0").orderBy("h", "doc_id").limit(MAX_NEGATIVE))
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("h", "doc_id", "toxic", "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    texts = texts.withColumn("size", size).filter(F.col("size") <= MAX_TEXT)
+    so_far = F.sum("size").over(Window.partitionBy("toxic").orderBy("h", "doc_id", "size"))
+    texts = texts.withColumn("so_far", so_far).filter(F.col("so_far") <= MAX_BYTES).select("h", "doc_id", "toxic", "text")
 
     def run(batches):
         pdf = pd.concat([pd.DataFrame({"h": [], "doc_id": [], "toxic": [], "text": []}), *batches])
         pdf = pdf.sort_values(["h", "doc_id", "text"], na_position="first").drop_duplicates("doc_id")
-        yield pd.DataFrame({"model": [pickle.dumps(train(pdf["text"].tolist(), pdf["toxic"].to_numpy(np.int64)))]})
+        texts, toxic = pdf["text"].tolist(), pdf["toxic"].to_numpy(np.int64)
+        del pdf
+        yield pd.DataFrame({"model": [pickle.dumps(train(texts, toxic))]})
 
-    row = texts.repartition(1).mapInPandas(run, "model binary").first()  # none for an empty table
+    row = texts.repartition(1).mapInPandas(tidy(run), "model binary").first()  # none for an empty table
     return bytes(row["model"]) if row else pickle.dumps(train([], np.zeros(0, np.int64)))
 
 
@@ -330,8 +344,8 @@ def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     The network reads word and character inputs of windows of WINDOW words, STRIDE apart,
     over the whole text; the highest window decides.  It learns from a bounded sample
-    (MAX_POSITIVE, MAX_NEGATIVE) of labelled texts outside the held-out fold; labels,
-    language, source and id are no inputs.  Null and empty texts get the score of an
+    (MAX_POSITIVE, MAX_NEGATIVE, MAX_BYTES; none over MAX_TEXT) of labelled texts outside
+    the held-out fold; labels, language, source and id are no inputs.  Null and empty texts get the score of an
     empty window; a null doc_id is not held out; labels that are null or not 0 or 1 are
     ignored, of several for a document the highest holds.  Without both labels in the
     sample every score is the share of toxic ones.  An empty table gives no rows.
@@ -350,6 +364,6 @@ def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 out[a:b] = score(texts["text"].iloc[a:b].tolist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "tox_score"])
 
-    out = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("tox_score", DoubleType())]))
+    out = docs.mapInArrow(tidy(run), StructType([*docs.schema.fields, StructField("tox_score", DoubleType())]))
     held = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
     return out.withColumn("tox_held_out", held).withColumn("tox_predicted", F.when(F.col("tox_score") >= 0.5, 1).otherwise(0))
