@@ -13,18 +13,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.window import Window
 
-from vantage.llm.common import small_batches, tidy
+from vantage.llm.common import chunks, small_batches, stage, tidy
 
-#: Documents that labelled findings and the dictionary are taken from, at most, by hash.
-MAX_DOCS, MAX_FINDINGS, DICTIONARY = 3000, 4000, 4000
+#: Documents that labelled findings are taken from, by hash, and findings, at most; bytes
+#: of those documents and of one of them, at most.
+MAX_DOCS, MAX_FINDINGS, MAX_BYTES, MAX_TEXT = 3000, 4000, 24 << 20, 2 << 20
+#: The dictionary: words with at least 1 / COMMON of all words (so at most COMMON words).
+COMMON = 1 << 17
 TREES, DEPTH, LEAF, SEED = 40, 8, 2, 11
 MASK = "[SECRET]"
 #: Runs of 12 or more token characters with a digit, or of 16 or more capitals.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z+/_\-]*+[0-9][A-Za-z0-9+/_\-]*+={0,2}|(?<![A-Za-z0-9+/_\-])[A-Z]{16,}+(?![A-Za-z0-9+/_\-])")
 LEAST = 12
 _BEFORE = re.compile(r"([^\s\"'=:]*)[\s\"']*([=:]?)[\s\"']*$")
-_NEXT = re.compile(r"[\s\"']*(\S*)")
+_NEXT = re.compile(r"[\s\"']*(\S{0,40})")
+_LETTERS = re.compile(r"[^\W\d_]{3,}")
+#: Kinds of characters: digit, capital, small letter, other.
+_KIND = np.array([0 if chr(i).isdigit() else 1 if chr(i).isupper() else 2 if chr(i).islower() else 3 for i in range(128)], np.uint8)
+_HEX = np.array([chr(i) in "0123456789abcdefABCDEF" for i in range(128)])
 #: Words whose assigned value a labelling rule takes for a secret.
 KEYWORDS = ("token", "password", "passwd", "secret", "api_key", "apikey", "access_key", "auth")
 FEATURES = ("length", "transitions", "digits", "capitals", "hex", "entropy", "bigrams", "coverage", "assigned", "quoted", "before", "after", "path", "path_odds")
@@ -38,7 +46,7 @@ def candidates(text: str):
             continue
         value = m.group()
         word, sign = _BEFORE.search(text[max(0, a - 40) : a]).groups()
-        yield a, b, value, word.lower(), bool(sign), text[a - 1 : a] in "\"'" and a > 0, _NEXT.match(text, b).group(1).lower()[:40]
+        yield a, b, value, word.lower(), bool(sign), text[a - 1 : a] in "\"'" and a > 0, _NEXT.match(text, b).group(1).lower()
 
 
 def rule_label(value: str, before: str, assigned: bool) -> int | None:
@@ -54,18 +62,12 @@ def rule_label(value: str, before: str, assigned: bool) -> int | None:
 
 
 class Knowledge:
-    """Statistics behind the features: prose bigrams, dictionary, odds of words and paths."""
-
-    def __init__(self, texts: list[str]):
-        words = Counter(w for t in texts for w in re.findall(r"[^\W\d_]{3,}", t.lower()))
-        self.dictionary = {w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0]))[:DICTIONARY]}
-        pairs = Counter()
-        for w, n in words.items():
-            for a, b in zip(w, w[1:], strict=False):
-                pairs[a + b] += n
-        total = sum(pairs.values()) + 1
-        self.bigrams = {p: float(np.log((n + 0.5) / total)) for p, n in pairs.items()}
-        self.rare = float(np.log(0.5 / total))
+    """Statistics behind the features: dictionary, letter pairs of prose, odds of words and
+    paths.  pairs [128, 128] counts neighbouring characters of all words."""
+
+    def __init__(self, dictionary: set[str], pairs: np.ndarray):
+        self.dictionary = dictionary
+        self.pairs = np.log((pairs + 0.5) / (pairs.sum() + 1)).astype(np.float32)
         self.odds: dict[tuple[str, str], tuple[int, int]] = {}
         self.totals = (1, 1)
 
@@ -96,17 +98,18 @@ class Knowledge:
 
     def features(self, f: tuple, own: int | None = None) -> list[float]:
         _, _, value, before, assigned, quoted, after, path = f
-        value = value[:4096]
         n = len(value)
-        kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in value]
-        counts = np.array(list(Counter(value).values())) / n
-        low = value.lower()
+        raw = np.frombuffer(value.encode("ascii"), np.uint8)
+        low = np.frombuffer(value.lower().encode("ascii"), np.uint8)
+        kinds = _KIND[raw]
+        counts = np.bincount(raw)
+        counts = counts[counts > 0] / n
         return [
-            n, sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n, kinds.count("d") / n, kinds.count("u") / n,
-            float(not set(low) - set("0123456789abcdef")), float(-(counts * np.log2(counts)).sum()),
-            sum(self.bigrams.get(low[i : i + 2], self.rare) for i in range(n - 1)) / max(1, n - 1), self.coverage(value),
+            n, np.count_nonzero(kinds[1:] != kinds[:-1]) / n, np.count_nonzero(kinds == 0) / n, np.count_nonzero(kinds == 1) / n,
+            float(_HEX[raw].all()), float(-(counts * np.log2(counts)).sum()),
+            float(self.pairs[low[:-1], low[1:]].sum(dtype=np.float64)) / max(1, n - 1), self.coverage(value),
             float(assigned), float(quoted), self.odd(("before", before), own), self.odd(("after", after), own),
-            zlib.crc32(path.encode()) % 64, self.odd(("path", path), own),
+            zlib.crc32(path.encode("utf-8", "replace")) % 64, self.odd(("path", path), own),
         ]
 
 
@@ -189,55 +192,122 @@ class Scanner:
         return out
 
 
-def train(texts: list[str], paths: list[str], labels=rule_label) -> Scanner:
-    know = Knowledge(texts)
+def train(know: Knowledge, texts: list[str], paths: list[str], given: list[dict[int, int] | None]) -> Scanner:
+    """given: of each text the labels by start, or None where rules label its findings."""
     found, y = [], []
-    for t, p in zip(texts, paths, strict=True):
+    for t, p, own in zip(texts, paths, given, strict=True):
         for c in candidates(t):
-            label = labels(c[2], c[3], c[4])
-            if label is not None:
+            label = rule_label(c[2], c[3], c[4]) if own is None else own.get(c[0])
+            if label is not None and len(y) < MAX_FINDINGS:
                 found.append((*c, p))
                 y.append(label)
-    found, y = found[:MAX_FINDINGS], y[:MAX_FINDINGS]
     know.learn(found, y)
     x = np.array([know.features(f, own) for f, own in zip(found, y, strict=True)]) if found else np.zeros((0, len(FEATURES)))
     return Scanner(know, Forest(x, np.array(y)))
 
 
-def fit(docs: DataFrame, path: str) -> bytes:
-    """A scanner trained in one task from at most MAX_DOCS documents: a third each of those
-    with a run of capitals, with digits in a longer run, and with neither."""
+def word_counts(docs: DataFrame, flush: int = 300_000) -> DataFrame:
+    """(word, n) over all documents: runs of three or more letters, in lower case."""
+
+    def run(batches):
+        seen: Counter = Counter()
+
+        def frame():
+            out = pd.DataFrame({"word": pd.Series(list(seen.keys()), dtype=object), "n": list(seen.values())})
+            seen.clear()
+            return out
+
+        for pdf in batches:
+            for a, b in chunks(pdf):
+                for t in pdf["text"].iloc[a:b]:
+                    seen.update(_LETTERS.findall((t or "").lower()))
+                if len(seen) > flush:
+                    yield frame()
+        yield frame()
+
+    return docs.select("text").mapInPandas(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def knowledge(docs: DataFrame) -> Knowledge:
+    """Dictionary and letter pairs, counted over all documents."""
+    counts = stage(word_counts(docs), "sec-words")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    common = counts.filter(F.col("n") * F.lit(COMMON) >= F.lit(total)).select("word").toPandas()
+
+    def run(batches):
+        out = np.zeros(128 * 128, np.int64)
+        for pdf in batches:
+            pdf = pdf[pdf["word"].map(str.isascii)]
+            size = pdf["word"].map(len).to_numpy(np.int64)
+            raw = np.frombuffer("".join(pdf["word"]).encode(), np.uint8).astype(np.int64)
+            inside = np.ones(len(raw), bool)
+            inside[np.cumsum(size) - 1] = False  # the last of a word has none after it
+            at = np.flatnonzero(inside)
+            np.add.at(out, raw[at] * 128 + raw[at + 1], np.repeat(pdf["n"].to_numpy(np.int64), size)[at])
+        some = np.flatnonzero(out)
+        yield pd.DataFrame({"pair": some, "n": out[some]})
+
+    got = counts.mapInPandas(tidy(run), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # at most 128 * 128 rows
+    pairs = np.zeros(128 * 128, np.int64)
+    pairs[got["pair"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    return Knowledge(set(common["word"]), pairs.reshape(128, 128))
+
+
+def fit(docs: DataFrame, path: str, findings: DataFrame | None) -> bytes:
+    """A scanner trained in one task from at most MAX_DOCS documents: those with labelled
+    findings; or without such, to be labelled by rules, a third each of those with a run
+    of capitals, with digits in a longer run, and with neither."""
+    spark = docs.sparkSession
+    know = spark.sparkContext.broadcast(pickle.dumps(knowledge(docs)))
     body = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.xxhash64(F.lit(SEED), "doc_id").alias("h"), F.col("doc_id"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.when(body.rlike("[A-Z]{16}"), "capitals").when(body.rlike(r"[0-9][A-Za-z0-9+/_\-]{5}"), "digits").otherwise("neither").alias("kind"))
-    parts = [rows.filter(F.col("kind") == k).orderBy("h", "doc_id").limit(MAX_DOCS // 3) for k in ("capitals", "digits", "neither")]
-    ids = parts[0].unionAll(parts[1]).unionAll(parts[2]).select("doc_id").distinct()
-    texts = docs.join(F.broadcast(ids), "doc_id").select("doc_id", body.alias("text"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"))
+    kind = F.when(body.rlike("[A-Z]{16}"), "capitals").when(body.rlike(r"[0-9][A-Za-z0-9+/_\-]{5}"), "digits").otherwise("neither")
+    if findings is None:
+        kinds, rows = ("capitals", "digits", "neither"), docs.select("doc_id", kind.alias("kind"), F.octet_length(body).cast("long").alias("size"))
+    else:
+        labelled = findings.filter("label in (0, 1)").groupBy("doc_id").agg(F.collect_set(F.struct("start", "label")).alias("given"))
+        kinds, rows = ("labelled",), docs.join(labelled.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.lit("labelled").alias("kind"), F.octet_length(body).cast("long").alias("size"))
+    rows = stage(rows.withColumn("h", F.xxhash64(F.lit(SEED), "doc_id")).filter(F.col("size") <= MAX_TEXT), "sec-sizes")
+    ids = None
+    for k in kinds:
+        some = rows.filter(F.col("kind") == k).orderBy("h", "doc_id", "size").limit(MAX_DOCS // len(kinds))
+        some = some.withColumn("so_far", F.sum("size").over(Window.partitionBy("kind").orderBy("h", "doc_id", "size"))).filter(F.col("so_far") <= MAX_BYTES // len(kinds))
+        ids = some.select("doc_id") if ids is None else ids.unionAll(some.select("doc_id"))
+    texts = docs.join(F.broadcast(ids.distinct()), "doc_id").select("doc_id", body.alias("text"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"))
+    texts = texts.filter(F.octet_length("text") <= MAX_TEXT)
+    if findings is not None:
+        texts = texts.join(labelled, "doc_id")
+    given = [] if findings is None else ["given"]
 
     def run(batches):
-        pdf = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "path": []}), *batches])
-        pdf = pdf.sort_values(["doc_id", "text", "path"]).drop_duplicates()
-        yield pd.DataFrame({"model": [pickle.dumps(train(pdf["text"].tolist(), pdf["path"].tolist()))]})
+        pdf = pd.concat([pd.DataFrame({c: [] for c in ["doc_id", "text", "path", *given]}), *batches])
+        pdf = pdf.sort_values(["doc_id", "text", "path"]).drop_duplicates(["doc_id", "text", "path"])
+        own = [{r["start"]: r["label"] for r in rows} for rows in pdf["given"]] if given else [None] * len(pdf)
+        yield pd.DataFrame({"model": [pickle.dumps(train(pickle.loads(know.value), pdf["text"].tolist(), pdf["path"].tolist(), own))]})
 
     row = texts.repartition(1).mapInPandas(tidy(run), "model binary").first()  # none for an empty table
-    return bytes(row["model"]) if row else pickle.dumps(train([], []))
+    return bytes(row["model"]) if row else pickle.dumps(train(pickle.loads(know.value), [], [], []))
 
 
-def scan(docs: DataFrame, path: str = "source", threshold: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, path: str = "source", threshold: float = 0.5, findings: DataFrame | None = None) -> DataFrame:
     """docs with sec_findings (start, length, probability of every candidate, in code
     points), sec_secrets (those at or above threshold) and sec_text, the text with the
     secrets masked.
 
-    Whole texts are scanned; each candidate is judged by length, character transitions,
-    dictionary coverage, path and neighbouring words.  The forest learns from labelled
-    findings of a bounded sample (MAX_DOCS documents, MAX_FINDINGS findings).  A null text
-    stays null with no findings; a null path is empty; repeated rows give repeated
-    results; without findings of both labels the probability is the share of secrets
-    among the labelled ones (0 if there are none).  An empty table gives no rows.
+    Whole texts are scanned; each candidate, as a whole, is judged by length, character
+    transitions, dictionary coverage, path and neighbouring words.  Dictionary and letter
+    pairs are counted over all documents.  The forest learns from labelled findings: those
+    of findings (doc_id, start, label 0 or 1), or, where no such table is given, those that
+    rules label; of a bounded sample (MAX_DOCS, MAX_FINDINGS, MAX_BYTES; texts of at most
+    MAX_TEXT bytes).  A null text stays null with no findings; a null path is empty; a null
+    doc_id is scanned like any other; repeated rows give repeated results; without findings
+    of both labels the probability is the share of secrets among the labelled ones (0 if
+    there are none).  Columns of docs named like the three new ones are replaced.  An empty
+    table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.drop("sec_findings", "sec_secrets", "sec_text")
-    model = spark.sparkContext.broadcast(fit(docs, path))
+    model = spark.sparkContext.broadcast(fit(docs, path, findings))
     finding = StructType([StructField("start", LongType()), StructField("length", IntegerType()), StructField("probability", DoubleType())])
     schema = StructType([*docs.schema.fields, StructField("sec_findings", ArrayType(finding)), StructField("sec_secrets", IntegerType()), StructField("sec_text", StringType())])
 
