@@ -129,6 +129,13 @@ def may_link(nx, ny, i, j, percent: int):
     return best * (100 + percent) >= (nx + ny) * percent
 
 
+def within_short(n, i, percent: int):
+    """Whether position i is in the short prefix of a set of size n: of two sets that link,
+    the one that is not larger shares a shingle of its short prefix with the prefix of the
+    other (with its short prefix, if both have one size)."""
+    return i <= n - F.ceil(n * (2 * percent) / F.lit(100 + percent))
+
+
 def may_link_within(n, percent: int):
     """Whether two different sets of one size n can link: at best they differ in one member."""
     return (n - 1) * 100 >= (n + 1) * percent
@@ -192,13 +199,16 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[DataFrame,
     leader with two pivots of each shingle and size range, which takes linearly many
     pairs; then, exhaustively, with all others that are not in its component yet: of the
     members that meet at a shingle those outside its main component are joined with one
-    another and with that component; members of one group meet at its first shingle.  So
-    no link that decides a component is lost, and large groups don't emit all pairs.
+    another and with that component, the one that is not larger by its short prefix only
+    and within bands of like sizes; members of one group meet at its first shingle.  So no
+    link that decides a component is lost, large groups don't emit all pairs, and texts
+    that share a template meet only where they are alike enough to link.
 
     Null and empty texts have no shingles and are components of their own.  Rows
-    that repeat a doc_id with one text give repeated rows; with differing texts the
-    smallest set decides the links.  Rows with a null doc_id keep a null component and
-    link with nothing.  An empty table gives no rows.
+    that repeat a doc_id with one text give repeated rows; with differing texts they are
+    one node, and the set whose bytes come first decides the links of that doc_id.  Rows
+    with a null doc_id keep a null component and link with nothing.  Texts of any length
+    are read whole; other columns are ignored.  An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     sign = stage(signatures(docs, size, percent, counts(docs, size)), "jac-sign")
@@ -229,18 +239,25 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[DataFrame,
     here = stage(reps.join(at, reps["rep"] == at["node"], "left").select("rep", "n", "gid", "short", F.coalesce("component", "rep").alias("comp")), "jac-here")
     part = here.groupBy("gid", "comp").agg(F.count(F.lit(1)).alias("members"), F.first("short").alias("short"))
     part = part.select("gid", "comp", *[F.when(F.col("members") == 1, F.col("short")[i]).alias(f"w{i}") for i in range(4)])
-    spread = met.join(part, "gid")
-    by = spread.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-    by = by.groupBy("token").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-    spread = stage(spread.join(by.select("token", "main"), "token"), "jac-spread")
-    side = lambda x: [F.col("token"), *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "gid", "n", "pos", "w0", "w1", "w2", "w3")]]
-    rest = spread.filter("comp <> main")
-    x, y, z = rest.select(*side("x")), rest.select(*side("y")), spread.filter("comp = main").select(*side("y"))
+    spread = met.join(part, "gid").withColumn("short", within_short(F.col("n"), F.col("pos"), percent))
+    by = spread.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"), F.max("short").alias("short"))
+    by = by.groupBy("token").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps"), F.max("short").alias("some")).filter("comps > 1 and some")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent))) - 1e-9).cast("int")
+    spread = stage(spread.join(by.select("token", "main"), "token").withColumn("band", band), "jac-spread")
+    side = lambda x: [F.col("token"), F.col("band"), *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "gid", "n", "pos", "short", "w0", "w1", "w2", "w3")]]
+    least, other = spread.filter("short").withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1, F.col("band") + 2))), spread
     apart = sum((F.bit_count(F.col(f"w{i}_x").bitwiseXOR(F.col(f"w{i}_y"))) for i in range(1, 4)), F.bit_count(F.col("w0_x").bitwiseXOR(F.col("w0_y"))))
     both = F.col("n_x") + F.col("n_y")
     near = may_link(F.col("n_x"), F.col("n_y"), F.col("pos_x"), F.col("pos_y"), percent) & (F.coalesce(apart, F.lit(0)) * (100 + percent) <= both * (100 - percent))
-    groups2 = x.join(y, (x["token"] == y["token"]) & (F.col("comp_x") < F.col("comp_y")) & near).drop("token")
-    groups2 = groups2.unionByName(x.join(z, (x["token"] == z["token"]) & near).drop("token"))
+    near &= (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & F.col("short_y"))
+    near &= F.col("comp_x") != F.col("comp_y")
+
+    def meet(x, y):
+        x, y = x.select(*side("x")), y.select(*side("y"))
+        return x.join(y, (x["token"] == y["token"]) & (x["band"] == y["band"]) & near).select("gid_x", "comp_x", "gid_y", "comp_y")
+
+    main, rest = "comp = main", "comp <> main"
+    groups2 = meet(least.filter(rest), other.filter(rest)).unionAll(meet(least.filter(rest), other.filter(main))).unionAll(meet(least.filter(main), other.filter(rest)))
     groups2 = groups2.select(F.col("gid_x").alias("gx"), F.col("comp_x").alias("cx"), F.col("gid_y").alias("gy"), F.col("comp_y").alias("cy"))
     groups2 = stage(groups2.distinct(), "jac-groups")
     pairs = groups2.join(here.select(F.col("gid").alias("gx"), F.col("comp").alias("cx"), F.col("rep").alias("x")), ["gx", "cx"])
