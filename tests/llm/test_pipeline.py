@@ -51,4 +51,4 @@ def test_run_chains_the_stages(spark, table):
     df, path, *_ = table
     df.write.mode("overwrite").parquet(f"{path}/documents.parquet")
     out = corpus_pipeline.run(spark, path)
-    assert out.columns == ["doc_id", "variant", "n_pieces", "ids", "lossless"] and 0 < out.count() < df.count()
+    assert out.columns == ["doc_id", "n_pieces", "ids", "lossless"] and 0 < out.count() < df.count()

@@ -4,6 +4,7 @@ import hashlib
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +39,15 @@ def test_shards_hold_the_mixture(spark, cell, monkeypatch):
     assert hot.max() - hot.min() <= 2
     again = {r.doc_id: (r.shard, r.slot) for r in sharding.interleave(df.repartition(5), 24).collect()}
     assert again == {r.doc_id: (r.shard, r.slot) for r in rows}
+    # brute force: rank within the source, sort by fractional rank, cut
+    keys = df.select("doc_id", "source", F.xxhash64(F.lit(sharding.SEED), "doc_id", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).alias("h")).collect()
+    by, order = {}, []
+    for r in sorted(keys, key=lambda r: (r.h % -(-n // cell), r.h, r.doc_id)):
+        by.setdefault(r.source, []).append(r)
+    for source, members in by.items():
+        order += [((2 * i + 1) / (2 * len(members)), "-" if source is None else "s" + source, r.h, r.doc_id) for i, r in enumerate(members)]
+    want = {x[3]: i * 24 // n for i, x in enumerate(sorted(order))}
+    assert want == {r.doc_id: r.shard for r in rows}
     import zlib
 
     for r in rows:
@@ -60,6 +70,43 @@ def test_raking_meets_the_targets_either_way(spark):
         assert np.allclose(a.groupby(level=i).sum().sort_index(), want.sort_index(), atol=1e-6)
 
 
+def test_goals_that_do_not_fit_the_keys(spark):
+    rows = [("a", "x", "t", 30), ("a", "y", "t", 10), ("b", "x", "t", 60), ("c", "y", "t", 100)]
+    cells = spark.createDataFrame(rows, "m_source string, m_lang string, m_topic string, tokens long")
+    goal = {
+        "m_source": spark.createDataFrame([("a", 0.4), ("b", 0.4), ("gone", 0.9)], "m_source string, target double"),  # c has none
+        "m_lang": spark.createDataFrame([("x", 3.0), ("y", 1.0)], "m_lang string, target double"), "m_topic": spark.createDataFrame([("t", 1.0)], "m_topic string, target double"),
+    }
+    for bound in (100, 1):
+        w = mixing.rake(cells, goal, driver_cells=bound)
+        got = {(r.m_source, r.m_lang): r.weight for r in w.collect()}
+        assert got["c", "y"] == 0 and abs(got["a", "x"] - 0.25) < 1e-8 and abs(got["a", "y"] - 0.25) < 1e-8 and abs(got["b", "x"] - 0.5) < 1e-8
+        gap = {(r.dim, r.key): abs(r.target - r.have) for r in mixing.gaps(w, mixing.whole(cells, goal)).collect()}
+        assert max(gap.values()) < 1e-8
+
+
+def test_sampled_tokens_meet_the_targets(spark):
+    rng = np.random.default_rng(5)
+    kinds = [[f"{c}{i}" for i in range(40)] for c in "abcd"]
+    texts = [" ".join(rng.choice(kinds[int(rng.integers(4))], int(rng.integers(5, 60)))) for _ in range(6000)]
+    table = docs(spark, texts).withColumn("source", F.when(F.col("doc_id") % 3 > 0, "hot").otherwise(F.col("source"))).withColumn("lang", F.when(F.col("doc_id") % 5 == 0, "fr").otherwise("en"))
+    goal = {"m_source": spark.createDataFrame([("=hot", 0.5), ("=s0", 0.5)], "m_source string, target double"), "m_lang": spark.createDataFrame([("=fr", 0.4), ("=en", 0.6)], "m_lang string, target double")}
+    rows = mixing.keyed(table)
+    names = [r[0] for r in rows.select("m_topic").distinct().collect()]
+    goal["m_topic"] = spark.createDataFrame([(t, 1.0 / len(names)) for t in names], "m_topic string, target double")
+    out = mixing.mix(table, goal).toPandas()
+    again = mixing.mix(table.repartition(7), goal, driver_cells=1).toPandas()
+    assert set(out[out.m_kept].doc_id) == set(again[again.m_kept].doc_id) and 300 < out.m_kept.sum() < 5000
+    kept = out[out.m_kept]
+    for d in mixing.DIMS:
+        want = goal[d].toPandas().set_index(d).target
+        have = kept.groupby(d).m_tokens.sum() / kept.m_tokens.sum()
+        assert (have.reindex(want.index).fillna(0) - want / want.sum()).abs().max() < 0.05
+    # topics follow the words: texts of one kind of words share theirs
+    kind = pd.Series([t[0] for t in texts])
+    assert (pd.crosstab(kind[out.doc_id].to_numpy(), out.m_topic).max(0).sum()) > 0.9 * len(texts)
+
+
 def test_mixing_draws_by_probability(spark):
     texts = ["word " * (5 + i % 7) for i in range(3000)] + ODD
     out = mixing.mix(docs(spark, texts).withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "fr").otherwise("en"))).toPandas()
