@@ -369,6 +369,7 @@ def test_lm_samples_every_window_once_over_all_offsets():
     parts = [lm.sample(x, before, lengths, np.full(3, o)) for o in range(lm.SHARE)]
     targets = np.concatenate([p[:, lm.WINDOW :].ravel() for p in parts])
     assert sorted(targets[targets >= 0].tolist()) == sorted(x.tolist())
+    assert lm.sample(x[:0], before[:0], lengths[:0], np.zeros(0, int)).shape == (0, lm.WINDOW + lm.SCORED)
     one = next(p for p in parts if (p[:, lm.WINDOW] == 3 + 8).any())
     row = one[one[:, lm.WINDOW] == 11][0]
     assert row[: lm.WINDOW].tolist() == [lm.START, *range(3, 18)] and row[lm.WINDOW :].tolist() == list(range(11, 19))

@@ -11,6 +11,7 @@ import uuid
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -75,10 +76,8 @@ def tidy(run):
 
 
 def release() -> None:
-    import pyarrow
-
     gc.collect()
-    pyarrow.default_memory_pool().release_unused()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library: it has no such call

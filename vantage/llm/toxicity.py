@@ -220,6 +220,7 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 2, epochs:
         (g1 if y else g0)[np.unique(g[ragged(start[own_forms], count[own_forms])])] += 1
     odds = dict(zip(distinct, log_odds(c1[: len(distinct)], c0[: len(distinct)], n1, n0), strict=True))
     odds.pop(b"", None)
+    odds = {f: float(o) for f, o in odds.items() if o}  # others count as 0
     gram_odds = log_odds(g1, g0, n1, n0)
     # what a document itself adds to the statistics is taken out of its own inputs
     own = []
@@ -260,7 +261,7 @@ def train(texts: list[str | None], labels: np.ndarray, rounds: int = 2, epochs:
                     m += 0.1 * (gk - m)
                     v += 0.01 * (gk * gk - v)
                     net[k] -= (0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-        score = np.concatenate([score_windows(net, [tables(net, *own[k]) for k in (0, 1)], wids[w], wmask[w], wy[w]) for w in parts])
+        score = np.concatenate([score_own(net, own, wids[w], wmask[w], wy[w]) for w in parts])
     best = np.full(len(texts), -np.inf)
     np.maximum.at(best, wdoc, score)
     # a, b of sigmoid(a * highest logit + b): Newton steps of a slightly damped logistic fit
@@ -279,17 +280,26 @@ def tables(net, x: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     return (np.matmul(np.concatenate([x, net["E"][bucket]], 1).astype(np.float32), net["W"]) + net["b"]).astype(np.float32)
 
 
-def score_windows(net, by_label, ids, mask, y=None):
-    if y is None:
-        table = by_label
-        return forward(net, lambda t: np.stack([table[0][ids[:, t]], table[1][ids[:, WINDOW - 1 - t]]]), mask)
-    pick = lambda d, t: np.where(y[:, None] == 1, by_label[1][d][ids[:, t]], by_label[0][d][ids[:, t]])
-    return forward(net, lambda t: np.stack([pick(0, t), pick(1, WINDOW - 1 - t)]), mask)
+def score_windows(net, table, ids, mask):
+    return forward(net, lambda t: np.stack([table[0][ids[:, t]], table[1][ids[:, WINDOW - 1 - t]]]), mask)
+
+
+def score_own(net, own, ids, mask, y):
+    """The same for training windows, whose inputs leave out their own document; tables hold
+    the forms of these windows only."""
+    some, at = np.unique(ids, return_inverse=True)
+    by_label = [tables(net, x[some], bucket[some]) for x, bucket in own]
+    out, at = np.zeros(len(y), np.float32), at.reshape(ids.shape)
+    for k in (0, 1):
+        rows = np.flatnonzero(y == k)
+        if len(rows):
+            out[rows] = score_windows(net, by_label[k], at[rows], mask[rows])
+    return out
 
 
 def scorer(model: Model):
     """Function of a list of texts giving the score of each, by its highest window."""
-    vocabulary, hold = Vocabulary(), {"table": np.zeros((2, 0, 3 * HIDDEN), np.float32)}
+    vocabulary, hold = Vocabulary(120_000), {"table": np.zeros((2, 0, 3 * HIDDEN), np.float32)}
 
     def score(texts: list) -> np.ndarray:
         tokens = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
