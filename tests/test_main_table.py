@@ -35,11 +35,21 @@ def mcq(spark, letters, said, column="step int", values=None):
     return score.official_join(q, answers(spark, said))
 
 
+def cells(joined, *buckets):
+    for c in ("truth", "true_state"):
+        joined = joined if c in joined.columns else joined.withColumn(c, F.lit(""))
+    return main_table.cells(joined, [*KEYS, *buckets])
+
+
+def mcq_cells(*args, **kwargs):
+    return cells(mcq(*args, **kwargs), "step")
+
+
 def test_golden_row(spark):
     yes, no = "<NOW><STATE>INTERACTION</STATE></NOW>", "<NOW><STATE>NO_INTERACTION</STATE></NOW>"
     q = questions(spark, [("segment",), ("gap",), ("segment",)], "region string").withColumn("true_state", parse.true_state("region"))
-    parts = [main_table.state_metrics(score.official_join(q, answers(spark, {0: (yes, None), 1: (yes, None)})), KEYS)]
-    parts.append(main_table.accuracy_metric(mcq(spark, "AB", {0: ("<NOW><ANS>A</ANS></NOW>", None), 1: ("<NOW><ANS>C</ANS></NOW>", None)}), KEYS, "now_mcq_acc"))
+    parts = [main_table.state_metrics(cells(score.official_join(q, answers(spark, {0: (yes, None), 1: (yes, None)}))), KEYS)]
+    parts.append(main_table.accuracy_metric(mcq_cells(spark, "AB", {0: ("<NOW><ANS>A</ANS></NOW>", None), 1: ("<NOW><ANS>C</ANS></NOW>", None)}), KEYS, "now_mcq_acc"))
 
     pair = [("segment", "segment_to_gap", "before", "x"), ("gap", "segment_to_gap", "after", "x"), ("gap", "gap_to_segment", "before", "y"), ("segment", "gap_to_segment", "after", "y")]
     for i, base in ((1, 0.01), (2, 0.02), (3, 0.03)):
@@ -53,7 +63,7 @@ def test_golden_row(spark):
 
     said = {0: ("A", (0.8, 0.1, 0.05, 0.05)), 1: ("C", (0.2, 0.3, 0.4, 0.1)), 3: ("D", (0.02, 0.03, 0.05, 0.9))}
     grp = mcq(spark, "ABCD", said, "st string", ["NN", "PN", "NP", "PP"]).withColumn("grp", parse.group_of("st"))
-    parts.append(main_table.bucket_metrics(grp, KEYS, "grp", "sh_pred_"))
+    parts.append(main_table.bucket_metrics(cells(grp, "grp"), KEYS, "grp", "sh_pred_"))
     acc = {"ms_pred": {0: ("<FUTURE><ANS>A</ANS></FUTURE>", None), 1: ("<FUTURE><ANS>D</ANS></FUTURE>", None)}, "ms_rtrv": {0: ("D", None), 1: ("B", None), 2: ("C", None)}}
     conf = {
         "ms_pred": {0: ("A", (0.75, 0.1, 0.1, 0.05)), 1: ("D", (0.1, 0.2, 0.1, 0.6)), 2: ("C", (0.3, 0.3, 0.2, 0.2))},
@@ -61,9 +71,9 @@ def test_golden_row(spark):
     }
     for task in ("ms_pred", "ms_rtrv"):
         for said, kind in ((acc[task], "acc"), (conf[task], "conf")):
-            got = main_table.bucket_metrics(mcq(spark, "ABC", said, values=[0, 1, 2]), KEYS, "step", f"{task}_step", True)
+            got = main_table.bucket_metrics(mcq_cells(spark, "ABC", said, values=[0, 1, 2]), KEYS, "step", f"{task}_step", True)
             parts.append(got.filter(F.endswith("metric", F.lit(kind))))
-    parts.append(main_table.accuracy_metric(mcq(spark, "AB", {0: ("<PAST><ANS>A</ANS></PAST>", None), 1: ("<PAST><ANS>C</ANS></PAST>", None)}), KEYS, "sh_rtrv_acc"))
+    parts.append(main_table.accuracy_metric(mcq_cells(spark, "AB", {0: ("<PAST><ANS>A</ANS></PAST>", None), 1: ("<PAST><ANS>C</ANS></PAST>", None)}), KEYS, "sh_rtrv_acc"))
 
     row = main_table.wide(main_table.union(parts)).first().asDict()
     assert len(main_table.COLUMNS) == len(GOLDEN) == 40
@@ -89,3 +99,63 @@ def test_zero_denominators_are_null(spark):
     j = mcq(spark, "A", {0: ("A or B", None)})
     got = score.mcq_accuracy(j, KEYS, "step").filter("step = 'all'").first()
     assert got.accuracy == 0.0 and got.accuracy_valid is None
+
+
+def test_leaderboard_from_files(spark, tmp_path):
+    """The golden row from folders of files, written by hand; a second file for a question
+    set, an unknown reference and keys by sample_id are among them."""
+    import json
+
+    from vantage.plans import leaderboard
+
+    def put(path, obj):
+        f = tmp_path / path
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text(json.dumps(obj))
+
+    letters = lambda s, **more: [{"idx": i, "mcq": {"answer": x}} | {k: v[i] for k, v in more.items()} for i, x in enumerate(s)]
+    pair = [("segment", "segment_to_gap", "fixed_segment_mid", "x"), ("gap", "segment_to_gap", "scan_gap", "x"), ("gap", "gap_to_segment", "fixed_gap_mid", "y"), ("segment", "gap_to_segment", "scan_segment", "y")]
+    sets = {
+        "state": [{"sample_id": "a", "region": "segment"}, {"id": 7, "region": "gap"}, {"region": "segment"}], "mcq": [{"idx": 0, "ans": "A"}, {"idx": 1.0, "mcq": {"answer_idx": 1}}],
+        "switch": [{"idx": i, "region": r, "state_switch_pair_type": t, "state_switch_role": o, "state_switch_pair_id": p} for i, (r, t, o, p) in enumerate(pair)],
+        "sh_pred": letters("ABCD", state=["NN", "PN", "NP", "PP"]), "ms_pred": letters("ABC", lead_sec=[8, 16, 24]), "ms_rtrv": letters("ABC", step_idx=[0, 1, 2]), "sh_rtrv": letters("AB"),
+    }
+    for name, samples in sets.items():
+        put(f"sets/{name}.json", {"task": name, "samples": samples})
+
+    def predict(folder, name, rows, file="p.json"):
+        put(f"pred/{folder}/{file}", {"source_queryset": f"old/place/{name}.json", "samples": rows})
+
+    tag = lambda s: {"response_text": f"<NOW><STATE>{s}</STATE></NOW>"}
+    say = lambda said: [{"idx": i, "response_text": f"<ANS>{x}</ANS>", "parsed": {"ans": x}} for i, x in said.items()]
+    probe = lambda said: [{"idx": i, "response_text": x, "diagnostics": {"prompt_and_encoding_debug": {"cand_conf_probe": {"ok": True, "p_cond": dict(zip("ABCD", p))}}}} for i, (x, p) in said.items()]
+    predict("now_narration/cand_state", "state", [{"sample_id": "a", **tag("INTERACTION")}, {"id": 7, **tag("INTERACTION")}])
+    predict("now_narration/cand_mcq", "mcq", say({0: "A", 1: "C"}))
+    predict("now_narration/cand_mcq", "mcq", say({0: "B", 1: "B"}), "q.json")
+    predict("now_narration/cand_mcq", "nowhere", say({0: "B"}), "r.json")
+    for i, name in enumerate(("sspos_t_1_0", "t_2.0", "sspos_t_4p0")):
+        rows = [{"idx": k, **tag(s), "gen_tokens": ["<STATE>", s, "</STATE>"], "gen_token_probs": [0.99, 0.81 + 0.01 * i - 0.1 * k, 0.99]} for k, s in enumerate(["INTERACTION", "NO_INTERACTION", "NO_INTERACTION", "NO_INTERACTION"])]
+        predict(f"now_state_switch/cand_state/{name}", "switch", rows)
+    predict("sh_pred/cand_full", "sh_pred", say({0: "A", 1: "C", 3: "D"}))
+    predict("ms_pred/cand", "ms_pred", say({0: "A", 1: "D"}))
+    predict("ms_rtrv/cand", "ms_rtrv", say({0: "D", 1: "B", 2: "C"}))
+    predict("sh_rtrv/cand", "sh_rtrv", say({0: "A", 1: "C"}))
+    predict("sh_pred/cand_conf", "sh_pred", probe({0: ("A", (0.8, 0.1, 0.05, 0.05)), 1: ("C", (0.2, 0.3, 0.4, 0.1)), 3: ("D", (0.02, 0.03, 0.05, 0.9))}))
+    predict("ms_pred/cand_conf", "ms_pred", probe({0: ("A", (0.75, 0.1, 0.1, 0.05)), 1: ("D", (0.1, 0.2, 0.1, 0.6)), 2: ("C", (0.3, 0.3, 0.2, 0.2))}))
+    predict("ms_rtrv/cand_conf", "ms_rtrv", probe({0: ("D", (0.2, 0.1, 0.1, 0.6)), 1: ("B", (0.1, 0.7, 0.1, 0.1)), 2: ("C", (0.1, 0.1, 0.65, 0.15))}))
+    table, warnings = leaderboard.leaderboard(spark, str(tmp_path / "pred"), [str(tmp_path / "sets")], "synthetic", "val")
+    row = table.first().asDict()
+    assert len(row) == 42 and (row["model"], row["split"]) == ("synthetic", "val")
+    for name, want in GOLDEN.items():
+        assert (row[name] is None) if want is None else math.isclose(row[name], want, abs_tol=1e-9), (name, row[name], want)
+    assert sorted((r.warning.split()[-1], r.file.rsplit("/", 1)[1]) for r in warnings.collect()) == [("file", "q.json"), ("found", "r.json")]
+    for f in (tmp_path / "pred/sh_pred/cand_conf").iterdir():
+        f.unlink()
+    args = (spark, str(tmp_path / "pred"), [str(tmp_path / "sets")], "synthetic", "val")
+    try:
+        leaderboard.leaderboard(*args)
+        raise AssertionError("a missing part must fail")
+    except ValueError as e:
+        assert "sh_pred_conf" in str(e)
+    table, warnings = leaderboard.leaderboard(*args, allow_missing_confidence=True)
+    assert table.first().sh_pred_predictable_conf is None and warnings.filter("file = 'sh_pred_conf'").count() == 1

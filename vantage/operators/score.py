@@ -88,11 +88,14 @@ def state_scores(joined: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def confidence_by_bucket(joined: DataFrame, keys: list[str], bucket: str) -> DataFrame:
-    """Mean and count of confidences, and a histogram of their sources, over all samples."""
-    main = grouping(joined, keys, bucket, F.avg("conf").alias("conf_mean"), F.count("conf").alias("conf_n"), F.count(F.lit(1)).alias("total"))
-    parts = grouping(joined.withColumn("source", F.coalesce("source", F.lit("missing_prediction"))), [*keys, "source"], bucket, F.count(F.lit(1)).alias("n"))
-    sources = parts.groupBy(*keys, bucket).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "n")))).alias("sources"))
-    return main.join(sources, [*keys, bucket])
+    """Mean and count of confidences, and a histogram of their sources, over all samples.
+    The samples are read once; the rest works on a row for each bucket and source."""
+    named = joined.withColumn("source", F.coalesce("source", F.lit("missing_prediction")))
+    small = named.groupBy(*keys, "source", bucket).agg(F.sum("conf").alias("s"), F.count("conf").alias("c"), F.count(F.lit(1)).alias("n"))
+    parts = grouping(small, [*keys, "source"], bucket, F.sum("s").alias("s"), F.sum("c").alias("c"), F.sum("n").alias("n"))
+    sources = F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "n"))))
+    out = parts.groupBy(*keys, bucket).agg(F.sum("s").alias("s"), F.sum("c").alias("conf_n"), F.sum("n").alias("total"), sources.alias("sources"))
+    return out.select(*keys, bucket, rate(F.col("s"), F.col("conf_n")).alias("conf_mean"), "conf_n", "total", "sources")
 
 
 def switch_pairs(probes: DataFrame, keys: list[str]) -> DataFrame:
@@ -205,11 +208,12 @@ def confusion(joined: DataFrame, keys: list[str], labels: list[str]) -> DataFram
     return joined.filter(F.col("true_state").isin(*labels)).groupBy(*keys, "true_state").pivot("state", labels).count().fillna(0, labels)
 
 
-def open_ended(joined: DataFrame, keys: list[str]) -> DataFrame:
+def open_ended(joined: DataFrame, keys: list[str], with_state: bool = True) -> DataFrame:
     """Verb, noun and pair hits over samples with an interaction: a wrong state is wrong,
-    and given the right state."""
-    seen = F.col("true_state") == "INTERACTION"
-    state = seen & (F.col("state") == "INTERACTION")
+    and given the right state.  Without states (with_state=False) every sample counts and
+    only its words decide."""
+    seen = F.col("true_state") == "INTERACTION" if with_state else F.lit(True)
+    state = seen & (F.col("state") == "INTERACTION") if with_state else F.lit(True)
     out = joined.groupBy(*keys).agg(
         F.count_if(seen).alias("total"), F.count_if(state).alias("state_right"),
         *[F.count_if(state & c).alias(n) for n, c in (("verb", F.col("verb_ok")), ("noun", F.col("noun_ok")), ("pair", F.col("verb_ok") & F.col("noun_ok")))],

@@ -342,7 +342,7 @@ def resolve_references(spark, sf_dir):
 
 def normalized_predictions(spark, sf_dir):
     p = derived.predictions(spark, sf_dir).withColumns({"parsed": F.when(F.col("event_id") % 4 == 0, F.create_map(F.lit("Answer"), F.lit("c"))), "video_uid": F.concat(F.lit("v"), F.col("file"))})
-    return files.normalized(p).groupBy("model", "value").agg(F.count(F.lit(1)).alias("n"), F.min("sample_id").alias("first_id"))
+    return files.normalized(p).groupBy("model", F.col("prediction").alias("value")).agg(F.count(F.lit(1)).alias("n"), F.min("sample_id").alias("first_id"))
 
 
 B = "WITH " + derived.SQL

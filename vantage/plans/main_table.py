@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vantage.operators import score
@@ -24,36 +24,45 @@ def named(df: DataFrame, keys: list[str], metrics: dict) -> DataFrame:
     return df.select(*keys, F.explode(pairs).alias("x")).select(*keys, "x.*")
 
 
-def state_metrics(joined: DataFrame, keys: list[str]) -> DataFrame:
-    return named(score.state_scores(joined, keys), keys, {"now_rec": F.col("recall"), "now_prec": F.col("precision")})
+def cells(joined: DataFrame, keys: list[str]) -> DataFrame:
+    """What all metrics but the switch's need, in one pass over the joined samples: counts
+    and sums by keys.  A sample without truth letter counts in no accuracy."""
+    known, valid = F.col("truth") != "", F.coalesce("ans", F.lit("")) != ""
+    yes, no, hit = F.col("true_state") == "INTERACTION", F.col("true_state") == "NO_INTERACTION", F.coalesce("state", F.lit("INVALID")) == "INTERACTION"
+    return joined.groupBy(*keys).agg(
+        F.count_if(known).alias("total"), F.count_if(known & valid & (F.col("ans") == F.col("truth"))).alias("correct"), F.sum("conf").alias("conf_sum"), F.count("conf").alias("conf_n"),
+        F.count_if(yes & hit).alias("tp"), F.count_if(no & hit).alias("fp"), F.count_if(yes & ~hit).alias("fn"),
+    )
 
 
-def accuracy_metric(joined: DataFrame, keys: list[str], name: str) -> DataFrame:
+def state_metrics(cells: DataFrame, keys: list[str]) -> DataFrame:
+    n = cells.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    return named(n, keys, {"now_rec": score.rate(F.col("tp"), F.col("tp") + F.col("fn")), "now_prec": score.rate(F.col("tp"), F.col("tp") + F.col("fp"))})
+
+
+def accuracy_metric(cells: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Accuracy over all buckets."""
-    one = score.mcq_accuracy(joined.withColumn("bucket", F.lit("one")), keys, "bucket").filter("bucket = 'all'")
-    return named(one, keys, {name: F.col("accuracy")})
+    n = cells.groupBy(*keys).agg(F.sum("correct").alias("correct"), F.sum("total").alias("total"))
+    return named(n, keys, {name: score.rate(F.col("correct"), F.col("total"))})
 
 
-def bucket_metrics(joined: DataFrame, keys: list[str], bucket: str, prefix: str, average: bool = False) -> DataFrame:
+def bucket_metrics(cells: DataFrame, keys: list[str], bucket: str, prefix: str, average: bool = False) -> DataFrame:
     """Accuracy and mean confidence of each bucket; average adds the means of the buckets."""
-    label = F.concat(F.lit(prefix), F.col(bucket).cast("string"))
-    acc = score.mcq_accuracy(joined, keys, bucket).filter(f"{bucket} <> 'all'")
-    conf = score.confidence_by_bucket(joined, keys, bucket).filter(f"{bucket} <> 'all'")
-    a = acc.select(*keys, F.concat(label, F.lit("_acc")).alias("metric"), F.col("accuracy").alias("value"), F.lit("acc").alias("kind"))
-    b = conf.select(*keys, F.concat(label, F.lit("_conf")).alias("metric"), F.col("conf_mean").alias("value"), F.lit("conf").alias("kind"))
-    rows = a.unionByName(b)
-    out = rows.drop("kind")
+    n = cells.groupBy(*keys, bucket).agg(*[F.sum(c).alias(c) for c in ("correct", "total", "conf_sum", "conf_n")])
+    n = n.select(*keys, F.concat(F.lit(prefix), F.col(bucket).cast("string")).alias("label"), score.rate(F.col("correct"), F.col("total")).alias("acc"), score.rate(F.col("conf_sum"), F.col("conf_n")).alias("conf"))
+    pair = F.array(*[F.struct(F.concat("label", F.lit(f"_{m}")).alias("metric"), F.col(m).alias("value")) for m in ("acc", "conf")])
+    out = n.select(*keys, F.explode(pair).alias("x")).select(*keys, "x.*")
     if average:
-        mean = rows.groupBy(*keys, "kind").agg(F.avg("value").alias("value"))
-        out = out.unionByName(mean.select(*keys, F.concat(F.lit(prefix.replace("step", "multi_avg_")), F.col("kind")).alias("metric"), "value"))
+        mean = n.groupBy(*keys).agg(F.avg("acc").alias("acc"), F.avg("conf").alias("conf"))
+        out = out.unionByName(named(mean, keys, {prefix.replace("step", f"multi_avg_{m}"): F.col(m) for m in ("acc", "conf")}))
     return out
 
 
 def switch_metrics(probes: DataFrame, keys: list[str]) -> DataFrame:
-    """Success over all pairs and confidence by position (a column) and direction."""
+    """Success over valid pairs and confidence by position (a column) and direction."""
     got = score.switch_scores(score.switch_pairs(probes, [*keys, "position"]), [*keys, "position"]).filter("pair_type in ('segment_to_gap', 'gap_to_segment')")
     way = F.when(F.col("pair_type") == "segment_to_gap", "_fg2bg").otherwise("_bg2fg")
-    a = got.select(*keys, F.concat("position", way, F.lit("_acc")).alias("metric"), F.col("rate_total").alias("value"))
+    a = got.select(*keys, F.concat("position", way, F.lit("_acc")).alias("metric"), F.col("rate_valid").alias("value"))
     return a.unionByName(got.select(*keys, F.concat("position", way, F.lit("_conf")).alias("metric"), F.col("conf").alias("value")))
 
 
@@ -66,16 +75,33 @@ def wide(metrics: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return metrics.groupBy(*(keys or ["model"])).pivot("metric", COLUMNS).agg(F.first("value", ignorenulls=True))
 
 
-def long_metrics(spark, sf_dir) -> DataFrame:
-    """All metrics of the derived tables: the event type's tasks share the samples."""
+def wide_row(cells: DataFrame, probes: DataFrame, keys: list[str], at: dict[str, Column]) -> DataFrame:
+    """The row of all metrics in one aggregation of the cells and one of the probes.  at:
+    which cells each block is from (now_state, now_mcq, sh_pred, sh_pred_conf, ms_pred,
+    ms_pred_conf, ms_rtrv, ms_rtrv_conf, sh_rtrv)."""
+    share = lambda part, whole, where: score.rate(F.sum(F.when(where, F.col(part))), F.sum(F.when(where, F.col(whole))))
+    acc = lambda where: share("correct", "total", where)
+    conf = lambda where: share("conf_sum", "conf_n", where)
+    hits = lambda c: F.sum(F.when(at["now_state"], F.col(c)))
+    out = {"now_rec": score.rate(hits("tp"), hits("tp") + hits("fn")), "now_prec": score.rate(hits("tp"), hits("tp") + hits("fp")), "now_mcq_acc": acc(at["now_mcq"]), "sh_rtrv_acc": acc(at["sh_rtrv"])}
+    for way, kind, block in ((acc, "acc", ""), (conf, "conf", "_conf")):
+        out |= {f"sh_pred_{g}_{kind}": way(at[f"sh_pred{block}"] & (F.col("grp") == g)) for g in GROUPS}
+        out |= {f"{t}_step{s}_{kind}": way(at[f"{t}{block}"] & (F.col("step") == s)) for t in ("ms_pred", "ms_rtrv") for s in STEPS}
+    row = cells.groupBy(*keys).agg(*[v.alias(k) for k, v in out.items()])
+    mean = lambda t, kind: F.array_compact(F.array(*[F.col(f"{t}_step{s}_{kind}") for s in STEPS]))
+    row = row.withColumns({f"{t}_multi_avg_{k}": F.try_divide(F.aggregate(mean(t, k), F.lit(0.0), lambda a, x: a + x), F.size(mean(t, k))) for t in ("ms_pred", "ms_rtrv") for k in ("acc", "conf")})
+    switch = switch_metrics(probes, keys).groupBy(*keys).pivot("metric", [c for c in COLUMNS if c.startswith("ss")]).agg(F.first("value", ignorenulls=True))
+    return row.join(switch, keys, "left").select(*keys, *COLUMNS)
+
+
+def derived_row(spark, sf_dir) -> DataFrame:
+    """The row of each model over the derived tables: the event type's tasks share the samples."""
     from vantage.plans import scoring
 
     keys = ["model"]
-    j = scoring.joined(spark, sf_dir, "grp", "step", "region")
+    c = cells(scoring.joined(spark, sf_dir, "grp", "step", "region"), [*keys, "region", "grp", "step"])
     probes = scoring.probes(spark, sf_dir).withColumn("position", F.concat(F.lit("ss"), F.col("file") % 3 + 1))
-    known = j.filter(F.col("grp") != "unknown")
-    parts = [
-        state_metrics(j, keys), accuracy_metric(j.filter("region = 'segment'"), keys, "now_mcq_acc"), switch_metrics(probes, keys), bucket_metrics(known, keys, "grp", "sh_pred_"),
-        bucket_metrics(j.filter("region = 'gap'"), keys, "step", "ms_pred_step", True), bucket_metrics(j.filter("region = 'other'"), keys, "step", "ms_rtrv_step", True), accuracy_metric(j, keys, "sh_rtrv_acc"),
-    ]
-    return union(parts).withColumn("value", F.round("value", 6))
+    all_, gap, other = F.lit(True), F.col("region") == "gap", F.col("region") == "other"
+    at = {"now_state": all_, "now_mcq": F.col("region") == "segment", "sh_pred": all_, "sh_pred_conf": all_, "ms_pred": gap, "ms_pred_conf": gap, "ms_rtrv": other, "ms_rtrv_conf": other, "sh_rtrv": all_}
+    row = wide_row(c, probes, keys, at)
+    return row.select(*keys, *[F.round(x, 6).alias(x) for x in COLUMNS])

@@ -119,7 +119,7 @@ def answer_modes(spark, sf_dir):
 def main_table(spark, sf_dir):
     from vantage.plans import main_table as plan
 
-    return plan.wide(plan.long_metrics(spark, sf_dir))
+    return plan.derived_row(spark, sf_dir)
 
 
 J = "WITH " + derived.SQL
@@ -143,7 +143,33 @@ QUERIES = {
 
 _ROT = "['gt', 'prev', 'future', 'absurd'][(((ascii({c}) - 65 - event_id) % 4 + 4) % 4 + 1)::INT]"
 
+
+
+def main_table_sql() -> str:
+    """The wide row as one aggregate a column."""
+    acc = lambda where: f"count(*) FILTER (ans = truth AND {where}) / nullif(count(*) FILTER ({where}), 0)"
+    conf = lambda where: f"avg(conf) FILTER ({where})"
+    cols = {"now_rec": "count(*) FILTER (true_state = 'INTERACTION' AND state = 'INTERACTION') / nullif(count(*) FILTER (true_state = 'INTERACTION'), 0)",
+            "now_prec": "count(*) FILTER (true_state = 'INTERACTION' AND state = 'INTERACTION') / nullif(count(*) FILTER (true_state <> 'UNKNOWN' AND state = 'INTERACTION'), 0)",
+            "now_mcq_acc": acc("region = 'segment'"), "sh_rtrv_acc": acc("true")}
+    for state, group in parse.GROUPS.items():
+        cols |= {f"sh_pred_{group}_acc": acc(f"group_state = '{state}'"), f"sh_pred_{group}_conf": conf(f"group_state = '{state}'")}
+    for task, region in (("ms_pred", "gap"), ("ms_rtrv", "other")):
+        for kind, way in (("acc", acc), ("conf", conf)):
+            each = [way(f"region = '{region}' AND step = {i}") for i in range(3)]
+            cols |= {f"{task}_step{i}_{kind}": e for i, e in enumerate(each)}
+            cols[f"{task}_multi_avg_{kind}"] = f"list_avg([{', '.join(each)}])"
+    pairs = {}
+    for i in (1, 2, 3):
+        for kind, short in (("segment_to_gap", "fg2bg"), ("gap_to_segment", "bg2fg")):
+            where = f"file % 3 + 1 = {i} AND pair_type = '{kind}'"
+            pairs |= {f"ss{i}_{short}_acc": f"count(*) FILTER (ok AND {where}) / nullif(count(*) FILTER (NOT miss AND NOT inv AND {where}), 0)", f"ss{i}_{short}_conf": f"avg(c1) FILTER (ok AND {where})"}
+    pick = lambda c: ", ".join(f"round({v}, 6) AS {k}" for k, v in c.items())
+    return J + P + f", m1 AS (SELECT model, {pick(cols)} FROM x GROUP BY model), m2 AS (SELECT model, {pick(pairs)} FROM w GROUP BY model) SELECT m1.*, m2.* EXCLUDE (model) FROM m1 JOIN m2 USING (model)"
+
+
 ORACLE = {
+    "main_table": main_table_sql(),
     "score_accuracy": J + BUCKET.format(bucket=GRP, name="grp", source="x", extra=", 2") + " UNION ALL " + BUCKET.format(bucket="'all'", name="grp", source="x", extra=""),
     "score_accuracy_by_step": J + BUCKET.format(bucket="step::VARCHAR", name="step", source="x", extra=", 2") + " UNION ALL " + BUCKET.format(bucket="'all'", name="step", source="x", extra=""),
     "state_scores": J + """, n AS (SELECT model, count(*) FILTER (true_state = 'INTERACTION' AND state = 'INTERACTION') AS tp, count(*) FILTER (true_state = 'NO_INTERACTION' AND state = 'INTERACTION') AS fp,

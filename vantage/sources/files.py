@@ -11,19 +11,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vantage.functions.parse import blank_to_null, guess, letter, strip, tag_value
+from vantage.functions.parse import blank_to_null, found_letter, strip, tag_value
 
 #: File names that lie among predictions and are none.
 NOT_PREDICTIONS = re.compile(r"(?i)manifest|summary|details|teacher_cache|metrics")
 
-PREDICTION_SCHEMA = """source_queryset string, video_uid string, model_name string, params string, video_metadata struct<queryset_path:string>,
-samples array<struct<idx:variant, t_eval:double, prompt:string, response_text:string, clean_response:string, parsed:map<string,string>, gen_tokens:array<string>, gen_token_probs:array<double>,
+PREDICTION_SCHEMA = """source_queryset string, task string, video_uid string, model_name string, params string, video_metadata struct<queryset_path:string>,
+samples array<struct<idx:variant, sample_id:variant, id:variant, video_uid:string, confidence:string, t_eval:double, prompt:string, response_text:string, clean_response:string, clean:string, raw_response:string, raw:string, parsed:map<string,string>, gen_tokens:array<string>, gen_token_probs:array<double>,
 sent_logp:double, mean_logp:double, latency_sec:double, diagnostics:struct<prompt_and_encoding_debug:struct<cand_conf_final_letter:string, chosen_by_p_cond:string,
 cand_conf_probe:struct<ok:boolean, p_raw:map<string,double>, p_cond:map<string,double>, chosen_by_p_cond:string>>>>>"""
 
-SAMPLE_SCHEMA = """idx variant, t_eval double, region string, state string, step_idx int, lead_sec double, lag_sec double, is_rejected boolean, reject_reason string, is_invalid_annotation boolean,
+SAMPLE_SCHEMA = """idx variant, sample_id variant, id variant, answer string, ans string, answer_idx int, visible_interaction string, gt_state string, t_eval double, region string, state string, step_idx int, lead_sec double, lag_sec double, is_rejected boolean, reject_reason string, is_invalid_annotation boolean,
 gt_segment_start double, gt_segment_end double, anchor_idx string, state_switch_pair_type string, state_switch_role string, state_switch_pair_id string,
-mcq struct<answer:string, answer_idx:int, options:array<string>, option_sources:array<string>>"""
+mcq struct<answer:string, ans:string, answer_idx:int, options:array<string>, option_sources:array<string>>"""
 
 
 def read_predictions(spark: SparkSession, root: str) -> DataFrame:
@@ -32,7 +32,9 @@ def read_predictions(spark: SparkSession, root: str) -> DataFrame:
     df = df.withColumn("pred_file", F.col("_metadata.file_path"))
     name = F.lower(F.element_at(F.split("pred_file", "/"), -1))
     df = df.filter(name.rlike(r"\.jsonl?$") & ~name.rlike(NOT_PREDICTIONS.pattern))
-    return df.select("pred_file", "source_queryset", "video_uid", "video_metadata", F.posexplode_outer("samples").alias("pos", "s")).select("pred_file", "source_queryset", "video_uid", "video_metadata", F.col("pos").cast("long").alias("pos"), "s.*").withColumn("key", sample_key(F.col("idx"), F.col("pos")))
+    top = ["pred_file", "source_queryset", "task", F.col("video_uid").alias("top_video_uid"), "model_name", "video_metadata"]
+    rows = df.select(*top, F.posexplode_outer("samples").alias("pos", "s")).select(*top[:3], "top_video_uid", *top[4:], F.col("pos").cast("long").alias("pos"), "s.*")
+    return rows.withColumn("video_uid", F.coalesce("video_uid", "top_video_uid")).drop("top_video_uid").withColumn("key", sample_key(F.col("idx"), F.col("pos"), F.col("sample_id"), F.col("id")))
 
 
 def read_interval_json(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -49,7 +51,7 @@ def read_interval_json(spark: SparkSession, root: str) -> tuple[DataFrame, DataF
     parsed = F.from_json("one", f"task string, video_uid string, samples array<struct<{', '.join(x.strip().replace(' ', ':', 1) for x in SAMPLE_SCHEMA.replace(chr(10), ' ').split(', ') if x)}>>")
     fine = got.filter("one is not null").withColumn("o", parsed)
     rows = fine.select("file", "o.task", "o.video_uid", F.posexplode("o.samples").alias("pos", "s")).select("file", "task", "video_uid", F.col("pos").cast("long").alias("pos"), "s.*")
-    return rows.withColumn("key", sample_key(F.col("idx"), F.col("pos"))), got.filter("one is null").select("file")
+    return rows.withColumn("key", sample_key(F.col("idx"), F.col("pos"), F.col("sample_id"), F.col("id"))), got.filter("one is null").select("file")
 
 
 def of_split(rows: DataFrame, split: str, column: str = "file") -> DataFrame:
@@ -117,14 +119,18 @@ def reference_candidates(text: Column) -> Column:
     return F.pandas_udf(run, "array<string>")(text)
 
 
-def sample_key(idx: Column, pos: Column) -> Column:
+def sample_key(idx: Column, pos: Column, *others: Column) -> Column:
     """Key of a sample from its idx, a variant: i:n for whole numbers, s:text for text, so
-    that 0 and "0" differ; without an idx the position."""
-    kind = F.schema_of_variant(idx)
-    text = F.try_variant_get(idx, "$", "string")
-    number = F.regexp_replace(text, r"\.0+$", "")
-    by_pos = F.concat(F.lit("i:"), pos.cast("string"))
-    return F.when(idx.isNull() | F.is_variant_null(idx), by_pos).when(kind == "STRING", F.concat(F.lit("s:"), text)).otherwise(F.concat(F.lit("i:"), number))
+    that 0 and "0" differ; without an idx from the first of the others that is neither
+    blank nor 0, else the position."""
+
+    def keyed(v: Column) -> Column:
+        text = F.try_variant_get(v, "$", "string")
+        return F.when(F.schema_of_variant(v) == "STRING", F.concat(F.lit("s:"), text)).otherwise(F.concat(F.lit("i:"), F.regexp_replace(text, r"\.0+$", "")))
+
+    own = lambda v: F.when(v.isNotNull() & ~F.is_variant_null(v), keyed(v))
+    more = [F.nullif(F.nullif(own(v), F.lit("s:")), F.lit("i:0")) for v in others]
+    return F.coalesce(own(idx), *more, F.concat(F.lit("i:"), pos.cast("string")))
 
 
 def run_log_summary(log: DataFrame) -> DataFrame:
@@ -172,12 +178,27 @@ def resolve_references(refs: DataFrame, listing: DataFrame, roots: list[str], ma
     return got, refs.join(got, "ref_id", "left_anti")
 
 
-def normalized(preds: DataFrame) -> DataFrame:
-    """Per-sample rows: value is the parsed answer (names in any case), else the letter of
-    the text by tag, ``ANS:``, alone or the first that stands as a word, else the text."""
-    own = F.map_values(F.map_filter(F.coalesce("parsed", F.create_map().cast("map<string,string>")), lambda k, v: F.lower(k).isin("ans", "answer")))
-    t = F.coalesce("response_text", F.lit(""))
+def normalized(preds: DataFrame, **constants: str) -> DataFrame:
+    """Per-sample rows of twelve columns: sample_id (its own sample_id or id, else video
+    and index), video_uid, task, task_type, model, prediction, prediction_text (the parsed
+    answer, names in any case, else the letter of the text by tag, ``ANS:``, alone or the
+    first that stands as a word, else the text), raw_response, parsed, confidence (its own,
+    else the parsed one), source_file and metadata (JSON).  constants fill columns such as
+    task, task_type, model and flavor.  Columns that preds lacks count as null."""
+    has = lambda c, kind="string": F.col(c) if c in preds.columns else F.lit(None).cast(kind)
+    parsed = F.coalesce(has("parsed", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    field = lambda *names: F.try_element_at(F.map_values(F.map_filter(parsed, lambda k, v: F.lower(k).isin(*names))), F.lit(1))
+    t = F.coalesce(has("response_text"), F.lit(""))
     first = F.regexp_extract(F.upper(F.regexp_replace(t, "<[^>]*>", " ")), r"\b([A-D])\b", 1)
-    text = F.coalesce(blank_to_null(letter(tag_value(t, "ANS"))), blank_to_null(F.upper(F.regexp_extract(t, r"(?i)\bANS\s*:\s*([A-D])\b", 1))), blank_to_null(first))
-    value = F.coalesce(blank_to_null(letter(F.try_element_at(own, F.lit(1)))), text, t)
-    return preds.select("*", F.concat("video_uid", F.lit("__idx"), "pos").alias("sample_id"), value.alias("value"))
+    text = F.coalesce(found_letter(tag_value(t, "ANS")), blank_to_null(F.upper(F.regexp_extract(t, r"(?i)\bANS\s*:\s*([A-D])\b", 1))), blank_to_null(first))
+    value = F.coalesce(found_letter(field("ans", "answer")), text, t)
+    plain = lambda c: blank_to_null(F.try_variant_get(F.col(c), "$", "string")) if c in preds.columns else F.lit(None).cast("string")
+    video = F.coalesce(has("video_uid"), F.lit(""))
+    index = F.coalesce(plain("idx").try_cast("double").cast("long"), F.col("pos"))
+    one = lambda c: F.lit(constants[c]) if c in constants else has(c)
+    meta = F.to_json(F.struct(one("flavor").alias("flavor"), has("source_queryset").alias("source_queryset"), has("t_eval", "double").alias("t_eval"), has("latency_sec", "double").alias("latency_sec")))
+    return preds.select(
+        F.coalesce(plain("sample_id"), plain("id"), F.concat(video, F.lit("__idx"), index)).alias("sample_id"), video.alias("video_uid"), one("task").alias("task"), F.coalesce(one("task_type"), F.lit("mcq")).alias("task_type"),
+        F.coalesce(one("model"), has("model_name")).alias("model"), value.alias("prediction"), value.alias("prediction_text"), F.coalesce(has("raw_response"), has("raw"), has("response_text")).alias("raw_response"),
+        parsed.alias("parsed"), F.coalesce(has("confidence"), field("conf", "confidence")).alias("confidence"), has("pred_file").alias("source_file"), meta.alias("metadata"),
+    )
