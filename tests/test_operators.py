@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from vantage.functions import parse
 from vantage.operators import lookups, manifest, queryset, roi, switch, taxonomy
 from vantage.sources import files, sinks
 
@@ -187,3 +188,41 @@ def test_sinks(spark, tmp_path):
     assert [r.line for r in sinks.markdown(flat).collect()][2] == "| a\\|b | 1.500000 | 1;2 |  |"
     sinks.write_results(df, flat, str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out/csv")).count() == 1
+
+
+def test_manifests_fail_on_what_is_left(spark):
+    import pytest
+
+    rows = spark.createDataFrame([("t", '{"sample": {"note": "fine"}, "target_text": "x"}'), ("t", "{broken"), ("t", "[1]")], "task string, payload string")
+    got = [(r.fault, r.clean is None) for r in manifest.sanitize(rows, "payload", "task").collect()]
+    assert got == [(None, False), ("not JSON", True), ("not an object", True)]
+    fine = manifest.sanitize(rows.limit(1), "payload", "task")
+    assert manifest.require_clean(fine, "task").count() == 1
+    with pytest.raises(ValueError, match="not JSON"):
+        manifest.require_clean(manifest.sanitize(rows, "payload", "task"), "task")
+    left = fine.withColumn("left", F.array(F.lit("$.sample.note")))
+    with pytest.raises(ValueError, match="sample.note"):
+        manifest.require_clean(left, "task")
+    assert manifest.require_usable(rows.limit(1)).count() == 1
+    for bad in (rows, rows.limit(0)):
+        with pytest.raises(ValueError):
+            manifest.require_usable(bad)
+
+
+def test_segment_keys_sort_names(spark):
+    df = spark.createDataFrame([(1, "x"), (1, None)], "a int, b string")
+    one, two = queryset.segment_key("s", a=F.col("a"), b=F.col("b")), queryset.segment_key("s", b=F.col("b"), a=F.col("a"))
+    got = df.select(one.alias("one"), two.alias("two")).collect()
+    assert all(r.one == r.two for r in got) and got[0].one != got[1].one
+
+
+def test_truth_letters_by_source(spark):
+    rows = [("", "b", None, "A", None, None), (None, None, 2, "A", None, None), (None, None, 9, None, "d", 0), (None, None, None, None, None, 1), (None,) * 6]
+    df = spark.createDataFrame(rows, "m string, ma string, mi int, s string, sa string, si int")
+    assert [r.x for r in df.select(parse.truth_letter(("m", "ma", "mi"), ("s", "sa", "si")).alias("x")).collect()] == ["B", "C", "D", "B", ""]
+
+
+def test_normalised_columns(spark):
+    p = spark.createDataFrame([("v", 0, "B", {"Answer": "c", "CONF": "0.5"}, "f.json"), (None, 3, "ANS: D", None, "f.json")], "video_uid string, pos long, response_text string, parsed map<string,string>, pred_file string")
+    rows = files.normalized(p, task="t", model="m").collect()
+    assert len(rows[0]) == 12 and (rows[0].sample_id, rows[0].prediction, rows[0].confidence, rows[0].task) == ("v__idx0", "C", "0.5", "t") and rows[1].prediction == "D" and rows[1].source_file == "f.json"

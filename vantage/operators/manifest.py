@@ -61,22 +61,29 @@ def private_paths(value, path: str = "$") -> list[str]:
 
 
 def sanitize(rows: DataFrame, payload: str = "payload", task: str | None = None, requires_roi: bool = False) -> DataFrame:
-    """Add clean (JSON), removed (private fields gone) and left (JSON paths that are still
-    private; empty unless scrubbing missed some).  With a task column the payload is a
-    manifest row and becomes its published form; else any JSON is scrubbed.  Row by row, in
-    Arrow batches."""
+    """Add clean (JSON), removed (private fields gone), left (JSON paths that are still
+    private; empty unless scrubbing missed some) and fault (why a payload is no manifest
+    row; it then has no clean form).  With a task column the payload is a manifest row and
+    becomes its published form; else any JSON is scrubbed.  Row by row, in Arrow batches."""
+
+    def one(text, name) -> tuple:
+        try:
+            value = json.loads(text) if text else {}
+        except ValueError:
+            return None, 0, [], "not JSON"
+        if task and not isinstance(value, dict):
+            return None, 0, [], "not an object"
+        value, n = record(value, name, requires_roi) if task else scrub(value)
+        return json.dumps(value, sort_keys=True, ensure_ascii=False), n, private_paths(value), None
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for i, text in enumerate(pdf[payload]):
-                value = json.loads(text) if text else {}
-                value, n = record(value, pdf[task].iloc[i], requires_roi) if task else scrub(value)
-                out.append((json.dumps(value, sort_keys=True, ensure_ascii=False), n, private_paths(value)))
-            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(out, columns=["clean", "removed", "left"])], axis=1)
+            names = pdf[task] if task else [None] * len(pdf)
+            out = [one(text, name) for text, name in zip(pdf[payload], names, strict=True)]
+            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(out, columns=["clean", "removed", "left", "fault"])], axis=1)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInPandas(run, f"{fields}, clean string, removed long, left array<string>")
+    return rows.mapInPandas(run, f"{fields}, clean string, removed long, left array<string>, fault string")
 
 
 def suspicious(sanitized: DataFrame, task: str, rows: int = 10, paths: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -85,6 +92,27 @@ def suspicious(sanitized: DataFrame, task: str, rows: int = 10, paths: int = 10)
     return bad.withColumn("left", F.slice("left", 1, paths)).limit(rows), sanitized.groupBy(task).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.size("left") > 0).alias("suspicious"))
 
 
+def require_clean(sanitized: DataFrame, task: str) -> DataFrame:
+    """The sanitized rows; an error with the first examples if private paths are left or
+    payloads are no manifest rows."""
+    first, _ = suspicious(sanitized, task)
+    found = [f"{r[task]}: {', '.join(r.left)}" for r in first.collect()]  # at most ten
+    found += [f"{r[task]}: {r.fault}" for r in sanitized.filter("fault is not null").limit(10).collect()]
+    if found:
+        raise ValueError("private paths or broken rows remain: " + "; ".join(found))
+    return sanitized
+
+
+def require_usable(rows: DataFrame, payload: str = "payload") -> DataFrame:
+    """All rows; an error if there are none or one lacks sample (an object) or target_text."""
+    v = F.try_parse_json(payload)
+    has = F.try_variant_get(v, "$.target_text", "variant").isNotNull() & F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.sample", "variant")).startswith("OBJECT"), F.lit(False))
+    n = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce(has, F.lit(False))).alias("bad")).first()
+    if n.bad or not n.n:
+        raise ValueError(f"{n.bad} of {n.n} manifest rows lack sample or target_text" if n.n else "the manifest would be empty")
+    return rows
+
+
 def usable(rows: DataFrame, target: str = "target_text", prompt: str = "prompt") -> DataFrame:
     """Rows with a non-empty target and a prompt that is not blank."""
     return rows.filter((F.coalesce(target, F.lit("")) != "") & (strip(F.coalesce(prompt, F.lit(""))) != ""))

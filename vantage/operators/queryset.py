@@ -75,22 +75,24 @@ def thin_exact(samples: DataFrame, k: int = 2, n: int = 3, unit: str | None = No
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         units = pdf.sort_values("rank").drop_duplicates("unit")
         rows = []
+        name, steps = pdf["file"].iloc[0], list(zip(units["unit"].tolist(), pd.factorize(units["t_eval"])[0].tolist(), strict=True))
         for phase in range(n):
             at, used = phase, set()
-            for u, t in zip(units["unit"], units["t_eval"], strict=True):
+            for u, t in steps:
                 if t in used:
                     continue
-                if at % n < k:
+                if at < k:
                     used.add(t)
-                    rows.append((pdf["file"].iloc[0], phase, u, True, -1))
-                at = (at + 1) % n
-            rows.append((pdf["file"].iloc[0], phase, -1, False, at))
+                    rows.append((name, phase, u, True, -1))
+                at = at + 1 if at + 1 < n else 0
+            rows.append((name, phase, -1, False, at))
         return pd.DataFrame(rows, columns=["file", "phase", "unit", "kept", "after"])
 
     schema = StructType([columns.schema["file"], StructField("phase", LongType()), StructField("unit", LongType()), StructField("kept", BooleanType()), StructField("after", LongType())])
     masks = columns.groupBy("file").applyInPandas(run, schema)
     moves = masks.filter("unit = -1").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("phase", "after"))).alias("m"))
     moves = moves.select("file", F.transform("m", lambda x: x["after"]).alias("f"))
+
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
         at, out = 0, []
         pdf = pdf.sort_values("file")
@@ -214,9 +216,10 @@ def keyframes(start: Column, end: Column, fps: float = 0.25) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(0), n), lambda i: F.round(F.least(end, start + i / fps), 6)))
 
 
-def segment_key(prefix: str, *fields: Column) -> Column:
-    """Digest of named fields in order of name."""
-    return F.concat(F.lit(prefix + "_"), F.sha1(F.to_json(F.struct(*fields))))
+def segment_key(prefix: str, **fields: Column) -> Column:
+    """Digest of named fields in order of name; nulls stay in it."""
+    named = [F.coalesce(fields[k].cast("string"), F.lit("null")).alias(k) for k in sorted(fields)]
+    return F.concat(F.lit(prefix + "_"), F.sha1(F.to_json(F.struct(*named))))
 
 
 def caption_reuse(samples: DataFrame, captions: DataFrame, unknown: str = "(caption unavailable)") -> tuple[DataFrame, DataFrame]:

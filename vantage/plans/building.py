@@ -121,7 +121,7 @@ def memory_windows(spark, sf_dir):
 
 
 def caption_reuse(spark, sf_dir):
-    s = derived.samples(spark, sf_dir).withColumn("segment_key", F.sha1(F.concat_ws("|", "file", F.expr(f"t div {DAY}"))))
+    s = derived.samples(spark, sf_dir).withColumn("segment_key", queryset.segment_key("seg", video=F.col("file"), day=F.expr(f"t div {DAY}")))
     c = s.filter("k % 2 = 0").select("segment_key", F.lit("seen").alias("caption")).distinct()
     got, segments = queryset.caption_reuse(s.select("event_id", "segment_key"), c)
     return got.join(segments, "segment_key").groupBy("caption", "missing").agg(F.count(F.lit(1)).alias("samples"), F.max("uses").alias("max_uses"))
@@ -360,6 +360,12 @@ _LAG = "CASE WHEN k % 4 = 0 AND k > 0 THEN k::DOUBLE WHEN k % 4 = 1 AND step = 0
 _HOR = "CASE WHEN k % 6 = 0 AND k > 0 THEN k::DOUBLE WHEN k % 6 = 1 THEN 9.0 * (step + 1) WHEN k % 6 = 2 AND te + k - 50 > 0 AND k > 50 THEN (k - 50)::DOUBLE ELSE 8.0 * (step + 1) END"
 
 ORACLE = {
+    "thin_exact": """WITH RECURSIVE """ + derived.SQL.strip() + f""", o AS (SELECT row_number() OVER (ORDER BY file, pos) AS i, file, event_id, t // {DAY} AS d FROM s),
+        r AS (SELECT 0::BIGINT AS i, -1::BIGINT AS file, -1::BIGINT AS event_id, []::BIGINT[] AS used, 0::BIGINT AS phase, false AS kept
+          UNION ALL SELECT z.i, z.file, z.event_id, CASE WHEN z.kept THEN list_append(z.own, z.d) ELSE z.own END, CASE WHEN z.again THEN z.phase ELSE (z.phase + 1) % 3 END, z.kept
+          FROM (SELECT y.*, NOT y.again AND y.phase < 2 AS kept FROM (SELECT x.*, list_contains(x.own, x.d) AS again FROM (
+            SELECT o.i, o.file, o.event_id, o.d, r.phase, CASE WHEN o.file = r.file THEN r.used ELSE []::BIGINT[] END AS own FROM r JOIN o ON o.i = r.i + 1) x) y) z)
+        SELECT file, event_id FROM r WHERE kept""",
     "usable_samples": B + """ SELECT 'now' AS rule, count(*) AS n, sum(event_id)::BIGINT AS ids FROM s WHERE k % 17 <> 0 AND k <> 11 AND (k % 5 <> 0 OR k % 10 = 0) UNION ALL
         SELECT 'other', count(*), sum(event_id)::BIGINT FROM s WHERE k % 5 <> 0 AND k <> 11""",
     "canonical_order": B + " SELECT event_id, row_number() OVER (PARTITION BY file ORDER BY CASE WHEN k <> 7 THEN pos ELSE 1e9 END, t, pos) - 1 AS rank FROM s WHERE k <> 11",
