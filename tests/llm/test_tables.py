@@ -187,6 +187,28 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     assert embeddings.near_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_large_leaves_are_split_on_spark(spark, monkeypatch):
+    """A sample far too small for the rows: leaves are split until they are small, and
+    recall against brute force stays."""
+    for name, value in (("TILE", 64), ("LEAF", 32), ("SAMPLE", 128), ("FIT", 64)):
+        monkeypatch.setattr(embeddings, name, value)
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=(600, 24))
+    x = np.concatenate([centre + rng.normal(size=centre.shape) * 0.12 for _ in range(4)] + [rng.normal(size=(800, 24))])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    g = u @ u.T >= 0.95
+    np.fill_diagonal(g, False)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(i, None) for i in range(len(x), len(x) + 3)] + [(7, [float(v) for v in x[7]])]
+    seen = []
+    whole = embeddings.refined
+    monkeypatch.setattr(embeddings, "refined", lambda rows, limit: seen.append(whole(rows, limit)) or seen[-1])
+    got = {r.vec_id: r for r in embeddings.near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    sizes = [r["count"] for r in seen[0].groupBy("leaf").count().collect()]
+    assert max(sizes) <= 64 and sum(sizes) < 60 * len(x)
+    mine = np.array([got[i].n_links - (i == 7) for i in range(len(x))])  # vector 7 occurs twice
+    assert (mine <= g.sum(1) + g[:, 7]).all() and mine.sum() >= 0.9 * g.sum()
+
+
 def test_digest_of_turns_is_plain_sha256(spark):
     r = turns(spark, [(1, 0, "user", "hi")]).select(chat.parse(F.col("formatted")).alias("b")).first().b
     assert hashlib.sha256(f"{r[0].role}\n{r[0].text}\n".encode()).hexdigest() == hashlib.sha256(b"user\nhi\n").hexdigest()

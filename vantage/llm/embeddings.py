@@ -16,6 +16,8 @@ LINK, TREES, SAMPLE, SEED = 0.95, 8, 8192, 41
 #: Vectors that a leaf aims at; half-width of the spill at a split, in units of the
 #: projection of a unit vector; rows on either side of a comparison task, at most.
 LEAF, SPILL, TILE = 512, 0.02, 1024
+#: Members that a split of a large leaf is fitted on, about, and the depth of a split.
+FIT, DEPTH = 512, 3
 #: Sample members that make a ball, and the most balls there are.
 DENSE, BALLS = 16, 512
 #: Two unit vectors within half the link angle of one point have at least the link's cosine.
@@ -110,6 +112,80 @@ class Forest:
         return np.where(inside.any(1), inside.argmax(1), -1)
 
 
+def direction(seed: int, dim: int) -> np.ndarray:
+    x = np.random.default_rng(seed).normal(size=dim)
+    return x / np.linalg.norm(x)
+
+
+def subtree(x: np.ndarray, seed: int, target: int) -> list[tuple[int, float, int]]:
+    """Splits of a leaf from a sample of its members: (seed of the direction, cut, place) by
+    place in a binary heap, of DEPTH levels at most; none where members lie too dense."""
+    out, work = [], [(1, np.arange(len(x)))]
+    while work:
+        at, rows = work.pop()
+        if at >= 1 << DEPTH or len(rows) <= target:
+            continue
+        best = None
+        for k in range(4):
+            own = xxhash.xxh64_intdigest(f"{seed}:{at}:{k}") >> 1
+            p = np.sort(x[rows] @ direction(own, x.shape[1]))
+            cuts = p[(np.linspace(0.3, 0.7, 21) * (len(p) - 1)).astype(int)]
+            crowd = np.searchsorted(p, cuts + SPILL) - np.searchsorted(p, cuts - SPILL)
+            j = int(crowd.argmin())
+            if best is None or crowd[j] < best[0]:
+                best = (int(crowd[j]), own, float(cuts[j]))
+        if best[0] > 0.25 * len(rows):  # then a side would keep nearly all
+            continue
+        out.append((best[1], best[2], at))
+        p = x[rows] @ direction(best[1], x.shape[1])
+        work += [(2 * at, rows[p <= best[2] + SPILL]), (2 * at + 1, rows[p > best[2] - SPILL])]
+    return out
+
+
+def refined(at_leaf: DataFrame, limit: int) -> DataFrame:
+    """at_leaf (rep, mult, v, ball, leaf) with every leaf over limit rows split, level by level,
+    until none is larger or its members lie too dense.  A leaf's splits are fitted in a task
+    of their own on about FIT of its members and joined to its rows as seeds and cuts, so
+    neither the driver nor a task holds more, and work grows with the rows."""
+    done = None
+    while True:
+        sizes = stage(at_leaf.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit), "emb-large")
+        if not sizes.limit(1).count():
+            return at_leaf if done is None else done.unionByName(at_leaf)
+        small = at_leaf.join(sizes, "leaf", "left_anti")
+        done = small if done is None else done.unionByName(small)
+        large = at_leaf.join(sizes, "leaf")
+        draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "leaf", "rep"), 11) / F.lit(float(1 << 53))
+        some = large.filter(draw * F.col("n") < FIT).select("leaf", "n", "v")
+
+        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+            leaf, n = int(pdf["leaf"].iloc[0]), int(pdf["n"].iloc[0])
+            splits = subtree(unit(pdf["v"]), leaf, max(8, LEAF * len(pdf) // n))
+            return pd.DataFrame({"leaf": [leaf], "seeds": [[s for s, _, _ in splits]], "cuts": [[c for _, c, _ in splits]], "places": [[p for _, _, p in splits]]})
+
+        def route(batches):
+            for pdf in batches:
+                for leaf, part in pdf.groupby("leaf", sort=False):
+                    x, splits = unit(part["v"]), {p: (s, c) for s, c, p in zip(part["seeds"].iloc[0], part["cuts"].iloc[0], part["places"].iloc[0], strict=True)}
+                    work = [(1, np.arange(len(part)))]
+                    while work:
+                        at, rows = work.pop()
+                        if at not in splits:
+                            out = part.iloc[rows][["rep", "mult", "v", "ball"]].copy()
+                            out["leaf"] = xxhash.xxh64_intdigest(f"{leaf}:{at}") >> 1
+                            yield out
+                            continue
+                        seed, cut = splits[at]
+                        p = x[rows] @ direction(int(seed), x.shape[1])
+                        work += [(2 * at, rows[p <= cut + SPILL]), (2 * at + 1, rows[p > cut - SPILL])]
+
+        splits = stage(some.groupBy("leaf").applyInPandas(fit, "leaf long, seeds array<long>, cuts array<double>, places array<int>"), "emb-splits")
+        whole = large.drop("n").join(splits, "leaf", "left")
+        dense = whole.filter("seeds is null or size(seeds) = 0").select("rep", "mult", "v", "ball", "leaf")
+        done = stage(done.unionByName(dense), "emb-done")
+        at_leaf = stage(whole.filter("size(seeds) > 0").mapInPandas(route, "rep long, mult long, v array<double>, ball int, leaf long"), "emb-leaves")
+
+
 def unit(column) -> np.ndarray:
     x = np.array(column.tolist(), np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -141,7 +217,7 @@ def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         for t in range(0, len(i), 20_000):
             ii, jj = i[t : t + 20_000], j[t : t + 20_000]
             both = (member[ii][:, :, None] == member[jj][:, None, :]) & (member[ii] >= 0)[:, :, None]
-            first = np.where(both.any(2), member[ii], 1 << 60).min(1) == leaf
+            first = np.where(both.any(2), member[ii], np.iinfo(np.int64).max).min(1) == leaf
             ones.append(ii[first])
             others.append(jj[first])
     i, j = (np.concatenate(ones), np.concatenate(others)) if ones else (np.zeros(0, int), np.zeros(0, int))
@@ -167,8 +243,9 @@ def near_dedup(vectors: DataFrame) -> DataFrame:
     vectors of different lengths don't link.  Equal vectors form a class that is compared
     once.  A forest is fitted on a bounded sample (SAMPLE classes) of each length; every
     class goes down all trees, into both sides of a split near its cut, and is compared
-    with all others of its leaves in double precision.  Leaves over TILE rows are compared
-    tile by tile in tasks of their own, so no leaf is cut short.  Balls are places where
+    with all others of its leaves in double precision.  Leaves over TILE rows are split
+    further, level by level, until their members lie too dense; those that stay larger are
+    compared tile by tile in tasks of their own, so no leaf is cut short.  Balls are places where
     the sample is dense: two vectors within half the link angle of the centre have the
     link's cosine for certain, so members of one ball aren't compared with one another and
     a huge group takes no quadratic work.  Links found give components.  Rows that repeat
@@ -200,43 +277,35 @@ def near_dedup(vectors: DataFrame) -> DataFrame:
 
     routed = classes.select("rep", "mult", "embedding").mapInPandas(route, "rep long, mult long, v array<double>, leaves array<int>, ball int")
     routed = stage(routed, "emb-routed")
-    at_leaf = routed.withColumn("leaf", F.explode("leaves"))
-    counts = at_leaf.groupBy("leaf", "ball").count().toPandas()  # bounded by the forest's leaves and balls
-    tiles: dict[int, list[tuple[int, int, int]]] = {}  # leaf -> (ball, tiles of it, first tile number)
-    for leaf, part in counts.groupby("leaf"):
-        if part["count"].sum() <= TILE:
-            tiles[leaf] = []
-            continue
-        got, first = [], 0
-        for ball, n in sorted(zip(part["ball"].tolist(), part["count"].tolist(), strict=True)):
-            k = -(-n // TILE)
-            got.append((ball, k, first))
-            first += k
-        tiles[leaf] = got
-    plan = spark.sparkContext.broadcast(tiles)
+    at_leaf = refined(routed.select("rep", "mult", "v", "ball", F.explode(F.col("leaves").cast("array<long>")).alias("leaf")), TILE)
+    leaves = at_leaf.groupBy("rep").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))  # a few for each tree
+    # leaves that are still over TILE, by balls: (ball, tiles of it, first tile)
+    counts = at_leaf.groupBy("leaf", "ball").agg(F.count(F.lit(1)).alias("n"))
+    plan = counts.groupBy("leaf").agg(F.sum("n").alias("all_n"), F.array_sort(F.collect_list(F.struct("ball", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")))).alias("units")).filter(F.col("all_n") > TILE)
+    at_leaf = routed.drop("leaves").join(leaves, "rep").withColumn("leaf", F.explode("leaves")).join(plan.select("leaf", "units"), "leaf", "left")
 
     def deal(batches):
         """Each row once for every comparison task of its tile."""
         for pdf in batches:
             index, task, side = [], [], []
-            for i, (leaf, ball, rep) in enumerate(zip(pdf["leaf"].tolist(), pdf["ball"].tolist(), pdf["rep"].tolist(), strict=True)):
-                units = plan.value[leaf]
-                if not units:
+            for i, (leaf, ball, rep, units) in enumerate(zip(pdf["leaf"].tolist(), pdf["ball"].tolist(), pdf["rep"].tolist(), pdf["units"], strict=True)):
+                if units is None or not len(units):
                     index.append(i), task.append(f"{leaf}"), side.append(2)
                     continue
-                k, first = next((k, first) for b, k, first in units if b == ball)
-                mine = first + xxhash.xxh64_intdigest(rep.to_bytes(8, "little", signed=True)) % k
-                for b, k, first in units:
-                    for other in range(first, first + k):
+                tiles = [(u["ball"], u["tiles"]) for u in units]
+                first = dict(zip((b for b, _ in tiles), np.cumsum([0, *(k for _, k in tiles)]).tolist(), strict=False))
+                mine = first[ball] + xxhash.xxh64_intdigest(rep.to_bytes(8, "little", signed=True)) % dict(tiles)[ball]
+                for b, k in tiles:
+                    for other in range(first[b], first[b] + k):
                         if b == ball >= 0:
                             continue
                         low, high = min(mine, other), max(mine, other)
                         index.append(i), task.append(f"{leaf}:{low}:{high}"), side.append(2 if low == high else int(mine == high))
-            out = pdf.iloc[index].copy()
+            out = pdf.iloc[index][["rep", "mult", "v", "leaves", "ball", "leaf"]].copy()
             out["task"], out["side"] = task, side
             yield out
 
-    dealt = at_leaf.mapInPandas(deal, "rep long, mult long, v array<double>, leaves array<int>, ball int, leaf int, task string, side int")
+    dealt = at_leaf.mapInPandas(deal, "rep long, mult long, v array<double>, leaves array<long>, ball int, leaf long, task string, side int")
     found = stage(dealt.groupBy("task").applyInPandas(compare, "rep long, links long, low long"), "emb-found")
     balls = stage(routed.filter("ball >= 0").groupBy("ball").agg(F.sum("mult").alias("all_mult"), F.min("rep").alias("low")), "emb-balls")
     in_ball = routed.filter("ball >= 0").select("rep", "mult", "ball").join(F.broadcast(balls), "ball")
