@@ -191,7 +191,7 @@ def attach_options(samples: DataFrame, options: DataFrame, keys: tuple[str, ...]
 
 def render_prompts(samples: DataFrame, templates: DataFrame) -> DataFrame:
     """Fill the template of (task, flavor): times with one decimal, options A to D."""
-    got = samples.join(F.broadcast(templates), ["task", "flavor"])
+    got = samples.join(templates, ["task", "flavor"])
     text = F.col("template")
     for name in ("t_eval", "window_start", "window_end"):
         if name in samples.columns:

@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Fixed word lists of the narration rules.
-DETERMINERS = """the a an this that these those my your his her its our their some any each every either neither few several many much no
-one two three four five both all""".split()
-PREPOSITIONS = """to with in on at from into onto over under about for of off up down across through around between during before after
-without within by as""".split()
+DETERMINERS = (
+    "the", "a", "an", "this", "that", "these", "those", "my", "your", "his", "her", "its", "our", "their", "some", "any", "each", "every", "either",
+    "neither", "few", "several", "many", "much", "no", "one", "two", "three", "four", "five", "both", "all",
+)
+PREPOSITIONS = (
+    "to", "with", "in", "on", "at", "from", "into", "onto", "over", "under", "about", "for", "of", "off", "up", "down", "across", "through", "around",
+    "between", "during", "before", "after", "without", "within", "by", "as",
+)
 
 
 def words(c) -> Column:

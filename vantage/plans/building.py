@@ -148,13 +148,13 @@ def positions(spark, sf_dir):
 
 
 def match_nearest(spark, sf_dir):
-    """Predictions of which a third lost their key; half of those moved by one second."""
+    """Predictions of which a third lost their key and have times some hours off."""
     s = derived.samples(spark, sf_dir)
     truths = s.select("file", "key", "pos", "t", "truth")
     k = F.col("event_id") % 6
-    preds = s.select("file", F.when(k < 4, F.col("key")).otherwise("s:lost").alias("key"), F.when(k == 5, F.col("t") + 1).otherwise(F.col("t")).alias("t"), F.col("event_id").alias("id"))
-    got = lookups.match_by_key_then_time(preds, truths, 0.5)
-    return got.groupBy("how").agg(F.count(F.lit(1)).alias("n"), F.count("truth").alias("with_truth"))
+    preds = s.select("file", F.when(k < 4, F.col("key")).otherwise("s:lost").alias("key"), F.when(k < 4, F.col("t")).otherwise(F.col("t") + (F.col("event_id") % 7 - 3) * 9000).alias("t"), F.col("event_id").alias("id"))
+    got = lookups.match_by_key_then_time(preds, truths, 20_000)
+    return got.groupBy("how", F.coalesce("truth", F.lit("-")).alias("truth")).agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
 
 
 def option_fallback(spark, sf_dir):
@@ -399,9 +399,11 @@ ORACLE = {
     "neighbour_counts": B + """, b AS (SELECT *, round_even(t / 43200, 0)::BIGINT AS bucket FROM s)
         SELECT region, count(*) AS total, count(*) FILTER (region <> 'other' AND EXISTS (SELECT 1 FROM b o WHERE o.file = b.file AND abs(o.bucket - b.bucket) = 1 AND o.region <> b.region AND o.region <> 'other')) AS kept FROM b GROUP BY 1""",
     "positions": B + " SELECT event_id, CASE WHEN k % 4 = 2 THEN 'time' ELSE 'ratio' END AS mode, k / 100 AS value, k % 4 = 3 AS heuristic FROM s",
-    "match_nearest": B + """, p AS (SELECT event_id, file, CASE WHEN event_id % 6 = 5 THEN t + 1 ELSE t END AS t, event_id % 6 < 4 AS by_key FROM s),
-        h AS (SELECT CASE WHEN by_key THEN 'key' WHEN EXISTS (SELECT 1 FROM s WHERE s.file = p.file AND s.t = p.t) THEN 'time' ELSE 'none' END AS how FROM p)
-        SELECT how, count(*) AS n, count(*) FILTER (how <> 'none') AS with_truth FROM h GROUP BY 1""",
+    "match_nearest": B + """, p AS (SELECT event_id, file, CASE WHEN event_id % 6 < 4 THEN t ELSE t + (event_id % 7 - 3) * 9000 END AS t, event_id % 6 < 4 AS by_key, truth FROM s),
+        u AS (SELECT file, t, max_by(truth, pos) AS truth, min(pos) AS first_pos FROM s GROUP BY 1, 2),
+        m AS (SELECT p.event_id, u.truth FROM p JOIN u ON u.file = p.file AND abs(u.t - p.t) <= 20000 WHERE NOT p.by_key QUALIFY row_number() OVER (PARTITION BY p.event_id ORDER BY abs(u.t - p.t), u.first_pos) = 1),
+        h AS (SELECT p.event_id, CASE WHEN by_key THEN 'key' WHEN m.truth IS NOT NULL THEN 'time' ELSE 'none' END AS how, CASE WHEN by_key THEN p.truth ELSE coalesce(m.truth, '-') END AS truth FROM p LEFT JOIN m USING (event_id))
+        SELECT how, truth, count(*) AS n, sum(event_id)::BIGINT AS ids FROM h GROUP BY 1, 2""",
     "option_fallback": B + """, z AS (SELECT CASE WHEN k % 3 = 0 THEN 'queryset' WHEN k % 2 = 0 THEN 'params' WHEN file % 2 = 0 THEN 'triplet' ELSE 'none' END AS source FROM s)
         SELECT source, CASE source WHEN 'queryset' THEN 'own' WHEN 'params' THEN 'param' WHEN 'triplet' THEN 'index' END AS letter, count(*) AS n FROM z GROUP BY 1, 2""",
     "judge_cache": """WITH c AS (SELECT conv_id, sha1(coalesce(text, '')) AS h FROM conversations), a AS (SELECT DISTINCT h FROM c WHERE conv_id % 2 = 0)
