@@ -41,11 +41,14 @@ def test_shards_hold_the_mixture(spark, cell, monkeypatch):
     assert again == {r.doc_id: (r.shard, r.slot) for r in rows}
     # brute force: rank within the source, sort by fractional rank, cut
     keys = df.select("doc_id", "source", F.xxhash64(F.lit(sharding.SEED), "doc_id", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).alias("h")).collect()
+    name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("-")).alias("stratum")
+    start = {r.stratum: r.u for r in df.select(name).distinct().select("stratum", sharding.start_of(sharding.SEED).alias("u")).collect()}
     by, order = {}, []
     for r in sorted(keys, key=lambda r: (r.h % -(-n // cell), r.h, r.doc_id)):
         by.setdefault(r.source, []).append(r)
     for source, members in by.items():
-        order += [((2 * i + 1) / (2 * len(members)), "-" if source is None else "s" + source, r.h, r.doc_id) for i, r in enumerate(members)]
+        stratum = "-" if source is None else "s" + source
+        order += [((i + start[stratum]) / len(members), stratum, r.h, r.doc_id) for i, r in enumerate(members)]
     want = {x[3]: i * 24 // n for i, x in enumerate(sorted(order))}
     assert want == {r.doc_id: r.shard for r in rows}
     import zlib
@@ -57,6 +60,14 @@ def test_shards_hold_the_mixture(spark, cell, monkeypatch):
     assert sharding.interleave(docs(spark, ["a"] * 9, [None] * 3 + [7] * 6), 4).count() == 9
 
 
+def test_many_small_sources_spread_over_shards(spark):
+    df = docs(spark, ["t"] * 400).withColumn("source", F.concat(F.lit("one"), F.col("doc_id")))
+    rows = sharding.interleave(df, 8).collect()
+    assert sorted(np.bincount([r.shard for r in rows]).tolist()) == [50] * 8
+    placed = df.select(F.concat(F.lit("s"), "source").alias("stratum")).select(sharding.start_of(sharding.SEED).alias("u")).collect()
+    assert max(np.bincount([int(r.u * 20) for r in placed])) < 60
+
+
 def test_raking_meets_the_targets_either_way(spark):
     rng = np.random.default_rng(3)
     rows = [(f"s{a}", f"l{b}", f"t{c}", int(rng.integers(1, 900))) for a in range(4) for b in range(3) for c in range(2)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vantage.llm.common import ranked, stage
@@ -13,11 +13,16 @@ SEED = 20_241
 CELL = 1024
 
 
+def start_of(seed: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "stratum"), 11) / F.lit(float(1 << 53))
+
+
 def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, stratum: str = "source") -> DataFrame:
     """Deal documents into shards so that each shard has the mixture of the whole.
 
     Rows of a source are shuffled by a seeded hash and ranked; a row's fractional rank is
-    (rank + 1/2) / rows of the source.  All rows sorted by it are cut into runs whose
+    (rank + start) / rows of the source, with a seeded start in [0, 1) for each source, so
+    that many sources of a few rows don't meet at one place.  All rows sorted by it are cut into runs whose
     lengths differ by one at most (law ``rows``), so any run holds each source in
     proportion, within one row.  Ranks come from cells of about CELL rows and prefix sums:
     a source of any size is never in one task.
@@ -42,7 +47,7 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, stratum:
     placed = ranked(rows, "stratum", "cell", tie, "rank")
     counts = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_stratum"))
     placed = placed.join(counts, "stratum")
-    placed = placed.withColumn("frac", (F.col("rank") * 2 + 1) / (F.col("n_stratum") * 2))
+    placed = placed.withColumn("frac", (F.col("rank") + start_of(seed)) / F.col("n_stratum"))
     placed = placed.withColumn("slice", F.floor(F.col("frac") * cells).cast("long")).withColumn("whole", F.lit(0))
     placed = stage(placed.drop("cell", "rank", "n_stratum"), "shard-ranks")
     placed = ranked(placed, "whole", "slice", [F.col("frac"), F.col("stratum"), *tie], "rank")
