@@ -239,14 +239,22 @@ def roi_paths(spark, sf_dir):
 
 
 def token_evidence(spark, sf_dir):
-    """Generated tokens spelled from the predictions, with the STATE tag cut in two."""
-    p = derived.predictions(spark, sf_dir).filter("response_text like '<NOW>%'")
-    state, ans = parse.tag_value("response_text", "STATE"), parse.tag_value("response_text", "ANS")
-    toks = F.array(F.lit("<NOW>"), F.lit("<"), F.lit("STATE>"), F.lit(" "), state, F.lit("</STATE"), F.lit(">"), F.lit("<ANS>"), ans, F.lit("</ANS>"))
-    probs = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: i / 10.0)
-    o = F.array(*[F.struct(F.lit(v).alias("verb"), F.array(F.lit(n)).alias("noun")) for v, n in (("take", "ring"), ("hold", "bolt"), ("put", "cup"), ("wash", "plate"))])
-    p = p.withColumn("e", tokens.token_evidence(toks, probs, o))
-    p = p.withColumn("c", tokens.cascade(F.col("e"), ans, parse.guess("response_text", "legacy")))
+    """Generated tokens spelled from the predictions in five ways: tags cut in two, words of
+    an option, two letters in the tag, nothing of use, a letter at the head."""
+    p = derived.predictions(spark, sf_dir)
+    state, tagged, guessed = F.coalesce(parse.tag_value("response_text", "STATE"), F.lit("")), parse.tag_value("response_text", "ANS"), parse.guess("response_text", "legacy")
+    p = p.withColumns({"said": F.coalesce(tagged, guessed), "state": state, "tagged": tagged, "guessed": guessed})
+    verbs = ("take", "hold", "put", "wash")
+    verb = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in zip("ABCD", verbs, strict=True) for x in pair]), F.col("said")), F.lit("look"))
+    lit = lambda *xs: F.array(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    ways = [
+        lit("<NOW>", "<", "STATE>", " ", F.col("state"), "</STATE", ">", "<ANS>", F.col("said"), "</ANS>"), lit("I", verb), lit("<ANS>", "A", "B", "</ANS>"), lit("hello"), lit(F.col("said"), ".", "<NOW>"),
+    ]
+    toks = F.coalesce(*[F.when(F.col("event_id") % 5 == i, w) for i, w in enumerate(ways)])
+    p = p.withColumn("toks", toks).withColumn("probs", F.transform(F.sequence(F.lit(1), F.size("toks")), lambda i: i / 10.0))
+    o = F.array(*[F.struct(F.lit(v).alias("verb"), F.array(F.lit(n)).alias("noun")) for v, n in zip(verbs, ("ring", "bolt", "cup", "plate"), strict=True)])
+    p = p.withColumn("e", tokens.token_evidence(F.col("toks"), F.col("probs"), o))
+    p = p.withColumn("c", tokens.cascade(F.col("e"), F.col("tagged"), F.col("guessed")))
     return p.groupBy("model", F.col("c.ans").alias("ans"), F.col("c.method").alias("method")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("e.state_prob"), 6).alias("state_prob"), F.round(F.avg("c.conf"), 6).alias("conf"))
 
 
@@ -421,7 +429,10 @@ ORACLE = {
         SELECT event_id, len(fr) AS n_frames, fr[-1] AS last_frame, len(list_filter(fr, lambda i: i < c.m)) AS with_boxes FROM h JOIN c USING (file)""",
     "roi_violations": B + """, z AS (SELECT CASE k % 10 WHEN 0 THEN 'coord' WHEN 1 THEN 'box_size' WHEN 2 THEN 'box_range' WHEN 3 THEN 'gaze_range' END AS fault FROM s) SELECT fault, count(*) AS n FROM z WHERE fault IS NOT NULL GROUP BY 1""",
     "roi_paths": "SELECT page_id, CASE WHEN page_id % 3 = 1 THEN 'b/' WHEN page_id % 2 = 1 THEN 'c/' ELSE 'a/' END || page_id || '.jsonl' AS resolved FROM pages",
-    "token_evidence": B + """ SELECT model, ans, 'token_ans_span' AS method, count(*) AS n, 0.5::DOUBLE AS state_prob, 0.9::DOUBLE AS conf FROM x WHERE answered AND kk <> 8 AND form = 0 GROUP BY 1, 2""",
+    "token_evidence": B + """, z AS (SELECT model, ans, event_id % 5 AS way, form = 0 AND kk <> 8 AS has_tag, CASE WHEN form = 0 AND kk <> 8 THEN 'tag' ELSE 'clean' END AS text FROM x WHERE answered),
+        m AS (SELECT *, CASE WHEN way = 2 THEN CASE WHEN ans = '' THEN 'token_multi' ELSE 'token_multi+' || text END WHEN ans = '' THEN 'none' WHEN way = 0 THEN 'token_ans_span' WHEN way = 1 THEN 'token_verbnoun_or'
+          WHEN way = 3 THEN text ELSE 'token_prefix' END AS method, CASE WHEN ans = '' THEN NULL WHEN way = 0 THEN 0.9 WHEN way = 1 THEN 0.2 WHEN way = 4 THEN 0.1 END::DOUBLE AS conf FROM z)
+        SELECT model, ans, method, count(*) AS n, round(avg(CASE WHEN way = 0 AND has_tag THEN 0.5::DOUBLE END), 6) AS state_prob, round(avg(conf), 6) AS conf FROM m GROUP BY 1, 2, 3""",
     "choice_distribution": B + """, m AS (SELECT event_id, [event_id % 7 + 1, event_id % 5 + 1, event_id % 3 + 1, k % 11 + 1]::DOUBLE[] AS m FROM s), p AS (SELECT *, list_sum(m) AS mass FROM m)
         SELECT event_id, mass, substr('ABCD', list_position(m, list_max(m))::INT, 1) AS best, round(list_sum(list_transform(m, lambda v: -(v / mass) * ln(v / mass + 1e-12))), 6) AS entropy, -mass AS logp, -mass / 4 AS mean_logp FROM p""",
     "tags": B + """ SELECT CASE WHEN form = 0 AND kk <> 8 THEN CASE state WHEN 'INTERACTION' THEN 'interaction' ELSE 'no interaction' END END AS state, least(event_id % 2 + 0.5, 1.0)::DOUBLE AS conf,
