@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantage.llm import chat, embeddings, jaccard, lm, media, mixing, pieces, secret_scan, sharding, toxicity
+from vantage.llm import chat, embeddings, jaccard, licenses, lm, media, mixing, negatives, periodic, pieces, secret_scan, sharding, toxicity
 from vantage.llm.common import read
 
 #: The conversation added to the given ones: texts that hold the template's marks.
@@ -69,9 +69,78 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_secret_scans": op1_secret_scans, "op2_lm_scoring": op2_lm_scoring, "op3_sentencepiece": op3_sentencepiece, "op4_embedding_dedup": op4_embedding_dedup, "op5_toxicity": op5_toxicity, "op7_media_columns": op7_media_columns, "op8_ngram_jaccard": op8_ngram_jaccard, "op6_sharding": op6_sharding, "op9_chat_formatting": op9_chat_formatting, "op10_mixing": op10_mixing}
+def op11_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    starts, base, found = F.transform("lic_base", lambda p: p["start"]), licenses.labels(F.col("lic_base")), licenses.labels(F.col("lic_found"))
+    return done.select(
+        "doc_id", F.col("lic_words").alias("n_words"), F.size("lic_base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union(base, found)), ",").alias("labels"), F.round("lic_score", 6).alias("score"),
+    )
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = periodic.find_runs(periodic.made_periodic(read(spark, sf_dir, "documents")))
+    top = done.withColumn("top", periodic.greatest_run(F.col("rep_runs")))
+    lines = F.array_join(F.transform("rep_runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return top.select(
+        "doc_id", F.size("rep_runs").cast("long").alias("n_runs"), F.col("top.start").alias("start"), F.col("top.length").alias("length"), F.col("top.period").alias("period"),
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"), F.sha2(F.encode(lines, "UTF-8"), 256).alias("runs_sha256"), F.sha2(F.col("rep_text").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"))
+    return negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {"op1_secret_scans": op1_secret_scans, "op2_lm_scoring": op2_lm_scoring, "op3_sentencepiece": op3_sentencepiece, "op4_embedding_dedup": op4_embedding_dedup, "op5_toxicity": op5_toxicity, "op7_media_columns": op7_media_columns, "op8_ngram_jaccard": op8_ngram_jaccard, "op6_sharding": op6_sharding, "op9_chat_formatting": op9_chat_formatting, "op10_mixing": op10_mixing, "op11_license_scans": op11_license_scans, "op12_periodic_runs": op12_periodic_runs, "op13_hard_negatives": op13_hard_negatives}
+
+
+
+def license_sql() -> str:
+    known = [licenses.Template.of(*t) for t in licenses.TEMPLATES]
+    notices = ", ".join(f"({n}, '{t.label}', {t.words})" for n, t in enumerate(known))
+    must = ", ".join(f"({n}, {j}, '{w}')" for n, t in enumerate(known) for j, w in t.must)
+    phrases = ", ".join(f"('{label}', {p.split()})" for p, label in licenses.PHRASES.items())
+    return rf"""
+        WITH t(tid, label, words) AS (VALUES {notices}), must(tid, j, w) AS (VALUES {must}), ph(label, words) AS (VALUES {phrases}),
+        tw AS (SELECT tid, label, unnest(range(len(words))) AS j, unnest(words) AS w FROM t),
+        d AS (SELECT doc_id, row_number() OVER () AS r,
+                     list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+        p AS MATERIALIZED (SELECT * FROM (SELECT r, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM d) WHERE w IN (SELECT w FROM tw UNION SELECT unnest(words) FROM ph)),
+        has AS MATERIALIZED (SELECT DISTINCT r, w FROM p),
+        df AS (SELECT w, count(*) AS n FROM has GROUP BY w),
+        idf AS (SELECT w, coalesce(n, 0) AS n, ln(1 + (SELECT count(*) FROM documents) / (1 + coalesce(n, 0))) AS x FROM (SELECT DISTINCT w FROM tw) LEFT JOIN df USING (w)),
+        weight AS (SELECT tid, sum(x) AS total FROM tw JOIN idf USING (w) GROUP BY tid),
+        need AS (SELECT DISTINCT tid, w FROM must), needs AS (SELECT tid, count(*) AS k FROM need GROUP BY tid),
+        may AS (SELECT r, tid FROM has JOIN need USING (w) JOIN needs USING (tid) GROUP BY r, tid HAVING count(*) = any_value(k)),
+        anchor AS (SELECT r, tid, w FROM may JOIN (SELECT DISTINCT tid, w FROM tw) USING (tid) JOIN has USING (r, w) JOIN idf USING (w) QUALIFY row_number() OVER (PARTITION BY r, tid ORDER BY n, w) <= {licenses.RAREST}),
+        cand AS (SELECT r, tid, i - j AS o FROM anchor JOIN p USING (r, w) JOIN tw USING (tid, w) GROUP BY ALL HAVING count(DISTINCT w) >= 2),
+        place AS (SELECT c.r, c.tid, c.o, any_value(tw.label) AS label, sum(x) / any_value(total) AS share, count(m.j) AS hit
+                  FROM cand c JOIN tw USING (tid) JOIN p ON p.r = c.r AND p.w = tw.w AND p.i = c.o + tw.j JOIN idf ON idf.w = tw.w JOIN weight ON weight.tid = c.tid
+                  LEFT JOIN must m ON m.tid = c.tid AND m.j = tw.j GROUP BY 1, 2, 3),
+        judged AS (SELECT *, hit = (SELECT count(*) FROM must WHERE must.tid = place.tid) AS stands FROM place),
+        found AS (SELECT r, list(label) FILTER (stands) AS labels, max(CASE WHEN stands THEN share ELSE share / 2 END) AS score FROM judged GROUP BY r),
+        b AS (SELECT r, label, i FROM p JOIN ph ON p.w = ph.words[1] JOIN d USING (r) WHERE ws[i + 1 : i + len(words)] = words),
+        base AS (SELECT r, count(*) AS n, min(i) AS first, max(i) AS last, list_sort(list(DISTINCT label)) AS labels FROM b GROUP BY r)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(base.n, 0) AS n_base, base.first::BIGINT AS first_word, base.last::BIGINT AS last_word, coalesce(array_to_string(base.labels, ','), '') AS base_labels,
+               coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ','), '') AS labels,
+               round(greatest(least(coalesce(found.score, 0), 1), CASE WHEN base.n > 0 THEN 0.5 ELSE 0 END), 6) AS score
+        FROM d LEFT JOIN found USING (r) LEFT JOIN base USING (r)"""
+
 
 ORACLE = {
+    "op11_license_scans": license_sql(),
+    "op13_hard_negatives": r"""
+        WITH v AS (
+          SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+          FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+        pos AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+        neg AS (SELECT anchor_id, positive_id, s.id AS negative_id, positive_score, s.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id) AS rank
+                FROM pos JOIN s USING (anchor_id) WHERE NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+        SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 3""",
     "op4_embedding_dedup": r"""
         WITH RECURSIVE v AS (
           SELECT vec_id, list_transform(embedding, lambda e: e::DOUBLE) AS e FROM embeddings),
