@@ -5,14 +5,14 @@ over one file; nothing is ordered over all samples."""
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from vantage.functions.parse import strip
+from vantage.operators import scan
 
 
 def reason_of(*names: Column) -> Column:
@@ -43,68 +43,63 @@ def dedupe_by_time(samples: DataFrame, time: str = "t_eval") -> DataFrame:
     return samples.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
 
 
-def file_offsets(samples: DataFrame, stream: list[str]) -> DataFrame:
-    """(stream, file, offset): samples of the stream in files before, in path order.  The
-    window is over one row per file, not over samples."""
+def file_offsets(samples: DataFrame, stream: list[str], block: int = scan.BLOCK) -> DataFrame:
+    """(stream, file, n, offset): samples of the stream in files before, in path order, by a
+    prefix sum over blocks of files."""
     sizes = samples.groupBy(*stream, "file").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy(*stream).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return scan.prefix_sums(sizes, "n", "file", tuple(stream), "offset", block)
 
 
-def keep_k_of_n(samples: DataFrame, k: int = 2, n: int = 3, stream: tuple[str, ...] = ()) -> DataFrame:
+def keep_k_of_n(samples: DataFrame, k: int = 2, n: int = 3, stream: tuple[str, ...] = (), block: int = scan.BLOCK) -> DataFrame:
     """Keep k of every n samples of a stream, counted across files in path order; for
     samples whose times within a file differ."""
-    keys = [*stream] or ["__one"]
-    s = samples if stream else samples.withColumn("__one", F.lit(1))
-    s = s.join(file_offsets(s, keys).drop("n"), [*keys, "file"])
+    keys = [*stream]
+    s = scan.same(samples, file_offsets(samples, keys, block).drop("n"), [*keys, "file"])
     order = Window.partitionBy(*keys, "file").orderBy("rank")
     s = s.withColumn("__at", F.col("offset") + F.row_number().over(order) - 1)
-    return s.filter(F.pmod("__at", F.lit(n)) < k).drop("__at", "offset", "__one")
+    return s.filter(F.pmod("__at", F.lit(n)) < k).drop("__at", "offset")
 
 
-def thin_exact(samples: DataFrame, k: int = 2, n: int = 3, unit: str | None = None) -> DataFrame:
+def thin_exact(samples: DataFrame, k: int = 2, n: int = 3, unit: str | None = None, stream: tuple[str, ...] = (), block: int = scan.BLOCK) -> DataFrame:
     """The same where times repeat: a time counts as used only if its unit was kept, so a
     later unit at a time that was dropped is tried again and moves the phase.
 
     A file is a function from the phase before it to the phase after it and the kept
-    units.  Files are evaluated for all n phases side by side; the small functions, n
-    numbers for each file, are composed in path order; a join picks each file's mask."""
+    units.  Files are evaluated once, for all n phases side by side; the small functions,
+    n numbers for each file, are composed in path order block by block, so no task holds a
+    row of every file; the phase before a file picks its units.  A stream starts in
+    phase 0.  A file's samples are read by one task.
+    """
     key = unit or "rank"
-    columns = samples.select("file", F.col(key).alias("unit"), "t_eval", "rank")
+    keys = [*stream, "file"]
+    columns = samples.select(*keys, F.col(key).alias("unit"), "t_eval", "rank")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         units = pdf.sort_values("rank").drop_duplicates("unit")
-        rows = []
-        name, steps = pdf["file"].iloc[0], list(zip(units["unit"].tolist(), pd.factorize(units["t_eval"])[0].tolist(), strict=True))
+        steps = list(zip(units["unit"].tolist(), pd.factorize(units["t_eval"])[0].tolist(), strict=True))
+        moves, kept = [], []
         for phase in range(n):
-            at, used = phase, set()
+            at, used, own = phase, set(), []
             for u, t in steps:
                 if t in used:
                     continue
                 if at < k:
                     used.add(t)
-                    rows.append((name, phase, u, True, -1))
+                    own.append(u)
                 at = at + 1 if at + 1 < n else 0
-            rows.append((name, phase, -1, False, at))
-        return pd.DataFrame(rows, columns=["file", "phase", "unit", "kept", "after"])
+            moves.append(at)
+            kept.append(own)
+        return pdf[keys].iloc[:1].assign(moves=[moves], kept=[kept])
 
-    schema = StructType([columns.schema["file"], StructField("phase", LongType()), StructField("unit", LongType()), StructField("kept", BooleanType()), StructField("after", LongType())])
-    masks = columns.groupBy("file").applyInPandas(run, schema)
-    moves = masks.filter("unit = -1").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("phase", "after"))).alias("m"))
-    moves = moves.select("file", F.transform("m", lambda x: x["after"]).alias("f"))
-
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        at, out = 0, []
-        pdf = pdf.sort_values("file")
-        for f in pdf["f"]:
-            out.append(at)
-            at = int(f[at])
-        return pd.DataFrame({"file": pdf["file"], "phase": np.array(out, np.int64)})
-
-    # one row of n numbers for each file: these, not the samples, are taken in order
-    starts = moves.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(compose, StructType([columns.schema["file"], StructField("phase", LongType())]))
-    kept = masks.filter("kept").join(starts, ["file", "phase"], "left_semi").select("file", F.col("unit").alias(key))
-    return samples.join(kept, ["file", key], "left_semi")
+    schema = StructType([*[columns.schema[c] for c in keys], StructField("moves", ArrayType(IntegerType())), StructField("kept", ArrayType(ArrayType(LongType())))])
+    masks = scan.staged(columns.groupBy(*keys).applyInPandas(run, schema))
+    moves = masks.select(*keys, "moves")
+    if stream:
+        starts = masks.groupBy(*stream).agg(F.min("file").alias("__start"))
+        moves = scan.same(moves, starts, [*stream]).withColumn("first", F.col("file").eqNullSafe(F.col("__start"))).drop("__start")
+    states = scan.prefix_states(moves, keys, first="first" if stream else None, out="phase", block=block).select(*keys, "phase")
+    kept = scan.same(masks, states, keys).select(*keys, F.explode(F.get("kept", F.col("phase"))).alias(key))
+    return scan.same(samples, kept, [*keys, key], "left_semi")
 
 
 def anchor_islands(samples: DataFrame, anchors: tuple[str, ...] = ("anchor_idx",)) -> DataFrame:
@@ -118,11 +113,11 @@ def anchor_islands(samples: DataFrame, anchors: tuple[str, ...] = ("anchor_idx",
     return s.withColumn("unit_t", F.first("t_eval").over(Window.partitionBy("file", "unit").orderBy("rank")))
 
 
-def target_cutoff(samples: DataFrame, target: int = 800) -> DataFrame:
-    """Whole files up to and including the one that reaches the target."""
-    s = samples.withColumn("__one", F.lit(1))
-    files = file_offsets(s, ["__one"]).filter(F.col("offset") < target).select("file")
-    return samples.join(files, "file", "left_semi")
+def target_cutoff(samples: DataFrame, target: int = 800, stream: tuple[str, ...] = (), block: int = scan.BLOCK) -> DataFrame:
+    """Whole files of a stream up to and including the one that reaches the target."""
+    keys = [*stream, "file"]
+    files = file_offsets(samples, [*stream], block).filter(F.col("offset") < target).select(*keys)
+    return scan.same(samples, files, keys, "left_semi")
 
 
 def answerable(samples: DataFrame, every: bool = False) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vantage.operators import scan
+
 
 def last_per_key(preds: DataFrame, keys=("model", "file", "key")) -> DataFrame:
     """Of predictions with one key the last by file order and position."""
@@ -188,10 +190,11 @@ def monotonic_confidence(groups: DataFrame, keys: list[str], tolerance: float =
     return out.withColumns({f"frac_{n}": rate(F.col(n), F.col("groups")) for n in ("n01", "n12", "n012")})
 
 
-def confidence_trend(groups: DataFrame, keys: list[str], flat: str = "drop") -> DataFrame:
+def confidence_trend(groups: DataFrame, keys: list[str], flat: str = "drop", block: int = scan.BLOCK) -> DataFrame:
     """Slope of confidence over steps 1, 2, 3 and of its z-score: mean, median, population
     deviation, share below 0.  Groups without variance have no z-slope (flat='drop') or
-    the z-slope 0 (flat='zero')."""
+    the z-slope 0 (flat='zero').  Medians are selected block by block, so no buffer grows
+    with the groups; the rest are sums."""
     mean = (F.col("c0") + F.col("c1") + F.col("c2")) / 3
     std = F.sqrt((F.pow(F.col("c0") - mean, F.lit(2)) + F.pow(F.col("c1") - mean, F.lit(2)) + F.pow(F.col("c2") - mean, F.lit(2))) / 3)
     slope = (F.col("c2") - F.col("c0")) / 2
@@ -199,8 +202,11 @@ def confidence_trend(groups: DataFrame, keys: list[str], flat: str = "drop") ->
     got = complete(groups).withColumns({"slope": slope, "zslope": z})
     aggs = [F.count(F.lit(1)).alias("groups")]
     for c in ("slope", "zslope"):
-        aggs += [F.avg(c).alias(f"{c}_mean"), F.median(c).alias(f"{c}_median"), F.stddev_pop(c).alias(f"{c}_std"), F.avg((F.col(c) < 0).cast("double")).alias(f"{c}_negative")]
-    return got.groupBy(*keys).agg(*aggs)
+        aggs += [F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std"), F.avg((F.col(c) < 0).cast("double")).alias(f"{c}_negative")]
+    names = ["slope", "zslope"]
+    middle = scan.medians(scan.long_rows(got, names, keys), "value", [*keys, "name"], block)
+    middle = middle.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == c, F.col("median"))).alias(f"{c}_median") for c in names])
+    return scan.same(got.groupBy(*keys).agg(*aggs), middle, keys, "left")
 
 
 def confusion(joined: DataFrame, keys: list[str], labels: list[str]) -> DataFrame:
