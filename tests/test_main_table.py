@@ -1,12 +1,19 @@
 """The published golden row of 42 columns, from question sets and predictions set out by hand."""
 
+import json
 import math
+from functools import reduce
 
+import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tests.test_operators import files_read
+
 from vantage.functions import parse, tokens
 from vantage.operators import score
-from vantage.plans import main_table
+from vantage.plans import leaderboard, main_table
+from vantage.sources import files
 
 KEYS = ["model"]
 GOLDEN = dict(
@@ -35,51 +42,51 @@ def mcq(spark, letters, said, column="step int", values=None):
     return score.official_join(q, answers(spark, said))
 
 
-def cells(joined, *buckets):
-    for c in ("truth", "true_state"):
+def part(joined, name):
+    """The joined samples with all columns that a cell may be cut by."""
+    for c in ("truth", "true_state", "grp"):
         joined = joined if c in joined.columns else joined.withColumn(c, F.lit(""))
-    return main_table.cells(joined, [*KEYS, *buckets])
-
-
-def mcq_cells(*args, **kwargs):
-    return cells(mcq(*args, **kwargs), "step")
+    joined = joined if "step" in joined.columns else joined.withColumn("step", F.lit(None).cast("int"))
+    return joined.select("model", F.lit(name).alias("part"), "truth", "true_state", "ans", "state", "conf", "grp", "step")
 
 
 def test_golden_row(spark):
     yes, no = "<NOW><STATE>INTERACTION</STATE></NOW>", "<NOW><STATE>NO_INTERACTION</STATE></NOW>"
     q = questions(spark, [("segment",), ("gap",), ("segment",)], "region string").withColumn("true_state", parse.true_state("region"))
-    parts = [main_table.state_metrics(cells(score.official_join(q, answers(spark, {0: (yes, None), 1: (yes, None)}))), KEYS)]
-    parts.append(main_table.accuracy_metric(mcq_cells(spark, "AB", {0: ("<NOW><ANS>A</ANS></NOW>", None), 1: ("<NOW><ANS>C</ANS></NOW>", None)}), KEYS, "now_mcq_acc"))
+    parts = [part(score.official_join(q, answers(spark, {0: (yes, None), 1: (yes, None)})), "now_state")]
+    parts.append(part(mcq(spark, "AB", {0: ("<NOW><ANS>A</ANS></NOW>", None), 1: ("<NOW><ANS>C</ANS></NOW>", None)}), "now_mcq"))
 
-    pair = [("segment", "segment_to_gap", "before", "x"), ("gap", "segment_to_gap", "after", "x"), ("gap", "gap_to_segment", "before", "y"), ("segment", "gap_to_segment", "after", "y")]
+    pair, probes = [("segment", "segment_to_gap", "before", "x"), ("gap", "segment_to_gap", "after", "x"), ("gap", "gap_to_segment", "before", "y"), ("segment", "gap_to_segment", "after", "y")], []
     for i, base in ((1, 0.01), (2, 0.02), (3, 0.03)):
         q = questions(spark, pair, "region string, pair_type string, side string, pair_id string").withColumn("true_state", parse.true_state("region"))
         p = answers(spark, {0: (yes, None), 1: (no, None), 2: (no, None), 3: (no, None)}).drop("conf")
         toks = F.array(F.lit("<STATE>"), F.when(F.col("pos") == 0, "INTERACTION").otherwise("NO_INTERACTION"), F.lit("</STATE>"))
         probs = F.array(F.lit(0.99), F.lit(0.8 + base) - F.col("pos") * 0.1, F.lit(0.99))
-        none = F.lit(None).cast("array<struct<verb:string,noun:array<string>>>")
-        p = p.withColumn("conf", tokens.token_evidence(toks, probs, none)["state_prob"])
-        parts.append(main_table.switch_metrics(score.official_join(q, p).withColumn("position", F.lit(f"ss{i}")), KEYS))
+        p = p.withColumn("conf", tokens.state_probability(toks, probs))
+        probes.append(score.official_join(q, p).withColumn("position", F.lit(f"ss{i}")))
 
     said = {0: ("A", (0.8, 0.1, 0.05, 0.05)), 1: ("C", (0.2, 0.3, 0.4, 0.1)), 3: ("D", (0.02, 0.03, 0.05, 0.9))}
     grp = mcq(spark, "ABCD", said, "st string", ["NN", "PN", "NP", "PP"]).withColumn("grp", parse.group_of("st"))
-    parts.append(main_table.bucket_metrics(cells(grp, "grp"), KEYS, "grp", "sh_pred_"))
+    parts += [part(grp, "sh_pred"), part(grp, "sh_pred_conf")]
     acc = {"ms_pred": {0: ("<FUTURE><ANS>A</ANS></FUTURE>", None), 1: ("<FUTURE><ANS>D</ANS></FUTURE>", None)}, "ms_rtrv": {0: ("D", None), 1: ("B", None), 2: ("C", None)}}
     conf = {
         "ms_pred": {0: ("A", (0.75, 0.1, 0.1, 0.05)), 1: ("D", (0.1, 0.2, 0.1, 0.6)), 2: ("C", (0.3, 0.3, 0.2, 0.2))},
         "ms_rtrv": {0: ("D", (0.2, 0.1, 0.1, 0.6)), 1: ("B", (0.1, 0.7, 0.1, 0.1)), 2: ("C", (0.1, 0.1, 0.65, 0.15))},
     }
     for task in ("ms_pred", "ms_rtrv"):
-        for said, kind in ((acc[task], "acc"), (conf[task], "conf")):
-            got = main_table.bucket_metrics(mcq_cells(spark, "ABC", said, values=[0, 1, 2]), KEYS, "step", f"{task}_step", True)
-            parts.append(got.filter(F.endswith("metric", F.lit(kind))))
-    parts.append(main_table.accuracy_metric(mcq_cells(spark, "AB", {0: ("<PAST><ANS>A</ANS></PAST>", None), 1: ("<PAST><ANS>C</ANS></PAST>", None)}), KEYS, "sh_rtrv_acc"))
+        parts += [part(mcq(spark, "ABC", said[task], values=[0, 1, 2]), name) for said, name in ((acc, task), (conf, f"{task}_conf"))]
+    parts.append(part(mcq(spark, "AB", {0: ("<PAST><ANS>A</ANS></PAST>", None), 1: ("<PAST><ANS>C</ANS></PAST>", None)}), "sh_rtrv"))
 
-    row = main_table.wide(main_table.union(parts)).first().asDict()
+    names = ("now_state", "now_mcq", "sh_pred", "sh_pred_conf", "ms_pred", "ms_pred_conf", "ms_rtrv", "ms_rtrv_conf", "sh_rtrv")
+    cells = main_table.cells(reduce(DataFrame.unionByName, parts), [*KEYS, "part", "grp", "step"])
+    row = main_table.wide_row(cells, reduce(DataFrame.unionByName, probes), KEYS, {n: F.col("part") == n for n in names}).first().asDict()
     assert len(main_table.COLUMNS) == len(GOLDEN) == 40
-    for name, want in GOLDEN.items():
-        got = row[name]
-        assert (got is None) if want is None else math.isclose(got, want, abs_tol=1e-9), (name, got, want)
+    check(row, GOLDEN)
+
+
+def check(row, want):
+    for name, value in want.items():
+        assert (row[name] is None) if value is None else math.isclose(row[name], value, abs_tol=1e-9), (name, row[name], value)
 
 
 def test_missing_answers_stay_wrong(spark):
@@ -101,12 +108,10 @@ def test_zero_denominators_are_null(spark):
     assert got.accuracy == 0.0 and got.accuracy_valid is None
 
 
-def test_leaderboard_from_files(spark, tmp_path):
-    """The golden row from folders of files, written by hand; a second file for a question
-    set, an unknown reference and keys by sample_id are among them."""
-    import json
-
-    from vantage.plans import leaderboard
+def write_files(tmp_path, at="", wrong=False):
+    """The golden row's prediction files below pred/at and its question sets, by hand; a
+    second file for a question set, an unknown reference and keys by sample_id are among
+    them.  wrong: the first task's answers are all of the other state."""
 
     def put(path, obj):
         f = tmp_path / path
@@ -124,12 +129,13 @@ def test_leaderboard_from_files(spark, tmp_path):
         put(f"sets/{name}.json", {"task": name, "samples": samples})
 
     def predict(folder, name, rows, file="p.json"):
-        put(f"pred/{folder}/{file}", {"source_queryset": f"old/place/{name}.json", "samples": rows})
+        put(f"pred/{at}{folder}/{file}", {"source_queryset": f"old/place/{name}.json", "samples": rows})
 
     tag = lambda s: {"response_text": f"<NOW><STATE>{s}</STATE></NOW>"}
+    seen = "NO_INTERACTION" if wrong else "INTERACTION"
     say = lambda said: [{"idx": i, "response_text": f"<ANS>{x}</ANS>", "parsed": {"ans": x}} for i, x in said.items()]
     probe = lambda said: [{"idx": i, "response_text": x, "diagnostics": {"prompt_and_encoding_debug": {"cand_conf_probe": {"ok": True, "p_cond": dict(zip("ABCD", p))}}}} for i, (x, p) in said.items()]
-    predict("now_narration/cand_state", "state", [{"sample_id": "a", **tag("INTERACTION")}, {"id": 7, **tag("INTERACTION")}])
+    predict("now_narration/cand_state", "state", [{"sample_id": "a", **tag(seen)}, {"id": 7, **tag(seen)}])
     predict("now_narration/cand_mcq", "mcq", say({0: "A", 1: "C"}))
     predict("now_narration/cand_mcq", "mcq", say({0: "B", 1: "B"}), "q.json")
     predict("now_narration/cand_mcq", "nowhere", say({0: "B"}), "r.json")
@@ -143,19 +149,46 @@ def test_leaderboard_from_files(spark, tmp_path):
     predict("sh_pred/cand_conf", "sh_pred", probe({0: ("A", (0.8, 0.1, 0.05, 0.05)), 1: ("C", (0.2, 0.3, 0.4, 0.1)), 3: ("D", (0.02, 0.03, 0.05, 0.9))}))
     predict("ms_pred/cand_conf", "ms_pred", probe({0: ("A", (0.75, 0.1, 0.1, 0.05)), 1: ("D", (0.1, 0.2, 0.1, 0.6)), 2: ("C", (0.3, 0.3, 0.2, 0.2))}))
     predict("ms_rtrv/cand_conf", "ms_rtrv", probe({0: ("D", (0.2, 0.1, 0.1, 0.6)), 1: ("B", (0.1, 0.7, 0.1, 0.1)), 2: ("C", (0.1, 0.1, 0.65, 0.15))}))
-    table, warnings = leaderboard.leaderboard(spark, str(tmp_path / "pred"), [str(tmp_path / "sets")], "synthetic", "val")
+
+
+def test_leaderboard_from_files(spark, tmp_path):
+    write_files(tmp_path)
+    args = (spark, str(tmp_path / "pred"), [str(tmp_path / "sets")], "synthetic", "val")
+    table, warnings = leaderboard.leaderboard(*args)
     row = table.first().asDict()
     assert len(row) == 42 and (row["model"], row["split"]) == ("synthetic", "val")
-    for name, want in GOLDEN.items():
-        assert (row[name] is None) if want is None else math.isclose(row[name], want, abs_tol=1e-9), (name, row[name], want)
+    check(row, GOLDEN)
     assert sorted((r.warning.split()[-1], r.file.rsplit("/", 1)[1]) for r in warnings.collect()) == [("file", "q.json"), ("found", "r.json")]
     for f in (tmp_path / "pred/sh_pred/cand_conf").iterdir():
         f.unlink()
-    args = (spark, str(tmp_path / "pred"), [str(tmp_path / "sets")], "synthetic", "val")
-    try:
+    with pytest.raises(ValueError, match="sh_pred_conf"):
         leaderboard.leaderboard(*args)
-        raise AssertionError("a missing part must fail")
-    except ValueError as e:
-        assert "sh_pred_conf" in str(e)
     table, warnings = leaderboard.leaderboard(*args, allow_missing_confidence=True)
     assert table.first().sh_pred_predictable_conf is None and warnings.filter("file = 'sh_pred_conf'").count() == 1
+
+
+def test_leaderboard_of_all_models(spark, tmp_path):
+    """Rows of several models and splits from one call; what is not asked for is not read."""
+    for at, wrong in (("m1/val/", False), ("m1/train/", True), ("m2/val/", True), ("m3/val/", False)):
+        write_files(tmp_path, at, wrong)
+    for f in (tmp_path / "pred/m2/val/ms_pred/cand").iterdir():
+        f.unlink()
+    (tmp_path / "pred/m1/val/other").mkdir()
+    (tmp_path / "pred/m1/val/other/p.json").write_text("{}")
+    (tmp_path / "sets/unused.json").write_text("no json")
+    args = (spark, str(tmp_path / "pred"), [str(tmp_path / "sets")])
+    with pytest.raises(ValueError, match="m2/val/ms_pred"):
+        leaderboard.leaderboards(*args)
+    table, warnings = leaderboard.leaderboards(*args, allow_missing=True)
+    rows = {(r.model, r.split): r.asDict() for r in table.collect()}
+    assert sorted(rows) == [("m1", "train"), ("m1", "val"), ("m2", "val"), ("m3", "val")]
+    check(rows["m1", "val"], GOLDEN)
+    check(rows["m3", "val"], GOLDEN)
+    check(rows["m1", "train"], GOLDEN | {"now_rec": 0.0, "now_prec": None})
+    check(rows["m2", "val"], GOLDEN | {"now_rec": 0.0, "now_prec": None} | {c: None for c in GOLDEN if c.startswith("ms_pred") and c.endswith("acc")})
+    said = [(r.model, r.split, r.warning, r.file.rsplit("/", 1)[-1]) for r in warnings.collect()]
+    assert ("m2", "val", "no files", "ms_pred") in said and len(said) == 1 + 2 * 4
+    only, _ = leaderboard.leaderboards(*args, models=["m1", "m3"], splits=["val"], layout="/{model}/{split}/")
+    assert sorted((r.model, r.split) for r in only.collect()) == [("m1", "val"), ("m3", "val")]
+    few = files.prediction_texts(spark, args[1], lambda p: F.contains(p, F.lit("/m3/")) & leaderboard.part_of(p).isNotNull())
+    assert files_read(few) == 14 and files_read(files.prediction_texts(spark, args[1])) == 3 * 14 + 13 + 1

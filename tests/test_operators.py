@@ -1,6 +1,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from vantage.functions import parse
@@ -176,9 +177,35 @@ def test_reference_candidates(spark):
     assert [r.c for r in df.select(files.reference_candidates(F.col("t")).alias("c")).collect()] == [["s.json", "v.json", "a/derived_1.json", "q.json"], [], []]
 
 
-def test_splits(spark):
-    df = spark.createDataFrame([("a/train/x.json", 0), ("a/val/y.json", 0), ("a/val/z.json", None)], "file string, pos long")
-    assert files.of_split(df, "val").count() == 1 and files.of_split(df, "all").count() == 2
+def files_read(df):
+    """How many files the scans of a query opened."""
+    df.collect()
+
+    def leaves(plan):
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return leaves(plan.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return leaves(plan.plan())
+        below = [x for i in range(plan.children().size()) for x in leaves(plan.children().apply(i))]
+        return below or [plan]
+
+    found = [x.metrics().get("numFiles") for x in leaves(df._jdf.queryExecution().executedPlan())]
+    return sum(m.get().value() for m in found if m.isDefined())
+
+
+def test_splits(spark, tmp_path):
+    for name, samples in (("train/a/x.json", [{"idx": 0}]), ("val/y.json", [{"idx": 1}, {"idx": 2}]), ("val/empty.jsonl", []), ("val/notes.txt", []), ("test/z.json", [{"idx": 3}])):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(json.dumps({"task": "t", "samples": samples}))
+    listed = lambda split: sorted((r.split, r.path.rsplit("/", 1)[1]) for r in files.question_files(spark, str(tmp_path), split).collect())
+    assert listed("val") == [("val", "empty.jsonl"), ("val", "y.json")] and listed("all") == [("train", "x.json"), *listed("val")]
+    keys = lambda split: sorted((r.split, r.key) for r in files.read_split(spark, str(tmp_path), split)[0].collect())
+    assert keys("train") == [("train", "i:0")] and keys("all") == [("train", "i:0"), ("val", "i:1"), ("val", "i:2")]
+    assert files_read(files.read_split(spark, str(tmp_path), "train")[0]) == 1
+    assert files.read_split(spark, str(tmp_path / "train"), "val")[0].collect() == []
+    with pytest.raises(ValueError):
+        files.read_split(spark, str(tmp_path), "test")
 
 
 def test_sinks(spark, tmp_path):

@@ -65,15 +65,17 @@ def test_distribution(spark):
     assert value(spark, parse.choice_distribution(F.array(F.lit(0.0), F.lit(0.0)))).best is None
 
 
-def test_token_spans():
+def test_token_spans(spark):
+    lit = lambda xs: F.array(*map(F.lit, xs))
     t = ["<", "STATE", ">", " no", "inter", "</", "STATE", ">"]
-    assert tokens.tag_span(t, "STATE") == (3, 5)
-    assert tokens.tag_span(["<STATE>", "x"], "STATE") is None
-    assert tokens.token_answer(["B", "<X>"], [0.4, 0.1]) == ("B", 0.4, "token_prefix")
-    assert tokens.token_answer(["<ANS>", "A", "C", "</ANS>"], [0.1] * 4)[2] == "token_multi"
-    o = [("take", ["ring"]), ("take", ["bolt"]), ("put", ["cup"]), ("wash", ["cup"])]
-    assert tokens.token_options(["take", " bolt"], [0.2, 0.4], o) == ("B", pytest.approx(0.3), "token_verbnoun_and")
-    assert tokens.evidence(["a"], [], None)[3] == "token_none"
+    assert tuple(value(spark, tokens.tag_span(lit(t), "STATE"))) == (3, 5)
+    assert value(spark, tokens.tag_span(lit(["<STATE>", "x"]), "STATE")) is None
+    assert tuple(value(spark, tokens.token_answer(lit(["B", "<X>"]), lit([0.4, 0.1])))) == ("B", 0.4, "token_prefix")
+    assert value(spark, tokens.token_answer(lit(["<ANS>", "A", "C", "</ANS>"]), lit([0.1] * 4))).method == "token_multi"
+    o = F.array(*[F.struct(F.lit(v).alias("verb"), lit([n]).alias("noun")) for v, n in [("take", "ring"), ("take", "bolt"), ("put", "cup"), ("wash", "cup")]])
+    assert tuple(value(spark, tokens.token_options(lit(["take", " bolt"]), lit([0.2, 0.4]), o))) == ("B", pytest.approx(0.3), "token_verbnoun_and")
+    none = F.array().cast("array<double>")
+    assert value(spark, tokens.token_evidence(lit(["a"]), none, o)).ans_method == "token_none"
 
 
 def test_cascade_keeps_trying_after_several_letters(spark):

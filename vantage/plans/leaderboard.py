@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantage.functions import parse, tokens
-from vantage.operators import score
+from vantage.operators import scan, score
 from vantage.plans import main_table
 from vantage.sources import files
 
@@ -40,17 +41,18 @@ def part_of(path: Column, positions: dict[str, str] | None = None) -> Column:
     return F.coalesce(*[F.when(c, part) for c, part in cases])
 
 
-def answers(preds: DataFrame) -> DataFrame:
-    """part, file, pred_file, pos, key, ans, state, conf, source and state_conf of samples."""
+def answers(preds: DataFrame, *more: str) -> DataFrame:
+    """model, part, pred_file, pos, key, ans, state, conf, source of samples, and more columns."""
     probe = "diagnostics.prompt_and_encoding_debug"
     clean = F.coalesce(F.col("clean_response"), F.col("clean"))
     chosen = [F.col(f"{probe}.{c}") for c in ("cand_conf_final_letter", "chosen_by_p_cond", "cand_conf_probe.chosen_by_p_cond")]
     preds = preds.withColumn("ans", parse.answer("parsed", ("response_text", clean), chosen, "gen_tokens"))
-    none = F.lit(None).cast("array<struct<verb:string,noun:array<string>>>")
+    switch = F.col("part").startswith("ss")
+    own = ["model", "split", "part", "pred_file", "pos", "key", "ans", *more]
     return preds.select(
-        "part", "file", "pred_file", "pos", "key", "ans", parse.predicted_state("response_text", clean)["state"].alias("state"),
-        parse.choice_confidence(F.col(f"{probe}.cand_conf_probe.p_cond"), "ans", "gen_token_probs").alias("cc"), tokens.token_evidence(F.col("gen_tokens"), F.col("gen_token_probs"), none)["state_prob"].alias("state_conf"),
-    ).select("part", "file", "pred_file", "pos", "key", "ans", "state", F.when(F.col("part").startswith("ss"), F.col("state_conf")).otherwise(F.col("cc.conf")).alias("conf"), F.col("cc.source").alias("source"))
+        *own, parse.predicted_state("response_text", clean)["state"].alias("state"), parse.choice_confidence(F.col(f"{probe}.cand_conf_probe.p_cond"), "ans", "gen_token_probs").alias("cc"),
+        F.when(switch, tokens.state_probability(F.col("gen_tokens"), F.col("gen_token_probs"))).alias("state_conf"),
+    ).select(*own, "state", F.when(switch, F.col("state_conf")).otherwise(F.col("cc.conf")).alias("conf"), F.col("cc.source").alias("source"))
 
 
 def truths(samples: DataFrame) -> DataFrame:
@@ -69,41 +71,96 @@ def truths(samples: DataFrame) -> DataFrame:
     )
 
 
-def leaderboard(spark: SparkSession, pred_root: str, roots: list[str], model: str, split: str = "val", maps: list[tuple[str, str]] = (), positions: dict[str, str] | None = None, allow_missing_confidence: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(table, warnings): one row of model, split and the 40 metrics from the prediction
-    files below pred_root and the question sets below roots.
-
-    A prediction file's question set is found by the references in it; of several files for
-    one question set and part the first by path counts, the others are warned of, as are
-    references that lead nowhere and question files that can't be read.  A sample without
-    an answer stays in the denominator.  A part without files is an error; one of
-    confidences is a warning instead if allow_missing_confidence.
+def place_of(path: Column, root: str, layout: str) -> dict[str, Column]:
+    """The fields of a layout such as ``{model}/{split}``, from a path below root."""
+    below = F.split(F.substr(path, F.lit(len(root) + 2)), "/")
+    return {name.strip("{}"): F.get(below, F.lit(i)) for i, name in enumerate(layout.strip("/").split("/")) if name.startswith("{")}
+
+
+def whole_root(spark: SparkSession, root: str) -> str:
+    """A folder as its files' paths begin, without the scheme of local files."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(str(root))
+    system = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return re.sub("^file:/+", "/", system.makeQualified(folder).toUri().toString())
+
+
+def leaderboards(
+    spark: SparkSession, pred_root: str, roots: list[str], models: list[str] | None = None, splits: list[str] | None = None, layout: str = "{model}/{split}", maps: list[tuple[str, str]] = (),
+    positions: dict[str, str] | None = None, allow_missing_confidence: bool = False, allow_missing: bool = False, labels: dict[str, str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(table, warnings) of all models and splits in one call: a row of model, split and the
+    40 metrics for each, and warnings by model and split.
+
+    Prediction files lie below pred_root in folders by layout, then by task.  Models and
+    splits that are not asked for, and files of no part, are left out by their paths, so
+    they are never opened.  Every other prediction file is read once: what is parsed from
+    its samples, and the references in it, are staged as scalars.  A question file is read
+    only if a reference leads to it.
+
+    Of several files of one model, split and part for one question set the first by path
+    counts, the others are warned of, as are references that lead nowhere and question
+    files that can't be read.  A sample without an answer stays in the denominator.  A part
+    without files is an error; one of confidences is a warning instead if
+    allow_missing_confidence, and any is if allow_missing: its metrics are null.
+    labels: model and split where the layout doesn't name them.
     """
-    preds = files.read_predictions(spark, pred_root).withColumn("pred_file", local(F.col("pred_file"))).withColumn("part", part_of(F.col("pred_file"), positions)).filter("part is not null")
-    text = spark.read.option("recursiveFileLookup", True).text(pred_root, wholetext=True).select(local(F.col("_metadata.file_path")).alias("ref_id"), "value")
-    refs = text.join(preds.select(F.col("pred_file").alias("ref_id")).distinct(), "ref_id", "left_semi").select("ref_id", files.reference_candidates(F.col("value")).alias("candidates"))
+
+    top = whole_root(spark, pred_root)
+
+    def place(path: Column) -> dict[str, Column]:
+        found = place_of(local(path), top, layout) if layout else {}
+        return {c: F.lit((labels or {})[c]) if c in (labels or {}) else found[c] for c in ("model", "split")}
+
+    def wanted(path: Column) -> Column:
+        own, ok = place(path), part_of(local(path), positions).isNotNull()
+        for c, only in (("model", models), ("split", splits)):
+            ok = ok & own[c].isin(*only) if only is not None else ok
+        return ok
+
+    texts = files.prediction_texts(spark, pred_root, wanted).withColumns(place(F.col("pred_file"))).withColumn("pred_file", local(F.col("pred_file")))
+    texts = texts.withColumns({"part": part_of(F.col("pred_file"), positions), "candidates": files.reference_candidates(F.col("value"))})
+    once = F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("candidates"))
+    rows = files.prediction_rows(texts, "model", "split", "part", "candidates").withColumn("candidates", once)
+    rows = scan.staged(answers(rows, "candidates"))
+
+    refs = rows.filter("candidates is not null").select(F.col("pred_file").alias("ref_id"), "candidates")
     listing = reduce(DataFrame.unionByName, [spark.read.format("binaryFile").option("recursiveFileLookup", True).load(r).select(local(F.col("path")).alias("path")) for r in roots])
     found, lost = files.resolve_references(refs, listing.distinct(), [str(r).rstrip("/") for r in roots], maps)
-    preds = preds.join(found.select(F.col("ref_id").alias("pred_file"), F.col("path").alias("file")), "pred_file").withColumn("model", F.col("part"))
-    kept, again = score.first_file(preds)
-    have = {r.part for r in kept.select("part").distinct().collect()}  # at most twelve
-    absent = [p for p in [*FOLDERS, *TIMES] if p not in have]
-    must = [p for p in absent if not (p.endswith("_conf") and allow_missing_confidence)]
-    if must:
-        raise ValueError(f"no prediction files for {', '.join(must)}")
-
-    read = [files.read_interval_json(spark, r) for r in roots]
-    samples = reduce(DataFrame.unionByName, [s for s, _ in read]).withColumn("file", local(F.col("file"))).dropDuplicates(["file", "pos"])
-    bad = reduce(DataFrame.unionByName, [b for _, b in read]).select(local(F.col("file")).alias("file")).distinct()
+    own = rows.drop("candidates").join(found.select(F.col("ref_id").alias("pred_file"), F.col("path").alias("file")), "pred_file")
+    # one run: a model, split and part, which share no prediction
+    run = F.struct("model", "split", "part")
+    kept, again = score.first_file(own.withColumn("model", run).drop("split", "part"))
+    have = {tuple(r) for r in kept.select("model.*").distinct().collect()}  # twelve for each model and split at most
+    parts = [*FOLDERS, *TIMES]
+    runs = {r[:2] for r in have} | ({(labels["model"], labels["split"])} if labels and len(labels) == 2 else set())
+    absent = [(*r, p) for r in sorted(runs) for p in parts if (*r, p) not in have]
+    must = [] if allow_missing else [x for x in absent if not (x[2].endswith("_conf") and allow_missing_confidence)]
+    if must or not runs:
+        raise ValueError(f"no prediction files for {', '.join(x[2] if labels else '/'.join(x) for x in must) or 'any part'}")
+
     used = kept.select("file").distinct()
-    own = answers(kept).withColumnRenamed("part", "model")
-    j = score.official_join(truths(samples.join(used, "file", "left_semi")), own).withColumnRenamed("model", "part")
-    j = j.withColumns({"step": F.when(F.col("part").startswith("ms_pred"), F.col("lead_step")).otherwise(F.col("lag_step")), "model": F.lit(model), "split": F.lit(split)})
+    # as many paths as the listing, which the driver holds anyway, has question sets in use
+    samples, bad = files.read_interval_json(spark, [r.file for r in used.collect()])
+    samples = samples.withColumn("file", local(F.col("file"))).dropDuplicates(["file", "pos"])
+    j = score.official_join(truths(samples), kept).withColumnRenamed("model", "run").select("run.*", "*").drop("run")
+    j = j.withColumn("step", F.when(F.col("part").startswith("ms_pred"), F.col("lead_step")).otherwise(F.col("lag_step")))
     keys = ["model", "split"]
     cells = main_table.cells(j.filter(~F.col("part").startswith("ss")), [*keys, "part", "grp", "step"])
     probes = j.filter(F.col("part").startswith("ss") & F.col("side").isNotNull()).withColumn("position", F.col("part"))
     table = main_table.wide_row(cells, probes, keys, {part: F.col("part") == part for part in FOLDERS})
-    say = lambda df, what, c: df.select(F.lit(what).alias("warning"), F.col(c).alias("file"))
-    warnings = [say(again, "question set already answered by an earlier file", "pred_file"), say(lost, "question set not found", "ref_id"), say(bad.join(used, "file", "left_semi"), "question set not readable", "file")]
-    warnings += [spark.range(1).select(F.lit("no confidence files").alias("warning"), F.lit(p).alias("file")) for p in absent]
-    return table, main_table.union(warnings)
+
+    say = lambda df, what, c: df.select("model", "split", F.lit(what).alias("warning"), F.col(c).alias("file"))
+    where = rows.select("model", "split", F.col("pred_file").alias("ref_id")).distinct()
+    unread = kept.select("model.model", "model.split", "file").distinct().join(bad.select(local(F.col("file")).alias("file")), "file", "left_semi")
+    warnings = [
+        say(again.select("model.model", "model.split", "pred_file"), "question set already answered by an earlier file", "pred_file"), say(lost.join(where, "ref_id"), "question set not found", "ref_id"),
+        say(unread, "question set not readable", "file"),
+        spark.createDataFrame([(m, s, "no confidence files" if p.endswith("_conf") else "no files", p) for m, s, p in absent], "model string, split string, warning string, file string"),
+    ]
+    return table, reduce(DataFrame.unionByName, warnings)
+
+
+def leaderboard(spark: SparkSession, pred_root: str, roots: list[str], model: str, split: str = "val", maps: list[tuple[str, str]] = (), positions: dict[str, str] | None = None, allow_missing_confidence: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(table, warnings) of one model, whose task folders lie in pred_root itself: see
+    leaderboards."""
+    return leaderboards(spark, pred_root, roots, layout="", maps=maps, positions=positions, allow_missing_confidence=allow_missing_confidence, labels={"model": model, "split": split})

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,12 +16,6 @@ COLUMNS = [
 ]
 
 
-def named(df: DataFrame, keys: list[str], metrics: dict) -> DataFrame:
-    """Rows (keys, metric, value) from columns of df; metrics: name or expression -> value."""
-    pairs = F.array(*[F.struct((F.lit(n) if isinstance(n, str) else n).alias("metric"), v.cast("double").alias("value")) for n, v in metrics.items()])
-    return df.select(*keys, F.explode(pairs).alias("x")).select(*keys, "x.*")
-
-
 def cells(joined: DataFrame, keys: list[str]) -> DataFrame:
     """What all metrics but the switch's need, in one pass over the joined samples: counts
     and sums by keys.  A sample without truth letter counts in no accuracy."""
@@ -35,29 +27,6 @@ def cells(joined: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def state_metrics(cells: DataFrame, keys: list[str]) -> DataFrame:
-    n = cells.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
-    return named(n, keys, {"now_rec": score.rate(F.col("tp"), F.col("tp") + F.col("fn")), "now_prec": score.rate(F.col("tp"), F.col("tp") + F.col("fp"))})
-
-
-def accuracy_metric(cells: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Accuracy over all buckets."""
-    n = cells.groupBy(*keys).agg(F.sum("correct").alias("correct"), F.sum("total").alias("total"))
-    return named(n, keys, {name: score.rate(F.col("correct"), F.col("total"))})
-
-
-def bucket_metrics(cells: DataFrame, keys: list[str], bucket: str, prefix: str, average: bool = False) -> DataFrame:
-    """Accuracy and mean confidence of each bucket; average adds the means of the buckets."""
-    n = cells.groupBy(*keys, bucket).agg(*[F.sum(c).alias(c) for c in ("correct", "total", "conf_sum", "conf_n")])
-    n = n.select(*keys, F.concat(F.lit(prefix), F.col(bucket).cast("string")).alias("label"), score.rate(F.col("correct"), F.col("total")).alias("acc"), score.rate(F.col("conf_sum"), F.col("conf_n")).alias("conf"))
-    pair = F.array(*[F.struct(F.concat("label", F.lit(f"_{m}")).alias("metric"), F.col(m).alias("value")) for m in ("acc", "conf")])
-    out = n.select(*keys, F.explode(pair).alias("x")).select(*keys, "x.*")
-    if average:
-        mean = n.groupBy(*keys).agg(F.avg("acc").alias("acc"), F.avg("conf").alias("conf"))
-        out = out.unionByName(named(mean, keys, {prefix.replace("step", f"multi_avg_{m}"): F.col(m) for m in ("acc", "conf")}))
-    return out
-
-
 def switch_metrics(probes: DataFrame, keys: list[str]) -> DataFrame:
     """Success over valid pairs and confidence by position (a column) and direction."""
     got = score.switch_scores(score.switch_pairs(probes, [*keys, "position"]), [*keys, "position"]).filter("pair_type in ('segment_to_gap', 'gap_to_segment')")
@@ -66,15 +35,6 @@ def switch_metrics(probes: DataFrame, keys: list[str]) -> DataFrame:
     return a.unionByName(got.select(*keys, F.concat("position", way, F.lit("_conf")).alias("metric"), F.col("conf").alias("value")))
 
 
-def union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
-def wide(metrics: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """One row per key with all columns; a metric that no row has is null."""
-    return metrics.groupBy(*(keys or ["model"])).pivot("metric", COLUMNS).agg(F.first("value", ignorenulls=True))
-
-
 def wide_row(cells: DataFrame, probes: DataFrame, keys: list[str], at: dict[str, Column]) -> DataFrame:
     """The row of all metrics in one aggregation of the cells and one of the probes.  at:
     which cells each block is from (now_state, now_mcq, sh_pred, sh_pred_conf, ms_pred,

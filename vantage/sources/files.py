@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -15,6 +16,7 @@ from vantage.functions.parse import blank_to_null, found_letter, strip, tag_valu
 
 #: File names that lie among predictions and are none.
 NOT_PREDICTIONS = re.compile(r"(?i)manifest|summary|details|teacher_cache|metrics")
+JSON_NAME = r"\.jsonl?$"
 
 PREDICTION_SCHEMA = """source_queryset string, task string, video_uid string, model_name string, params string, video_metadata struct<queryset_path:string>,
 samples array<struct<idx:variant, sample_id:variant, id:variant, video_uid:string, confidence:string, t_eval:double, prompt:string, response_text:string, clean_response:string, clean:string, raw_response:string, raw:string, parsed:map<string,string>, gen_tokens:array<string>, gen_token_probs:array<double>,
@@ -26,21 +28,75 @@ gt_segment_start double, gt_segment_end double, anchor_idx string, state_switch_
 mcq struct<answer:string, ans:string, answer_idx:int, options:array<string>, option_sources:array<string>>"""
 
 
-def read_predictions(spark: SparkSession, root: str) -> DataFrame:
+def prediction_texts(spark: SparkSession, root: str, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(pred_file, value) of the prediction files below root, each read whole.  keep is a
+    condition on the path; it and the rule on names are checked against the listing, so no
+    other file is opened."""
+    path = F.col("_metadata.file_path")
+    name = F.lower(F.element_at(F.split(path, "/"), -1))
+    wanted = name.rlike(JSON_NAME) & ~name.rlike(NOT_PREDICTIONS.pattern)
+    texts = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
+    return texts.filter(wanted & keep(path) if keep else wanted).select(path.alias("pred_file"), "value")
+
+
+def prediction_rows(texts: DataFrame, *more: str) -> DataFrame:
+    """One row per sample of each text, with pos, key and the columns named by more."""
+    kind = f"struct<{', '.join(x.strip().replace(' ', ':', 1) for x in re.split(r', *(?=[a-z_]+ )', PREDICTION_SCHEMA.replace(chr(10), ' ')))}>"
+    df = texts.withColumn("__o", F.from_json(F.regexp_replace("value", "^\ufeff", ""), kind))
+    top = ["pred_file", *more, *[F.col(f"__o.{c}").alias(c) for c in ("source_queryset", "task", "model_name", "video_metadata")], F.col("__o.video_uid").alias("__video")]
+    rows = df.select(*top, F.posexplode_outer("__o.samples").alias("pos", "s"))
+    rows = rows.select(*[c for c in rows.columns if c not in ("pos", "s")], F.col("pos").cast("long").alias("pos"), "s.*")
+    return rows.withColumn("video_uid", F.coalesce("video_uid", "__video")).drop("__video").withColumn("key", sample_key(F.col("idx"), F.col("pos"), F.col("sample_id"), F.col("id")))
+
+
+def read_predictions(spark: SparkSession, root: str, keep: Callable[[Column], Column] | None = None) -> DataFrame:
     """One row per sample of every prediction file below root, with pred_file and pos."""
-    df = spark.read.schema(PREDICTION_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).json(root)
-    df = df.withColumn("pred_file", F.col("_metadata.file_path"))
-    name = F.lower(F.element_at(F.split("pred_file", "/"), -1))
-    df = df.filter(name.rlike(r"\.jsonl?$") & ~name.rlike(NOT_PREDICTIONS.pattern))
-    top = ["pred_file", "source_queryset", "task", F.col("video_uid").alias("top_video_uid"), "model_name", "video_metadata"]
-    rows = df.select(*top, F.posexplode_outer("samples").alias("pos", "s")).select(*top[:3], "top_video_uid", *top[4:], F.col("pos").cast("long").alias("pos"), "s.*")
-    return rows.withColumn("video_uid", F.coalesce("video_uid", "top_video_uid")).drop("top_video_uid").withColumn("key", sample_key(F.col("idx"), F.col("pos"), F.col("sample_id"), F.col("id")))
+    return prediction_rows(prediction_texts(spark, root, keep))
+
+
+#: The folders that each split stands for.
+SPLITS = {"train": ["train"], "val": ["val"], "all": ["train", "val"]}
+
 
+def split_folders(spark: SparkSession, root: str, split: str) -> dict[str, str]:
+    """The folders below root that hold a split's files, by name; one that lacks is left out."""
+    if split not in SPLITS:
+        raise ValueError(f"no such split: {split}")
+    out = {}
+    for name in SPLITS[split]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{str(root).rstrip('/')}/{name}")
+        if folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder):
+            out[name] = folder.toString()
+    return out
 
-def read_interval_json(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+
+def question_files(spark: SparkSession, root: str, split: str) -> DataFrame:
+    """(path, split, length) of the question files of a split below root: only the split's
+    folders are listed, and no file is opened."""
+    out = [spark.createDataFrame([], "path string, split string, length long")]
+    for name, folder in split_folders(spark, root, split).items():
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+        out.append(found.filter(F.lower("path").rlike(JSON_NAME)).select("path", F.lit(name).alias("split"), "length"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def read_split(spark: SparkSession, root: str, split: str) -> tuple[DataFrame, DataFrame]:
+    """(samples, bad files) of a split's question files, with split; intervals that hold no
+    sample give no row, and other splits' files are not opened."""
+    read = {name: read_interval_json(spark, folder) for name, folder in split_folders(spark, root, split).items()} or {split: read_interval_json(spark, [])}
+    parts = [[df.withColumn("split", F.lit(name)) for df in pair] for name, pair in read.items()]
+    samples, bad = (reduce(DataFrame.unionByName, x) for x in zip(*parts, strict=True))
+    return samples, bad.filter(F.lower("file").rlike(JSON_NAME))
+
+
+def read_interval_json(spark: SparkSession, root: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """(samples, bad files) of files that hold one object, also as a list of one or with a
-    byte order mark.  A file with several records, or none, is bad."""
-    raw = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
+    byte order mark.  A file with several records, or none, is bad.  root: folders, or
+    single files."""
+    if root:
+        raw = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
+    else:
+        raw = spark.createDataFrame([], "value string, file string")
     body = strip(F.regexp_replace("value", "^﻿", ""))
     # within brackets several records that follow one another are no JSON
     v = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
@@ -54,13 +110,6 @@ def read_interval_json(spark: SparkSession, root: str) -> tuple[DataFrame, DataF
     return rows.withColumn("key", sample_key(F.col("idx"), F.col("pos"), F.col("sample_id"), F.col("id"))), got.filter("one is null").select("file")
 
 
-def of_split(rows: DataFrame, split: str, column: str = "file") -> DataFrame:
-    """Rows of files below a folder named after the split (train, val or all), without
-    intervals that hold no sample."""
-    rows = rows.filter(F.col("pos").isNotNull()) if "pos" in rows.columns else rows
-    return rows if split == "all" else rows.filter(F.array_contains(F.split(column, "/"), split))
-
-
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
     """Lines of JSON; a bad line fails the read, or is kept in _corrupt_record."""
     if strict:
