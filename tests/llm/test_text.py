@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vantage.llm import jaccard, lm, media, pieces, secret_scan, toxicity
+from vantage.llm import jaccard, lm, media, mixing, pieces, secret_scan, toxicity
 from vantage.llm.common import words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -418,3 +418,28 @@ def test_lm_learns_order_that_pairs_do_not_show(spark):
     model.w["v"] = model.w["v"] * 0
     model.table()
     assert whole < 0.8 * bits() and whole < 0.6 * single
+
+
+def test_coverage_takes_words_of_any_length():
+    know = secret_scan.Knowledge({"internationalization", "inter", "nation", "abc", "abcdefghijklmnop"}, np.ones((128, 128)))
+    assert know.coverage("internationalization") == 1.0 and know.coverage("Internationxxx") == 11 / 14
+    assert know.coverage("abcdefghijklmnoxabc") == 6 / 19 and know.coverage("abcdefghijklmnopabc") == 1.0 and know.coverage("") == 0.0
+
+    def plain(value):
+        low, i, covered = value.lower(), 0, 0
+        while i < len(low):
+            hits = [n for n in range(3, len(low) - i + 1) if low[i : i + n] in know.dictionary]
+            covered, i = covered + max(hits, default=0), i + max(hits, default=1)
+        return covered / len(low)
+
+    r = random.Random(4)
+    for _ in range(300):
+        value = "".join(r.choice(["inter", "nation", "abc", "abcdefg", "hijklmnop", "alization", "x", "7"]) for _ in range(r.randint(1, 9)))
+        assert know.coverage(value) == plain(value)
+
+
+def test_rows_without_ids_are_drawn_by_text(spark):
+    rows = [(None, f"word{i} " * 50, "a", "y", 1) for i in range(400)] + [(i, "other " * 5, "a", "x", 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    done = mixing.mix(docs).filter("doc_id is null").agg(F.count_if("m_kept").alias("kept"), F.avg("m_prob").alias("prob")).first()
+    assert 0.2 < done.prob < 0.9 and abs(done.kept / 400 - done.prob) < 0.1

@@ -186,7 +186,7 @@ def mix(docs: DataFrame, goal: dict[str, DataFrame] | None = None, rounds: int =
     to weight over tokens of its cell, scaled so that the largest is 1: no document is
     repeated, and expected sampled tokens have the target marginals.  A document is kept
     when a seeded hash of its doc_id falls below its probability, so rows of one doc_id in
-    one cell are kept or dropped together, as are all rows with a null doc_id.  Sums are
+    one cell are kept or dropped together; a row without a doc_id is drawn by its text.  Sums are
     taken with partial aggregation, so a hot source is no hot task.
 
     goal has a table (key, target) for each dimension; targets are scaled to add to 1 over
@@ -206,5 +206,6 @@ def mix(docs: DataFrame, goal: dict[str, DataFrame] | None = None, rounds: int =
     rates = weights.crossJoin(F.broadcast(top)).select(*DIMS, F.round("weight", 12).alias("m_weight"), prob.alias("m_prob"))
     out = rows.join(F.broadcast(rates) if small else rates, list(DIMS), "left")
     out = out.withColumns({c: F.coalesce(F.when(F.col("m_tokens") > 0, F.col(c)), F.lit(0.0)) for c in ("m_weight", "m_prob")})
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) / F.lit(float(1 << 53))
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), "text")).otherwise(F.xxhash64(F.lit(seed), "doc_id"))
+    draw = F.shiftrightunsigned(own, 11) / F.lit(float(1 << 53))
     return out.withColumn("m_kept", draw < F.col("m_prob"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import pickle
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -35,7 +34,7 @@ _KIND = np.array([0 if chr(i).isdigit() else 1 if chr(i).isupper() else 2 if chr
 _HEX = np.array([chr(i) in "0123456789abcdefABCDEF" for i in range(128)])
 #: Words whose assigned value a labelling rule takes for a secret.
 KEYWORDS = ("token", "password", "passwd", "secret", "api_key", "apikey", "access_key", "auth")
-FEATURES = ("length", "transitions", "digits", "capitals", "hex", "entropy", "bigrams", "coverage", "assigned", "quoted", "before", "after", "path", "path_odds")
+FEATURES = ("length", "transitions", "digits", "capitals", "hex", "entropy", "bigrams", "coverage", "assigned", "quoted", "before", "after", "path")
 
 
 def candidates(text: str):
@@ -67,6 +66,10 @@ class Knowledge:
 
     def __init__(self, dictionary: set[str], pairs: np.ndarray):
         self.dictionary = dictionary
+        #: lengths of words, longest first, by their first three letters
+        self.lengths: dict[str, list[int]] = {}
+        for head, n in sorted({(w[:3], len(w)) for w in dictionary}, key=lambda x: (x[0], -x[1])):
+            self.lengths.setdefault(head, []).append(n)
         self.pairs = np.log((pairs + 0.5) / (pairs.sum() + 1)).astype(np.float32)
         self.odds: dict[tuple[str, str], tuple[int, int]] = {}
         self.totals = (1, 1)
@@ -85,15 +88,13 @@ class Knowledge:
         return float(np.log((n1 + self.totals[1] / t) / self.totals[1]) - np.log((n0 + self.totals[0] / t) / self.totals[0]))
 
     def coverage(self, value: str) -> float:
+        """The share of characters in dictionary words of any length, taken from the left,
+        the longest word at each place first."""
         low, covered, i = value.lower(), 0, 0
         while i < len(low):
-            for n in range(min(12, len(low) - i), 2, -1):
-                if low[i : i + n] in self.dictionary:
-                    covered += n
-                    i += n
-                    break
-            else:
-                i += 1
+            n = next((n for n in self.lengths.get(low[i : i + 3], ()) if i + n <= len(low) and low[i : i + n] in self.dictionary), 0)
+            covered += n
+            i += n or 1
         return covered / max(1, len(low))
 
     def features(self, f: tuple, own: int | None = None) -> list[float]:
@@ -109,7 +110,7 @@ class Knowledge:
             float(_HEX[raw].all()), float(-(counts * np.log2(counts)).sum()),
             float(self.pairs[low[:-1], low[1:]].sum(dtype=np.float64)) / max(1, n - 1), self.coverage(value),
             float(assigned), float(quoted), self.odd(("before", before), own), self.odd(("after", after), own),
-            zlib.crc32(path.encode("utf-8", "replace")) % 64, self.odd(("path", path), own),
+            self.odd(("path", path), own),
         ]
 
 
@@ -294,8 +295,10 @@ def scan(docs: DataFrame, path: str = "source", threshold: float = 0.5, findings
     secrets masked.
 
     Whole texts are scanned; each candidate, as a whole, is judged by length, character
-    transitions, dictionary coverage, path and neighbouring words.  Dictionary and letter
-    pairs are counted over all documents.  The forest learns from labelled findings: those
+    transitions, dictionary coverage (words of any length), path (the odds of its labels) and
+    neighbouring words, of which the 40 nearest characters are read.  Candidates are runs of
+    12 or more token characters that hold a digit, or of 16 or more capitals: a password of
+    letters alone is none.  Dictionary and letter pairs are counted over all documents.  The forest learns from labelled findings: those
     of findings (doc_id, start, label 0 or 1), or, where no such table is given, those that
     rules label; of a bounded sample (MAX_DOCS, MAX_FINDINGS, MAX_BYTES; texts of at most
     MAX_TEXT bytes).  A null text stays null with no findings; a null path is empty; a null
