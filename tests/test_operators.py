@@ -141,6 +141,24 @@ def test_frames(spark):
     assert f(2, 5.9, 100, 8) == [2, 3, 4, 5] and f(0, 9, 100, 4) == [0, 2, 5, 7] and f(50, 60, 10, 4) == [9]
 
 
+def test_region_rows_by_block(spark):
+    r = random.Random(2)
+    rows = [(v, f, line, "norm", [[f / 100, r.random(), 0.5, 0.5]], None if f % 7 == 0 else (0.1, f / 100, None)) for v in "ab" for line, f in enumerate(r.choices(range(30), k=45))]
+    df = spark.createDataFrame(rows, "video string, frame_idx int, line_no int, coord string, boxes array<array<double>>, gaze struct<x:double,y:double,r:double>")
+    picks = [(i, r.choice(["a", "b", "c", None]), sorted(r.sample(range(34), r.randint(0, 6)))) for i in range(40)]
+    s = spark.createDataFrame(picks, "sample_id int, video string, frames array<int>")
+    last = {(x[0], x[1]): x for x in rows}
+    for gaze in (None, {"x": 0.2, "y": 0.3, "r": 7}):
+        got = {x.sample_id: x.rois for x in roi.roi_join(s, df, ["video"], gaze=gaze, size=4).collect()}
+        for i, v, frames in picks:
+            want = []
+            for at, f in enumerate(frames):
+                x = last.get((v, f))
+                circle = (0.2, 0.3, 0.5) if gaze else (x[5][0], x[5][1], 0.12) if x and x[5] else None
+                want.append((at, f, "norm", x[4] if x else [], circle))
+            assert [(y.at, y.frame_idx, y.coord, y.boxes, tuple(y.gaze) if y.gaze else None) for y in got[i] or []] == want
+
+
 def test_manifest_scrub(spark):
     payload = {"assets": {"interval_clip_path": "/home/x", "a": ["/data/y", "z"]}, "keep": 1}
     row = manifest.sanitize(spark.createDataFrame([("t", json.dumps(payload))], "task string, payload string")).first()

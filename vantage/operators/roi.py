@@ -18,18 +18,40 @@ def frames_1fps(start: Column, end: Column, n: Column, most: int) -> Column:
     return F.when(size <= most, every).otherwise(F.array_distinct(some))
 
 
-def roi_join(samples: DataFrame, rows: DataFrame, keys: list[str], radius: float = 0.12, gaze: dict | None = None) -> DataFrame:
+#: Neighbouring frames of a video whose rows are packed together.
+FRAMES = 64
+
+
+def packed(rows: DataFrame, keys: list[str], size: int = FRAMES) -> DataFrame:
+    """(keys, block, frames): rows of size neighbouring frames as a map from the frame's
+    number to its row.  Of rows with one frame number the last line holds."""
+    last = rows.groupBy(*keys, "frame_idx").agg(F.max_by(F.struct("coord", "boxes", "gaze"), "line_no").alias("row"))
+    block = F.floor(F.col("frame_idx") / size).alias("block")
+    return last.filter("frame_idx is not null").groupBy(*keys, block).agg(F.map_from_entries(F.collect_list(F.struct("frame_idx", "row"))).alias("packed"))
+
+
+def roi_join(samples: DataFrame, rows: DataFrame, keys: list[str], radius: float = 0.12, gaze: dict | None = None, size: int = FRAMES) -> DataFrame:
     """Samples with rois, one struct per frame in frame order; a frame without a row gets
     empty boxes.  Of rows with one frame number the last line holds.  gaze overrides the
-    circle: {"x", "y", "r"} in the frame's coordinates, its radius within 1e-6 and 0.5."""
-    last = rows.groupBy(*keys, "frame_idx").agg(F.max_by(F.struct("coord", "boxes", "gaze"), "line_no").alias("row"))
-    wide = samples.select("sample_id", *keys, F.posexplode("frames").alias("at", "frame_idx"))
-    got = wide.join(last, [*keys, "frame_idx"], "left")
-    circle = F.struct(F.col("row.gaze.x").alias("x"), F.col("row.gaze.y").alias("y"), F.coalesce(F.col("row.gaze.r"), F.lit(radius)).alias("r"))
-    if gaze:
-        circle = F.struct(*[F.lit(float(gaze[c])).alias(c) for c in "xy"], F.lit(min(0.5, max(1e-6, float(gaze.get("r", radius))))).alias("r"))
-    roi = F.struct("at", "frame_idx", F.coalesce("row.coord", F.lit("norm")).alias("coord"), F.coalesce("row.boxes", F.array().cast("array<array<double>>")).alias("boxes"), F.when(F.col("row.gaze").isNotNull() | F.lit(bool(gaze)), circle).alias("gaze"))
-    rois = got.groupBy("sample_id").agg(F.array_sort(F.collect_list(roi)).alias("rois"))
+    circle: {"x", "y", "r"} in the frame's coordinates, its radius within 1e-6 and 0.5.
+
+    Rows are packed by video and block of frames, so a sample joins the few blocks that its
+    frames lie in and picks them there; a long video is many blocks, so none is hot.
+    """
+    block_of = lambda f: F.floor(f / size)
+    wide = samples.select("sample_id", *keys, "frames", F.explode(F.array_distinct(F.transform("frames", block_of))).alias("block"))
+    got = wide.join(packed(rows, keys, size), [*keys, "block"], "left")
+
+    def roi(at, frame, row):
+        circle = F.struct(row["gaze"]["x"].alias("x"), row["gaze"]["y"].alias("y"), F.coalesce(row["gaze"]["r"], F.lit(radius)).alias("r"))
+        if gaze:
+            circle = F.struct(*[F.lit(float(gaze[c])).alias(c) for c in "xy"], F.lit(min(0.5, max(1e-6, float(gaze.get("r", radius))))).alias("r"))
+        boxes = F.coalesce(row["boxes"], F.array().cast("array<array<double>>"))
+        return F.struct(at.alias("at"), frame.alias("frame_idx"), F.coalesce(row["coord"], F.lit("norm")).alias("coord"), boxes.alias("boxes"), F.when(row["gaze"].isNotNull() | F.lit(bool(gaze)), circle).alias("gaze"))
+
+    here = F.filter(F.transform("frames", lambda f, i: F.struct(i.alias("at"), f.alias("f"))), lambda x: block_of(x["f"]) == F.col("block"))
+    part = F.transform(here, lambda x: roi(x["at"], x["f"], F.try_element_at("packed", x["f"])))
+    rois = got.select("sample_id", part.alias("part")).groupBy("sample_id").agg(F.array_sort(F.flatten(F.collect_list("part"))).alias("rois"))
     return samples.join(rois, "sample_id", "left")
 
 

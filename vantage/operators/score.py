@@ -199,7 +199,7 @@ def confidence_trend(groups: DataFrame, keys: list[str], flat: str = "drop", blo
     std = F.sqrt((F.pow(F.col("c0") - mean, F.lit(2)) + F.pow(F.col("c1") - mean, F.lit(2)) + F.pow(F.col("c2") - mean, F.lit(2))) / 3)
     slope = (F.col("c2") - F.col("c0")) / 2
     z = F.when(std > 1e-12, slope / std).otherwise(F.lit(0.0) if flat == "zero" else F.lit(None))
-    got = complete(groups).withColumns({"slope": slope, "zslope": z})
+    got = scan.staged(complete(groups).withColumns({"slope": slope, "zslope": z}).select(*keys, "slope", "zslope"))
     aggs = [F.count(F.lit(1)).alias("groups")]
     for c in ("slope", "zslope"):
         aggs += [F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std"), F.avg((F.col(c) < 0).cast("double")).alias(f"{c}_negative")]

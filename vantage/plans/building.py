@@ -201,7 +201,7 @@ def narration_nouns(spark, sf_dir):
     return got.select("narr_id", "how", F.coalesce(F.col("term_id").cast("string"), "phrase").alias("noun"))
 
 
-def open_ended(spark, sf_dir):
+def worded(spark, sf_dir):
     """Verb and noun answers written from the truth, some of them wrong or missing."""
     from vantage.plans import scoring
 
@@ -212,7 +212,11 @@ def open_ended(spark, sf_dir):
     gold = F.array(F.lit("hold"), F.lit("grip"))
     j = j.withColumn("verb_ok", F.coalesce(taxonomy.verb_match("pred_verb", gold, vocab), F.lit(False)))
     j = j.withColumn("noun_ok", F.coalesce(taxonomy.noun_match("pred_noun", F.array(F.lit("ring"), F.lit("band")), F.array(F.lit("ring"), F.lit("cup"))), F.lit(False)))
-    return score.open_ended(j, ["model"])
+    return j
+
+
+def open_ended(spark, sf_dir):
+    return score.open_ended(worded(spark, sf_dir), ["model"])
 
 
 def roi_frames(spark, sf_dir):
@@ -224,6 +228,26 @@ def roi_frames(spark, sf_dir):
     return got.select(F.col("sample_id").alias("event_id"), F.size("frames").cast("long").alias("n_frames"), F.element_at("frames", -1).cast("long").alias("last_frame"), F.size(F.filter("rois", lambda r: F.size(r["boxes"]) > 0)).cast("long").alias("with_boxes"))
 
 
+def roi_boxes(spark, sf_dir):
+    """Boxes that differ by frame, some frames written twice, and a circle that is overridden."""
+    s = derived.samples(spark, sf_dir).select("event_id", F.col("file").alias("video"), "k")
+    s = s.withColumn("frames", roi.frames_1fps((F.col("k") / 2.0), F.col("k") + 0.5, F.lit(90), 8)).withColumnRenamed("event_id", "sample_id")
+    have = derived.samples(spark, sf_dir).filter("pos < 90").select(F.col("file").alias("video"), F.col("pos").alias("frame_idx"), F.explode(F.array(F.lit(0), F.lit(1))).alias("line_no"))
+    x = (F.col("frame_idx") * 2 + F.col("line_no")) / 200.0
+    rows = have.filter("line_no = 0 or frame_idx % 5 = 0").withColumns({
+        "coord": F.lit("norm"), "boxes": F.array(F.array(x, F.lit(0.1), F.lit(0.2), F.lit(0.2))), "gaze": F.struct(x.alias("x"), F.lit(0.5).alias("y"), F.lit(None).cast("double").alias("r")),
+    })
+    xs = F.transform(F.filter("rois", lambda r: F.size(r["boxes"]) > 0), lambda r: F.element_at(F.element_at(r["boxes"], 1), 1))
+    own = roi.roi_join(s, rows, ["video"]).select("sample_id", F.aggregate(xs, F.lit(0.0), lambda a, v: a + v).alias("x_sum"), F.try_element_at(xs, F.lit(-1)).alias("x_last"), F.try_element_at("rois", F.lit(1))["gaze"]["r"].alias("radius"))
+    fixed = roi.roi_join(s, rows, ["video"], gaze={"x": 0.25, "y": 0.75, "r": 0.9}).select("sample_id", F.element_at("rois", -1)["gaze"].alias("g"))
+    return own.join(fixed, "sample_id").select(F.col("sample_id").alias("event_id"), F.round("x_sum", 6).alias("x_sum"), "x_last", "radius", F.col("g.x").alias("gaze_x"), F.col("g.r").alias("gaze_r"))
+
+
+def open_ended_words(spark, sf_dir):
+    """Verb and noun answers without states: only the words decide, over all samples."""
+    return score.open_ended(worded(spark, sf_dir), ["model"], with_state=False)
+
+
 def roi_violations(spark, sf_dir):
     rows = derived.samples(spark, sf_dir).select("event_id", F.when(F.col("k") % 10 == 0, "pixel").otherwise("norm").alias("coord"), F.array(F.when(F.col("k") % 10 == 1, F.array(F.lit(0.1))).otherwise(F.array(F.lit(0.1), F.lit(0.1), F.lit(0.2), F.when(F.col("k") % 10 == 2, 1.5).otherwise(1.0)))).alias("boxes"),
         F.struct(F.when(F.col("k") % 10 == 3, -0.1).otherwise(0.5).alias("x"), F.lit(1.0).alias("y")).alias("gaze"))
@@ -360,7 +384,7 @@ _NAMES = "SELECT p_partkey AS id, lower(replace(p_name, ' ', '_')) AS base, lowe
 QUERIES = {
     f.__name__: f
     for f in (usable_samples, canonical_order, dedupe_by_time, keep_k_of_n, thin_exact, anchor_islands, target_cutoff, answerable, scheduled_time, windows, attach_options, render_prompts, memory_windows,
-              caption_reuse, probe_pairs, neighbour_counts, positions, match_nearest, option_fallback, judge_cache, taxonomy_variants, narration_nouns, open_ended, roi_frames, roi_violations, roi_paths, token_evidence,
+              caption_reuse, probe_pairs, neighbour_counts, positions, match_nearest, option_fallback, judge_cache, taxonomy_variants, narration_nouns, open_ended, open_ended_words, roi_frames, roi_boxes, roi_violations, roi_paths, token_evidence,
               choice_distribution, tags, response_audit, option_words, stated_confidence_by_source, sanitize_manifest, usable_manifest, run_log, pending_work, index_by_triplet, resolve_references, normalized_predictions)
 }
 
@@ -427,6 +451,15 @@ ORACLE = {
         h AS (SELECT event_id, file, CASE WHEN n <= 8 THEN range(a, greatest(b, a) + 1) ELSE list_transform(range(8), lambda i: a + i * n // 8) END AS fr FROM g),
         c AS (SELECT file, count(*) AS m FROM s WHERE pos < 90 GROUP BY 1)
         SELECT event_id, len(fr) AS n_frames, fr[-1] AS last_frame, len(list_filter(fr, lambda i: i < c.m)) AS with_boxes FROM h JOIN c USING (file)""",
+    "open_ended_words": B + """, z AS (SELECT *, event_id % 5 AS q, answered AND event_id % 5 <> 0 AS vok, answered AND event_id % 5 NOT IN (2, 3) AS nok FROM x),
+        n AS (SELECT model, count(*) AS total, count(*) AS state_right, count(*) FILTER (vok) AS verb, count(*) FILTER (nok) AS noun, count(*) FILTER (vok AND nok) AS pair, count(*) FILTER (NOT answered) AS verb_missing,
+        count(*) FILTER (NOT answered OR q = 3) AS noun_missing FROM z GROUP BY 1)
+        SELECT *, verb / total AS verb_acc, noun / total AS noun_acc, pair / total AS pair_acc, verb / state_right AS verb_acc_given_state, noun / state_right AS noun_acc_given_state, pair / state_right AS pair_acc_given_state FROM n""",
+    "roi_boxes": B + """, f AS (SELECT event_id, file, least(k // 2, 89) AS a, least(k, 89) AS b FROM s), g AS (SELECT *, greatest(b, a) - a + 1 AS n FROM f),
+        h AS (SELECT event_id, file, CASE WHEN n <= 8 THEN range(a, greatest(b, a) + 1) ELSE list_transform(range(8), lambda i: a + i * n // 8) END AS fr FROM g),
+        c AS (SELECT file, count(*) AS m FROM s WHERE pos < 90 GROUP BY 1),
+        v AS (SELECT event_id, fr, m, list_transform(list_filter(fr, lambda i: i < m), lambda i: (i * 2 + CASE WHEN i % 5 = 0 THEN 1 ELSE 0 END) / 200.0) AS xs FROM h JOIN c USING (file))
+        SELECT event_id, round(coalesce(list_sum(xs), 0), 6) AS x_sum, xs[-1] AS x_last, CASE WHEN fr[1] < m THEN 0.12::DOUBLE END AS radius, 0.25::DOUBLE AS gaze_x, 0.5::DOUBLE AS gaze_r FROM v""",
     "roi_violations": B + """, z AS (SELECT CASE k % 10 WHEN 0 THEN 'coord' WHEN 1 THEN 'box_size' WHEN 2 THEN 'box_range' WHEN 3 THEN 'gaze_range' END AS fault FROM s) SELECT fault, count(*) AS n FROM z WHERE fault IS NOT NULL GROUP BY 1""",
     "roi_paths": "SELECT page_id, CASE WHEN page_id % 3 = 1 THEN 'b/' WHEN page_id % 2 = 1 THEN 'c/' ELSE 'a/' END || page_id || '.jsonl' AS resolved FROM pages",
     "token_evidence": B + """, z AS (SELECT model, ans, event_id % 5 AS way, form = 0 AND kk <> 8 AS has_tag, CASE WHEN form = 0 AND kk <> 8 THEN 'tag' ELSE 'clean' END AS text FROM x WHERE answered),

@@ -87,6 +87,13 @@ def confidence_trend(spark, sf_dir):
     return out.select("model", "groups", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
 
 
+def confidence_trend_flat(spark, sf_dir):
+    """Groups without variance count as flat; the confidences are cut to fifths, so many are."""
+    g = groups(spark, sf_dir).withColumns({c: F.floor(F.col(c) * 5) / 5 for c in ("c0", "c1", "c2")})
+    out = score.confidence_trend(g, ["model"], flat="zero")
+    return out.select("model", "groups", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
+
+
 def confusion_matrix(spark, sf_dir):
     return score.confusion(joined(spark, sf_dir).filter("state in ('INTERACTION', 'NO_INTERACTION')"), ["model"], ["INTERACTION", "NO_INTERACTION"])
 
@@ -138,7 +145,7 @@ h AS (SELECT *, (c2 - c0) / 2 AS sl, sqrt((pow(c0 - (c0 + c1 + c2) / 3, 2) + pow
 QUERIES = {
     f.__name__: f
     for f in (score_accuracy, score_accuracy_by_step, state_scores, confidence_by_bucket, switch_pairs, switch_point_types, source_stats, confidence_by_outcome, overlapping_groups,
-              monotonic_confidence, confidence_trend, confusion_matrix, observed_steps, first_correct, legacy_join, answer_modes, main_table)
+              monotonic_confidence, confidence_trend, confidence_trend_flat, confusion_matrix, observed_steps, first_correct, legacy_join, answer_modes, main_table)
 }
 
 _ROT = "['gt', 'prev', 'future', 'absurd'][(((ascii({c}) - 65 - event_id) % 4 + 4) % 4 + 1)::INT]"
@@ -198,6 +205,10 @@ ORACLE = {
         count(*) FILTER (c0 >= c1 - 1e-6) / count(*) AS frac_n01, count(*) FILTER (c1 >= c2 - 1e-6) / count(*) AS frac_n12, count(*) FILTER (c0 >= c1 - 1e-6 AND c1 >= c2 - 1e-6) / count(*) AS frac_n012 FROM h GROUP BY 1""",
     "confidence_trend": J + G + """, z AS (SELECT model, sl AS slope, CASE WHEN sd > 1e-12 THEN sl / sd END AS zslope FROM h)
         SELECT model, count(*) AS "groups", """ + ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(median({c}), 6) AS {c}_median, round(stddev_pop({c}), 6) AS {c}_std, round(avg(({c} < 0)::INT), 6) AS {c}_negative" for c in ("slope", "zslope")) + " FROM z GROUP BY 1",
+    "confidence_trend_flat": J + G + """, q AS (SELECT model, floor(c0 * 5) / 5 AS c0, floor(c1 * 5) / 5 AS c1, floor(c2 * 5) / 5 AS c2 FROM g WHERE ok0 AND ok1 AND ok2 AND c0 IS NOT NULL AND c1 IS NOT NULL AND c2 IS NOT NULL),
+        w AS (SELECT model, (c2 - c0) / 2 AS slope, sqrt((pow(c0 - (c0 + c1 + c2) / 3, 2) + pow(c1 - (c0 + c1 + c2) / 3, 2) + pow(c2 - (c0 + c1 + c2) / 3, 2)) / 3) AS sd FROM q),
+        z AS (SELECT model, slope, CASE WHEN sd > 1e-12 THEN slope / sd ELSE 0 END AS zslope FROM w)
+        SELECT model, count(*) AS "groups", """ + ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(median({c}), 6) AS {c}_median, round(stddev_pop({c}), 6) AS {c}_std, round(avg(({c} < 0)::INT), 6) AS {c}_negative" for c in ("slope", "zslope")) + " FROM z GROUP BY 1",
     "confusion_matrix": J + """ SELECT model, true_state, count(*) FILTER (state = 'INTERACTION') AS "INTERACTION", count(*) FILTER (state = 'NO_INTERACTION') AS "NO_INTERACTION" FROM x WHERE true_state <> 'UNKNOWN' AND state <> 'INVALID' GROUP BY 1, 2""",
     "observed_steps": J + """, z AS (SELECT DISTINCT step, (k % 4 + 1) * 8 AS v FROM s) SELECT step, string_agg(v::VARCHAR, ';' ORDER BY v) AS observed FROM z GROUP BY 1""",
     "first_correct": J + """ SELECT model, true_state, file, key FROM x WHERE ans = truth AND true_state <> 'UNKNOWN' QUALIFY row_number() OVER (PARTITION BY model, true_state ORDER BY file, pos) <= 5""",
