@@ -226,6 +226,30 @@ def test_splits(spark, tmp_path):
         files.read_split(spark, str(tmp_path), "test")
 
 
+def test_json_lines_are_numbered_across_splits(spark, tmp_path):
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        lines = [json.dumps({"a": i, "b": "x" * (i % 40)}) if i % 9 else "  " for i in range(200)]
+        (tmp_path / "in").mkdir()
+        (tmp_path / "in/one.jsonl").write_text("\n".join(lines))
+        (tmp_path / "in/two.jsonl").write_text('{"a": 7}\n')
+        assert files.numbered_lines(spark, str(tmp_path / "in")).rdd.getNumPartitions() > 10
+        got = files.read_jsonl(spark, str(tmp_path / "in"), "a long, b string").collect()
+        assert sorted((r.line_no, r.a) for r in got if r.file.endswith("one.jsonl")) == [(i + 1, i) for i in range(200) if i % 9]
+        assert [(r.line_no, r.a, r.b) for r in got if r.file.endswith("two.jsonl")] == [(1, 7, None)]
+        lines[150] = '{"a": 1'
+        (tmp_path / "in/one.jsonl").write_text("\n".join(lines))
+        loose = files.read_jsonl(spark, str(tmp_path / "in"), "a long, b string", strict=False)
+        assert [(r.line_no, r._corrupt_record) for r in loose.filter("_corrupt_record is not null").collect()] == [(151, '{"a": 1')]
+        with pytest.raises(Exception, match="one.jsonl, line 151"):
+            files.read_jsonl(spark, str(tmp_path / "in"), "a long, b string").collect()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a|b", (1.5, [1, 2]), None)], "name string, m struct<x:double,y:array<int>>, z double")
     flat = sinks.flatten(df)

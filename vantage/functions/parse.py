@@ -273,21 +273,25 @@ def now_schema(prompt) -> Column:
 def response_fault(schema, candidates, text, options, subkind=None) -> Column:
     """First reason why a response is not well formed, null if it is.
 
-    schema: pred, past, now_full, now_state_only or now_action_mcq; candidates: whether the
-    answer is one of options (map of letter -> struct with verb, noun); subkind: names such
-    as ms_pred_cand with rules of their own."""
+    schema: pred, past, now_full, now_state_only or now_action_mcq, or a column of these;
+    candidates: whether the answer is one of options (map of letter -> struct with verb,
+    noun), as a truth value or column; subkind: names such as ms_pred_cand with rules of
+    their own.  Where schema or candidates is one value, only its rules are built."""
+    fixed = schema if isinstance(schema, str) and schema in AUDIT_TAGS else None
+    kinds = [fixed] if fixed else list(AUDIT_TAGS)
+    schema, candidates = F.lit(fixed) if fixed else lit_or_col(schema), F.lit(candidates) if isinstance(candidates, bool) else lit_or_col(candidates)
     t = strip(F.coalesce(lit_or_col(text), F.lit("")))
     sub = F.coalesce(lit_or_col(subkind), F.lit("")) if subkind is not None else F.lit("")
     held = {tag: F.coalesce(tag_value(t, tag), F.lit("")).alias(tag.lower()) for tag in ("STATE", "ANS", "VERB", "NOUN", "DESC")}
-    all_tags = sorted({tag for tags in AUDIT_TAGS.values() for tag in tags} | {"ANS"})
+    all_tags = sorted({tag for kind in kinds for tag in AUDIT_TAGS[kind]} | {"ANS"})
     both = lambda x, tag: F.contains(x["up"], F.lit(f"<{tag}>")) & F.contains(x["up"], F.lit(f"</{tag}>"))
 
     def fault(x):
         """From the text, its tags' values and the option that its answer names."""
         kind, cand, own, ans = x["kind"], x["cand"], x["own"], F.upper(x["ans"])
         out = F.when(x["t"] == "", "empty").when(x["t"].rlike(r"(?i)<(NOW|PAST|FUTURE)>\s*\[[^\]]+\]\s*</\1>"), "bracket_numbers_inside_root")
-        for name, tags in AUDIT_TAGS.items():
-            root, mine = AUDIT_ROOTS[name], kind == name
+        for name in kinds:
+            root, mine, tags = AUDIT_ROOTS[name], F.lit(True) if fixed else kind == name, AUDIT_TAGS[name]
             lacking = F.arrays_overlap(x["lacking"], F.array(*map(F.lit, tags)))
             if not name.startswith("now"):
                 lacking = lacking | (cand & F.array_contains(x["lacking"], "ANS"))
@@ -297,7 +301,8 @@ def response_fault(schema, candidates, text, options, subkind=None) -> Column:
         nothing = (F.lower(own["verb"]) == "none") | (F.lower(own["noun"]) == "none")
         wanted = F.when(nothing, "YOU do nothing").otherwise(F.concat(F.lit("YOU "), own["verb"], F.lit(" "), own["noun"]))
         described = cand & (kind != "now_action_mcq")
-        out = out.when(state & (x["state"] == ""), "missing_state_value").when(state & ~F.upper(x["state"]).isin(*STATES), "state_not_in_enum")
+        if {"now_full", "now_state_only"} & set(kinds):
+            out = out.when(state & (x["state"] == ""), "missing_state_value").when(state & ~F.upper(x["state"]).isin(*STATES), "state_not_in_enum")
         out = out.when((x["sub"] == "ms_rtrv_open") & x["t"].rlike(r"[\[\]]"), "ms_rtrv_open_contains_brackets")
         out = out.when(cand & F.lower(x["t"]).rlike("|".join(PLACEHOLDERS)), "contains_placeholders").when(cand & (ans == ""), "missing_ans")
         out = out.when(cand & ~ans.rlike("^[A-D]"), "bad_ans_letter").when(cand & own.isNull(), "ans_not_in_options")
@@ -305,7 +310,7 @@ def response_fault(schema, candidates, text, options, subkind=None) -> Column:
         out = out.when(described & (x["desc"] == ""), "missing_desc").when(described & (calm(x["desc"]) != calm(wanted)), "desc_not_matching_option")
         return out.when((x["sub"] == "ms_pred_cand") & x["desc"].rlike("[<>]"), "desc_contains_tags")
 
-    seen = F.struct(t.alias("t"), F.upper(t).alias("up"), lit_or_col(schema).alias("kind"), lit_or_col(candidates).alias("cand"), sub.alias("sub"), *held.values())
+    seen = F.struct(t.alias("t"), F.upper(t).alias("up"), schema.alias("kind"), candidates.alias("cand"), sub.alias("sub"), *held.values())
     names = [*("t", "up", "kind", "cand", "sub"), *(tag.lower() for tag in held)]
 
     def add(x):

@@ -299,17 +299,26 @@ def response_audit(spark, sf_dir):
     """Answers written out with all tags, some of them with one thing wrong."""
     p = derived.predictions(spark, sf_dir).withColumn("ans", parse.answer()).filter("ans <> ''")
     prompt = F.lit("A. YOU take ring\nB. YOU hold bolt\nC. YOU put cup\nD. YOU none none")
-    p = p.withColumn("o", parse.options_of_prompt(prompt)).withColumn("own", F.element_at("o", F.col("ans")))
+    # one prompt for all samples here: its options are read once and sent along as one row
+    one = spark.range(1).select(parse.options_of_prompt(prompt).alias("o"))
+    p = p.crossJoin(F.broadcast(one)).withColumn("own", F.element_at("o", F.col("ans")))
     c = F.col("event_id") % 6
     desc = F.when(F.col("ans") == "D", "YOU do nothing").otherwise(F.concat(F.lit("you "), F.col("own.verb"), F.lit("  "), F.col("own.noun"), F.lit(".")))
     full = F.concat(
         F.lit("<NOW><STATE>"), F.when(c == 3, "maybe").otherwise("Interaction"), F.lit("</STATE><ANS>"), F.col("ans"), F.lit("</ANS><VERB>"), F.when(c == 1, "eat").otherwise(F.col("own.verb")), F.lit("</VERB><NOUN>"),
         F.col("own.noun"), F.lit("</NOUN><DESC>"), F.when(c == 2, "YOU sleep").otherwise(desc), F.lit("</DESC>"), F.when(c == 4, "").otherwise("<CONF>0.5</CONF>"), F.lit("</NOW>"))
     p = p.withColumn("body", F.when(c == 5, F.col("response_text")).otherwise(full))
-    p = p.withColumn("fault", parse.response_fault(F.lit("now_full"), F.lit(True), "body", "o")).withColumn("fix", parse.coerce_tags("body", "o", "fault"))
+    p = p.withColumn("fault", parse.response_fault("now_full", True, "body", "o")).withColumn("fix", parse.coerce_tags("body", "o", "fault"))
     return p.groupBy("model", F.coalesce("fault", F.lit("none")).alias("fault"), F.col("fix.changed").alias("changed"), F.coalesce("fix.why", F.lit("-")).alias("why")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def audit_kinds(spark, sf_dir):
+    """Which tags prompts about the present ask for."""
+    asks = ["<NOW><STATE></STATE>< conf ></CONF></NOW>", "<now><ANS></ANS><VERB></VERB><CONF></CONF></now>", "<STATE> <CONF>", "<NOW><STATE></STATE><VERB></VERB><CONF></CONF></NOW>"]
+    s = derived.samples(spark, sf_dir).withColumn("ask", F.get(F.array(*map(F.lit, asks)), (F.col("k") % 4).cast("int")))
+    return s.groupBy(parse.now_schema(F.col("ask")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def option_words(spark, sf_dir):
     return terms(spark, sf_dir).select("term_id", parse.option_words(F.concat(F.lit("YOU Take_up "), F.col("term"))).alias("o")).select("term_id", F.col("o.verb").alias("verb"), F.array_join("o.noun", " ").alias("noun"))
 
@@ -385,7 +394,7 @@ QUERIES = {
     f.__name__: f
     for f in (usable_samples, canonical_order, dedupe_by_time, keep_k_of_n, thin_exact, anchor_islands, target_cutoff, answerable, scheduled_time, windows, attach_options, render_prompts, memory_windows,
               caption_reuse, probe_pairs, neighbour_counts, positions, match_nearest, option_fallback, judge_cache, taxonomy_variants, narration_nouns, open_ended, open_ended_words, roi_frames, roi_boxes, roi_violations, roi_paths, token_evidence,
-              choice_distribution, tags, response_audit, option_words, stated_confidence_by_source, sanitize_manifest, usable_manifest, run_log, pending_work, index_by_triplet, resolve_references, normalized_predictions)
+              choice_distribution, tags, response_audit, audit_kinds, option_words, stated_confidence_by_source, sanitize_manifest, usable_manifest, run_log, pending_work, index_by_triplet, resolve_references, normalized_predictions)
 }
 
 _LAG = "CASE WHEN k % 4 = 0 AND k > 0 THEN k::DOUBLE WHEN k % 4 = 1 AND step = 0 THEN 5.0 ELSE 8.0 * (step + 1) END"
@@ -460,6 +469,7 @@ ORACLE = {
         c AS (SELECT file, count(*) AS m FROM s WHERE pos < 90 GROUP BY 1),
         v AS (SELECT event_id, fr, m, list_transform(list_filter(fr, lambda i: i < m), lambda i: (i * 2 + CASE WHEN i % 5 = 0 THEN 1 ELSE 0 END) / 200.0) AS xs FROM h JOIN c USING (file))
         SELECT event_id, round(coalesce(list_sum(xs), 0), 6) AS x_sum, xs[-1] AS x_last, CASE WHEN fr[1] < m THEN 0.12::DOUBLE END AS radius, 0.25::DOUBLE AS gaze_x, 0.5::DOUBLE AS gaze_r FROM v""",
+    "audit_kinds": B + """, z AS (SELECT ['now_state_only', 'now_action_mcq', 'now_full', 'now_full'][(k % 4 + 1)::INT] AS kind FROM s) SELECT kind, count(*) AS n FROM z GROUP BY 1""",
     "roi_violations": B + """, z AS (SELECT CASE k % 10 WHEN 0 THEN 'coord' WHEN 1 THEN 'box_size' WHEN 2 THEN 'box_range' WHEN 3 THEN 'gaze_range' END AS fault FROM s) SELECT fault, count(*) AS n FROM z WHERE fault IS NOT NULL GROUP BY 1""",
     "roi_paths": "SELECT page_id, CASE WHEN page_id % 3 = 1 THEN 'b/' WHEN page_id % 2 = 1 THEN 'c/' ELSE 'a/' END || page_id || '.jsonl' AS resolved FROM pages",
     "token_evidence": B + """, z AS (SELECT model, ans, event_id % 5 AS way, form = 0 AND kk <> 8 AS has_tag, CASE WHEN form = 0 AND kk <> 8 THEN 'tag' ELSE 'clean' END AS text FROM x WHERE answered),

@@ -50,6 +50,9 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     conf = (F.col("event_id") * 7 + F.col("m") * 13) % 101
     p = F.map_from_arrays(F.array(*[F.lit(x) for x in "ABCD"]), F.transform(F.array(*[F.lit(x) for x in "ABCD"]), lambda x: F.when(x == say, conf / 100.0).otherwise((100 - conf) / 300.0)))
+    # texts are parsed row by row, which is work for the processors and not for the disk: the
+    # few scalars they are made from are dealt out first, over all of the session's partitions
+    s = s.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "event_id")
     return s.select(
         F.concat(F.lit("m"), F.col("m")).alias("model"), "file", F.concat(F.lit("pred/m"), F.col("m"), F.lit("/"), F.col("file"), F.lit(".json")).alias("pred_file"),
         "pos", "key", text.alias("response_text"), p.alias("p_cond"), "event_id",

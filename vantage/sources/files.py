@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vantage.functions.parse import blank_to_null, found_letter, strip, tag_value
+from vantage.operators import scan
 
 #: File names that lie among predictions and are none.
 NOT_PREDICTIONS = re.compile(r"(?i)manifest|summary|details|teacher_cache|metrics")
@@ -110,11 +111,30 @@ def read_interval_json(spark: SparkSession, root: str | list[str]) -> tuple[Data
     return rows.withColumn("key", sample_key(F.col("idx"), F.col("pos"), F.col("sample_id"), F.col("id"))), got.filter("one is null").select("file")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, value) of all lines below path, from 1 in each file.
+
+    Large files are read in splits by different tasks: lines are numbered within a split
+    and moved on by the lines of the splits before it, whose counts are one row for each.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("__id"), "value")
+    splits = lines.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("__first"))
+    before = scan.prefix_sums(splits, "n", "start", ("file",), "__before").drop("n")
+    return lines.join(before, ["file", "start"]).select("file", (F.col("__before") + F.col("__id") - F.col("__first") + 1).alias("line_no"), "value")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
-    """Lines of JSON; a bad line fails the read, or is kept in _corrupt_record."""
-    if strict:
-        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    return spark.read.schema(schema + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path)
+    """Lines of JSON with file and line_no; blank lines are left out.  A line that is no
+    JSON object of the schema ends the read with an error that names file and line; if not
+    strict, it is kept whole in _corrupt_record."""
+    lines = numbered_lines(spark, path).filter(strip("value") != "")
+    parsed = lines.withColumn("__o", F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    rows = parsed.select("file", "line_no", "__o.*")
+    if not strict:
+        return rows
+    where = F.concat(F.lit("bad JSON in "), F.col("file"), F.lit(", line "), F.col("line_no"))
+    return rows.withColumn("line_no", F.when(F.col("_corrupt_record").isNull(), F.col("line_no")).otherwise(F.raise_error(where).cast("long"))).drop("_corrupt_record")
 
 
 ROI_SCHEMA = "frame_idx int, coord string, hand_boxes array<array<double>>, left_box array<double>, right_box array<double>, gaze struct<x:double,y:double,r:double,conf:double>"
