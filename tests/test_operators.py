@@ -64,6 +64,10 @@ def test_nearest_time(spark):
     assert got == {1: ("key", "A"), 2: ("time", "C"), 3: ("time", "A"), 4: ("time", "C"), 5: ("none", None)}
 
 
+def vocabulary(spark, words):
+    return spark.createDataFrame([(w,) for w in words], "word string")
+
+
 def narration(text, verb, groups, nouns, verbs):
     """Plain reading of the narration rules for one text."""
     import re
@@ -100,16 +104,38 @@ def test_narration_nouns_equal_a_plain_reading(spark):
     nouns, verbs = ["ring", "small", "cup", "red", "box"], ["take", "hold", "wash"]
     rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 8))), rng.choice(["take", "hold_(grip,_have)", "wash", "put_down"])) for i in range(300)]
     table = spark.createDataFrame([(k, v) for k, v in groups.items()], "variant string, term_id long")
-    got = taxonomy.narration_nouns(spark.createDataFrame(rows, "narr_id long, text string, verb string"), table, nouns, verbs)
+    got = taxonomy.narration_nouns(spark.createDataFrame(rows, "narr_id long, text string, verb string"), table, vocabulary(spark, nouns), vocabulary(spark, verbs))
     got = {r.narr_id: str(r.term_id) if r.term_id is not None else r.phrase for r in got.collect()}
     assert got == {i: narration(t, v, groups, nouns, verbs) for i, t, v in rows}
 
 
+def test_forms_that_several_words_could_own(spark):
+    """Each of all short words, stemmed by the column rule and by the table of forms."""
+    from itertools import product
+
+    verbs = ["as", "ass", "pass", "passe", "us", "use", "see", "seed", "sing", "ring", "s"]
+    made = sorted({v + e for v in verbs for e in ("", "s", "es", "ed", "ing", "d", "ses")} | {"".join(x) for x in product("aesd", repeat=4)})
+    known = taxonomy.forms(vocabulary(spark, verbs), taxonomy.VERB_ENDS)
+    lit = F.array(*[F.lit(v) for v in verbs])
+    got = vocabulary(spark, made).select("word", taxonomy.stem_verb(F.col("word"), lit).alias("stem"), taxonomy.singular(F.col("word"), lit).alias("one"))
+    got = got.join(known.select(F.col("form").alias("word"), F.col("word").alias("owner")), "word", "left")
+    got = got.join(taxonomy.forms(vocabulary(spark, verbs), taxonomy.NOUN_ENDS).select(F.col("form").alias("word"), F.col("word").alias("single")), "word", "left").collect()
+    assert len(got) == len(made) and all((r.owner or r.word) == r.stem and (r.single or r.word) == r.one for r in got)
+
+
+def test_narrations_with_nulls_and_no_words(spark):
+    rows = [(1, None, "take"), (2, "ring", None), (3, "", "take"), (4, "take", "take"), (5, "take", "")]
+    table = spark.createDataFrame([("ring", 7)], "variant string, term_id long")
+    for given in (rows, []):
+        got = taxonomy.narration_nouns(spark.createDataFrame(given, "narr_id long, text string, verb string"), table, vocabulary(spark, ["ring"]), vocabulary(spark, ["take"])).collect()
+        assert {r.narr_id: (r.how, r.term_id, r.phrase) for r in got} == {i: ("taxonomy_match", 7, None) if i == 2 else ("none", None, "none") for i, _, _ in given}
+
+
 def test_narrations_are_read_whole(spark):
     text = "c c " + "thing " * 10_500 + "ring"
     table = spark.createDataFrame([("ring", 7)], "variant string, term_id long")
     rows = [(1, text, "put"), (2, "take " + "the " * 10_500 + "lid", "take")]
-    got = taxonomy.narration_nouns(spark.createDataFrame(rows, "narr_id long, text string, verb string"), table, ["ring"], ["take", "put"]).collect()
+    got = taxonomy.narration_nouns(spark.createDataFrame(rows, "narr_id long, text string, verb string"), table, vocabulary(spark, ["ring"]), vocabulary(spark, ["take", "put"])).collect()
     assert {r.narr_id: (r.how, r.term_id, r.phrase) for r in got} == {1: ("taxonomy_match", 7, None), 2: ("heuristic_after_verb", None, "lid")}
 
 

@@ -64,26 +64,58 @@ def singular(word: Column, vocab: Column) -> Column:
     return F.when(~has(vocab, word) & F.endswith(word, F.lit("s")) & (F.length(word) > 3) & has(vocab, short), short).otherwise(word)
 
 
-def narration_nouns(narrations: DataFrame, nouns: DataFrame, noun_vocab: list[str], verb_vocab: list[str], longest: int = 4) -> DataFrame:
+def forms(vocab: DataFrame, ends: dict[str, int]) -> DataFrame:
+    """(form, word): the word of the vocabulary (word) that a form of it stands for.  A form
+    is the word itself or the word with an end, if it is longer than the number of the end;
+    of several words the one with the first end in ``ends`` owns the form, itself before all."""
+    cut = F.array(F.struct(F.lit(0).alias("rank"), F.lit("").alias("end"), F.lit(0).alias("least")), *[F.struct(F.lit(i).alias("rank"), F.lit(e).alias("end"), F.lit(n).alias("least")) for i, (e, n) in enumerate(ends.items(), 1)])
+    f = vocab.select("word").filter("word <> ''").distinct().select("word", F.explode(cut).alias("e")).select("word", "e.rank", "e.least", F.concat("word", "e.end").alias("form"))
+    return f.filter(F.length("form") > F.col("least")).groupBy("form").agg(F.min_by("word", "rank").alias("word"))
+
+
+def spoken(keyed: DataFrame, key: str, tokens: str, known: DataFrame) -> DataFrame:
+    """(key, forms): for each token of the distinct keys the words that stand for it, by
+    ``forms``.  A token that is no form at all stands for itself, a form of another word for nothing."""
+    t = keyed.select(key, F.posexplode(tokens).alias("i", "word"))
+    own = known.select(F.col("form").alias("word"), F.col("word").alias("owner"))
+    t = t.join(own, "word", "left").join(known.groupBy("word").agg(F.sort_array(F.collect_list("form")).alias("all")), "word", "left")
+    said = F.when(F.col("owner").isNull(), F.array("word")).when(F.col("owner") == F.col("word"), F.col("all")).otherwise(F.array().cast("array<string>"))
+    return t.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", said.alias("said")))).alias("f")).select(key, F.col("f.said").alias("forms"))
+
+
+VERB_ENDS = {"ing": 5, "ed": 3, "es": 3, "s": 2}
+NOUN_ENDS = {"s": 3}
+
+
+def narration_nouns(narrations: DataFrame, nouns: DataFrame, noun_words: DataFrame, verb_words: DataFrame, longest: int = 4) -> DataFrame:
     """(narr_id, how, term_id, phrase) of each distinct narration (narr_id, text, verb).
 
     The verb's place is its first occurrence, words stemmed.  All n-grams, plurals cut, are
     joined with the variants of nouns; those that overlap the verb go; the nearest after
     the verb wins, then the longest, then the leftmost; without any after it the nearest
     to it; without a verb the longest.  Else the words after the verb up to a preposition,
-    determiners skipped; else ``none``.  Vocabularies are taxonomy words: small literals."""
-    vv, nv = F.array(*[F.lit(w) for w in verb_vocab]), F.array(*[F.lit(w) for w in noun_vocab])
+    determiners skipped; else ``none``.
+
+    Vocabularies are tables (word) of any size.  Narrations aren't stemmed word by word:
+    variants and verbs are written out in all forms that stand for them, so the words of a
+    text are joined as they are.  A null text has no words, a null verb no place."""
     w = words("text")
     w = F.when((F.try_element_at(w, F.lit(1)) == "c") & (F.try_element_at(w, F.lit(2)) == "c"), F.slice(w, F.lit(3), F.size(w))).otherwise(w)
-    n = narrations.withColumn("w", w).withColumn("vseq", F.filter(F.split(base_of("verb"), "_"), lambda x: x != ""))
-    n = n.withColumn("stems", F.transform("w", lambda x: stem_verb(x, vv))).withColumn("sing", F.transform("w", lambda x: singular(x, nv)))
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda i: (F.size("vseq") > 0) & (F.slice("stems", i, F.size("vseq")) == F.col("vseq")))
-    n = n.withColumn("vpos", F.try_element_at(places, F.lit(1)) - 1).withColumn("vlen", F.when(F.col("vpos").isNotNull(), F.size("vseq")).otherwise(0))
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.struct((i - 1).alias("s"), k.alias("len"), F.array_join(F.slice("sing", i, k), "_").alias("variant")))))
+    verbs = narrations.select("verb").filter("verb is not null").distinct().withColumn("vseq", F.filter(F.split(base_of("verb"), "_"), lambda x: x != ""))
+    verbs = spoken(verbs, "verb", "vseq", forms(verb_words, VERB_ENDS)).withColumnRenamed("forms", "vseq")
+    n = narrations.select("narr_id", w.alias("w"), "verb").join(verbs, "verb", "left").withColumn("vseq", F.coalesce("vseq", F.array().cast("array<array<string>>")))
+    here = lambda i: F.forall(F.sequence(F.lit(0), F.size("vseq") - 1), lambda j: F.coalesce(F.array_contains(F.get("vseq", j), F.get("w", i + j)), F.lit(False)))
+    places = F.when((F.size("vseq") > 0) & (F.size("w") >= F.size("vseq")), F.filter(F.sequence(F.lit(0), F.size("w") - F.size("vseq")), here))
+    n = n.withColumn("vpos", F.try_element_at(places, F.lit(1))).withColumn("vlen", F.when(F.col("vpos").isNotNull(), F.size("vseq")).otherwise(0))
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.struct((i - 1).alias("s"), k.alias("len"), F.array_join(F.slice("w", i, k), "_").alias("said")))))
     spans = F.filter(spans, lambda x: x["s"] + x["len"] <= F.size("w"))
     grams = n.select("narr_id", "vpos", "vlen", F.explode(spans).alias("x")).select("narr_id", "vpos", "vlen", "x.*")
-    occ = grams.join(nouns.select("variant", "term_id"), "variant")
-    occ = occ.filter(F.col("vpos").isNull() | (F.col("s") >= F.col("vpos") + F.col("vlen")) | (F.col("s") + F.col("len") <= F.col("vpos")))
+    grams = grams.filter(F.col("vpos").isNull() | (F.col("s") >= F.col("vpos") + F.col("vlen")) | (F.col("s") + F.col("len") <= F.col("vpos")))
+    named = nouns.select("variant", "term_id", F.split("variant", "_").alias("tokens")).filter(F.size("tokens") <= longest)
+    said = spoken(named, "variant", "tokens", forms(noun_words, NOUN_ENDS))
+    whole = F.aggregate("forms", F.array(F.lit("")), lambda got, f: F.flatten(F.transform(got, lambda a: F.transform(f, lambda x: F.when(a == "", x).otherwise(F.concat(a, F.lit("_"), x))))))
+    said = said.select("variant", F.explode(whole).alias("said")).join(named.select("variant", "term_id"), "variant").select("said", "term_id")
+    occ = grams.join(said, "said")
     end = F.col("vpos") + F.col("vlen")
     after = F.when(F.col("vpos").isNull(), 0).when(F.col("s") >= end, 0).otherwise(1)
     far = F.when(F.col("vpos").isNull(), 0).when(F.col("s") >= end, F.col("s") - end).otherwise(F.abs(F.col("s") - F.col("vpos")))
@@ -94,7 +126,7 @@ def narration_nouns(narrations: DataFrame, nouns: DataFrame, noun_vocab: list[st
         (a["lead"] & isin(x, DETERMINERS)).alias("lead"), (a["stop"] | (~(a["lead"] & isin(x, DETERMINERS)) & isin(x, PREPOSITIONS))).alias("stop"),
         F.when((a["lead"] & isin(x, DETERMINERS)) | a["stop"] | isin(x, PREPOSITIONS), a["got"]).otherwise(F.array_append(a["got"], x)).alias("got")))
     phrase = F.when(F.col("vpos").isNotNull(), F.nullif(F.array_join(skip["got"], "_"), F.lit("")))
-    out = n.withColumn("ph", phrase).join(best, "narr_id", "left")
+    out = n.select("narr_id", phrase.alias("ph")).join(best, "narr_id", "left")
     how = F.when(F.col("term_id").isNotNull(), "taxonomy_match").when(F.col("ph").isNotNull(), "heuristic_after_verb").otherwise("none")
     return out.select("narr_id", how.alias("how"), "term_id", F.when(F.col("term_id").isNull(), F.coalesce("ph", F.lit("none"))).alias("phrase"))
 

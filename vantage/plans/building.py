@@ -188,16 +188,21 @@ VERBS = ("take", "hold", "wash", "put")
 
 
 def narrations(spark, sf_dir) -> DataFrame:
+    """Narrations of seven kinds: the noun after or before the verb, in the plural, without
+    the verb, not in the taxonomy, or none."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_size")
-    form = F.element_at(F.array(*[F.lit(x) for x in ("C C takes the %s from a box", "C holding %ss", "C looks at the %s", "washed three cups with %s")]), (F.col("p_size") % 4 + 1).cast("int"))
-    verb = F.element_at(F.array(*[F.lit(x) for x in ("take", "hold_(support,_grip)", "put", "wash")]), (F.col("p_size") % 4 + 1).cast("int"))
-    return p.select(F.col("p_partkey").alias("narr_id"), F.replace(form, F.lit("%s"), F.col("p_name")).alias("text"), verb.alias("verb"))
+    pick = lambda *forms: F.element_at(F.array(*[F.lit(x) for x in forms]), (F.col("p_size") % 7 + 1).cast("int"))
+    text = pick("C holding %ss", "C C looks at the %s", "washed three cups with %s", "C C puts all the spoons into a drawer", "C C takes the %s from a box", "#C the %s was washed", "C C walks away")
+    verb = pick("hold_(support,_grip)", "put", "wash", "put", "take", "wash", "put")
+    return p.select(F.col("p_partkey").alias("narr_id"), F.replace(text, F.lit("%s"), F.col("p_name")).alias("text"), verb.alias("verb"))
 
 
 def narration_nouns(spark, sf_dir):
-    nouns = taxonomy.variants(terms(spark, sf_dir))
-    vocab = ["ring", "widget", "bolt", "gear", "small", "red", "blue", "green", "large", "plate", "valve", "box", "cup"]
-    got = taxonomy.narration_nouns(narrations(spark, sf_dir), nouns, vocab, list(VERBS))
+    """Vocabularies are the words of the taxonomy's variants and of the verbs' variants."""
+    nouns, told = taxonomy.variants(terms(spark, sf_dir)), narrations(spark, sf_dir)
+    noun_words = nouns.select(F.explode("tokens").alias("word")).distinct()
+    verb_words = told.select("verb").distinct().select(F.explode(taxonomy.variants_of("verb")).alias("v")).select(F.explode(F.split("v", "_")).alias("word")).distinct()
+    got = taxonomy.narration_nouns(told, nouns, noun_words, verb_words)
     return got.select("narr_id", "how", F.coalesce(F.col("term_id").cast("string"), "phrase").alias("noun"))
 
 
@@ -400,6 +405,8 @@ QUERIES = {
 _LAG = "CASE WHEN k % 4 = 0 AND k > 0 THEN k::DOUBLE WHEN k % 4 = 1 AND step = 0 THEN 5.0 ELSE 8.0 * (step + 1) END"
 _HOR = "CASE WHEN k % 6 = 0 AND k > 0 THEN k::DOUBLE WHEN k % 6 = 1 THEN 9.0 * (step + 1) WHEN k % 6 = 2 AND te + k - 50 > 0 AND k > 50 THEN (k - 50)::DOUBLE ELSE 8.0 * (step + 1) END"
 
+_listed = lambda words: ", ".join(f"'{w}'" for w in words)
+
 ORACLE = {
     "thin_exact": """WITH RECURSIVE """ + derived.SQL.strip() + f""", o AS (SELECT row_number() OVER (ORDER BY file, pos) AS i, file, event_id, t // {DAY} AS d FROM s),
         r AS (SELECT 0::BIGINT AS i, -1::BIGINT AS file, -1::BIGINT AS event_id, []::BIGINT[] AS used, 0::BIGINT AS phase, false AS kept
@@ -451,6 +458,24 @@ ORACLE = {
         SELECT coalesce(substr(a.h, 1, 1), '?') AS judged, count(*) AS n FROM c LEFT JOIN a USING (h) GROUP BY 1 UNION ALL SELECT 'to_ask', count(DISTINCT h) FROM c WHERE h NOT IN (SELECT h FROM a)""",
     "taxonomy_variants": f"""WITH n AS ({_NAMES}), v AS (SELECT id, base AS v FROM n UNION ALL SELECT id, ty FROM n WHERE p_size % 3 = 0 UNION ALL SELECT id, lower(w2) FROM n WHERE p_size % 3 = 0)
         SELECT replace(v, ' ', '_') AS variant, min(id) AS term_id FROM v GROUP BY 1""",
+    "narration_nouns": f"""WITH n AS ({_NAMES}), a AS (SELECT id, base AS v FROM n UNION ALL SELECT id, ty FROM n WHERE p_size % 3 = 0 UNION ALL SELECT id, lower(w2) FROM n WHERE p_size % 3 = 0),
+        va AS (SELECT replace(v, ' ', '_') AS variant, min(id) AS term_id FROM a GROUP BY 1), nw AS (SELECT DISTINCT unnest(string_split(variant, '_')) AS x FROM va),
+        vw AS (SELECT unnest(['take', 'hold', 'support', 'grip', 'put', 'wash']) AS x),
+        t AS (SELECT p_partkey AS id, ['hold', 'put', 'wash', 'put', 'take', 'wash', 'put'][p_size % 7 + 1] AS verb, string_split(lower(['holding ' || p_name || 's', 'looks at the ' || p_name, 'washed three cups with ' || p_name,
+          'puts all the spoons into a drawer', 'takes the ' || p_name || ' from a box', 'the ' || p_name || ' was washed', 'walks away'][p_size % 7 + 1]), ' ') AS said,
+          p_size % 7 IN (0, 5) AS one FROM part),
+        w AS (SELECT id, verb, CASE WHEN one THEN list_prepend('c', said) ELSE said END AS w FROM t), r AS (SELECT id, verb, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+        u AS (SELECT DISTINCT x FROM r), st AS (SELECT x, CASE WHEN x IN (FROM vw) THEN x WHEN x LIKE '%ing' AND length(x) > 5 AND x[:-4] IN (FROM vw) THEN x[:-4] WHEN x LIKE '%ed' AND length(x) > 3 AND x[:-3] IN (FROM vw) THEN x[:-3]
+          WHEN x LIKE '%es' AND length(x) > 3 AND x[:-3] IN (FROM vw) THEN x[:-3] WHEN x LIKE '%s' AND length(x) > 2 AND x[:-2] IN (FROM vw) THEN x[:-2] ELSE x END AS stem,
+          CASE WHEN x NOT IN (FROM nw) AND x LIKE '%s' AND length(x) > 3 AND x[:-2] IN (FROM nw) THEN x[:-2] ELSE x END AS sing FROM u),
+        m AS (SELECT r.*, stem, sing, min(CASE WHEN stem = verb THEN i END) OVER (PARTITION BY id) AS p FROM r JOIN st USING (x)), l AS (SELECT id, any_value(p) AS p, list(sing ORDER BY i) AS w FROM m GROUP BY 1),
+        s AS (SELECT id, p, w, unnest(range(1, len(w) + 1)) AS i FROM l), g AS (SELECT id, p, i, k, array_to_string(w[i:i + k - 1], '_') AS variant FROM s, range(1, 5) z(k) WHERE i + k - 1 <= len(w)),
+        o AS (SELECT id, term_id FROM g JOIN va USING (variant) WHERE p IS NULL OR i > p OR i + k <= p
+          QUALIFY row_number() OVER (PARTITION BY id ORDER BY CASE WHEN p IS NULL OR i > p THEN 0 ELSE 1 END, CASE WHEN p IS NULL THEN 0 ELSE abs(i - p) END, -k, i) = 1),
+        d AS (SELECT *, coalesce(bool_and(x IN ({_listed(taxonomy.DETERMINERS)})) OVER (PARTITION BY id ORDER BY i), false) AS lead FROM m WHERE i > p),
+        e AS (SELECT *, bool_or(NOT lead AND x IN ({_listed(taxonomy.PREPOSITIONS)})) OVER (PARTITION BY id ORDER BY i) AS stop FROM d), h AS (SELECT id, string_agg(x, '_' ORDER BY i) AS phrase FROM e WHERE NOT lead AND NOT stop GROUP BY 1)
+        SELECT l.id AS narr_id, CASE WHEN term_id IS NOT NULL THEN 'taxonomy_match' WHEN phrase IS NOT NULL THEN 'heuristic_after_verb' ELSE 'none' END AS how, coalesce(term_id::VARCHAR, phrase, 'none') AS noun
+        FROM l LEFT JOIN o USING (id) LEFT JOIN h USING (id)""",
     "open_ended": B + """, z AS (SELECT *, event_id % 5 AS q, answered AND event_id % 5 <> 0 AS vok, answered AND event_id % 5 NOT IN (2, 3) AS nok, true_state = 'INTERACTION' AS seen FROM x),
         n AS (SELECT model, count(*) FILTER (seen) AS total, count(*) FILTER (seen AND state = 'INTERACTION' AND answered) AS state_right, count(*) FILTER (seen AND state = 'INTERACTION' AND vok) AS verb,
         count(*) FILTER (seen AND state = 'INTERACTION' AND nok) AS noun, count(*) FILTER (seen AND state = 'INTERACTION' AND vok AND nok) AS pair, count(*) FILTER (seen AND NOT answered) AS verb_missing,
