@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vantage.functions import parse
-from vantage.operators import lookups, manifest, queryset, roi, switch, taxonomy
+from vantage.operators import lookups, manifest, queryset, roi, score, switch, taxonomy
 from vantage.sources import files, sinks
 
 
@@ -321,3 +321,33 @@ def test_normalised_columns(spark):
     p = spark.createDataFrame([("v", 0, "B", {"Answer": "c", "CONF": "0.5"}, "f.json"), (None, 3, "ANS: D", None, "f.json")], "video_uid string, pos long, response_text string, parsed map<string,string>, pred_file string")
     rows = files.normalized(p, task="t", model="m").collect()
     assert len(rows[0]) == 12 and (rows[0].sample_id, rows[0].prediction, rows[0].confidence, rows[0].task) == ("v__idx0", "C", "0.5", "t") and rows[1].prediction == "D" and rows[1].source_file == "f.json"
+
+
+PROBES = "model string, file string, place string, pair_id string, side string, pair_type string, pos long, true_state string, state string, conf double"
+
+
+def test_switch_probes_with_missing_invalid_and_repeated_ones(spark):
+    yes, no = "INTERACTION", "NO_INTERACTION"
+    rows = [
+        ("m", "f", "a", "p1", "before", "segment_to_gap", 0, yes, yes, 0.2), ("m", "f", "a", "p1", "after", None, 1, no, no, 0.4),
+        ("m", "f", "a", "p2", "before", "segment_to_gap", 2, yes, no, 0.9), ("m", "f", "a", "p2", "after", " ", 3, no, no, 0.9),
+        ("m", "f", "b", "p3", "before", "gap_to_segment", 4, no, "INVALID", 0.9), ("m", "f", "b", "p3", "after", None, 5, yes, None, None),
+        ("m", "f", "b", "p4", "before", "gap_to_segment", 6, "UNKNOWN", yes, 0.9), ("m", "f", "a", "p1", "before", "x", 7, yes, yes, 0.6),
+    ]
+    p = spark.createDataFrame(rows, PROBES)
+    got = {r.place: tuple(r[1:]) for r in score.switch_confusion(p, ["model"], "place").drop("model").select("place", "tp", "fp", "fn", "tn", "valid", "left_out", "accuracy").collect()}
+    assert got == {"a": (2, 0, 1, 2, 5, 0, 0.8), "b": (0, 0, 0, 0, 0, 3, None), "all": (2, 0, 1, 2, 5, 3, 0.8)}
+    pairs = score.switch_pairs(p, ["model"])
+    ok = {(r.pair_type, r.side): (r.conf, r.conf_n) for r in score.switch_success_confidence(pairs, ["model"]).collect()}
+    assert ok == {("segment_to_gap", "before"): (0.6, 1), ("segment_to_gap", "after"): (0.4, 1)}  # the later probe of a role counts
+    assert score.switch_success_confidence(pairs.limit(0), ["model"]).count() == score.switch_confusion(p.filter("model is null"), ["model"], "place").count() == 0
+
+
+def test_stated_confidence_and_regions(spark):
+    rows = [("m", "gt", 0.5), ("m", "prev", 1.0), ("m", "future", None), ("m", None, 0.1), ("n", None, 0.3), (None, "absurd", 0.25)]
+    df = spark.createDataFrame(rows, "model string, picked string, stated double")
+    got = {r.model: tuple(r[1:]) for r in score.stated_confidence(df, ["model"]).collect()}
+    assert got == {"m": (0.75, 1.0, 0.5), "n": (None, None, None), None: (0.25, None, 0.25)}
+    r = spark.createDataFrame([(1, " Segment"), (2, "gap"), (3, None), (4, "segment")], "id long, region string")
+    assert [x.id for x in queryset.in_region(r).orderBy("id").collect()] == [1, 4]
+    assert [x.id for x in queryset.in_region(r, "gap").collect()] == [2]

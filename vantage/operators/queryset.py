@@ -31,6 +31,11 @@ def usable_other(samples: DataFrame) -> DataFrame:
     return samples.filter(~F.coalesce("is_rejected", F.lit(False)) & F.col("t_eval").isNotNull())
 
 
+def in_region(samples: DataFrame, region: str = "segment") -> DataFrame:
+    """Samples of one region, written in any case or with blanks around; none has a null one."""
+    return samples.filter(F.lower(strip(F.coalesce("region", F.lit("")))) == region)
+
+
 def canonical_order(samples: DataFrame) -> DataFrame:
     """Add rank within the file by idx (missing last), time and position."""
     order = Window.partitionBy("file").orderBy(F.coalesce(F.col("idx").cast("double"), F.lit(1e9)), "t_eval", "pos")

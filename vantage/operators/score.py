@@ -112,7 +112,7 @@ def switch_pairs(probes: DataFrame, keys: list[str]) -> DataFrame:
     missing = F.col("before").isNull() | F.col("after").isNull()
     invalid = ~missing & ~(ok("before") & ok("after"))
     hit = ~missing & ~invalid & (F.col("before.state") == F.col("before.true_state")) & (F.col("after.state") == F.col("after.true_state"))
-    return got.select(*keys, "file", "pair_id", F.coalesce("pair_type", F.lit("unknown")).alias("pair_type"), missing.alias("missing_role"), invalid.alias("invalid_probe"), F.coalesce(hit, F.lit(False)).alias("success"), F.col("after.conf").alias("after_conf"))
+    return got.select(*keys, "file", "pair_id", F.coalesce("pair_type", F.lit("unknown")).alias("pair_type"), missing.alias("missing_role"), invalid.alias("invalid_probe"), F.coalesce(hit, F.lit(False)).alias("success"), F.col("before.conf").alias("before_conf"), F.col("after.conf").alias("after_conf"))
 
 
 def switch_scores(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -135,6 +135,34 @@ def switch_point_types(probes: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def switch_confusion(probes: DataFrame, keys: list[str], bucket: str) -> DataFrame:
+    """Confusion counts of probes by bucket and overall, over those only whose truth and
+    prediction are both states: tp, fp, fn, tn, valid and accuracy.  Others are counted in
+    left_out; a bucket that has none but such has accuracy null."""
+    yes, no = "INTERACTION", "NO_INTERACTION"
+    cell = lambda t, s: F.count_if((F.col("true_state") == t) & (F.col("state") == s))
+    cells = {"tp": cell(yes, yes), "fp": cell(no, yes), "fn": cell(yes, no), "tn": cell(no, no)}
+    out = grouping(probes, keys, bucket, *[c.alias(n) for n, c in cells.items()], F.count(F.lit(1)).alias("total"))
+    out = out.withColumn("valid", F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))
+    return out.select(*keys, bucket, *cells, "valid", (F.col("total") - F.col("valid")).alias("left_out"), rate(F.col("tp") + F.col("tn"), F.col("valid")).alias("accuracy"))
+
+
+def switch_success_confidence(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """By point type (pair type and side): mean confidence of the probes of pairs that were
+    told right, and how many have one."""
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"{s}_conf").alias("conf")) for s in ("before", "after")]))
+    points = pairs.filter("success").select(*keys, "pair_type", sides.alias("p")).select(*keys, "pair_type", "p.*")
+    return points.groupBy(*keys, "pair_type", "side").agg(F.avg("conf").alias("conf"), F.count("conf").alias("conf_n"))
+
+
+def stated_confidence(joined: DataFrame, keys: list[str], stated: str = "stated", picked: str = "picked") -> DataFrame:
+    """Mean stated confidence over answers whose option has a source, over those that took
+    a strong distractor (prev or future), and over the others."""
+    strong = F.col(picked).isin("prev", "future")
+    cases = {"mapped": F.col(picked).isNotNull(), "strong": strong, "not_strong": ~strong}
+    return joined.groupBy(*keys).agg(*[F.avg(F.when(c, F.col(stated))).alias(n) for n, c in cases.items()])
+
+
 def source_stats(joined: DataFrame, keys: list[str]) -> DataFrame:
     """Where chosen options come from: gt, prev, future or absurd.  Only valid answers with
     four non-blank sources are mapped; strong distractors are prev and future."""

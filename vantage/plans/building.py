@@ -70,7 +70,7 @@ def answerable(spark, sf_dir):
 
 
 def scheduled_time(spark, sf_dir):
-    s = raw(spark, sf_dir).filter("t_eval is not null and region = 'segment'")
+    s = queryset.in_region(raw(spark, sf_dir).filter("t_eval is not null"))
     return queryset.scheduled_time(s, True).select("event_id", "t_eval", "t_eval_rel")
 
 
@@ -324,6 +324,38 @@ def audit_kinds(spark, sf_dir):
     return s.groupBy(parse.now_schema(F.col("ask")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def coerced(spark, sf_dir):
+    """Broken answers made whole: by their letter, by the words of an option, by the option
+    without interaction, or by the first one where the prompt has no such option."""
+    s = derived.samples(spark, sf_dir).select("event_id", "k")
+    verbs, nouns = ("take", "hold", "put", "wash"), ("small_ring", "bolt_(steel)", "cup", "plate")
+    lines = lambda last: "\n".join(f"{x}. YOU {v} {n}" for x, v, n in zip("ABCD", [*verbs[:3], last[0]], [*nouns[:3], last[1]], strict=True))
+    asked = F.when(F.col("k") % 2 == 0, lines(("none", "none"))).otherwise(lines((verbs[3], nouns[3])))
+    said = ("<ANS>b</ANS> or so", "they hold a steel bolt", "a small ring, take it", "put the cup, then hold the bolt", "nothing to see", "")
+    s = s.withColumns({"asked": asked, "said": F.get(F.array(*map(F.lit, said)), (F.col("event_id") % 6).cast("int"))})
+    s = s.withColumn("o", parse.options_of_prompt("asked")).withColumn("fault", parse.response_fault("now_action_mcq", True, "said", "o"))
+    s = s.withColumn("fix", parse.coerce_tags("said", "o", "fault"))
+    return s.groupBy("said", F.col("fix.text").alias("line"), F.col("fix.why").alias("why"), "fault").agg(F.count(F.lit(1)).alias("n"))
+
+
+def truth_letters(spark, sf_dir):
+    """True letters from the options' answer, their index, the sample's own answer or index;
+    some indexes are out of range and some answers no letter, so the next source counts."""
+    s = derived.samples(spark, sf_dir).select("event_id", "k", "truth")
+    c, other = F.col("k") % 7, F.col("event_id") % 4
+    s = s.withColumns({
+        "m_ans": F.when(c == 0, F.concat(F.lit(" "), F.lower("truth"), F.lit(" "))).when(c == 3, "none"), "m_idx": F.when(c == 1, other).when(c == 4, F.lit(4)),
+        "ans": F.when(c.isin(2, 4), F.col("truth")), "idx": F.when(c == 3, other).when(c == 5, F.lit(-1)),
+    })
+    return s.groupBy(parse.truth_letter(("m_ans", None, "m_idx"), ("ans", None, "idx")).alias("letter")).agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+def lead_steps(spark, sf_dir):
+    """Steps by number, else by seconds near 8, 16 or 24."""
+    s = derived.samples(spark, sf_dir).withColumns({"own": F.when(F.col("k") % 3 == 0, F.col("k") % 5), "sec": F.when(F.col("k") % 4 > 0, F.col("k") % 4 * 8 + (F.col("event_id") % 3) * 0.0009)})
+    return s.groupBy(parse.step_of("own", "sec").alias("step")).agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
 def option_words(spark, sf_dir):
     return terms(spark, sf_dir).select("term_id", parse.option_words(F.concat(F.lit("YOU Take_up "), F.col("term"))).alias("o")).select("term_id", F.col("o.verb").alias("verb"), F.array_join("o.noun", " ").alias("noun"))
 
@@ -333,8 +365,8 @@ def stated_confidence_by_source(spark, sf_dir):
 
     j = scoring.joined(spark, sf_dir, "sources", "event_id").filter("ans <> ''").withColumn("picked", F.try_element_at("sources", F.ascii("ans") - 64))
     j = j.withColumn("stated", parse.stated_confidence(F.concat(F.lit("<CONF>"), (F.col("event_id") % 3 / 2.0).cast("string"), F.lit("</CONF>"))))
-    strong = F.col("picked").isin("prev", "future")
-    return j.groupBy("model").agg(F.round(F.avg("stated"), 6).alias("mapped"), F.round(F.avg(F.when(strong, F.col("stated"))), 6).alias("strong"), F.round(F.avg(F.when(~strong, F.col("stated"))), 6).alias("not_strong"))
+    out = score.stated_confidence(j, ["model"])
+    return out.select("model", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
 
 
 def manifest_rows(spark, sf_dir) -> DataFrame:
@@ -399,7 +431,7 @@ QUERIES = {
     f.__name__: f
     for f in (usable_samples, canonical_order, dedupe_by_time, keep_k_of_n, thin_exact, anchor_islands, target_cutoff, answerable, scheduled_time, windows, attach_options, render_prompts, memory_windows,
               caption_reuse, probe_pairs, neighbour_counts, positions, match_nearest, option_fallback, judge_cache, taxonomy_variants, narration_nouns, open_ended, open_ended_words, roi_frames, roi_boxes, roi_violations, roi_paths, token_evidence,
-              choice_distribution, tags, response_audit, audit_kinds, option_words, stated_confidence_by_source, sanitize_manifest, usable_manifest, run_log, pending_work, index_by_triplet, resolve_references, normalized_predictions)
+              choice_distribution, tags, response_audit, audit_kinds, coerced, truth_letters, lead_steps, option_words, stated_confidence_by_source, sanitize_manifest, usable_manifest, run_log, pending_work, index_by_triplet, resolve_references, normalized_predictions)
 }
 
 _LAG = "CASE WHEN k % 4 = 0 AND k > 0 THEN k::DOUBLE WHEN k % 4 = 1 AND step = 0 THEN 5.0 ELSE 8.0 * (step + 1) END"
@@ -508,6 +540,14 @@ ORACLE = {
     "response_audit": B + """, z AS (SELECT model, CASE event_id % 6 WHEN 0 THEN 'none' WHEN 1 THEN 'verb_noun_not_copied_from_parsed_options' WHEN 2 THEN 'desc_not_matching_option' WHEN 3 THEN 'state_not_in_enum'
         WHEN 4 THEN 'missing_subtags_now' ELSE CASE WHEN form = 0 THEN 'missing_subtags_now' ELSE 'missing_close_now' END END AS fault FROM x WHERE ans <> '')
         SELECT model, fault, fault <> 'none' AS changed, CASE WHEN fault = 'none' THEN '-' ELSE 'letter' END AS why, count(*) AS n FROM z GROUP BY 1, 2, 3, 4""",
+    "coerced": B + """, z AS (SELECT ['<ANS>b</ANS> or so', 'they hold a steel bolt', 'a small ring, take it', 'put the cup, then hold the bolt', 'nothing to see', ''][(event_id % 6 + 1)::INT] AS said,
+        CASE event_id % 6 WHEN 0 THEN 'B' WHEN 1 THEN 'B' WHEN 2 THEN 'A' ELSE CASE WHEN k % 2 = 0 THEN 'D' ELSE 'A' END END AS pick,
+        CASE WHEN event_id % 6 = 0 THEN 'letter' WHEN event_id % 6 <= 2 THEN 'words' WHEN k % 2 = 0 THEN 'none_option' ELSE 'first' END AS why FROM s)
+        SELECT said, '<ANS>' || pick || '</ANS><VERB>' || CASE pick WHEN 'A' THEN 'take' WHEN 'B' THEN 'hold' ELSE 'none' END || '</VERB><NOUN>' || CASE pick WHEN 'A' THEN 'small ring' WHEN 'B' THEN 'bolt' ELSE 'none' END || '</NOUN>' AS line,
+        why, CASE said WHEN '' THEN 'empty' ELSE 'missing_close_now' END AS fault, count(*) AS n FROM z GROUP BY 1, 2, 3, 4""",
+    "truth_letters": B + """, z AS (SELECT event_id, CASE WHEN k % 7 <= 4 THEN truth ELSE '' END AS letter FROM s) SELECT letter, count(*) AS n, sum(event_id)::BIGINT AS ids FROM z GROUP BY 1""",
+    "lead_steps": B + """, z AS (SELECT event_id, CASE WHEN k % 3 = 0 AND k % 5 < 3 THEN (k % 5)::INT WHEN k % 4 > 0 AND event_id % 3 < 2 THEN (k % 4 - 1)::INT END AS step FROM s)
+        SELECT step, count(*) AS n, sum(event_id)::BIGINT AS ids FROM z GROUP BY 1""",
     "option_words": f"SELECT id AS term_id, 'take' AS verb, replace(base, '_', ' ') AS noun FROM ({_NAMES})",
     "stated_confidence_by_source": B + """, z AS (SELECT model, event_id % 3 / 2 AS c, ((ascii(ans) - 65 - event_id) % 4 + 4) % 4 IN (1, 2) AS strong FROM x WHERE ans <> ''),
         y2 AS (SELECT model, least(c, 1.0) AS c, strong FROM z) SELECT model, round(avg(c), 6) AS mapped, round(avg(c) FILTER (strong), 6) AS strong, round(avg(c) FILTER (NOT strong), 6) AS not_strong FROM y2 GROUP BY 1""",

@@ -60,6 +60,28 @@ def switch_point_types(spark, sf_dir):
     return score.switch_point_types(p, ["model"]).withColumn("conf", F.round("conf", 6))
 
 
+def switch_confusion(spark, sf_dir):
+    """Probes by place; each third file's probes lie at another place of the pair."""
+    p = probes(spark, sf_dir).withColumn("place", F.concat(F.lit("p"), F.col("file") % 3))
+    return score.switch_confusion(p, ["model"], "place")
+
+
+def switch_success_confidence(spark, sf_dir):
+    out = score.switch_success_confidence(score.switch_pairs(probes(spark, sf_dir), ["model"]), ["model"])
+    return out.withColumn("conf", F.round("conf", 6))
+
+
+def first_file(spark, sf_dir):
+    """Every fifth question set was answered a second time, all with A, in a later file; in
+    every tenth the later run's path comes first, so it is the one that counts."""
+    p = parsed(spark, sf_dir)
+    again = p.filter("file % 5 = 0").withColumns({"pred_file": F.when(F.col("file") % 10 == 0, F.concat(F.lit("a/"), "pred_file")).otherwise(F.concat("pred_file", F.lit(".again"))), "ans": F.lit("A")})
+    kept, left_out = score.first_file(p.unionByName(again))
+    q = derived.samples(spark, sf_dir).select("file", "key", "pos", "truth")
+    got = score.official_join(q, kept).groupBy("model").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("ans") == F.col("truth")).alias("correct"))
+    return got.join(left_out.groupBy("model").agg(F.count(F.lit(1)).alias("left_out"), F.max("pred_file").alias("last_left_out")), "model", "left")
+
+
 def source_stats(spark, sf_dir):
     return score.source_stats(joined(spark, sf_dir, "sources", "grp"), ["model", "grp"])
 
@@ -144,7 +166,7 @@ h AS (SELECT *, (c2 - c0) / 2 AS sl, sqrt((pow(c0 - (c0 + c1 + c2) / 3, 2) + pow
 
 QUERIES = {
     f.__name__: f
-    for f in (score_accuracy, score_accuracy_by_step, state_scores, confidence_by_bucket, switch_pairs, switch_point_types, source_stats, confidence_by_outcome, overlapping_groups,
+    for f in (score_accuracy, score_accuracy_by_step, state_scores, confidence_by_bucket, switch_pairs, switch_point_types, switch_confusion, switch_success_confidence, first_file, source_stats, confidence_by_outcome, overlapping_groups,
               monotonic_confidence, confidence_trend, confidence_trend_flat, confusion_matrix, observed_steps, first_correct, legacy_join, answer_modes, main_table)
 }
 
@@ -194,6 +216,19 @@ ORACLE = {
     "switch_point_types": J + P + """, v AS (SELECT *, CASE WHEN side = 1 THEN 'after' WHEN region = 'segment' THEN 'segment_to_gap' ELSE 'gap_to_segment' END AS pair_type FROM b)
         SELECT model, pair_type, CASE side WHEN 0 THEN 'before' ELSE 'after' END AS side, count(*) AS total, count(*) FILTER (state <> 'INVALID') AS valid, round(avg(conf), 6) AS conf,
         count(*) FILTER (state <> 'INVALID' AND state = true_state) / nullif(count(*) FILTER (state <> 'INVALID'), 0) AS accuracy_valid FROM v GROUP BY 1, 2, 3""",
+    "switch_confusion": J + P + """, v AS (SELECT *, 'p' || file % 3 AS place FROM b UNION ALL SELECT *, 'all' FROM b),
+        n AS (SELECT model, place, count(*) FILTER (true_state = 'INTERACTION' AND state = 'INTERACTION') AS tp, count(*) FILTER (true_state = 'NO_INTERACTION' AND state = 'INTERACTION') AS fp,
+        count(*) FILTER (true_state = 'INTERACTION' AND state = 'NO_INTERACTION') AS fn, count(*) FILTER (true_state = 'NO_INTERACTION' AND state = 'NO_INTERACTION') AS tn, count(*) AS total FROM v GROUP BY 1, 2)
+        SELECT model, place, tp, fp, fn, tn, tp + fp + fn + tn AS valid, total - (tp + fp + fn + tn) AS left_out, (tp + tn) / nullif(tp + fp + fn + tn, 0) AS accuracy FROM n""",
+    "switch_success_confidence": J + P + """, c AS (SELECT model, file, p, max(CASE WHEN side = 0 THEN conf END) AS c0 FROM b GROUP BY 1, 2, 3),
+        d AS (SELECT w.model, w.pair_type, c.c0, w.c1 FROM w JOIN c USING (model, file, p) WHERE w.ok),
+        v AS (SELECT model, pair_type, 'before' AS side, c0 AS conf FROM d UNION ALL SELECT model, pair_type, 'after', c1 FROM d)
+        SELECT model, pair_type, side, round(avg(conf), 6) AS conf, count(conf) AS conf_n FROM v GROUP BY 1, 2, 3""",
+    "first_file": J + """, f AS (SELECT model, file, min(pos) FILTER (answered) AS any_answer FROM x GROUP BY 1, 2),
+        z AS (SELECT x.model, CASE WHEN NOT answered THEN '' WHEN file % 10 = 0 THEN 'A' ELSE ans END AS ans, truth FROM x JOIN f USING (model, file) WHERE any_answer IS NOT NULL),
+        n AS (SELECT model, count(*) AS total, count(*) FILTER (ans = truth) AS correct FROM z GROUP BY 1),
+        l AS (SELECT model, count(*) AS left_out, max('pred/' || model || '/' || file || CASE WHEN file % 10 = 0 THEN '.json' ELSE '.json.again' END) AS last_left_out FROM f WHERE file % 5 = 0 AND any_answer IS NOT NULL GROUP BY 1)
+        SELECT n.*, l.* EXCLUDE (model) FROM n LEFT JOIN l USING (model)""",
     "source_stats": J + f""", z AS (SELECT *, {GRP} AS grp, {_ROT.format(c='ans')} AS src FROM x WHERE ans <> ''),
         n AS (SELECT model, grp, count(*) AS mapped, count(*) FILTER (ans <> truth) AS wrong, """ + ", ".join(f"count(*) FILTER (src = '{s}') AS selected_{s}, count(*) FILTER (src = '{s}' AND ans <> truth) AS wrong_{s}" for s in ("gt", "prev", "future", "absurd")) + """,
         count(*) AS truth_gt, count(*) FILTER (src IN ('prev', 'future')) AS strong, count(*) FILTER (src IN ('prev', 'future') AND ans <> truth) AS strong_wrong FROM z GROUP BY 1, 2)
