@@ -351,3 +351,12 @@ def test_stated_confidence_and_regions(spark):
     r = spark.createDataFrame([(1, " Segment"), (2, "gap"), (3, None), (4, "segment")], "id long, region string")
     assert [x.id for x in queryset.in_region(r).orderBy("id").collect()] == [1, 4]
     assert [x.id for x in queryset.in_region(r, "gap").collect()] == [2]
+
+
+def test_payloads_nested_very_deep_are_faults(spark):
+    deep = lambda n: '{"sample":' + '{"a":[' * n + '"/home/x"' + "]}" * n + "}"
+    rows = spark.createDataFrame([(1, deep(20), "t"), (2, deep(50_000), "t"), (3, "", "t"), (4, None, "t"), (5, "[]", "t")], "id int, payload string, task string")
+    got = {r.id: r for r in manifest.sanitize(rows, "payload", "task").collect()}
+    assert [got[i].fault for i in range(1, 6)] == [None, "nested too deep", None, None, "not an object"]
+    assert got[1].removed == 1 and got[1].left == [] and got[2].clean is None
+    assert manifest.sanitize(rows.limit(0), "payload", "task").count() == 0

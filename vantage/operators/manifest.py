@@ -63,18 +63,21 @@ def private_paths(value, path: str = "$") -> list[str]:
 def sanitize(rows: DataFrame, payload: str = "payload", task: str | None = None, requires_roi: bool = False) -> DataFrame:
     """Add clean (JSON), removed (private fields gone), left (JSON paths that are still
     private; empty unless scrubbing missed some) and fault (why a payload is no manifest
-    row; it then has no clean form).  With a task column the payload is a manifest row and
+    row, as it is no JSON, no object, or nested beyond what Python's parser follows, about a
+    thousand levels; it then has no clean form).  With a task column the payload is a manifest row and
     becomes its published form; else any JSON is scrubbed.  Row by row, in Arrow batches."""
 
     def one(text, name) -> tuple:
         try:
             value = json.loads(text) if text else {}
+            if task and not isinstance(value, dict):
+                return None, 0, [], "not an object"
+            value, n = record(value, name, requires_roi) if task else scrub(value)
+            return json.dumps(value, sort_keys=True, ensure_ascii=False), n, private_paths(value), None
         except ValueError:
             return None, 0, [], "not JSON"
-        if task and not isinstance(value, dict):
-            return None, 0, [], "not an object"
-        value, n = record(value, name, requires_roi) if task else scrub(value)
-        return json.dumps(value, sort_keys=True, ensure_ascii=False), n, private_paths(value), None
+        except RecursionError:
+            return None, 0, [], "nested too deep"
 
     def run(batches):
         for pdf in batches:
