@@ -220,6 +220,21 @@ def test_large_leaves_are_split_on_spark(spark, monkeypatch):
     assert (mine <= g.sum(1) + g[:, 7]).all() and mine.sum() >= 0.9 * g.sum()
 
 
+def test_many_lengths_take_one_job_and_signed_zeros_are_one_vector(spark):
+    rng = np.random.default_rng(3)
+    rows, at = [], 0
+    for dim in range(1, 61):
+        x = [float(v) for v in rng.normal(size=dim)]
+        rows += [(at, x), (at + 1, [2 * v for v in x])]
+        at += 2
+    rows += [(500, [1.0, 0.0, -5.0]), (501, [1.0, -0.0, -5.0])] + [(600 + i, None) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embeddings.near_dedup(df).collect()}
+    assert len(got) == len(rows) and got[501].component_id == 500 and got[501].n_links >= 1
+    assert all(got[i + 1].component_id == got[i].component_id == i and got[i].n_links == 1 for i in range(0, 120, 2) if i != 4)
+    assert all(got[600 + i].component_id == 600 + i and got[600 + i].kept for i in range(40))
+
+
 def test_digest_of_turns_is_plain_sha256(spark):
     r = turns(spark, [(1, 0, "user", "hi")]).select(chat.parse(F.col("formatted")).alias("b")).first().b
     assert hashlib.sha256(f"{r[0].role}\n{r[0].text}\n".encode()).hexdigest() == hashlib.sha256(b"user\nhi\n").hexdigest()

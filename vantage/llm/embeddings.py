@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -241,8 +243,9 @@ def near_dedup(vectors: DataFrame) -> DataFrame:
     Vectors that are null, empty, zero or hold null or non-finite components link with
     nothing, nor do rows with a null vec_id (their component is null, kept false);
     vectors of different lengths don't link.  Equal vectors form a class that is compared
-    once.  A forest is fitted on a bounded sample (SAMPLE classes) of each length; every
-    class goes down all trees, into both sides of a split near its cut, and is compared
+    once.  For each length a forest is fitted, in a task of its own, on a sample of its
+    classes (drawn by hash, SAMPLE expected, all if fewer); the driver passes on the trees,
+    and holds no vectors.  Every class goes down all trees, into both sides of a split near its cut, and is compared
     with all others of its leaves in double precision.  Leaves over TILE rows are split
     further, level by level, until their members lie too dense; those that stay larger are
     compared tile by tile in tasks of their own, so no leaf is cut short.  Balls are places where
@@ -257,14 +260,20 @@ def near_dedup(vectors: DataFrame) -> DataFrame:
     rows = vectors.select("vec_id", "embedding", F.coalesce(fine & F.col("vec_id").isNotNull(), F.lit(False)).alias("fine"))
     classes = rows.filter("fine").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"))
     classes = stage(classes.withColumn("dim", F.size("embedding")).withColumn("cid", F.xxhash64("embedding")), "emb-classes")
-    sizes = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().collect()}  # one row for each length
+    sizes = stage(classes.groupBy("dim").agg(F.count(F.lit(1)).alias("total")), "emb-sizes")  # written, so Spark knows how small it is
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "embedding"), 11) / F.lit(float(1 << 53))
+    some = classes.join(sizes, "dim").filter(draw * F.col("total") < SAMPLE).select("dim", "total", "rep", "embedding")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rep")
+        return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "forest": [pickle.dumps(Forest(unit(pdf["embedding"]), int(pdf["total"].iloc[0])))]})
+
     forests: dict[int, Forest] = {}
-    for dim, total in sorted(sizes.items()):
-        some = classes.filter(F.col("dim") == dim).orderBy(F.xxhash64(F.lit(SEED), "embedding"), "rep").limit(SAMPLE).select(F.col("embedding").alias("v")).toPandas()
-        forests[dim] = Forest(unit(some["v"]), total)
-        for f in forests.values():
-            f.base = sum(g.leaves for d, g in forests.items() if g is not f and d < f.dim)
-            f.first_ball = sum(len(g.centres) for d, g in forests.items() if g is not f and d < f.dim)
+    leaves = balls = 0
+    for r in some.groupBy("dim").applyInPandas(fit, "dim int, forest binary").orderBy("dim").collect():  # one for each length
+        forests[r["dim"]] = f = pickle.loads(r["forest"])
+        f.base, f.first_ball = leaves, balls
+        leaves, balls = leaves + f.leaves, balls + len(f.centres)
     shared = spark.sparkContext.broadcast(forests)
 
     def route(batches):
@@ -314,7 +323,9 @@ def near_dedup(vectors: DataFrame) -> DataFrame:
     edges = found.select(F.col("rep").alias("a"), F.col("low").alias("b")).unionAll(in_ball.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     at = components(edges)
     known = classes.join(links, "rep", "left").join(at, classes["rep"] == at["node"], "left")
-    known = known.select("embedding", "rep", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
-    out = rows.join(known, "embedding", "left")
+    known = known.select(F.col("embedding").alias("v"), "cid", "rep", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
+    # rows without a usable vector are dealt by their ids, so null vectors don't meet in one task
+    rows = rows.withColumn("key", F.when(F.col("fine"), F.xxhash64("embedding")).otherwise(F.xxhash64("vec_id")))
+    out = rows.join(known, (F.col("key") == F.col("cid")) & (F.col("embedding") == F.col("v")), "left")
     own = F.when(F.col("fine"), F.col("component")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.when(F.col("fine"), F.col("links")).otherwise(0).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(own == F.col("vec_id"), F.lit(False)).alias("kept"))
