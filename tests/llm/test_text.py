@@ -375,6 +375,26 @@ def test_lm_samples_every_window_once_over_all_offsets():
     assert row[: lm.WINDOW].tolist() == [lm.START, *range(3, 18)] and row[lm.WINDOW :].tolist() == list(range(11, 19))
 
 
+def test_lm_weights_learn_from_every_window(spark, monkeypatch):
+    """More windows than STEPS steps take: each token is learned from once."""
+    lengths = [0, 37, 1000] + [300_000] * 4
+    ids = [np.arange(n) % 40 + 3 for n in lengths]
+    x = lm.stream(np.concatenate(ids), np.array(lengths))[0]
+    counts = np.bincount(x, minlength=400)
+    counts[lm.START] = counts[lm.END]
+    rows = spark.createDataFrame([(i, bytearray(p.astype(np.uint16).tobytes())) for i, p in enumerate(ids)], "row long, pieces binary")
+    met, a, add_up = [], int((counts > 0).sum()) + 1, lm.add_up
+
+    def noted(parts, size):
+        got = add_up(parts, size)
+        met.append(got[-1 - a * (lm.MIXTURES + 1) : -1 - a * lm.MIXTURES].sum())  # scored positions of a round
+        return got
+
+    monkeypatch.setattr(lm, "add_up", noted)
+    lm.learn_windows(lm.Model(counts), rows, len(x), np.uint16)
+    assert sum(met) == len(x)
+
+
 def test_lm_gradients():
     rng = np.random.default_rng(1)
     m = toy(rng)
