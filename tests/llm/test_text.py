@@ -307,6 +307,36 @@ def test_media_inverse_transform():
     assert (media.pixels(coef, layout, np.ones((1, 64))) == 138).all()  # 128 + 80 / 8
 
 
+def test_jaccard_near_copies_meet_once(spark, monkeypatch):
+    """Members of a large group share dozens of shingles but make about one row a pair."""
+    r = random.Random(3)
+    base, texts = [f"w{i}" for i in range(150)], []
+    for i in range(150):
+        w = list(base)
+        for j in r.sample(range(150), 2):
+            w[j] = f"x{i}y{j}"
+        texts.append(" ".join(w))
+    made, meetings = [], jaccard.meetings
+
+    def noted(*a):
+        rows = meetings(*a)
+        made.append((rows.count(), rows.distinct().count()))
+        return rows
+
+    monkeypatch.setattr(jaccard, "meetings", noted)
+    member, _ = jaccard.join(docs(spark, texts), 5, 80)
+    got = {x.doc_id: x.component_id for x in member.collect()}
+    assert made[0][1] > 1000 and made[0][0] <= 1.5 * made[0][1]
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(146)} for t in texts]
+    least = list(range(150))
+    for _ in range(150):
+        new = [min(least[j] for j in range(150) if 100 * len(a & sets[j]) >= 80 * len(a | sets[j])) for a in sets]
+        if new == least:
+            break
+        least = new
+    assert got == dict(enumerate(least))
+
+
 def test_lm_probabilities_and_counts(spark):
     rng = np.random.default_rng(6)
     texts = [prose(rng, int(rng.integers(1, 80)), 60) for _ in range(120)] + ODD

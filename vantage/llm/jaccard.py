@@ -7,6 +7,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vantage.llm.common import Vocabulary, chunks, null_ids, ragged, small_batches, stage, tidy, whole_ids, words
 from vantage.llm.components import components
@@ -15,6 +16,8 @@ from vantage.llm.components import components
 COUNT_BITS = 18
 #: Ids that the texts' reading is filtered by in a broadcast; more go through a join.
 BROADCAST_IDS = 2_000_000
+#: Shared shingles before a set's own that show whether two sets have met already.
+BEFORE = 4
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -186,6 +189,26 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
     return stage(wide.mapInPandas(tidy(run), "a long, b long"), "jac-links")
 
 
+def meetings(spread: DataFrame, percent: int) -> DataFrame:
+    """Pairs (gid_x, comp_x, gid_y, comp_y) of different components that meet at a shingle
+    and may link.  Two sets that meet at a shingle also pass at each earlier one that they
+    share; so a pair counts at the first, as far as the last BEFORE shingles show it."""
+    side = lambda x: [F.col("token"), F.col("band"), *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "gid", "n", "pos", "short", "before", "w0", "w1", "w2", "w3")]]
+    least, other = spread.filter("short").withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1, F.col("band") + 2))), spread
+    apart = sum((F.bit_count(F.col(f"w{i}_x").bitwiseXOR(F.col(f"w{i}_y"))) for i in range(1, 4)), F.bit_count(F.col("w0_x").bitwiseXOR(F.col("w0_y"))))
+    both = F.col("n_x") + F.col("n_y")
+    near = may_link(F.col("n_x"), F.col("n_y"), F.col("pos_x"), F.col("pos_y"), percent) & (F.coalesce(apart, F.lit(0)) * (100 + percent) <= both * (100 - percent))
+    near &= (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & F.col("short_y"))
+    near &= (F.col("comp_x") != F.col("comp_y")) & ~F.arrays_overlap("before_x", "before_y")
+
+    def meet(x, y):
+        x, y = x.select(*side("x")), y.select(*side("y"))
+        return x.join(y, (x["token"] == y["token"]) & (x["band"] == y["band"]) & near).select("gid_x", "comp_x", "gid_y", "comp_y")
+
+    main, rest = "comp = main", "comp <> main"
+    return meet(least.filter(rest), other.filter(rest)).unionAll(meet(least.filter(rest), other.filter(main))).unionAll(meet(least.filter(main), other.filter(rest)))
+
+
 def join(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
     """Membership (doc_id, n_shingles, rep, component_id) and verified links (a, b)
     between class representatives, whose components are those of all links.
@@ -243,21 +266,10 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[DataFrame,
     by = spread.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"), F.max("short").alias("short"))
     by = by.groupBy("token").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps"), F.max("short").alias("some")).filter("comps > 1 and some")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent))) - 1e-9).cast("int")
-    spread = stage(spread.join(by.select("token", "main"), "token").withColumn("band", band), "jac-spread")
-    side = lambda x: [F.col("token"), F.col("band"), *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "gid", "n", "pos", "short", "w0", "w1", "w2", "w3")]]
-    least, other = spread.filter("short").withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1, F.col("band") + 2))), spread
-    apart = sum((F.bit_count(F.col(f"w{i}_x").bitwiseXOR(F.col(f"w{i}_y"))) for i in range(1, 4)), F.bit_count(F.col("w0_x").bitwiseXOR(F.col("w0_y"))))
-    both = F.col("n_x") + F.col("n_y")
-    near = may_link(F.col("n_x"), F.col("n_y"), F.col("pos_x"), F.col("pos_y"), percent) & (F.coalesce(apart, F.lit(0)) * (100 + percent) <= both * (100 - percent))
-    near &= (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & F.col("short_y"))
-    near &= F.col("comp_x") != F.col("comp_y")
-
-    def meet(x, y):
-        x, y = x.select(*side("x")), y.select(*side("y"))
-        return x.join(y, (x["token"] == y["token"]) & (x["band"] == y["band"]) & near).select("gid_x", "comp_x", "gid_y", "comp_y")
-
-    main, rest = "comp = main", "comp <> main"
-    groups2 = meet(least.filter(rest), other.filter(rest)).unionAll(meet(least.filter(rest), other.filter(main))).unionAll(meet(least.filter(main), other.filter(rest)))
+    before = F.collect_list("token").over(Window.partitionBy("gid", "comp").orderBy("pos").rowsBetween(-BEFORE, -1))
+    spread = spread.join(by.select("token", "main"), "token").withColumns({"band": band, "before": before})
+    spread = stage(spread, "jac-spread")
+    groups2 = meetings(spread, percent)
     groups2 = groups2.select(F.col("gid_x").alias("gx"), F.col("comp_x").alias("cx"), F.col("gid_y").alias("gy"), F.col("comp_y").alias("cy"))
     groups2 = stage(groups2.distinct(), "jac-groups")
     pairs = groups2.join(here.select(F.col("gid").alias("gx"), F.col("comp").alias("cx"), F.col("rep").alias("x")), ["gx", "cx"])
