@@ -337,6 +337,29 @@ def test_jaccard_near_copies_meet_once(spark, monkeypatch):
     assert got == dict(enumerate(least))
 
 
+def test_jaccard_pairs_of_a_large_group_grow_with_its_size(spark, monkeypatch):
+    """Members that most others link with are put together by few pairs, not by all pairs."""
+    r = random.Random(8)
+    base, texts = [f"w{i}" for i in range(150)], []
+    for i in range(500):
+        w = list(base)
+        for j in r.sample(range(150), 2 + i % 2):
+            w[j] = f"x{i}y{j}"
+        texts.append(" ".join(w))
+    kept, prune = [], jaccard.prune
+
+    def noted(pairs, *a):
+        kept.append((pairs.count(), (out := prune(pairs, *a)).count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "prune", noted)
+    got = {x.doc_id: x.component_id for x in jaccard.join(docs(spark, texts), 5, 80)[0].collect()}
+    assert sum(k for k, _ in kept) <= 40 * len(texts) and sum(k for _, k in kept) <= 20 * len(texts)
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(146)} for t in texts]
+    links = [(i, j) for i, a in enumerate(sets) for j in range(i) if 100 * len(a & sets[j]) >= 80 * len(a | sets[j])]
+    assert len(links) > 3000 and got == dict(enumerate(components(500, links)))
+
+
 def test_lm_probabilities_and_counts(spark):
     rng = np.random.default_rng(6)
     texts = [prose(rng, int(rng.integers(1, 80)), 60) for _ in range(120)] + ODD

@@ -18,6 +18,9 @@ COUNT_BITS = 18
 BROADCAST_IDS = 2_000_000
 #: Shared shingles before a set's own that show whether two sets have met already.
 BEFORE = 4
+#: Linear rounds after the first, at most, about how many members of a main component are drawn
+#: in each for a shingle, and the least groups of such a shingle: of fewer all pairs are few.
+ROUNDS, DRAWN, LARGE = 2, 32, 256
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -64,7 +67,7 @@ def needed(n, percent: int):
 def bitmap(s: np.ndarray) -> bytes:
     """Parity of set members by their low bits: differing bits of two are at most as many
     as the members in which the sets differ."""
-    bits = 1 << int(np.clip(int(len(s) - 1).bit_length(), 8, 14))
+    bits = 1 << int(np.clip(int(len(s) - 1).bit_length(), 10, 14))
     return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
@@ -189,15 +192,50 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
     return stage(wide.mapInPandas(tidy(run), "a long, b long"), "jac-links")
 
 
+def differ(percent: int):
+    """Whether the short bitmaps w0 .. w3 of x and y allow a link; groups with several members have none."""
+    apart = sum((F.bit_count(F.col(f"w{i}_x").bitwiseXOR(F.col(f"w{i}_y"))) for i in range(1, 4)), F.bit_count(F.col("w0_x").bitwiseXOR(F.col("w0_y"))))
+    return F.coalesce(apart, F.lit(0)) * (100 + percent) <= (F.col("n_x") + F.col("n_y")) * (100 - percent)
+
+
+def standing(met: DataFrame, here: DataFrame, percent: int) -> DataFrame:
+    """Members of shingles that lie in more than one component: token, gid, n, pos, comp, short, main (the
+    component with most groups at the shingle; mains: how many; all: of all), lead (smallest rep of gid in comp), members, l0 .. l3 (lead's bitmap)."""
+    part = here.groupBy("gid", "comp").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("rep", "short")).alias("lead"))
+    part = part.select("gid", "comp", "members", F.col("lead.rep").alias("lead"), *[F.col("lead.short")[i].alias(f"l{i}") for i in range(4)])
+    spread = met.join(part, "gid").withColumn("short", within_short(F.col("n"), F.col("pos"), percent))
+    by = spread.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"), F.max("short").alias("short"))
+    by = by.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("most"), F.count(F.lit(1)).alias("comps"), F.sum("c").alias("all"), F.max("short").alias("some")).filter("comps > 1 and some")
+    return spread.join(by.select("token", "all", F.col("most.comp").alias("main"), F.col("most.c").alias("mains")), "token")
+
+
+def approaches(spread: DataFrame, percent: int, seed: int) -> DataFrame:
+    """Pairs (a, b) of leads: of every group outside its shingle's main component with a few members of that
+    component, drawn anew for each shingle, so a group that links with many of it meets one that it links with."""
+    side = lambda x: ["token", *[F.col(c).alias(f"{c}_{x}") for c in ("lead", "n", "pos")], *[F.col(f"l{i}").alias(f"w{i}_{x}") for i in range(4)]]
+    spread = spread.filter(F.col("all") >= LARGE)
+    every = F.ceil(F.col("mains") / F.lit(DRAWN))
+    x, y = spread.filter("comp <> main").select(*side("x")), spread.filter("comp = main").filter(F.pmod(F.xxhash64(F.lit(seed), "token", "gid"), every) == 0).select(*side("y"))
+    near = may_link(F.col("n_x"), F.col("n_y"), F.col("pos_x"), F.col("pos_y"), percent) & differ(percent)
+    pairs = x.join(y, (x["token"] == y["token"]) & near)
+    return pairs.select(F.least("lead_x", "lead_y").alias("a"), F.greatest("lead_x", "lead_y").alias("b")).distinct()
+
+
+def merged(here: DataFrame, links: DataFrame) -> DataFrame:
+    """here with components (smallest rep) put together that links connect."""
+    ends = links.join(here.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), "a").join(here.select(F.col("rep").alias("b"), F.col("comp").alias("cb")), "b")
+    at = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    at = at.withColumnRenamed("component", "to")
+    return stage(here.join(at, here["comp"] == at["node"], "left").withColumn("comp", F.coalesce("to", "comp")).select(here.columns), "jac-here")
+
+
 def meetings(spread: DataFrame, percent: int) -> DataFrame:
     """Pairs (gid_x, comp_x, gid_y, comp_y) of different components that meet at a shingle
     and may link.  Two sets that meet at a shingle also pass at each earlier one that they
     share; so a pair counts at the first, as far as the last BEFORE shingles show it."""
     side = lambda x: [F.col("token"), F.col("band"), *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "gid", "n", "pos", "short", "before", "w0", "w1", "w2", "w3")]]
     least, other = spread.filter("short").withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1, F.col("band") + 2))), spread
-    apart = sum((F.bit_count(F.col(f"w{i}_x").bitwiseXOR(F.col(f"w{i}_y"))) for i in range(1, 4)), F.bit_count(F.col("w0_x").bitwiseXOR(F.col("w0_y"))))
-    both = F.col("n_x") + F.col("n_y")
-    near = may_link(F.col("n_x"), F.col("n_y"), F.col("pos_x"), F.col("pos_y"), percent) & (F.coalesce(apart, F.lit(0)) * (100 + percent) <= both * (100 - percent))
+    near = may_link(F.col("n_x"), F.col("n_y"), F.col("pos_x"), F.col("pos_y"), percent) & differ(percent)
     near &= (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & F.col("short_y"))
     near &= (F.col("comp_x") != F.col("comp_y")) & ~F.arrays_overlap("before_x", "before_y")
 
@@ -219,7 +257,8 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[DataFrame,
     size form a group; groups meet by shingles of their prefixes, pairs of groups are
     filtered by size and position, expanded to members, filtered by bitmaps and verified
     with exact sets.  First every member is compared with its group's leader and every
-    leader with two pivots of each shingle and size range, which takes linearly many
+    leader with two pivots of each shingle and size range, and what is left outside the
+    main component of a frequent shingle with drawn members of it, which takes linearly many
     pairs; then, exhaustively, with all others that are not in its component yet: of the
     members that meet at a shingle those outside its main component are joined with one
     another and with that component, the one that is not larger by its short prefix only
@@ -260,24 +299,27 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[DataFrame,
 
     # what is left: pairs of groups in different components that meet
     here = stage(reps.join(at, reps["rep"] == at["node"], "left").select("rep", "n", "gid", "short", F.coalesce("component", "rep").alias("comp")), "jac-here")
-    part = here.groupBy("gid", "comp").agg(F.count(F.lit(1)).alias("members"), F.first("short").alias("short"))
-    part = part.select("gid", "comp", *[F.when(F.col("members") == 1, F.col("short")[i]).alias(f"w{i}") for i in range(4)])
-    spread = met.join(part, "gid").withColumn("short", within_short(F.col("n"), F.col("pos"), percent))
-    by = spread.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"), F.max("short").alias("short"))
-    by = by.groupBy("token").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps"), F.max("short").alias("some")).filter("comps > 1 and some")
+    for seed in range(ROUNDS):
+        closer = prune(approaches(standing(met, here, percent), percent, seed), reps, percent)
+        if not closer.limit(1).count():
+            break
+        more = verify(closer, docs, size, percent)
+        if not more.limit(1).count():
+            break
+        links, here = links.unionAll(more), merged(here, more)
+    spread = standing(met, here, percent).select("token", "gid", "n", "pos", "comp", "short", "main", *[F.when(F.col("members") == 1, F.col(f"l{i}")).alias(f"w{i}") for i in range(4)])
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent))) - 1e-9).cast("int")
     before = F.collect_list("token").over(Window.partitionBy("gid", "comp").orderBy("pos").rowsBetween(-BEFORE, -1))
-    spread = spread.join(by.select("token", "main"), "token").withColumns({"band": band, "before": before})
-    spread = stage(spread, "jac-spread")
+    spread = stage(spread.withColumns({"band": band, "before": before}), "jac-spread")
     groups2 = meetings(spread, percent)
     groups2 = groups2.select(F.col("gid_x").alias("gx"), F.col("comp_x").alias("cx"), F.col("gid_y").alias("gy"), F.col("comp_y").alias("cy"))
     groups2 = stage(groups2.distinct(), "jac-groups")
     pairs = groups2.join(here.select(F.col("gid").alias("gx"), F.col("comp").alias("cx"), F.col("rep").alias("x")), ["gx", "cx"])
     pairs = pairs.join(here.select(F.col("gid").alias("gy"), F.col("comp").alias("cy"), F.col("rep").alias("y")), ["gy", "cy"])
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(links, ["a", "b"], "left_anti")
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = verify(prune(pairs, reps, percent), docs, size, percent)
     links = links.unionAll(more)
-    at = stage(components(links), "jac-components")
+    at = merged(here, more).select(F.col("rep").alias("node"), F.col("comp").alias("component"))
 
     member = sign.join(classes.select("n", "k1", "k2", "rep"), ["n", "k1", "k2"], "left")
     member = member.join(at, member["rep"] == at["node"], "left")
