@@ -1,5 +1,6 @@
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -185,6 +186,19 @@ def test_region_rows_by_block(spark):
             assert [(y.at, y.frame_idx, y.coord, y.boxes, tuple(y.gaze) if y.gaze else None) for y in got[i] or []] == want
 
 
+def joins(df):
+    """Names of the joins that Spark planned."""
+    return re.findall(r"\w+Join\b", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_region_rows_never_pass_through_the_driver(spark):
+    """However small Spark takes the tables for: their files say little of their size."""
+    from vantage.plans import building
+
+    kinds = joins(building.roi_frames(spark, "/root/testdata/sf0.001"))
+    assert kinds and set(kinds) == {"SortMergeJoin"}
+
+
 def test_manifest_scrub(spark):
     payload = {"assets": {"interval_clip_path": "/home/x", "a": ["/data/y", "z"]}, "keep": 1}
     row = manifest.sanitize(spark.createDataFrame([("t", json.dumps(payload))], "task string, payload string")).first()

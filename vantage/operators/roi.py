@@ -37,10 +37,12 @@ def roi_join(samples: DataFrame, rows: DataFrame, keys: list[str], radius: float
 
     Rows are packed by video and block of frames, so a sample joins the few blocks that its
     frames lie in and picks them there; a long video is many blocks, so none is hot.
+    Neither the packed rows nor the regions are ever broadcast: Spark guesses their size
+    from the compressed files, far too low, and they would have to pass through the driver.
     """
     block_of = lambda f: F.floor(f / size)
     wide = samples.select("sample_id", *keys, "frames", F.explode(F.array_distinct(F.transform("frames", block_of))).alias("block"))
-    got = wide.join(packed(rows, keys, size), [*keys, "block"], "left")
+    got = wide.join(packed(rows, keys, size).hint("merge"), [*keys, "block"], "left")
 
     def roi(at, frame, row):
         circle = F.struct(row["gaze"]["x"].alias("x"), row["gaze"]["y"].alias("y"), F.coalesce(row["gaze"]["r"], F.lit(radius)).alias("r"))
@@ -52,7 +54,7 @@ def roi_join(samples: DataFrame, rows: DataFrame, keys: list[str], radius: float
     here = F.filter(F.transform("frames", lambda f, i: F.struct(i.alias("at"), f.alias("f"))), lambda x: block_of(x["f"]) == F.col("block"))
     part = F.transform(here, lambda x: roi(x["at"], x["f"], F.try_element_at("packed", x["f"])))
     rois = got.select("sample_id", part.alias("part")).groupBy("sample_id").agg(F.array_sort(F.flatten(F.collect_list("part"))).alias("rois"))
-    return samples.join(rois, "sample_id", "left")
+    return samples.join(rois.hint("merge"), "sample_id", "left")
 
 
 def roi_violations(rows: DataFrame, eps: float = 1e-6) -> DataFrame:
