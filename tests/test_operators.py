@@ -199,6 +199,13 @@ def test_region_rows_never_pass_through_the_driver(spark):
     assert kinds and set(kinds) == {"SortMergeJoin"}
 
 
+def test_region_boxes_never_pass_through_the_driver(spark):
+    from vantage.plans import building
+
+    kinds = joins(building.roi_boxes(spark, "/root/testdata/sf0.001"))
+    assert kinds and set(kinds) == {"SortMergeJoin"}
+
+
 def test_manifest_scrub(spark):
     payload = {"assets": {"interval_clip_path": "/home/x", "a": ["/data/y", "z"]}, "keep": 1}
     row = manifest.sanitize(spark.createDataFrame([("t", json.dumps(payload))], "task string, payload string")).first()

@@ -245,7 +245,7 @@ def roi_boxes(spark, sf_dir):
     xs = F.transform(F.filter("rois", lambda r: F.size(r["boxes"]) > 0), lambda r: F.element_at(F.element_at(r["boxes"], 1), 1))
     own = roi.roi_join(s, rows, ["video"]).select("sample_id", F.aggregate(xs, F.lit(0.0), lambda a, v: a + v).alias("x_sum"), F.try_element_at(xs, F.lit(-1)).alias("x_last"), F.try_element_at("rois", F.lit(1))["gaze"]["r"].alias("radius"))
     fixed = roi.roi_join(s, rows, ["video"], gaze={"x": 0.25, "y": 0.75, "r": 0.9}).select("sample_id", F.element_at("rois", -1)["gaze"].alias("g"))
-    return own.join(fixed, "sample_id").select(F.col("sample_id").alias("event_id"), F.round("x_sum", 6).alias("x_sum"), "x_last", "radius", F.col("g.x").alias("gaze_x"), F.col("g.r").alias("gaze_r"))
+    return own.join(fixed.hint("merge"), "sample_id").select(F.col("sample_id").alias("event_id"), F.round("x_sum", 6).alias("x_sum"), "x_last", "radius", F.col("g.x").alias("gaze_x"), F.col("g.r").alias("gaze_r"))
 
 
 def open_ended_words(spark, sf_dir):
