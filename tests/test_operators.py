@@ -149,6 +149,22 @@ def test_narrations_meet_all_terms(spark, tmp_path):
     assert got[40] == "40" and got[90] == "90"
 
 
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_narrations_never_pass_through_the_driver(spark, tmp_path, monkeypatch, most):
+    """Only a side that is counted to be small is broadcast, with the same result as without."""
+    from vantage.plans import building
+
+    d = "/root/testdata/sf0.001"
+    monkeypatch.setattr(taxonomy, "SMALL_ROWS", most)
+    df = building.narration_nouns(spark, d)
+    sides = re.findall(r"\w+Join \[(\w+)#[^\]]*\], \[[^\]]*\], \w+, (Build\w+)", df._jdf.queryExecution().executedPlan().toString())
+    assert sides == ([("verb", "BuildRight"), ("said", "BuildRight"), ("verb", "BuildRight")] if most else [])
+    told, verbs = building.narrations(spark, d).collect(), {"take", "hold", "wash", "put", "support", "grip"}
+    groups = {r.variant: r.term_id for r in building.taxonomy_variants(spark, d).collect()}
+    nouns = {w for v in groups for w in v.split("_")}
+    assert {r.narr_id: r.noun for r in df.collect()} == {r.narr_id: narration(r.text, r.verb, groups, nouns, verbs) for r in told}
+
+
 def test_taxonomy_variants(spark):
     df = spark.createDataFrame([("pepper_(vegetable)_(capsicum,_pepper)",), ("pen_(marker,_pen)",), ("",)], "t string")
     assert [r[0] for r in df.select(taxonomy.variants_of("t")).collect()] == [["pepper", "capsicum"], ["pen", "marker"], []]

@@ -64,6 +64,17 @@ def singular(word: Column, vocab: Column) -> Column:
     return F.when(~has(vocab, word) & F.endswith(word, F.lit("s")) & (F.length(word) > 3) & has(vocab, short), short).otherwise(word)
 
 
+#: Rows and bytes of text of a side that is broadcast, at most.
+SMALL_ROWS, SMALL_BYTES = 100_000, 4 << 20
+
+
+def measured(side: DataFrame, *texts: Column) -> DataFrame:
+    """The side of a join, to be broadcast if it is counted to be small, else to be
+    shuffled.  Spark itself goes by the compressed files and would broadcast the other side."""
+    n = side.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(sum((F.octet_length(t) for t in texts), F.lit(0))), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(side) if n["rows"] <= SMALL_ROWS and n["bytes"] <= SMALL_BYTES else side.hint("merge")
+
+
 def forms(vocab: DataFrame, ends: dict[str, int]) -> DataFrame:
     """(form, word): the word of the vocabulary (word) that a form of it stands for.  A form
     is the word itself or the word with an end, if it is longer than the number of the end;
@@ -78,7 +89,7 @@ def spoken(keyed: DataFrame, key: str, tokens: str, known: DataFrame) -> DataFra
     ``forms``.  A token that is no form at all stands for itself, a form of another word for nothing."""
     t = keyed.select(key, F.posexplode(tokens).alias("i", "word"))
     own = known.select(F.col("form").alias("word"), F.col("word").alias("owner"))
-    t = t.join(own, "word", "left").join(known.groupBy("word").agg(F.sort_array(F.collect_list("form")).alias("all")), "word", "left")
+    t = t.join(own.hint("merge"), "word", "left").join(known.groupBy("word").agg(F.sort_array(F.collect_list("form")).alias("all")).hint("merge"), "word", "left")
     said = F.when(F.col("owner").isNull(), F.array("word")).when(F.col("owner") == F.col("word"), F.col("all")).otherwise(F.array().cast("array<string>"))
     return t.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", said.alias("said")))).alias("f")).select(key, F.col("f.said").alias("forms"))
 
@@ -98,11 +109,15 @@ def narration_nouns(narrations: DataFrame, nouns: DataFrame, noun_words: DataFra
 
     Vocabularies are tables (word) of any size.  Narrations aren't stemmed word by word:
     variants and verbs are written out in all forms that stand for them, so the words of a
-    text are joined as they are.  A null text has no words, a null verb no place."""
+    text are joined as they are.  A null text has no words, a null verb no place.
+
+    Verbs and variants are broadcast only if they are counted to be small; nothing that
+    has a row for each narration or n-gram ever is."""
     w = words("text")
     w = F.when((F.try_element_at(w, F.lit(1)) == "c") & (F.try_element_at(w, F.lit(2)) == "c"), F.slice(w, F.lit(3), F.size(w))).otherwise(w)
     verbs = narrations.select("verb").filter("verb is not null").distinct().withColumn("vseq", F.filter(F.split(base_of("verb"), "_"), lambda x: x != ""))
     verbs = spoken(verbs, "verb", "vseq", forms(verb_words, VERB_ENDS)).withColumnRenamed("forms", "vseq")
+    verbs = measured(verbs, F.col("verb"), F.array_join(F.flatten("vseq"), "_"))
     n = narrations.select("narr_id", w.alias("w"), "verb").join(verbs, "verb", "left").withColumn("vseq", F.coalesce("vseq", F.array().cast("array<array<string>>")))
     here = lambda i: F.forall(F.sequence(F.lit(0), F.size("vseq") - 1), lambda j: F.coalesce(F.array_contains(F.get("vseq", j), F.get("w", i + j)), F.lit(False)))
     places = F.when((F.size("vseq") > 0) & (F.size("w") >= F.size("vseq")), F.filter(F.sequence(F.lit(0), F.size("w") - F.size("vseq")), here))
@@ -114,8 +129,8 @@ def narration_nouns(narrations: DataFrame, nouns: DataFrame, noun_words: DataFra
     named = nouns.select("variant", "term_id", F.split("variant", "_").alias("tokens")).filter(F.size("tokens") <= longest)
     said = spoken(named, "variant", "tokens", forms(noun_words, NOUN_ENDS))
     whole = F.aggregate("forms", F.array(F.lit("")), lambda got, f: F.flatten(F.transform(got, lambda a: F.transform(f, lambda x: F.when(a == "", x).otherwise(F.concat(a, F.lit("_"), x))))))
-    said = said.select("variant", F.explode(whole).alias("said")).join(named.select("variant", "term_id"), "variant").select("said", "term_id")
-    occ = grams.join(said, "said")
+    said = said.select("variant", F.explode(whole).alias("said")).join(named.select("variant", "term_id").hint("merge"), "variant").select("said", "term_id")
+    occ = grams.join(measured(said, F.col("said")), "said")
     end = F.col("vpos") + F.col("vlen")
     after = F.when(F.col("vpos").isNull(), 0).when(F.col("s") >= end, 0).otherwise(1)
     far = F.when(F.col("vpos").isNull(), 0).when(F.col("s") >= end, F.col("s") - end).otherwise(F.abs(F.col("s") - F.col("vpos")))
@@ -126,7 +141,7 @@ def narration_nouns(narrations: DataFrame, nouns: DataFrame, noun_words: DataFra
         (a["lead"] & isin(x, DETERMINERS)).alias("lead"), (a["stop"] | (~(a["lead"] & isin(x, DETERMINERS)) & isin(x, PREPOSITIONS))).alias("stop"),
         F.when((a["lead"] & isin(x, DETERMINERS)) | a["stop"] | isin(x, PREPOSITIONS), a["got"]).otherwise(F.array_append(a["got"], x)).alias("got")))
     phrase = F.when(F.col("vpos").isNotNull(), F.nullif(F.array_join(skip["got"], "_"), F.lit("")))
-    out = n.select("narr_id", phrase.alias("ph")).join(best, "narr_id", "left")
+    out = n.select("narr_id", phrase.alias("ph")).join(best.hint("merge"), "narr_id", "left")
     how = F.when(F.col("term_id").isNotNull(), "taxonomy_match").when(F.col("ph").isNotNull(), "heuristic_after_verb").otherwise("none")
     return out.select("narr_id", how.alias("how"), "term_id", F.when(F.col("term_id").isNull(), F.coalesce("ph", F.lit("none"))).alias("phrase"))
 
