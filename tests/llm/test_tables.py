@@ -220,6 +220,29 @@ def test_large_leaves_are_split_on_spark(spark, monkeypatch):
     assert (mine <= g.sum(1) + g[:, 7]).all() and mine.sum() >= 0.9 * g.sum()
 
 
+def test_vectors_travel_as_bytes_and_tasks_go_on_in_the_next_batch(spark, monkeypatch):
+    """No table of a row for each vector and leaf holds arrays of numbers, and batches of any
+    size give the same links."""
+    monkeypatch.setattr(embeddings, "TILE", 64)
+    tables = {}
+    whole = embeddings.stage
+    monkeypatch.setattr(embeddings, "stage", lambda df, name, *a: tables.update({name: dict(df.dtypes)}) or whole(df, name, *a))
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(size=(120, 16)), *[c + rng.normal(size=(150, 16)) * 0.09 for c in rng.normal(size=(2, 16))]])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    for rows in ("10000", "7"):
+        monkeypatch.setattr(embeddings, "DENSE", 1_000)  # no balls: large leaves are dealt in tiles
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            got = {r.vec_id: r.n_links for r in embeddings.near_dedup(df).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert [got[i] for i in range(len(x))] == ((u @ u.T >= 0.95).sum(1) - 1).tolist()
+    wide = [name for name, kinds in tables.items() for kind in kinds.values() if kind == "array<double>" and name not in ("emb-classes", "emb-splits")]
+    assert "emb-routed" in tables and not wide
+
+
 def test_many_lengths_take_one_job_and_signed_zeros_are_one_vector(spark):
     rng = np.random.default_rng(3)
     rows, at = [], 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import pickle
 
 import numpy as np
@@ -22,6 +23,8 @@ LEAF, SPILL, TILE = 512, 0.02, 1024
 FIT, DEPTH = 512, 3
 #: Sample members that make a ball, and the most balls there are.
 DENSE, BALLS = 16, 512
+#: Rows of a side that is broadcast, at most, each some 100 bytes.
+SMALL = 100_000
 #: Two unit vectors within half the link angle of one point have at least the link's cosine.
 CORE = float(np.cos(np.arccos(LINK) / 2)) + 1e-9
 
@@ -114,6 +117,7 @@ class Forest:
         return np.where(inside.any(1), inside.argmax(1), -1)
 
 
+@functools.lru_cache(4096)
 def direction(seed: int, dim: int) -> np.ndarray:
     x = np.random.default_rng(seed).normal(size=dim)
     return x / np.linalg.norm(x)
@@ -145,35 +149,38 @@ def subtree(x: np.ndarray, seed: int, target: int) -> list[tuple[int, float, int
 
 
 def refined(at_leaf: DataFrame, limit: int) -> DataFrame:
-    """at_leaf (rep, mult, v, ball, leaf) with every leaf over limit rows split, level by level,
-    until none is larger or its members lie too dense.  A leaf's splits are fitted in a task
-    of their own on about FIT of its members and joined to its rows as seeds and cuts, so
-    neither the driver nor a task holds more, and work grows with the rows."""
+    """(rep, ball, leaf) of at_leaf (rep, ball, dim, v, leaf) with every leaf over limit rows
+    split, level by level, until none is larger or its members lie too dense.  A leaf's splits
+    are fitted in a task of their own on about FIT of its members and joined to its rows as
+    seeds and cuts, so neither the driver nor a task holds more, and work grows with the rows.
+    Only rows of large leaves are read with their vectors."""
     done = None
     while True:
         sizes = stage(at_leaf.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit), "emb-large")
-        if not sizes.limit(1).count():
-            return at_leaf if done is None else done.unionByName(at_leaf)
-        small = at_leaf.join(sizes, "leaf", "left_anti")
+        small = at_leaf.select("rep", "ball", "leaf")
+        if not (many := sizes.count()):
+            return small if done is None else done.unionByName(small)
+        side = F.broadcast(sizes) if many <= SMALL else sizes.hint("merge")
+        small = small.join(side, "leaf", "left_anti").select("rep", "ball", "leaf")
         done = small if done is None else done.unionByName(small)
-        large = at_leaf.join(sizes, "leaf")
+        large = at_leaf.join(side, "leaf")
         draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "leaf", "rep"), 11) / F.lit(float(1 << 53))
-        some = large.filter(draw * F.col("n") < FIT).select("leaf", "n", "v")
+        some = large.filter(draw * F.col("n") < FIT).select("leaf", "n", "dim", "v")
 
         def fit(pdf: pd.DataFrame) -> pd.DataFrame:
             leaf, n = int(pdf["leaf"].iloc[0]), int(pdf["n"].iloc[0])
-            splits = subtree(unit(pdf["v"]), leaf, max(8, LEAF * len(pdf) // n))
+            splits = subtree(opened(pdf), leaf, max(8, LEAF * len(pdf) // n))
             return pd.DataFrame({"leaf": [leaf], "seeds": [[s for s, _, _ in splits]], "cuts": [[c for _, c, _ in splits]], "places": [[p for _, _, p in splits]]})
 
         def route(batches):
             for pdf in batches:
                 for leaf, part in pdf.groupby("leaf", sort=False):
-                    x, splits = unit(part["v"]), {p: (s, c) for s, c, p in zip(part["seeds"].iloc[0], part["cuts"].iloc[0], part["places"].iloc[0], strict=True)}
+                    x, splits = opened(part), {p: (s, c) for s, c, p in zip(part["seeds"].iloc[0], part["cuts"].iloc[0], part["places"].iloc[0], strict=True)}
                     work = [(1, np.arange(len(part)))]
                     while work:
                         at, rows = work.pop()
                         if at not in splits:
-                            out = part.iloc[rows][["rep", "mult", "v", "ball"]].copy()
+                            out = part.iloc[rows][["rep", "ball", "dim", "v"]].copy()
                             out["leaf"] = xxhash.xxh64_intdigest(f"{leaf}:{at}") >> 1
                             yield out
                             continue
@@ -182,10 +189,10 @@ def refined(at_leaf: DataFrame, limit: int) -> DataFrame:
                         work += [(2 * at, rows[p <= cut + SPILL]), (2 * at + 1, rows[p > cut - SPILL])]
 
         splits = stage(some.groupBy("leaf").applyInPandas(fit, "leaf long, seeds array<long>, cuts array<double>, places array<int>"), "emb-splits")
-        whole = large.drop("n").join(splits, "leaf", "left")
-        dense = whole.filter("seeds is null or size(seeds) = 0").select("rep", "mult", "v", "ball", "leaf")
-        done = stage(done.unionByName(dense), "emb-done")
-        at_leaf = stage(whole.filter("size(seeds) > 0").mapInPandas(route, "rep long, mult long, v array<double>, ball int, leaf long"), "emb-leaves")
+        whole = large.drop("n").join(splits.hint("merge"), "leaf", "left")  # so rows of a leaf come one after another
+        dense = whole.filter("seeds is null or size(seeds) = 0").select("rep", "ball", "leaf")
+        done = done.unionByName(stage(dense, "emb-dense"))
+        at_leaf = stage(whole.filter("size(seeds) > 0").mapInPandas(route, "rep long, ball int, dim int, v binary, leaf long"), "emb-leaves")
 
 
 def unit(column) -> np.ndarray:
@@ -193,36 +200,39 @@ def unit(column) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def opened(pdf: pd.DataFrame) -> np.ndarray:
+    """Unit vectors of rows of one length dim, whose components are the bytes in v."""
+    dim = int(pdf["dim"].iloc[0])
+    kind = np.float32 if len(pdf["v"].iloc[0]) == 4 * dim else np.float64
+    x = np.frombuffer(b"".join(pdf["v"]), kind).reshape(-1, dim).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def compare(pdf: pd.DataFrame) -> pd.DataFrame:
     """Links between the two sides of a task: for each vector the number of its links
     counted here and the smallest vector of its component here.
 
     A link is counted in the first leaf that both vectors are in; vectors of one ball are
     linked anyway and left out."""
-    x, side, ball = unit(pdf["v"]), pdf["side"].to_numpy(), pdf["ball"].to_numpy()
+    x, side, ball = opened(pdf), pdf["side"].to_numpy(), pdf["ball"].to_numpy()
     rep, mult, leaf = pdf["rep"].to_numpy(), pdf["mult"].to_numpy(), int(pdf["leaf"].iloc[0])
-    width = max(map(len, pdf["leaves"]))
-    member = np.full((len(pdf), width), -1, np.int64)
-    for i, row in enumerate(pdf["leaves"]):
-        member[i, : len(row)] = row
     alone = (side == 2).all()  # one tile with itself
     a = np.flatnonzero(side != 1)
     b = np.flatnonzero(side != 0) if alone else np.flatnonzero(side == 1)
     links = np.zeros(len(pdf), np.int64)
     ones, others = [], []
     for s in range(0, len(a), 256):
-        i, j = np.nonzero(x[a[s : s + 256]] @ x[b].T >= LINK)
-        i, j = a[s + i], b[j]
+        right = b[s:] if alone else b
+        i, j = np.nonzero(x[a[s : s + 256]] @ x[right].T >= LINK)
+        i, j = a[s + i], right[j]
         keep = (i < j) if alone else np.ones(len(i), bool)
         keep &= (ball[i] != ball[j]) | (ball[i] < 0)
-        i, j = i[keep], j[keep]
-        for t in range(0, len(i), 20_000):
-            ii, jj = i[t : t + 20_000], j[t : t + 20_000]
-            both = (member[ii][:, :, None] == member[jj][:, None, :]) & (member[ii] >= 0)[:, :, None]
-            first = np.where(both.any(2), member[ii], np.iinfo(np.int64).max).min(1) == leaf
-            ones.append(ii[first])
-            others.append(jj[first])
+        ones.append(i[keep])
+        others.append(j[keep])
     i, j = (np.concatenate(ones), np.concatenate(others)) if ones else (np.zeros(0, int), np.zeros(0, int))
+    if len(i):
+        first = first_here(pdf["member"].to_numpy(), i, j, leaf)
+        i, j = i[first], j[first]
     np.add.at(links, i, mult[j])
     np.add.at(links, j, mult[i])
     low = rep.copy()
@@ -237,6 +247,49 @@ def compare(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"rep": rep[some], "links": links[some], "low": low[some]})
 
 
+def compared(batches):
+    """compare for every task (leaf, low, high) of rows in the tasks' order.  A task's rows may go on
+    in the next batches; only those of the last task wait for them."""
+    rest: list = []
+    for pdf in batches:
+        key = pdf[["leaf", "low", "high"]].to_numpy()
+        ends = [*(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(pdf)]
+        if rest and len(pdf) and (rest[0][["leaf", "low", "high"]].iloc[0].to_numpy() != key[0]).any():
+            yield compare(pd.concat(rest, ignore_index=True))
+            rest = []
+        for start, end in zip([0, *ends[:-1]], ends, strict=True):
+            part = pdf.iloc[start:end]
+            if end == len(pdf):
+                rest += [part] if end > start else []
+            else:
+                yield compare(pd.concat([*rest, part], ignore_index=True) if rest else part)
+                rest = []
+    if rest:
+        yield compare(pd.concat(rest, ignore_index=True))
+
+
+def first_here(member: np.ndarray, i: np.ndarray, j: np.ndarray, leaf: int, width: int = 4096) -> np.ndarray:
+    """Whether no smaller leaf than this holds both vectors of each pair i, j; member: the
+    leaves of each vector as bytes.  A vector is a row of bits, one for each smaller leaf
+    that several vectors here are in."""
+    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    own = [np.frombuffer(member[k], np.int64) for k in used.tolist()]
+    row, flat = np.repeat(np.arange(len(own)), list(map(len, own))), np.concatenate(own)
+    row, flat = row[flat < leaf], flat[flat < leaf]
+    _, col, count = np.unique(flat, return_inverse=True, return_counts=True)
+    several = count[col] > 1
+    row, col = row[several], np.unique(col[several], return_inverse=True)[1]
+    one, other, met = at[: len(i)], at[len(i) :], np.zeros(len(i), bool)
+    for start in range(0, int(col.max(initial=-1)) + 1, width):
+        here = (col >= start) & (col < start + width)
+        bits = np.zeros((len(own), width), bool)
+        bits[row[here], col[here] - start] = True
+        bits = np.packbits(bits[:, : int(col.max()) + 1 - start], axis=1)
+        for t in range(0, len(i), 20_000):
+            met[t : t + 20_000] |= (bits[one[t : t + 20_000]] & bits[other[t : t + 20_000]]).any(1)
+    return ~met
+
+
 def near_dedup(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row.
 
@@ -248,7 +301,9 @@ def near_dedup(vectors: DataFrame) -> DataFrame:
     and holds no vectors.  Every class goes down all trees, into both sides of a split near its cut, and is compared
     with all others of its leaves in double precision.  Leaves over TILE rows are split
     further, level by level, until their members lie too dense; those that stay larger are
-    compared tile by tile in tasks of their own, so no leaf is cut short.  Balls are places where
+    compared tile by tile in tasks of their own, so no leaf is cut short.  Vectors and lists of
+    leaves travel as bytes, and only leaves that are dealt in tiles pass through Python on
+    their way to the comparison.  Balls are places where
     the sample is dense: two vectors within half the link angle of the centre have the
     link's cosine for certain, so members of one ball aren't compared with one another and
     a huge group takes no quadratic work.  Links found give components.  Rows that repeat
@@ -270,11 +325,12 @@ def near_dedup(vectors: DataFrame) -> DataFrame:
 
     forests: dict[int, Forest] = {}
     leaves = balls = 0
-    for r in some.groupBy("dim").applyInPandas(fit, "dim int, forest binary").orderBy("dim").collect():  # one for each length
+    for r in sorted(some.groupBy("dim").applyInPandas(fit, "dim int, forest binary").collect(), key=lambda r: r["dim"]):  # one for each length
         forests[r["dim"]] = f = pickle.loads(r["forest"])
         f.base, f.first_ball = leaves, balls
         leaves, balls = leaves + f.leaves, balls + len(f.centres)
     shared = spark.sparkContext.broadcast(forests)
+    kind = np.float32 if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
 
     def route(batches):
         for pdf in batches:
@@ -282,25 +338,34 @@ def near_dedup(vectors: DataFrame) -> DataFrame:
                 forest, x = shared.value[dim], unit(part["embedding"])
                 leaves = [[forest.base + n for n in r] for r in forest.route(x)]
                 ball = forest.ball(x)
-                yield pd.DataFrame({"rep": part["rep"], "mult": part["mult"], "v": part["embedding"], "leaves": leaves, "ball": np.where(ball >= 0, ball + forest.first_ball, -1)})
+                raw = np.array(part["embedding"].tolist(), kind)
+                yield pd.DataFrame({"rep": part["rep"], "mult": part["mult"], "dim": dim, "v": [r.tobytes() for r in raw], "leaves": leaves, "ball": np.where(ball >= 0, ball + forest.first_ball, -1)})
 
-    routed = classes.select("rep", "mult", "embedding").mapInPandas(route, "rep long, mult long, v array<double>, leaves array<int>, ball int")
+    routed = classes.select("rep", "mult", "embedding").mapInPandas(route, "rep long, mult long, dim int, v binary, leaves array<long>, ball int")
     routed = stage(routed, "emb-routed")
-    at_leaf = refined(routed.select("rep", "mult", "v", "ball", F.explode(F.col("leaves").cast("array<long>")).alias("leaf")), TILE)
+    at_leaf = refined(routed.select("rep", "ball", "dim", "v", F.explode("leaves").alias("leaf")), TILE)
     leaves = at_leaf.groupBy("rep").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))  # a few for each tree
     # leaves that are still over TILE, by balls: (ball, tiles of it, first tile)
     counts = at_leaf.groupBy("leaf", "ball").agg(F.count(F.lit(1)).alias("n"))
     plan = counts.groupBy("leaf").agg(F.sum("n").alias("all_n"), F.array_sort(F.collect_list(F.struct("ball", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")))).alias("units")).filter(F.col("all_n") > TILE)
-    at_leaf = routed.drop("leaves").join(leaves, "rep").withColumn("leaf", F.explode("leaves")).join(plan.select("leaf", "units"), "leaf", "left")
+    plan = stage(plan.select("leaf", "units"), "emb-plan")
+    units = plan.agg(F.sum(F.size("units"))).first()[0] or 0
+
+    def listed(batches):
+        """The leaves of each vector as bytes too."""
+        for pdf in batches:
+            pdf["member"] = [np.asarray(x, np.int64).tobytes() for x in pdf["leaves"]]
+            yield pdf
+
+    at_leaf = routed.drop("leaves").join(leaves.hint("merge"), "rep").mapInPandas(listed, "rep long, mult long, dim int, v binary, ball int, leaves array<long>, member binary")
+    at_leaf = at_leaf.withColumn("leaf", F.explode("leaves")).drop("leaves")
+    side = F.broadcast(plan) if units <= SMALL else plan.hint("merge")
 
     def deal(batches):
         """Each row once for every comparison task of its tile."""
         for pdf in batches:
-            index, task, side = [], [], []
-            for i, (leaf, ball, rep, units) in enumerate(zip(pdf["leaf"].tolist(), pdf["ball"].tolist(), pdf["rep"].tolist(), pdf["units"], strict=True)):
-                if units is None or not len(units):
-                    index.append(i), task.append(f"{leaf}"), side.append(2)
-                    continue
+            index, lows, highs, side = [], [], [], []
+            for i, (ball, rep, units) in enumerate(zip(pdf["ball"].tolist(), pdf["rep"].tolist(), pdf["units"], strict=True)):
                 tiles = [(u["ball"], u["tiles"]) for u in units]
                 first = dict(zip((b for b, _ in tiles), np.cumsum([0, *(k for _, k in tiles)]).tolist(), strict=False))
                 mine = first[ball] + xxhash.xxh64_intdigest(rep.to_bytes(8, "little", signed=True)) % dict(tiles)[ball]
@@ -309,13 +374,18 @@ def near_dedup(vectors: DataFrame) -> DataFrame:
                         if b == ball >= 0:
                             continue
                         low, high = min(mine, other), max(mine, other)
-                        index.append(i), task.append(f"{leaf}:{low}:{high}"), side.append(2 if low == high else int(mine == high))
-            out = pdf.iloc[index][["rep", "mult", "v", "leaves", "ball", "leaf"]].copy()
-            out["task"], out["side"] = task, side
+                        index.append(i), lows.append(low), highs.append(high), side.append(2 if low == high else int(mine == high))
+            out = pdf.iloc[index].drop(columns="units")
+            out["low"], out["high"], out["side"] = lows, highs, side
             yield out
 
-    dealt = at_leaf.mapInPandas(deal, "rep long, mult long, v array<double>, leaves array<long>, ball int, leaf long, task string, side int")
-    found = stage(dealt.groupBy("task").applyInPandas(compare, "rep long, links long, low long"), "emb-found")
+    # most leaves are one task, which needs no dealing
+    dealt = at_leaf.withColumns({"low": F.lit(0), "high": F.lit(0), "side": F.lit(2)})
+    if units:
+        tiled = at_leaf.join(side, "leaf").select(*at_leaf.columns, "units").mapInPandas(deal, "rep long, mult long, dim int, v binary, ball int, member binary, leaf long, low int, high int, side int")
+        dealt = dealt.join(side, "leaf", "left_anti").unionByName(tiled)
+    task = ["leaf", "low", "high"]
+    found = stage(dealt.repartition(*task).sortWithinPartitions(*task).mapInPandas(compared, "rep long, links long, low long"), "emb-found")
     balls = stage(routed.filter("ball >= 0").groupBy("ball").agg(F.sum("mult").alias("all_mult"), F.min("rep").alias("low")), "emb-balls")
     in_ball = routed.filter("ball >= 0").select("rep", "mult", "ball").join(F.broadcast(balls), "ball")
     links = found.select("rep", "links").unionAll(in_ball.select("rep", (F.col("all_mult") - F.col("mult")).alias("links")))
